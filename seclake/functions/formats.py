@@ -2,40 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .. import fixed
-from .text import has_any
+from .text import first_case, has_any, q
 
 FORMATS = ("syslog", "ssh", "auth", "cloudtrail")
 
 
-def is_json_object(line: Column) -> Column:
+def is_json_object(line: str) -> str:
     """True for exactly one JSON object.
 
     The JSON functions ignore text after the first value; wrapped in brackets such
     a line is either no array or an array of more than one element.
     """
-    wrapped = F.json_array_length(F.concat(F.lit("["), line, F.lit("]")))
-    return F.coalesce(line.startswith("{") & (wrapped == 1), F.lit(False))
+    wrapped = f"json_array_length(concat('[', {line}, ']'))"
+    return f"coalesce(startswith({line}, '{{') and {wrapped} = 1, false)"
 
 
-def is_cloudtrail(line: Column) -> Column:
-    wanted = F.array(F.lit("eventVersion"), F.lit("eventTime"))
-    found = F.size(F.array_intersect(F.json_object_keys(line), wanted))
-    return F.coalesce(is_json_object(line) & (found == 2), F.lit(False))
+def is_cloudtrail(line: str) -> str:
+    found = f"size(array_intersect(json_object_keys({line}), array('eventVersion', 'eventTime')))"
+    return f"coalesce({is_json_object(line)} and {found} = 2, false)"
 
 
-def detect_format(line: Column) -> Column:
+def detect_format(line: str) -> str:
     """Format of one line, NULL when it is not recognised."""
-    low = F.lower(line)
-    session_or_password = has_any(low, ("session", "password"))
-    return (
-        F.when(is_cloudtrail(line), F.lit("cloudtrail"))
-        .when(line.contains("sshd") & has_any(line, ("Accepted", "Failed", "Invalid")), F.lit("ssh"))
-        .when(low.contains("ssh") & has_any(low, ("session", "login")), F.lit("ssh"))
-        .when(line.rlike(fixed.HEADER_TIME),
-              F.when(session_or_password, F.lit("auth")).otherwise(F.lit("syslog")))
-        .when(line.rlike(fixed.AUTH_HINT), F.lit("auth"))
-    )
+    low = f"lower({line})"
+    return first_case([
+        (is_cloudtrail(line), "'cloudtrail'"),
+        (f"contains({line}, 'sshd') and {has_any(line, ('Accepted', 'Failed', 'Invalid'))}", "'ssh'"),
+        (f"contains({low}, 'ssh') and {has_any(low, ('session', 'login'))}", "'ssh'"),
+        (f"rlike({line}, {q(fixed.HEADER_TIME)})",
+         f"if({has_any(low, ('session', 'password'))}, 'auth', 'syslog')"),
+        (f"rlike({line}, {q(fixed.AUTH_HINT)})", "'auth'"),
+    ])

@@ -2,53 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .. import fixed
-from .text import any_of, present
+from .text import first_case, present, q
 
 
-def starts_with_any(ip: Column, prefixes) -> Column:
-    return F.coalesce(any_of(ip.startswith(p) for p in prefixes), F.lit(False))
+def starts_with_any(ip: str, prefixes) -> str:
+    return "coalesce(" + " or ".join(f"startswith({ip}, {q(p)})" for p in prefixes) + ", false)"
 
 
-def by_prefix(ip: Column, mapping: dict[str, object], pick=lambda value: value) -> Column:
-    """Payload of the first prefix which starts the address, else NULL.
+def by_prefix(ip: str, mapping: dict[str, object], pick=lambda value: value, default: str = "null") -> str:
+    """Payload of the first prefix which starts the address.
 
-    For a handful of fixed prefixes: a ``when`` chain per row needs neither a
-    join nor a shuffle.  Large prefix tables go through ``operators.intel``.
+    For a handful of fixed prefixes: a ``case`` per row needs neither a join nor a
+    shuffle.  Large prefix tables go through ``operators.intel``.
     """
-    chain = F
-    for prefix, value in mapping.items():
-        chain = chain.when(ip.startswith(prefix), F.lit(pick(value)))
-    return chain.otherwise(F.lit(None))
+    return first_case(
+        ((f"startswith({ip}, {q(prefix)})", q(pick(value))) for prefix, value in mapping.items()), default
+    )
 
 
-def is_internal(ip: Column) -> Column:
+def is_internal(ip: str) -> str:
     """RFC 1918 address test; missing and empty addresses are not internal."""
-    return F.coalesce(ip.rlike(fixed.INTERNAL_IP), F.lit(False))
+    return f"coalesce(rlike({ip}, {q(fixed.INTERNAL_IP)}), false)"
 
 
-def geo_class(ip: Column) -> Column:
+def geo_class(ip: str) -> str:
     """Coarse origin of an address; NULL when there is no address."""
-    known = F.coalesce(by_prefix(ip, fixed.GEO_CLASS), F.lit(fixed.GEO_CLASS_DEFAULT))
-    return F.when(present(ip), known)
+    known = by_prefix(ip, fixed.GEO_CLASS, default=q(fixed.GEO_CLASS_DEFAULT))
+    return f"case when {present(ip)} then {known} end"
 
 
-def suspicious_origin(ip: Column) -> Column:
+def suspicious_origin(ip: str) -> str:
     """Label of a suspicious address, NULL for all others."""
-    return F.when(
-        starts_with_any(ip, fixed.SUSPICIOUS_PREFIXES), by_prefix(ip, fixed.SUSPICIOUS_ORIGIN)
-    )
+    suspicious = starts_with_any(ip, fixed.SUSPICIOUS_PREFIXES)
+    return f"case when {suspicious} then {by_prefix(ip, fixed.SUSPICIOUS_ORIGIN)} end"
 
 
-def first_ip(text: Column) -> Column:
+def first_ip(text: str) -> str:
     """First address in a text, empty when there is none."""
-    return F.regexp_extract(text, fixed.IP_BOUNDED, 0)
+    return f"regexp_extract({text}, {q(fixed.IP_BOUNDED)}, 0)"
 
 
-def last_ip(text: Column) -> Column:
+def last_ip(text: str) -> str:
     """Last address in a text, empty when there is none."""
-    hits = F.regexp_extract_all(text, F.lit(fixed.IP_BOUNDED), F.lit(0))
-    return F.coalesce(F.try_element_at(hits, F.lit(-1)), F.lit(""))
+    return f"coalesce(try_element_at(regexp_extract_all({text}, {q(fixed.IP_BOUNDED)}, 0), -1), '')"

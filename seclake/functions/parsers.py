@@ -1,10 +1,9 @@
-"""Line parsers as column expressions.
+"""Line parsers as expressions.
 
-A parser turns the line column into one expression per event field.  Fields a
-parser does not name stay NULL in the result, so every field of every format can
-be computed in one projection over one scan.  Work several fields share (the
-syslog split, the JSON struct) is declared as a helper column and evaluated once
-per line.
+A parser gives one SQL expression per event field.  Fields a parser does not name
+stay NULL, so every field of every format can be computed in one projection over
+one scan.  Work several fields share (the syslog split, the JSON struct) is
+declared as a helper and evaluated once per line.
 """
 
 from __future__ import annotations
@@ -13,64 +12,64 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from .. import fixed
 from . import network
 from .formats import is_json_object
 from .severity import mitre_text
-from .text import blank_to_null, first_group, has_any, lookup, null_to_blank, strip
+from .text import first_case, first_group, has_any, lookup, q, strip
 
-Fields = dict[str, Column]
+Fields = dict[str, str]
 
 
 @dataclass(frozen=True)
 class LineParser:
-    """``helper`` is evaluated once per line; ``fields`` reads line and helper.
+    """``helper`` is evaluated once per line; ``fields`` reads the line and its result.
 
-    A line yields an event when ``event_type`` is not NULL.
+    Both work on column names and return SQL text; a helper may also be a function
+    of the line column which returns a column, such as a pandas UDF.  A line yields
+    an event when ``event_type`` is not NULL.
     """
 
-    fields: Callable[[Column, Column], Fields]
-    helper: Callable[[Column], Column] | None = None
+    fields: Callable[[str, str], Fields]
+    helper: Callable[[str], str] | None = None
+    column_helper: Callable[[Column], Column] | None = None
 
 
 # --- syslog -----------------------------------------------------------------
 
-def _syslog_parts(line: Column) -> Column:
+def _syslog_parts(line: str) -> str:
     """[ "", host, process, pid, message, time ] of a matching line.
 
     One regex pass: the groups are written back separated by line feeds, which
     none of the first four can contain.  A line without a match comes back
     unchanged, that is, with another first element or fewer of them.
     """
-    clean = F.when(
-        line.contains("[TACTIC:"), F.regexp_replace(line, r"\[TACTIC:[A-Z0-9]+\]", "")
-    ).otherwise(line)
-    spread = F.regexp_replace(clean, fixed.SYSLOG_LINE, "\n$2\n$3\n$4\n$5\n$1")
-    return F.split(spread, "\n", 6)
+    untagged = f"regexp_replace({line}, {q(r'\[TACTIC:[A-Z0-9]+\]')}, '')"
+    clean = f"if(contains({line}, '[TACTIC:'), {untagged}, {line})"
+    spread = f"regexp_replace({clean}, {q(fixed.SYSLOG_LINE)}, {q(chr(10) + chr(10).join(('$2', '$3', '$4', '$5', '$1')))})"
+    return f"split({spread}, {q(chr(10))}, 6)"
 
 
-def extract_user(message: Column) -> Column:
-    return F.coalesce(*[first_group(message, p) for p in fixed.USER_PATTERNS], F.lit(""))
+def _syslog_fields(line: str, parts: str) -> Fields:
+    def part(index: int) -> str:
+        return f"get({parts}, {index})"
 
-
-def _syslog_fields(line: Column, parts: Column) -> Fields:
-    message = F.get(parts, 4)
-    matched = (F.size(parts) == 6) & (F.get(parts, 0) == "")
-    tactic = F.regexp_extract(line, fixed.TACTIC_TAG, 1)
+    message = part(4)
+    tactic = f"regexp_extract({line}, {q(fixed.TACTIC_TAG)}, 1)"
+    users = ", ".join(first_group(message, p) for p in fixed.USER_PATTERNS)
     return {
-        "timestamp": F.get(parts, 5),
-        "host": F.get(parts, 1),
-        "user": extract_user(message),
+        "timestamp": part(5),
+        "host": part(1),
+        "user": f"coalesce({users}, '')",
         "source_ip": network.first_ip(message),
         "destination_ip": network.last_ip(message),
-        "event_type": F.when(matched, F.lit("syslog")),
-        "process": F.get(parts, 2),
-        "pid": blank_to_null(F.get(parts, 3)),
+        "event_type": f"case when size({parts}) = 6 and {part(0)} = '' then 'syslog' end",
+        "process": part(2),
+        "pid": f"nullif({part(3)}, '')",
         "raw_message": strip(message),
         "mitre_tactic": tactic,
-        "mitre_technique": F.coalesce(mitre_text(tactic), F.lit("")),
+        "mitre_technique": f"coalesce({mitre_text(tactic)}, '')",
     }
 
 
@@ -83,26 +82,22 @@ def ssh_parser(extended_user: bool = False) -> LineParser:
     ``extended_user`` the wording "for [invalid user] NAME from" is read as well.
     """
 
-    def fields(line: Column, _helper: Column) -> Fields:
-        kind = F
-        for marker, event_type in fixed.SSH_EVENTS.items():
-            kind = kind.when(line.contains(marker), F.lit(event_type))
+    def fields(line: str, _helper: str) -> Fields:
         login_user = first_group(line, fixed.SSH_USER)
         if extended_user:
-            login_user = F.coalesce(
-                login_user, first_group(line, r"for (?:invalid user )?(\S+) from")
-            )
+            login_user = f"coalesce({login_user}, {first_group(line, r'for (?:invalid user )?(\S+) from')})"
+        invalid_user = first_group(line, fixed.SSH_INVALID_USER)
         is_login = has_any(line, ("Accepted", "Failed"))
         return {
-            "timestamp": F.regexp_extract(line, fixed.HEADER_TIME, 1),
-            "host": F.lit("sshd"),
-            "user": null_to_blank(
-                F.when(is_login, login_user).otherwise(first_group(line, fixed.SSH_INVALID_USER))
+            "timestamp": f"regexp_extract({line}, {q(fixed.HEADER_TIME)}, 1)",
+            "host": "'sshd'",
+            "user": f"coalesce(if({is_login}, {login_user}, {invalid_user}), '')",
+            "source_ip": f"regexp_extract({line}, {q(fixed.SSH_SOURCE)}, 1)",
+            "source_port": f"regexp_extract({line}, {q(fixed.SSH_PORT)}, 1)",
+            "destination_ip": "''",
+            "event_type": first_case(
+                (f"contains({line}, {q(marker)})", q(kind)) for marker, kind in fixed.SSH_EVENTS.items()
             ),
-            "source_ip": F.regexp_extract(line, fixed.SSH_SOURCE, 1),
-            "source_port": F.regexp_extract(line, fixed.SSH_PORT, 1),
-            "destination_ip": F.lit(""),
-            "event_type": kind,
             "raw_message": line,
         }
 
@@ -111,18 +106,17 @@ def ssh_parser(extended_user: bool = False) -> LineParser:
 
 # --- PAM --------------------------------------------------------------------
 
-def _auth_fields(line: Column, low: Column) -> Fields:
-    kind = F
-    for marker, event_type in fixed.AUTH_EVENTS.items():
-        kind = kind.when(low.contains(marker), F.lit(event_type))
+def _auth_fields(line: str, low: str) -> Fields:
     return {
-        "timestamp": F.regexp_extract(line, fixed.HEADER_TIME, 1),
-        "host": F.lit("auth"),
-        "user": F.regexp_extract(line, fixed.AUTH_USER, 1),
-        "source_ip": F.regexp_extract(line, fixed.IP_LOOSE, 0),
-        "source_port": F.lit(""),
-        "destination_ip": F.lit(""),
-        "event_type": kind,
+        "timestamp": f"regexp_extract({line}, {q(fixed.HEADER_TIME)}, 1)",
+        "host": "'auth'",
+        "user": f"regexp_extract({line}, {q(fixed.AUTH_USER)}, 1)",
+        "source_ip": f"regexp_extract({line}, {q(fixed.IP_LOOSE)}, 0)",
+        "source_port": "''",
+        "destination_ip": "''",
+        "event_type": first_case(
+            (f"contains({low}, {q(marker)})", q(kind)) for marker, kind in fixed.AUTH_EVENTS.items()
+        ),
         "raw_message": line,
     }
 
@@ -137,67 +131,52 @@ _CLOUDTRAIL = (
 )
 
 
-def _cloudtrail_struct(line: Column) -> Column:
-    return F.when(is_json_object(line), F.from_json(line, _CLOUDTRAIL))
+def _cloudtrail_struct(line: str) -> str:
+    return f"case when {is_json_object(line)} then from_json({line}, {q(_CLOUDTRAIL)}) end"
 
 
-def _request_part(request: Column, key: str, label: str) -> Column:
-    """`` label=value`` when the key is present; a JSON null reads ``None``."""
-    value = F.coalesce(F.get_json_object(request, f"$.{key}"), F.lit("None"))
-    has_key = F.array_contains(F.json_object_keys(request), key)
-    return F.when(has_key, F.concat(F.lit(f" {label}="), value)).otherwise(F.lit(""))
+def _cloudtrail_fields(_line: str, doc: str) -> Fields:
+    def text(name: str) -> str:
+        return f"coalesce({doc}.{name}, '')"
 
-
-def _cloudtrail_fields(_line: Column, doc: Column) -> Fields:
-    def text(name: str) -> Column:
-        return null_to_blank(doc.getField(name))
+    def request_part(key: str, label: str) -> str:
+        """`` label=value`` when the key is present; a JSON null reads ``None``."""
+        request = f"{doc}.requestParameters"
+        value = f"coalesce(get_json_object({request}, '$.{key}'), 'None')"
+        has_key = f"array_contains(json_object_keys({request}), '{key}')"
+        return f"if(coalesce({has_key}, false), concat(' {label}=', {value}), '')"
 
     name = text("eventName")
-    who = doc.getField("userIdentity")
-    arn = who.getField("arn")
-    arn_user = F.when(arn.contains("arn:aws:iam::"), F.element_at(F.split(arn, "/"), -1))
-    request = doc.getField("requestParameters")
-    response_keys = F.json_object_keys(doc.getField("responseElements"))
-    response_part = F.when(
-        F.size(response_keys) > 0,
-        F.concat(F.lit(" -> ['"), F.array_join(response_keys, "', '"), F.lit("']")),
+    who = f"{doc}.userIdentity"
+    arn_user = f"case when contains({who}.arn, 'arn:aws:iam::') then element_at(split({who}.arn, '/'), -1) end"
+    keys = f"json_object_keys({doc}.responseElements)"
+    response = (
+        f"if(coalesce(size({keys}), 0) > 0, concat(' -> [\\'', array_join({keys}, '\\', \\''), '\\']'), '')"
+    )
+    category = f"coalesce({lookup(fixed.CLOUDTRAIL_CATEGORY, name)}, {q(fixed.CLOUDTRAIL_CATEGORY_DEFAULT)})"
+    request = ", ".join(
+        request_part(key, label)
+        for key, label in (("userName", "user"), ("groupName", "group"), ("policyName", "policy"))
     )
-    region = text("awsRegion")
     return {
         "timestamp": text("eventTime"),
-        "host": F.when(region != "", F.concat(F.lit("aws:"), region)).otherwise(F.lit("aws")),
-        "user": F.coalesce(
-            blank_to_null(who.getField("userName")),
-            blank_to_null(arn_user),
-            blank_to_null(who.getField("type")),
-            F.lit("unknown"),
-        ),
+        "host": f"if({text('awsRegion')} <> '', concat('aws:', {doc}.awsRegion), 'aws')",
+        "user": f"coalesce(nullif({who}.userName, ''), nullif({arn_user}, ''), nullif({who}.type, ''), 'unknown')",
         "source_ip": text("sourceIPAddress"),
-        "destination_ip": F.lit(""),
-        "event_type": F.when(
-            doc.isNotNull(),
-            F.coalesce(
-                lookup(fixed.CLOUDTRAIL_CATEGORY, name), F.lit(fixed.CLOUDTRAIL_CATEGORY_DEFAULT)
-            ),
-        ),
-        "process": F.coalesce(blank_to_null(text("eventSource")), F.lit("cloudtrail")),
-        "raw_message": F.concat(
-            name,
-            _request_part(request, "userName", "user"),
-            _request_part(request, "groupName", "group"),
-            _request_part(request, "policyName", "policy"),
-            F.coalesce(response_part, F.lit("")),
-        ),
-        "mitre_tactic": F.coalesce(lookup(fixed.CLOUDTRAIL_MITRE, name), F.lit("")),
+        "destination_ip": "''",
+        "event_type": f"case when {doc} is not null then {category} end",
+        "process": f"coalesce(nullif({doc}.eventSource, ''), 'cloudtrail')",
+        "raw_message": f"concat({name}, {request}, {response})",
+        "mitre_tactic": f"coalesce({lookup(fixed.CLOUDTRAIL_MITRE, name)}, '')",
     }
 
 
 # --- user parsers -----------------------------------------------------------
 
 def struct_parser(make: Callable[[Column], Column], names: tuple[str, ...]) -> LineParser:
-    """A parser from any ``line -> struct`` expression, a pandas UDF included."""
+    """A parser from any ``line -> struct`` column function, a pandas UDF included."""
     return LineParser(
-        fields=lambda _line, parsed: {name: parsed.getField(name) for name in names}, helper=make
+        fields=lambda _line, parsed: {name: f"{parsed}.{name}" for name in names}, column_helper=make
     )
 
 
@@ -205,6 +184,6 @@ def default_parsers(extended_user: bool = False) -> dict[str, LineParser]:
     return {
         "syslog": LineParser(_syslog_fields, _syslog_parts),
         "ssh": ssh_parser(extended_user),
-        "auth": LineParser(_auth_fields, F.lower),
+        "auth": LineParser(_auth_fields, lambda line: f"lower({line})"),
         "cloudtrail": LineParser(_cloudtrail_fields, _cloudtrail_struct),
     }

@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .. import fixed
-from .text import event_text, has_any, lookup, null_to_blank
-
+from .text import EVENT_TEXT, first_case, has_any, lookup, q
 
-def severity_text() -> Column:
-    """The text keywords are looked for in; the joining blank is part of it."""
-    return F.lower(F.concat_ws(" ", null_to_blank(F.col("event_type")), event_text()))
+# The text keywords are looked for in; the joining blank is part of it.
+SEVERITY_TEXT = f"lower(concat(coalesce(event_type, ''), ' ', {EVENT_TEXT}))"
 
 
-def severity_of(text: Column) -> Column:
+def severity_of(text: str) -> str:
     """First level with a keyword in the (lower-case) text, ``info`` when none has."""
-    chain = F
-    for level in fixed.SEVERITIES[:-1]:
-        chain = chain.when(has_any(text, fixed.SEVERITY_KEYWORDS[level]), F.lit(level))
-    return chain.otherwise(F.lit("info"))
+    return first_case(
+        ((has_any(text, fixed.SEVERITY_KEYWORDS[level]), q(level)) for level in fixed.SEVERITIES[:-1]),
+        default="'info'",
+    )
 
 
-def severity_rank(severity: Column, unknown: int = 4) -> Column:
+def severity_rank(severity: str, unknown: int = 4) -> str:
     """0 for critical up to 4 for info; unknown names get ``unknown``."""
-    chain = F
-    for level, rank in fixed.SEVERITY_RANK.items():
-        chain = chain.when(severity == level, F.lit(rank))
-    return chain.otherwise(F.lit(unknown))
+    return first_case(
+        ((f"{severity} = {q(level)}", str(rank)) for level, rank in fixed.SEVERITY_RANK.items()), str(unknown)
+    )
 
 
-def stored_severity(df) -> Column:
+def stored_severity(df) -> str:
     """The severity column when the table has one, else ``info``."""
-    if "severity" in df.columns:
-        return F.coalesce(F.col("severity"), F.lit("info"))
-    return F.lit("info")
+    return "coalesce(severity, 'info')" if "severity" in df.columns else "'info'"
 
 
-def mitre_text(code: Column) -> Column:
+def mitre_text(code: str) -> str:
     return lookup(fixed.MITRE_TEXT, code)

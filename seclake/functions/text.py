@@ -1,77 +1,60 @@
-"""Small text expressions."""
+"""Small text expressions.
+
+The functions of this package return SQL text.  Detection, parsing and scoring
+are long expressions over short word lists; as text each of them is built by one
+call of ``F.expr``, however long it is.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def strip(col: Column) -> Column:
-    """Remove leading and trailing white space, Unicode blanks included."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
-def blank_to_null(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
+def q(text: str) -> str:
+    """SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def null_to_blank(col: Column) -> Column:
-    return F.coalesce(col, F.lit(""))
+def strip(col: str) -> str:
+    """Remove leading and trailing white space, Unicode blanks included."""
+    return f"regexp_replace({col}, {q(r'(?U)^\s+|\s+$')}, '')"
 
 
-def present(col: Column) -> Column:
+def present(col: str) -> str:
     """True when the field exists and is not empty."""
-    return null_to_blank(col) != ""
+    return f"coalesce({col}, '') <> ''"
 
 
-def event_text(raw: Column | None = None, message: Column | None = None) -> Column:
-    """The text of an event: the raw message if there is one, else the message."""
-    raw = F.col("raw_message") if raw is None else raw
-    message = F.col("message") if message is None else message
-    return F.coalesce(blank_to_null(raw), message, F.lit(""))
+# The text of an event: the raw message if there is one, else the message.
+EVENT_TEXT = "coalesce(nullif(raw_message, ''), message, '')"
 
+# Raw message and message run together, as phases and failure counts see it.
+JOINED_TEXT = "concat(coalesce(raw_message, ''), coalesce(message, ''))"
 
-def joined_text() -> Column:
-    """Raw message and message run together, as phases and failure counts see it."""
-    return F.concat(null_to_blank(F.col("raw_message")), null_to_blank(F.col("message")))
 
-
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
-def has_any(col: Column, words: Iterable[str]) -> Column:
+def has_any(col: str, words: Iterable[str]) -> str:
     """Substring test against a short word list.
 
     A chain of ``contains`` stays in generated code and beats a regex alternation,
     which retries every word at every position.
     """
-    return any_of(col.contains(word) for word in words)
+    return "(" + " or ".join(f"contains({col}, {q(word)})" for word in words) + ")"
 
 
-def first_group(col: Column, pattern: str, group: int = 1) -> Column:
+def first_group(col: str, pattern: str, group: int = 1) -> str:
     """First regex hit, NULL when there is none."""
-    return blank_to_null(F.regexp_extract(col, pattern, group))
+    return f"nullif(regexp_extract({col}, {q(pattern)}, {group}), '')"
 
 
-def lookup(mapping: dict[str, str], key: Column) -> Column:
+def lookup(mapping: dict[str, str], key: str) -> str:
     """Value of a small fixed mapping, NULL for other keys."""
-    chain = F
-    for k, v in mapping.items():
-        chain = chain.when(key == k, F.lit(v))
-    return chain.otherwise(F.lit(None))
-
-
-def shorten(col: Column, length: int) -> Column:
-    return F.substring(col, 1, length)
+    entries = ", ".join(f"{q(k)}, {q(v)}" for k, v in mapping.items())
+    return f"try_element_at(map({entries}), {key})"
 
 
-def ellipsis(col: Column, length: int = 50) -> Column:
-    return F.when(F.length(col) > length, F.concat(shorten(col, length), F.lit("..."))).otherwise(col)
+def first_case(arms: Iterable[tuple[str, str]], default: str = "null") -> str:
+    """``case`` over (condition, result) pairs, first hit wins."""
+    return "case " + " ".join(f"when {test} then {value}" for test, value in arms) + f" else {default} end"
 
 
 def is_plain(pattern: str) -> bool:

@@ -4,48 +4,57 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import times
 from ..functions.pin import pin
-from ..functions.text import event_text, has_any, joined_text, present
-from .detections import is_failed_login
+from ..functions.text import EVENT_TEXT, JOINED_TEXT, has_any, present, q
+from ..session import materialize
+from .detections import FAILED_LOGIN
 from .ordering import order_value_at
+from .summary import events_per_minute
 
 METRICS = ("failed_logins", "auth_failures", "unique_ips", "unique_users")
 BUCKETS = 65_536
 
 
-def value_bucket(col: Column) -> Column:
+def value_bucket(col: str) -> str:
     """Stable bucket 0-999 of a text: first 32 bits of its MD5 modulo 1000."""
-    return F.conv(F.substring(F.md5(col), 1, 8), 16, 10).cast("bigint") % 1000
+    return f"cast(cast(conv(substring(md5({col}), 1, 8), 16, 10) as bigint) % 1000 as double)"
 
 
-def _metric_values(text: Column) -> list[Column]:
-    """Per metric a struct (metric, value) when the row contributes, else NULL."""
-    one = F.lit(1).cast("double")
-    contributes = {
-        "failed_logins": (is_failed_login(), one),
-        "auth_failures": (has_any(text, fixed.AUTH_FAILURE_WORDS), one),
-        "unique_ips": (present(F.col("source_ip")), value_bucket(F.col("source_ip")).cast("double")),
-        "unique_users": (present(F.col("user")), value_bucket(F.col("user")).cast("double")),
-    }
-    return [
-        F.when(test, F.struct(F.lit(name).alias("metric"), value.alias("value")))
-        for name, (test, value) in contributes.items()
-    ]
+def facts(events: DataFrame) -> DataFrame:
+    """What the checks need to know about each event, without its text."""
+    low = pin(events, _low=f"lower({EVENT_TEXT})", _joined=f"lower({JOINED_TEXT})")
+    return low.selectExpr(
+        "seq", "timestamp", "source_ip", "user",
+        f"{FAILED_LOGIN} as failed",
+        f"{has_any('_low', fixed.AUTH_FAILURE_WORDS)} as denied",
+        f"{has_any('_joined', fixed.AUTH_FAILURE_WORDS)} as denied_now",
+    )
+
 
+# metric -> (condition under which an event contributes, its value)
+_CONTRIBUTES = {
+    "failed_logins": ("failed", "1.0D"),
+    "auth_failures": ("denied", "1.0D"),
+    "unique_ips": (present("source_ip"), value_bucket("source_ip")),
+    "unique_users": (present("user"), value_bucket("user")),
+}
 
-def metric_histogram(events: DataFrame, *by: Column) -> DataFrame:
-    """(``by``, metric, value, n): at most a thousand values per metric, one scan."""
-    text = pin(events, "_low", F.lower(event_text()))
-    values = F.array_compact(F.array(*_metric_values(F.col("_low"))))
-    names = [f"_by{i}" for i in range(len(by))]
+
+def metric_histogram(known: DataFrame, *by: str) -> DataFrame:
+    """(``by``, metric, value, n) from facts: at most a thousand values per metric."""
+    values = ", ".join(
+        f"case when {test} then struct({q(name)} as metric, {value} as value) end"
+        for name, (test, value) in _CONTRIBUTES.items()
+    )
     return (
-        text.select(*[b.alias(n) for b, n in zip(by, names, strict=True)], F.explode(values).alias("m"))
-        .groupBy(*names, "m.metric", "m.value")
+        known.selectExpr(*by, f"explode(array_compact(array({values}))) as m")
+        .selectExpr(*by, "m.metric", "m.value")
+        .groupBy(*by, "metric", "value")
         .agg(F.count("*").alias("n"))
     )
 
@@ -61,38 +70,30 @@ def histogram_stats(histogram: DataFrame, *keys: str) -> DataFrame:
     ranked = (
         histogram.withColumn("_end", F.sum("n").over(running))
         .withColumn("_total", F.sum("n").over(group))
-        .withColumn("_mean", F.sum(F.col("value") * F.col("n")).over(group) / F.col("_total"))
+        .withColumn("_sum", F.sum(F.expr("value * n")).over(group))
+        .selectExpr("*", "_sum / _total as _mean")
     )
 
-    def at(position: Column) -> Column:
+    def at(position: str) -> str:
         """Value at a 0-based position of the expanded, sorted list."""
-        hit = (position < F.col("_end")) & (position >= F.col("_end") - F.col("n"))
-        return F.max(F.when(hit, F.col("value")))
+        return f"max(value) filter (where {position} < _end and {position} >= _end - n)"
 
-    def quantile(q: float) -> Column:
-        return F.floor(F.col("_total") * F.lit(q))
-
-    spread = F.sum(F.col("n") * F.pow(F.col("value") - F.col("_mean"), 2))
-    count = F.max("_total")
+    spread = "sqrt(sum(n * pow(value - _mean, 2)) / (max(_total) - 1))"
     return ranked.groupBy(*keys).agg(
-        F.max("_mean").alias("mean"),
-        F.when(count > 1, F.sqrt(spread / (count - 1))).otherwise(F.lit(0.0)).alias("std_dev"),
-        F.min("value").alias("min_val"),
-        F.max("value").alias("max_val"),
-        ((at(F.floor((F.col("_total") - 1) / 2)) + at(F.floor(F.col("_total") / 2))) / 2).alias("median"),
-        at(quantile(0.95)).alias("p95"),
-        at(quantile(0.99)).alias("p99"),
-        count.alias("sample_count"),
+        F.expr("max(_mean) as mean"),
+        F.expr(f"case when max(_total) > 1 then {spread} else 0.0D end as std_dev"),
+        F.expr("min(value) as min_val"),
+        F.expr("max(value) as max_val"),
+        F.expr(f"({at('floor((_total - 1) / 2)')} + {at('floor(_total / 2)')}) / 2 as median"),
+        F.expr(f"{at('floor(_total * 0.95D)')} as p95"),
+        F.expr(f"{at('floor(_total * 0.99D)')} as p99"),
+        F.expr("max(_total) as sample_count"),
     )
 
 
 def baselines(events: DataFrame) -> DataFrame:
     """Statistics of the four standard metrics (metrics without values are absent)."""
-    return histogram_stats(metric_histogram(events), "metric")
-
-
-def _no_values(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn("metric", F.lit(name))
+    return histogram_stats(metric_histogram(facts(events)), "metric")
 
 
 def baseline(events: DataFrame, metric: str) -> DataFrame:
@@ -105,65 +106,48 @@ def baseline(events: DataFrame, metric: str) -> DataFrame:
     if metric in METRICS:
         return baselines(events).where(F.col("metric") == metric)
     if metric == "events_per_minute":
-        counts = minute_counts(events).groupBy(F.col("events").cast("double").alias("value"))
-        return _no_values(
-            histogram_stats(counts.agg(F.count("*").alias("n")).withColumn("_k", F.lit(0)), "_k")
-            .drop("_k"), metric
+        numbers = events_per_minute(events).selectExpr("cast(events as double) as value")
+    else:
+        numbers = (
+            events.where(present(f"cast({metric} as string)"))
+            .selectExpr(f"try_cast({metric} as double) as value")
+            .where("value is not null")
         )
-    values = (
-        events.where(present(F.col(metric).cast("string")))
-        .select(F.col(metric).try_cast("double").alias("value"))
-        .where(F.col("value").isNotNull())
-        .groupBy("value")
-        .agg(F.count("*").alias("n"))
-    )
-    return _no_values(field_stats(values), metric)
-
-
-def minute_counts(events: DataFrame) -> DataFrame:
-    from .summary import events_per_minute
-
-    return events_per_minute(events)
+    # Read several times below.
+    values = materialize(numbers.groupBy("value").agg(F.count("*").alias("n")), "values")
+    return field_stats(values).selectExpr(f"{q(metric)} as metric", "*")
 
 
 def field_stats(values: DataFrame) -> DataFrame:
     """One row of statistics from (value, n) with any number of distinct values."""
-    totals = values.agg(
-        F.struct(
-            F.sum("n").alias("count"),
-            (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-        ).alias("t")
+    totals = values.selectExpr(
+        "struct(sum(n) as count, sum(value * n) / sum(n) as mean, min(value) as low, max(value) as high) as t"
     )
     # Rounding is monotone in each step, so ranges are in value order.
-    width = F.col("high") - F.col("low")
-    bucket = F.coalesce(
-        F.floor(F.try_divide((F.col("value") - F.col("low")) * F.lit(float(BUCKETS - 1)), width)),
-        F.lit(0),
-    )
+    bucket = f"coalesce(floor(try_divide((value - low) * {float(BUCKETS - 1)}D, high - low)), 0)"
     placed = (
         values.withColumn("t", totals.scalar())
-        .select("value", "n", "t.*")
-        .withColumn("_bucket", bucket)
+        .selectExpr("value", "n", "t.*")
+        .selectExpr("*", f"{bucket} as _bucket")
     )
     ranges = placed.groupBy("_bucket").agg(
-        F.sum("n").alias("m"),
-        F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("spread"),
-        *[F.first(c).alias(c) for c in ("count", "mean", "low", "high")],
+        F.expr("sum(n) as m"),
+        F.expr("sum(n * pow(value - mean, 2)) as spread"),
+        *[F.expr(f"first({c}) as {c}") for c in ("count", "mean", "low", "high")],
     )
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_start", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    positions = F.array(
-        F.struct(F.lit("lo").alias("name"), F.floor((F.col("count") - 1) / 2).alias("at")),
-        F.struct(F.lit("hi").alias("name"), F.floor(F.col("count") / 2).alias("at")),
-        F.struct(F.lit("p95").alias("name"), F.floor(F.col("count") * F.lit(0.95)).alias("at")),
-        F.struct(F.lit("p99").alias("name"), F.floor(F.col("count") * F.lit(0.99)).alias("at")),
-    )
+    ranges = ranges.withColumn("_before", F.sum("m").over(before))
+    wanted_at = {
+        "lo": "floor((count - 1) / 2)",
+        "hi": "floor(count / 2)",
+        "p95": "floor(count * 0.95D)",
+        "p99": "floor(count * 0.99D)",
+    }
+    positions = ", ".join(f"struct({q(name)} as name, {at} as at)" for name, at in wanted_at.items())
     wanted = (
-        ranges.withColumn("p", F.explode(positions))
-        .where((F.col("p.at") >= F.col("_start")) & (F.col("p.at") < F.col("_start") + F.col("m")))
-        .select("_bucket", "p.name", (F.col("p.at") - F.col("_start")).alias("_at"))
+        ranges.selectExpr("_bucket", "m", "coalesce(_before, 0) as _start", f"explode(array({positions})) as p")
+        .where("p.at >= _start and p.at < _start + m")
+        .selectExpr("_bucket", "p.name", "p.at - _start as _at")
     )
     running = Window.partitionBy("name").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -172,79 +156,70 @@ def field_stats(values: DataFrame) -> DataFrame:
         placed.select("_bucket", "value", "n")
         .join(F.broadcast(wanted), "_bucket")  # four rows
         .withColumn("_end", F.sum("n").over(running))
-        .where((F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("n")))
-        .agg(F.struct(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n)
-                        for n in ("lo", "hi", "p95", "p99")]).alias("f"))
+        .where("_at < _end and _at >= _end - n")
+        .selectExpr(
+            "struct(" + ", ".join(
+                f"max(value) filter (where name = {q(name)}) as {name}" for name in wanted_at
+            ) + ") as f"
+        )
     )
-    stats = ranges.agg(
-        F.first("mean").alias("mean"),
-        F.sqrt(F.try_divide(F.sum("spread"), F.first("count") - 1)).alias("std"),
-        F.first("low").alias("min_val"),
-        F.first("high").alias("max_val"),
-        F.first("count").alias("sample_count"),
+    stats = ranges.selectExpr(
+        "first(mean) as mean",
+        "sqrt(try_divide(sum(spread), first(count) - 1)) as std",
+        "first(low) as min_val",
+        "first(high) as max_val",
+        "first(count) as sample_count",
     )
     return (
-        stats.where(F.col("sample_count").isNotNull())
+        stats.where("sample_count is not null")
         .withColumn("f", found.scalar())
-        .select(
-            "mean",
-            F.coalesce("std", F.lit(0.0)).alias("std_dev"),
-            "min_val",
-            "max_val",
-            ((F.col("f.lo") + F.col("f.hi")) / 2).alias("median"),
-            F.col("f.p95").alias("p95"),
-            F.col("f.p99").alias("p99"),
-            "sample_count",
-        )
+        .selectExpr("mean", "coalesce(std, 0.0D) as std_dev", "min_val", "max_val",
+                    "(f.lo + f.hi) / 2 as median", "f.p95 as p95", "f.p99 as p99", "sample_count")
     )
 
 
 def _anomaly(
-    metric: Column, value: Column, low: Column, high: Column, mean: Column, z: Column,
-    severity: Column, description: Column,
-) -> list[Column]:
+    metric: str, value: str, low: str, high: str, mean: str, z: str, severity: str, description: str
+) -> list[str]:
     return [
-        metric.alias("metric"),
-        value.cast("double").alias("value"),
-        F.struct(low.cast("double").alias("low"), high.cast("double").alias("high")).alias("expected_range"),
-        (value - mean).cast("double").alias("deviation"),
-        z.cast("double").alias("z_score"),
-        severity.alias("severity"),
-        description.alias("description"),
+        f"{metric} as metric",
+        f"cast({value} as double) as value",
+        f"struct(cast({low} as double) as low, cast({high} as double) as high) as expected_range",
+        f"cast({value} - {mean} as double) as deviation",
+        f"cast({z} as double) as z_score",
+        f"{severity} as severity",
+        f"{description} as description",
     ]
 
 
-def baseline_for(
-    events: DataFrame, baseline_events: DataFrame | None = None
-) -> DataFrame:
-    """The statistics current events are compared with.
+def _baseline_for(known: DataFrame, baseline_events: DataFrame | None) -> DataFrame:
+    """The statistics current facts are compared with.
 
     From ``baseline_events`` when given, else from the first half of the events (all
     of them when there are ten or fewer).  Metrics without a value there are taken
     from the events themselves.
     """
     if baseline_events is None:
-        cut = order_value_at(events, F.when(F.col("n") > 10, F.floor(F.col("n") / 2)).otherwise(F.col("n")))
-        is_base = F.col("seq") <= cut.scalar()
+        cut = order_value_at(known, "case when n > 10 then floor(n / 2) else n end")
         # One scan serves both: the histogram is kept per half.
-        histogram = metric_histogram(events, is_base)
-        own = histogram.where(F.col("_by0")).select("metric", "value", "n")
+        marked = known.withColumn("_base", F.col("seq") <= cut.scalar())
+        histogram = metric_histogram(marked, "_base")
+        own = histogram.where("_base").select("metric", "value", "n")
         whole = histogram.groupBy("metric", "value").agg(F.sum("n").alias("n"))
     else:
-        own = metric_histogram(baseline_events)
-        whole = metric_histogram(events)
+        own = metric_histogram(facts(baseline_events))
+        whole = metric_histogram(known)
     first = histogram_stats(own, "metric")
     rest = histogram_stats(whole, "metric").join(first.select("metric"), "metric", "left_anti")
     return first.unionByName(rest)
 
 
-def current_values(events: DataFrame) -> DataFrame:
+def _current_values(known: DataFrame) -> DataFrame:
     """(metric, current): the counts which are checked against the baselines."""
-    text = pin(events, "_low", F.lower(joined_text()))
-    row = text.agg(
-        F.count_if(is_failed_login()).alias("failed_logins"),
-        F.count_if(has_any(F.col("_low"), fixed.AUTH_FAILURE_WORDS)).alias("auth_failures"),
-        F.count_distinct(F.nullif(F.col("source_ip"), F.lit(""))).alias("unique_ips"),
+    row = known.selectExpr(
+        "count_if(failed) as failed_logins",
+        "count_if(denied_now) as auth_failures",
+        "count(distinct nullif(source_ip, '')) as unique_ips",
     )
     return row.unpivot([], ["failed_logins", "auth_failures", "unique_ips"], "metric", "current")
 
@@ -257,47 +232,50 @@ def metric_anomalies(
     Without spread in the baseline a value above twice the mean is an anomaly of
     level high with z 999; else the z score decides.
     """
-    compared = current_values(events).join(baseline_for(events, baseline_events), "metric")
-    value, mean, std = F.col("current"), F.col("mean"), F.col("std_dev")
-    flat = std == 0
-    z = F.when(flat, F.lit(999.0)).otherwise(F.try_divide(value - mean, std))
-    fires = F.when(flat, value > mean * 2).otherwise(F.abs(z) > sensitivity)
-    severity = (
-        F.when(flat, "high").when(F.abs(z) > 4, "critical").when(F.abs(z) > 3, "high")
-        .otherwise("medium")
+    return _metric_anomalies(materialize(facts(events), "facts"), baseline_events, sensitivity)
+
+
+def _metric_anomalies(
+    known: DataFrame, baseline_events: DataFrame | None, sensitivity: float
+) -> DataFrame:
+    s = f"{float(sensitivity)}D"
+    compared = (
+        _current_values(known)
+        .join(_baseline_for(known, baseline_events), "metric")
+        .selectExpr("*", "std_dev = 0 as flat",
+                    "if(std_dev = 0, 999.0D, try_divide(current - mean, std_dev)) as z")
     )
-    low = F.when(flat, F.lit(0.0)).otherwise(mean - std * sensitivity)
-    high = F.when(flat, mean * 2).otherwise(mean + std * sensitivity)
-    description = F.when(
-        flat,
-        F.format_string("Value %d is significantly higher than baseline mean %.1f", value, mean),
-    ).otherwise(F.format_string("Value %.1f is %.1f std devs from baseline", value.cast("double"), F.abs(z)))
-    return compared.where(fires).select(
-        *_anomaly(F.col("metric"), value, low, high, mean, z, severity, description)
+    return compared.where(f"if(flat, current > mean * 2, abs(z) > {s})").selectExpr(
+        *_anomaly(
+            "metric", "current",
+            f"if(flat, 0.0D, mean - std_dev * {s})",
+            f"if(flat, mean * 2, mean + std_dev * {s})",
+            "mean", "z",
+            "case when flat then 'high' when abs(z) > 4 then 'critical' when abs(z) > 3 then 'high' else 'medium' end",
+            "if(flat, format_string('Value %d is significantly higher than baseline mean %.1f', current, mean), "
+            "format_string('Value %.1f is %.1f std devs from baseline', cast(current as double), abs(z)))",
+        )
     )
 
 
 def off_hours(events: DataFrame) -> DataFrame:
     """Hours before 6 or after 22 with more than 1.5 times the mean hourly count."""
     hours = (
-        events.select(times.hour_before_colon(F.col("timestamp")).alias("hour"))
-        .where(F.col("hour").isNotNull())
+        events.selectExpr(f"{times.hour_before_colon('timestamp')} as hour")
+        .where("hour is not null")
         .groupBy("hour")
         .agg(F.count("*").alias("n"))
     )
-    everything = Window.partitionBy()  # one row per hour
-    mean = F.avg("n").over(everything)
-    std = F.coalesce(F.stddev_samp("n").over(everything), F.lit(0.0))
-    rows = hours.withColumn("mean", mean).withColumn("std", std).where(
-        ((F.col("hour") < 6) | (F.col("hour") > 22)) & (F.col("n") > F.col("mean") * 1.5)
-    )
-    z = F.when(F.col("std") == 0, F.lit(0.0)).otherwise(
-        F.try_divide(F.col("n") - F.col("mean"), F.col("std"))
-    )
-    return rows.select(
-        *_anomaly(
-            F.lit("off_hours_activity"), F.col("n"), F.lit(0.0), F.col("mean") * 1.5, F.col("mean"),
-            z, F.lit("medium"), F.format_string("Unusual activity at %d:00 (off hours)", "hour"),
+    return (
+        # one row per hour
+        hours.selectExpr("hour", "n", "avg(n) over () as mean", "coalesce(stddev_samp(n) over (), 0) as std")
+        .where("(hour < 6 or hour > 22) and n > mean * 1.5")
+        .selectExpr(
+            *_anomaly(
+                "'off_hours_activity'", "n", "0", "mean * 1.5", "mean",
+                "coalesce(try_divide(n - mean, std), 0)", "'medium'",
+                "format_string('Unusual activity at %d:00 (off hours)', hour)",
+            )
         )
     )
 
@@ -305,20 +283,20 @@ def off_hours(events: DataFrame) -> DataFrame:
 def single_source_flood(events: DataFrame) -> DataFrame:
     """The busiest source when it has more than five times the mean count per source."""
     per_ip = (
-        events.where(present(F.col("source_ip")))
+        events.where(present("source_ip"))
         .groupBy("source_ip")
         .agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     )
-    summary = per_ip.agg(
-        F.min_by("source_ip", F.struct(-F.col("n"), F.col("first"))).alias("ip"),
-        F.max("n").alias("n"),
-        F.avg("n").alias("mean"),
-    )
-    return summary.where(F.col("n") > F.col("mean") * 5).select(
-        *_anomaly(
-            F.lit("single_source_flood"), F.col("n"), F.lit(0.0), F.col("mean") * 5, F.col("mean"),
-            F.lit(999.0), F.lit("high"),
-            F.format_string("IP %s responsible for %d events (avg: %.1f)", "ip", "n", "mean"),
+    return (
+        per_ip.selectExpr(
+            "min_by(source_ip, struct(-n, first)) as ip", "max(n) as n", "avg(n) as mean"
+        )
+        .where("n > mean * 5")
+        .selectExpr(
+            *_anomaly(
+                "'single_source_flood'", "n", "0", "mean * 5", "mean", "999", "'high'",
+                "format_string('IP %s responsible for %d events (avg: %.1f)', ip, n, mean)",
+            )
         )
     )
 
@@ -326,36 +304,33 @@ def single_source_flood(events: DataFrame) -> DataFrame:
 def detect_anomalies(
     events: DataFrame, baseline_events: DataFrame | None = None, sensitivity: float = 2.0
 ) -> DataFrame:
-    """All anomalies; ``events`` is scanned several times, so pass a stored table."""
+    """All anomalies.  The events are read once, into a narrow table of facts."""
+    known = materialize(facts(events), "facts")
     return reduce(
         DataFrame.unionByName,
         [
-            metric_anomalies(events, baseline_events, sensitivity),
-            off_hours(events),
-            single_source_flood(events),
+            _metric_anomalies(known, baseline_events, sensitivity),
+            off_hours(known),
+            single_source_flood(known),
         ],
     )
 
 
 def anomaly_summary(anomalies: DataFrame) -> DataFrame:
-    return anomalies.agg(
-        F.count("*").alias("total_anomalies"),
-        *[F.count_if(F.col("severity") == level).alias(level)
-          for level in ("critical", "high", "medium", "low")],
-        F.array_sort(F.collect_set("metric")).alias("metrics_affected"),
+    return anomalies.selectExpr(
+        "count(*) as total_anomalies",
+        *[f"count_if(severity = {q(level)}) as {level}" for level in ("critical", "high", "medium", "low")],
+        "array_sort(collect_set(metric)) as metrics_affected",
     )
 
 
 def minute_rate_anomalies(events: DataFrame, sensitivity: float = 2.0) -> DataFrame:
     """Minutes whose event count is more than ``sensitivity`` deviations from the mean."""
-    counts = minute_counts(events)
-    stats = counts.agg(
-        F.struct(F.avg("events").alias("mean"), F.stddev_samp("events").alias("std")).alias("s")
-    )
-    z = F.try_divide(F.col("events") - F.col("s.mean"), F.col("s.std"))
+    counts = events_per_minute(events)
+    stats = counts.selectExpr("struct(avg(events) as mean, stddev_samp(events) as std) as s")
     return (
         counts.withColumn("s", stats.scalar())
-        .withColumn("z_score", z)
-        .where(F.abs("z_score") > sensitivity)
-        .select(times.clock(F.col("minute")).alias("minute"), "events", "z_score")
+        .selectExpr("minute", "events", "try_divide(events - s.mean, s.std) as z_score")
+        .where(f"abs(z_score) > {float(sensitivity)}D")
+        .selectExpr(f"{times.clock('minute')} as minute", "events", "z_score")
     )

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..functions.text import blank_to_null, null_to_blank
 from ..session import materialize
 from .detections import failed_logins
 from .ordering import count_ahead
@@ -14,9 +13,8 @@ from .ordering import count_ahead
 DAY = 86_400
 
 
-def source_of() -> Column:
-    """Who an event is attributed to: its source address, else its user."""
-    return F.coalesce(blank_to_null(F.col("source_ip")), F.col("user"), F.lit(""))
+# Who an event is attributed to: its source address, else its user.
+SOURCE = "coalesce(nullif(source_ip, ''), user, '')"
 
 
 def failed_login_bursts(events: DataFrame, threshold: int = 5) -> DataFrame:
@@ -27,22 +25,21 @@ def failed_login_bursts(events: DataFrame, threshold: int = 5) -> DataFrame:
     exclusion this is 1 + later(ip) + later(user) - later(ip and user), so three
     counts replace the comparison of all pairs.
     """
-    rows = failed_logins(events).select(
-        "seq",
-        null_to_blank(F.col("source_ip")).alias("ip"),
-        null_to_blank(F.col("user")).alias("user"),
+    rows = failed_logins(events).selectExpr(
+        "seq", "coalesce(source_ip, '') as ip", "coalesce(user, '') as user"
     )
     # Read several times below and much narrower than the events.
     rows = materialize(rows, "failed-logins")
+    size = rows.count()
     for keys, out in ((["ip"], "by_ip"), (["user"], "by_user"), (["ip", "user"], "by_both")):
-        rows = count_ahead(rows, keys, out)
-    attempts = 1 + F.col("by_ip") + F.col("by_user") - F.col("by_both")
-    source = F.coalesce(blank_to_null(F.col("ip")), F.col("user"))
+        rows = count_ahead(rows, keys, out, rows_known=size)
     return (
-        rows.select(source.alias("source"), attempts.alias("attempts"))
-        .where((F.col("source") != "") & (F.col("attempts") >= threshold))
+        rows.selectExpr(
+            "coalesce(nullif(ip, ''), user) as source", "1 + by_ip + by_user - by_both as attempts"
+        )
+        .where(f"source <> '' and attempts >= {threshold}")
         .distinct()
-        .withColumn("item", F.format_string("%s: %d failed attempts", "source", "attempts"))
+        .selectExpr("source", "attempts", "concat(source, ': ', attempts, ' failed attempts') as item")
     )
 
 
@@ -56,18 +53,19 @@ def trailing_counts(rows: DataFrame, keys: list[str], seconds: int) -> DataFrame
     """
     block = max(DAY, seconds)
     per_second = (
-        rows.where(F.col("event_ts").isNotNull())
-        .groupBy(*keys, times.epoch_second(F.col("event_ts")).alias("second"))
+        rows.where("event_ts is not null")
+        .selectExpr(*keys, "unix_timestamp(event_ts) as second")
+        .groupBy(*keys, "second")
         .agg(F.count("*").alias("n"))
     )
-    own = F.floor(F.col("second") / block)
-    reaches_next = F.pmod(F.col("second"), F.lit(block)) >= block - seconds
-    blocks = F.when(reaches_next, F.array(own, own + 1)).otherwise(F.array(own))
+    own = f"floor(second / {block})"
+    reaches_next = f"pmod(second, {block}) >= {block - seconds}"
+    blocks = f"explode(if({reaches_next}, array({own}, {own} + 1), array({own}))) as _block"
     frame = Window.partitionBy(*keys, "_block").orderBy("second").rangeBetween(-seconds, 0)
     return (
-        per_second.withColumn("_block", F.explode(blocks))
+        per_second.selectExpr("*", blocks)
         .withColumn("in_window", F.sum("n").over(frame))
-        .where(F.col("_block") == own)
+        .where(f"_block = {own}")
         .drop("_block")
     )
 
@@ -80,21 +78,18 @@ def failed_login_bursts_windowed(
     One row per source: the highest count of any window, the second the threshold
     was first met, and the number of failed logins at which it was met.
     """
-    rows = failed_logins(events).select(source_of().alias("source"), "event_ts")
-    counts = trailing_counts(rows.where(F.col("source") != ""), ["source"], minutes * 60)
+    rows = failed_logins(events).selectExpr(f"{SOURCE} as source", "event_ts")
+    counts = trailing_counts(rows.where("source <> ''"), ["source"], minutes * 60)
     return (
-        counts.where(F.col("in_window") >= threshold)
+        counts.where(f"in_window >= {threshold}")
         .groupBy("source")
         .agg(
             F.max("in_window").alias("peak"),
             F.min("second").alias("first_second"),
             F.sum("n").alias("attempts_over"),
         )
-        .select(
-            "source",
-            "peak",
-            times.clock(F.timestamp_seconds("first_second")).alias("first_at"),
-            "attempts_over",
+        .selectExpr(
+            "source", "peak", f"{times.clock_of_second('first_second')} as first_at", "attempts_over"
         )
     )
 
@@ -107,29 +102,27 @@ def attack_sessions(events: DataFrame, gap_minutes: int = 10) -> DataFrame:
     order per source.
     """
     gap = gap_minutes * 60
-    second = times.epoch_second(F.col("event_ts"))
     slots = (
         failed_logins(events)
-        .select(source_of().alias("source"), second.alias("second"))
-        .where((F.col("source") != "") & F.col("second").isNotNull())
-        .groupBy("source", F.floor(F.col("second") / gap).alias("slot"))
+        .selectExpr(f"{SOURCE} as source", "unix_timestamp(event_ts) as second")
+        .where("source <> '' and second is not null")
+        .selectExpr("source", "second", f"floor(second / {gap}) as slot")
+        .groupBy("source", "slot")
         .agg(F.min("second").alias("first"), F.max("second").alias("last"),
              F.count("*").alias("n"))
     )
     by_time = Window.partitionBy("source").orderBy("slot")
-    starts = (
-        F.col("first") - F.lag("last").over(by_time) >= gap
-    ) | F.lag("last").over(by_time).isNull()
     return (
-        slots.withColumn("starts", starts.cast("int"))
+        slots.withColumn("before", F.lag("last").over(by_time))
+        .selectExpr("*", f"int(before is null or first - before >= {gap}) as starts")
         .withColumn("session", F.sum("starts").over(by_time))
         .groupBy("source", "session")
         .agg(F.min("first").alias("first"), F.max("last").alias("last"),
              F.sum("n").alias("attempts"))
-        .select(
+        .selectExpr(
             "source",
-            times.clock(F.timestamp_seconds("first")).alias("started_at"),
-            times.clock(F.timestamp_seconds("last")).alias("last_at"),
+            f"{times.clock_of_second('first')} as started_at",
+            f"{times.clock_of_second('last')} as last_at",
             "attempts",
         )
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.pin import pin
-from ..functions.text import blank_to_null, event_text, has_any, null_to_blank, present, shorten
+from ..functions.text import EVENT_TEXT, has_any, present, q
 from .detections import failed_logins, type_has
 
 # campaign -> word in the event type
@@ -22,7 +22,7 @@ def brute_force_campaigns(events: DataFrame) -> DataFrame:
     """Failed logins per source address."""
     return (
         failed_logins(events)
-        .where(present(F.col("source_ip")))
+        .where(present("source_ip"))
         .groupBy("source_ip")
         .agg(F.count("*").alias("attempts"))
     )
@@ -30,34 +30,26 @@ def brute_force_campaigns(events: DataFrame) -> DataFrame:
 
 def listed_campaigns(events: DataFrame, first: int = 10) -> DataFrame:
     """The first rows, in input order, of the campaigns named by the event type."""
-    tags = [F.when(type_has(word), F.lit(name)) for name, word in _LISTED.items()]
+    tags = ", ".join(f"case when {type_has(word)} then {q(name)} end" for name, word in _LISTED.items())
     order = Window.partitionBy("campaign").orderBy("seq")
     return (
-        events.withColumn("campaign", F.explode(F.array_compact(F.array(*tags))))
+        events.selectExpr("*", f"explode(array_compact(array({tags}))) as campaign")
         .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= first)
-        .select("campaign", "position", "timestamp", "source_ip", "user", "event_type",
-                shorten(event_text(), 80).alias("message"))
+        .where(f"position <= {first}")
+        .selectExpr("campaign", "position", "timestamp", "source_ip", "user", "event_type",
+                    f"left({EVENT_TEXT}, 80) as message")
     )
 
 
 def correlate(events: DataFrame, first: int = 10) -> DataFrame:
     """All campaigns in one table: (campaign, key, attempts, position, timestamp, message)."""
-    brute = brute_force_campaigns(events).select(
-        F.lit("brute_force_campaigns").alias("campaign"),
-        F.col("source_ip").alias("key"),
-        F.col("attempts"),
-        F.lit(None).cast("int").alias("position"),
-        F.lit(None).cast("string").alias("timestamp"),
-        F.lit(None).cast("string").alias("message"),
+    brute = brute_force_campaigns(events).selectExpr(
+        "'brute_force_campaigns' as campaign", "source_ip as key", "attempts",
+        "cast(null as int) as position", "cast(null as string) as timestamp",
+        "cast(null as string) as message",
     )
-    listed = listed_campaigns(events, first).select(
-        "campaign",
-        null_to_blank(F.col("source_ip")).alias("key"),
-        F.lit(1).cast("bigint").alias("attempts"),
-        "position",
-        "timestamp",
-        "message",
+    listed = listed_campaigns(events, first).selectExpr(
+        "campaign", "coalesce(source_ip, '') as key", "1L as attempts", "position", "timestamp", "message"
     )
     return brute.unionByName(listed)
 
@@ -75,32 +67,30 @@ def port_scan_campaigns(
     address after a colon.  Duplicates fall away per (scanner, window, target)
     before the counts meet, so a single busy scanner is spread over its targets.
     """
-    text = pin(events, "_text", F.lower(event_text()))
-    scans = text.where(type_has("scan") | has_any(F.col("_text"), ("port scan",)))
-    low = F.col("_text")
 
-    def pick(pattern: str, fallback: str):
-        return F.coalesce(
-            blank_to_null(F.regexp_extract(low, pattern, 1)), null_to_blank(F.col(fallback))
+    def pick(words: str, fallback: str) -> str:
+        found = f"regexp_extract(_low, {q(rf'(?:{words})\s+{_HOST}')}, 1)"
+        return f"coalesce(nullif({found}, ''), {fallback}, '')"
+
+    text = pin(events, _low=f"lower({EVENT_TEXT})")
+    probes = (
+        text.where(f"{type_has('scan')} or {has_any('_low', ('port scan',))}")
+        .selectExpr(
+            f"window(event_ts, '{minutes} minutes').start as started",
+            f"{pick('from|src', 'source_ip')} as scanner",
+            f"nullif({pick('to|dst', 'destination_ip')}, '') as host",
+            f"nullif(regexp_extract(_low, {q(r'(?:\d{1,3}\.){3}\d{1,3}:(\d+)')}, 1), '') as port",
         )
-
-    probes = scans.select(
-        F.window("event_ts", f"{minutes} minutes").start.alias("started"),
-        pick(rf"(?:from|src)\s+{_HOST}", "source_ip").alias("scanner"),
-        pick(rf"(?:to|dst)\s+{_HOST}", "destination_ip").alias("host"),
-        blank_to_null(F.regexp_extract(low, r"(?:\d{1,3}\.){3}\d{1,3}:(\d+)", 1)).alias("port"),
-    ).where(present(F.col("scanner")))
-    targets = (
-        probes.groupBy("scanner", "started", "host", "port").agg(F.count("*").alias("n"))
+        .where("scanner <> ''")
     )
+    targets = probes.groupBy("scanner", "started", "host", "port").agg(F.count("*").alias("n"))
     return (
         targets.groupBy("scanner", "started")
         .agg(
-            F.count_distinct(blank_to_null(F.col("host"))).alias("hosts"),
+            F.count_distinct("host").alias("hosts"),
             F.count_distinct("port").alias("ports"),
             F.sum("n").alias("probes"),
         )
-        .where(F.greatest("hosts", "ports") >= min_targets)
-        .select("scanner", times.clock(F.col("started")).alias("started_at"), "hosts", "ports",
-                "probes")
+        .where(f"greatest(hosts, ports) >= {min_targets}")
+        .selectExpr("scanner", f"{times.clock('started')} as started_at", "hosts", "ports", "probes")
     )

@@ -2,110 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from .. import fixed
 from ..functions import network
 from ..functions.pin import pin
-from ..functions.text import event_text, has_any, joined_text, null_to_blank, present, shorten
+from ..functions.text import EVENT_TEXT, JOINED_TEXT, has_any, present, q
+
+_TYPE = "lower(coalesce(event_type, ''))"
+_HEAD = 60  # characters of the message shown in an item
 
 
-def type_has(*words: str) -> Column:
-    return has_any(F.lower(null_to_blank(F.col("event_type"))), words)
+def type_has(*words: str) -> str:
+    return has_any(_TYPE, words)
 
 
-def is_failed_login() -> Column:
-    return type_has("fail")
+FAILED_LOGIN = type_has("fail")
 
 
 def failed_logins(events: DataFrame) -> DataFrame:
-    return events.where(is_failed_login())
+    return events.where(FAILED_LOGIN)
 
 
 def auth_failures(events: DataFrame) -> DataFrame:
     """Events whose text speaks of a failure, an invalid name or a denial."""
-    text = pin(events, "_text", F.lower(event_text()))
-    return text.where(has_any(F.col("_text"), fixed.AUTH_FAILURE_WORDS)).drop("_text")
+    text = pin(events, _text=f"lower({EVENT_TEXT})")
+    return text.where(has_any("_text", fixed.AUTH_FAILURE_WORDS)).drop("_text")
 
 
 def new_accounts(events: DataFrame) -> DataFrame:
-    rows = events.where(F.col("event_type").isin(*fixed.NEW_ACCOUNT_TYPES))
-    item = F.concat(
-        F.coalesce("user", F.lit("unknown")), F.lit(" created on "), null_to_blank(F.col("timestamp"))
+    types = ", ".join(q(t) for t in fixed.NEW_ACCOUNT_TYPES)
+    return events.where(f"event_type in ({types})").selectExpr(
+        "seq", "timestamp", "user",
+        "concat(coalesce(user, 'unknown'), ' created on ', coalesce(timestamp, '')) as item",
     )
-    return rows.select("seq", "timestamp", "user", item.alias("item"))
 
 
 def suspicious_ips(events: DataFrame) -> DataFrame:
     """Distinct addresses from suspicious ranges with their label."""
-    labelled = events.select("source_ip", network.suspicious_origin(F.col("source_ip")).alias("origin"))
     return (
-        labelled.where(F.col("origin").isNotNull())
+        events.selectExpr("source_ip", f"{network.suspicious_origin('source_ip')} as origin")
+        .where("origin is not null")
         .distinct()
-        .withColumn("item", F.format_string("%s (%s)", "source_ip", "origin"))
+        .selectExpr("source_ip", "origin", "concat(source_ip, ' (', origin, ')') as item")
     )
 
 
 def _by_words(events: DataFrame, words: tuple) -> DataFrame:
     type_words, text_words = words
-    text = pin(events, "_msg", event_text())
-    low = pin(text, "_low", F.lower(F.col("_msg")))
-    return low.where(type_has(*type_words) | has_any(F.col("_low"), text_words))
-
-
-def _item(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("item")
-
-
-def _or_mark(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit("?"))
-
-
-_HEAD = 60  # characters of the message shown in an item
+    text = pin(events, _msg=EVENT_TEXT, _low="lower(_msg)")
+    return text.where(f"{type_has(*type_words)} or {has_any('_low', text_words)}")
 
 
 def privilege_escalation(events: DataFrame) -> DataFrame:
-    return _by_words(events, fixed.PRIVILEGE_WORDS).select(
+    return _by_words(events, fixed.PRIVILEGE_WORDS).selectExpr(
         "seq", "timestamp", "user",
-        _item(_or_mark("timestamp"), " - ", _or_mark("user"), " - ", shorten(F.col("_msg"), _HEAD)),
+        f"concat(coalesce(timestamp, '?'), ' - ', coalesce(user, '?'), ' - ', left(_msg, {_HEAD})) as item",
     )
 
 
 def lateral_movement(events: DataFrame) -> DataFrame:
-    return _by_words(events, fixed.LATERAL_WORDS).select(
+    return _by_words(events, fixed.LATERAL_WORDS).selectExpr(
         "seq", "timestamp", "source_ip",
-        _item(_or_mark("timestamp"), " - ", _or_mark("source_ip"), " -> ", shorten(F.col("_msg"), _HEAD)),
+        f"concat(coalesce(timestamp, '?'), ' - ', coalesce(source_ip, '?'), ' -> ', left(_msg, {_HEAD})) as item",
     )
 
 
 def data_exfiltration(events: DataFrame) -> DataFrame:
-    return _by_words(events, fixed.EXFIL_WORDS).select(
+    return _by_words(events, fixed.EXFIL_WORDS).selectExpr(
         "seq", "timestamp", "source_ip",
-        _item(_or_mark("timestamp"), " - ", null_to_blank(F.col("source_ip")), " - ",
-              shorten(F.col("_msg"), _HEAD)),
+        f"concat(coalesce(timestamp, '?'), ' - ', coalesce(source_ip, ''), ' - ', left(_msg, {_HEAD})) as item",
     )
 
 
 def attack_phases(events: DataFrame) -> DataFrame:
     """Events per attack phase; an event counts in every phase it has a word of."""
-    low = pin(
-        events,
-        "_low",
-        F.struct(
-            F.lower(joined_text()).alias("text"),
-            F.lower(null_to_blank(F.col("event_type"))).alias("type"),
-        ),
-    )
-    hits = [
-        F.when(has_any(F.col("_low.text"), words) | has_any(F.col("_low.type"), words),
-               F.struct(F.lit(i).alias("position"), F.lit(phase).alias("phase")))
+    low = pin(events, _low=f"lower({JOINED_TEXT})", _type=_TYPE)
+    hits = ", ".join(
+        f"case when {has_any('_low', words)} or {has_any('_type', words)} "
+        f"then struct({i} as position, {q(phase)} as phase) end"
         for i, (phase, words) in enumerate(fixed.PHASE_WORDS.items(), start=1)
-    ]
+    )
     return (
-        low.select(F.explode(F.array_compact(F.array(*hits))).alias("p"))
-        .groupBy(F.col("p.position").alias("position"), F.col("p.phase").alias("phase"))
-        .agg(F.count("*").alias("events"))
+        low.selectExpr(f"explode(array_compact(array({hits}))) as p")
+        .selectExpr("p.position", "p.phase")
+        .groupBy("position", "phase")
+        .count()
+        .withColumnRenamed("count", "events")
         .orderBy("position")
     )
 
@@ -113,8 +96,10 @@ def attack_phases(events: DataFrame) -> DataFrame:
 def geo_distribution(events: DataFrame) -> DataFrame:
     """Events per coarse origin of the source address, most frequent first."""
     return (
-        events.where(present(F.col("source_ip")))
-        .groupBy(network.geo_class(F.col("source_ip")).alias("origin"))
-        .agg(F.count("*").alias("events"))
-        .orderBy(F.desc("events"), "origin")
+        events.where(present("source_ip"))
+        .selectExpr(f"{network.geo_class('source_ip')} as origin")
+        .groupBy("origin")
+        .count()
+        .withColumnRenamed("count", "events")
+        .orderBy("events", "origin", ascending=[False, True])
     )

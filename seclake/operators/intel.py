@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.network import by_prefix
-from ..functions.text import blank_to_null, present
+from ..functions.pin import pin
+from ..functions.text import first_case, present, q
+from ..schema import VERDICT
 from ..session import materialize
 from .joins import lookup_join
 
 
 def source_ips(events: DataFrame) -> DataFrame:
     """Distinct non-empty source addresses."""
-    return events.where(present(F.col("source_ip"))).select(F.col("source_ip").alias("ip")).distinct()
+    return events.where(present("source_ip")).selectExpr("source_ip as ip").distinct()
 
 
 # --- prefix tables ----------------------------------------------------------
@@ -26,12 +28,9 @@ def prefix_lookup(ips: DataFrame, table: DataFrame) -> DataFrame:
     match its own leading octets: an equality join instead of a comparison with
     every prefix.  Addresses without a match stay, with NULLs.
     """
-    octets = F.split("ip", r"\.")
-    leading = [
-        F.concat(F.array_join(F.slice(octets, 1, n), "."), F.lit(".")) for n in (1, 2, 3)
-    ]
+    leading = ", ".join(f"concat(substring_index(ip, '.', {n}), '.')" for n in (1, 2, 3))
     payload = [c for c in table.columns if c not in ("prefix", "priority")]
-    candidates = ips.select("ip", F.explode(F.array(*leading, F.col("ip"))).alias("prefix"))
+    candidates = ips.selectExpr("ip", f"explode(array({leading}, ip)) as prefix")
     hits = lookup_join(candidates, table, "prefix")
     return (
         hits.groupBy("ip")
@@ -42,99 +41,118 @@ def prefix_lookup(ips: DataFrame, table: DataFrame) -> DataFrame:
 
 def intel_lookup(events: DataFrame) -> DataFrame:
     """Local table entry per source address; unknown ones read ``unknown`` / ``info``."""
-    ip = F.col("ip")
 
-    def part(index: int, default: str) -> Column:
-        return F.coalesce(by_prefix(ip, fixed.LOCAL_INTEL, lambda e: e[index]), F.lit(default))
+    def part(index: int, default: str) -> str:
+        return by_prefix("ip", fixed.LOCAL_INTEL, lambda e: e[index], q(default))
 
-    return source_ips(events).select(
-        "ip",
-        part(0, "unknown").alias("type"),
-        part(1, "info").alias("severity"),
-        part(2, "unknown").alias("reputation"),
+    return source_ips(events).selectExpr(
+        "ip", f"{part(0, 'unknown')} as type", f"{part(1, 'info')} as severity",
+        f"{part(2, 'unknown')} as reputation",
     )
 
 
 # --- provider payloads ------------------------------------------------------
 
+# How each provider's payload maps to the common shape; fields left out keep their
+# default.  Paths are read from the payload as a VARIANT ``v``.
+def _get(path: str, kind: str) -> str:
+    return f"try_variant_get(v, '{path}', '{kind}')"
+
+
+def _text(path: str) -> str:
+    return f"coalesce({_get(path, 'string')}, '')"
+
+
+def _number(path: str) -> str:
+    return f"coalesce({_get(path, 'int')}, 0)"
+
+
+def _flag(path: str) -> str:
+    return f"coalesce({_get(path, 'boolean')}, false)"
+
+
+def _items(path: str) -> str:
+    return f"coalesce({_get(path, 'array<string>')}, cast(array() as array<string>))"
+
+
+_VT, _AB = "$.data.attributes", "$.data"
+_MALICIOUS = _number(f"{_VT}.last_analysis_stats.malicious")
+_SUSPICIOUS = _number(f"{_VT}.last_analysis_stats.suspicious")
+_ANALYSED = _get(f"{_VT}.last_analysis_date", "string")
+# A whitelist flag which is null is neither true nor false.
+_NOT_LISTED = (
+    f"({_get(_AB + '.isWhitelisted', 'variant')} is null or coalesce(not {_get(_AB + '.isWhitelisted', 'boolean')}, false))"
+)
+_PULSES = _number("$.pulse_info.count")
+_PULSE_NAMES = (
+    f"transform(slice(coalesce({_get('$.pulse_info.pulses', 'array<variant>')}, cast(array() as array<variant>)), 1, 5), "
+    "p -> coalesce(try_variant_get(p, '$.name', 'string'), ''))"
+)
+_TOPICS = f"slice(array_distinct(map_values({_get('$.categories', 'map<string,string>')})), 1, 5)"
+_TAGS = _items("$.tags")
+
+_MAPPINGS = {
+    "VirusTotal": {
+        "is_malicious": f"{_MALICIOUS} > 0 or {_SUSPICIOUS} > 0",
+        "confidence": f"least({_MALICIOUS} * 10 + {_SUSPICIOUS} * 5, 100)",
+        "country": _text(f"{_VT}.country"),
+        "country_code": _text(f"{_VT}.country"),
+        "isp": _text(f"{_VT}.network"),
+        "last_reported": f"coalesce(nullif({_ANALYSED}, '0'), '')",
+        "tags": _items(f"{_VT}.tags"),
+    },
+    "AbuseIPDB": {
+        "is_malicious": f"{_NOT_LISTED} and {_number(_AB + '.totalReports')} > 0",
+        "confidence": _number(f"{_AB}.confidenceScore"),
+        "country": _text(f"{_AB}.countryName"),
+        "country_code": _text(f"{_AB}.countryCode"),
+        "isp": _text(f"{_AB}.isp"),
+        "is_tor": _flag(f"{_AB}.isTor"),
+        "is_proxy": _flag(f"{_AB}.isProxy"),
+        "is_vpn": _flag(f"{_AB}.isVpn"),
+        "is_datacenter": _flag(f"{_AB}.isDatacenter"),
+        "abuse_score": _number(f"{_AB}.abuseConfidenceScore"),
+        "report_count": _number(f"{_AB}.totalReports"),
+        "last_reported": _text(f"{_AB}.lastReportedAt"),
+        "categories": f"slice({_items(_AB + '.reports')}, 1, 5)",
+    },
+    "AlienVaultOTX": {
+        "is_malicious": f"{_PULSES} > 0",
+        "confidence": f"least({_PULSES} * 10, 100)",
+        "country": _text("$.country_code"),
+        "country_code": _text("$.country_code"),
+        "categories": f"coalesce({_TOPICS}, cast(array() as array<string>))",
+        "tags": _PULSE_NAMES,
+    },
+    "Shodan": {
+        "country": _text("$.country_name"),
+        "country_code": _text("$.country_code"),
+        "isp": _text("$.isp"),
+        "is_vpn": f"array_contains({_TAGS}, 'vpn')",
+        "is_datacenter": f"array_contains({_TAGS}, 'datacenter')",
+        "tags": _TAGS,
+    },
+}
+_DEFAULTS = {"boolean": "false", "int": "0", "string": "''", "array<string>": "cast(array() as array<string>)"}
+
+
 def normalize_verdicts(feed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Provider payloads ``(ip, provider, payload JSON)`` in the common verdict shape.
 
     A payload which is no JSON gives an empty verdict.  Reports become their JSON text.
     """
-    v = F.col("_v")
-    parsed = feed.select("ip", "provider", *keep, F.try_parse_json("payload").alias("_v"))
-
-    def get(path: str, kind: str) -> Column:
-        return F.try_variant_get(v, path, kind)
-
-    def text(path: str) -> Column:
-        return F.coalesce(get(path, "string"), F.lit(""))
-
-    def number(path: str) -> Column:
-        return F.coalesce(get(path, "int"), F.lit(0))
-
-    def flag(path: str) -> Column:
-        return F.coalesce(get(path, "boolean"), F.lit(False))
-
-    def items(path: str) -> Column:
-        return F.coalesce(get(path, "array<string>"), F.array().cast("array<string>"))
-
-    no, blank, none = F.lit(False), F.lit(""), F.array().cast("array<string>")
-
-    # VirusTotal
-    vt = "$.data.attributes"
-    malicious = number(f"{vt}.last_analysis_stats.malicious")
-    suspicious = number(f"{vt}.last_analysis_stats.suspicious")
-    analysed = get(f"{vt}.last_analysis_date", "string")
-    # AbuseIPDB; a whitelist flag which is null is neither true nor false.
-    ab = "$.data"
-    whitelist = F.try_variant_get(v, f"{ab}.isWhitelisted", "variant")
-    not_listed = whitelist.isNull() | F.coalesce(~get(f"{ab}.isWhitelisted", "boolean"), no)
-    reports = number(f"{ab}.totalReports")
-    # AlienVault OTX
-    pulses = number("$.pulse_info.count")
-    pulse_items = F.coalesce(get("$.pulse_info.pulses", "array<variant>"), F.array().cast("array<variant>"))
-    pulse_names = F.transform(
-        F.slice(pulse_items, 1, 5), lambda p: F.coalesce(F.try_variant_get(p, "$.name", "string"), F.lit(""))
-    )
-    topics = F.slice(F.array_distinct(F.map_values(get("$.categories", "map<string,string>"))), 1, 5)
-    # Shodan
-    shodan_tags = items("$.tags")
-
-    def pick(vt_value: Column, abuse: Column, otx: Column, shodan: Column, default: Column) -> Column:
-        p = F.col("provider")
-        return (
-            F.when(p == "VirusTotal", vt_value).when(p == "AbuseIPDB", abuse)
-            .when(p == "AlienVaultOTX", otx).when(p == "Shodan", shodan).otherwise(default)
-        )
 
-    zero = F.lit(0)
-    return parsed.select(
-        "ip",
-        "provider",
-        *keep,
-        pick((malicious > 0) | (suspicious > 0), not_listed & (reports > 0), pulses > 0, no, no)
-        .alias("is_malicious"),
-        pick(F.least(malicious * 10 + suspicious * 5, F.lit(100)), number(f"{ab}.confidenceScore"),
-             F.least(pulses * 10, F.lit(100)), zero, zero).alias("confidence"),
-        pick(text(f"{vt}.country"), text(f"{ab}.countryName"), text("$.country_code"),
-             text("$.country_name"), blank).alias("country"),
-        pick(text(f"{vt}.country"), text(f"{ab}.countryCode"), text("$.country_code"),
-             text("$.country_code"), blank).alias("country_code"),
-        pick(text(f"{vt}.network"), text(f"{ab}.isp"), blank, text("$.isp"), blank).alias("isp"),
-        pick(no, flag(f"{ab}.isTor"), no, no, no).alias("is_tor"),
-        pick(no, flag(f"{ab}.isProxy"), no, no, no).alias("is_proxy"),
-        pick(no, flag(f"{ab}.isVpn"), no, F.array_contains(shodan_tags, "vpn"), no).alias("is_vpn"),
-        pick(no, flag(f"{ab}.isDatacenter"), no, F.array_contains(shodan_tags, "datacenter"), no)
-        .alias("is_datacenter"),
-        pick(zero, number(f"{ab}.abuseConfidenceScore"), zero, zero, zero).alias("abuse_score"),
-        pick(zero, reports, zero, zero, zero).alias("report_count"),
-        pick(F.when(analysed != "0", analysed).otherwise(blank), text(f"{ab}.lastReportedAt"),
-             blank, blank, blank).alias("last_reported"),
-        pick(none, F.slice(items(f"{ab}.reports"), 1, 5), F.coalesce(topics, none), none, none)
-        .alias("categories"),
-        pick(items(f"{vt}.tags"), none, pulse_names, shodan_tags, none).alias("tags"),
+    def field(name: str, kind: str) -> str:
+        arms = [
+            (f"provider = {q(provider)}", mapping[name])
+            for provider, mapping in _MAPPINGS.items() if name in mapping
+        ]
+        return f"{first_case(arms, _DEFAULTS[kind])} as {name}"
+
+    parsed = pin(feed, v="try_parse_json(payload)")
+    own = [f for f in VERDICT.fields if f.name not in ("ip", "provider")]
+    return parsed.selectExpr(
+        "ip", "provider", *keep, *[field(f.name, f.dataType.simpleString()) for f in own]
     )
 
 
@@ -148,17 +166,17 @@ def latest_verdicts(verdicts: DataFrame, order: str) -> DataFrame:
     )
 
 
-def _priority() -> Column:
-    """Providers in their fixed order, any others after them by name."""
-    place = F.array_position(F.array(*[F.lit(p) for p in fixed.PROVIDERS]), F.col("provider"))
-    return F.struct(F.when(place > 0, place).otherwise(F.lit(len(fixed.PROVIDERS) + 1)), F.col("provider"))
-
-
+# Providers in their fixed order, any others after them by name.
+_PLACE = (
+    "struct(coalesce(nullif(array_position(array("
+    + ", ".join(q(p) for p in fixed.PROVIDERS)
+    + f"), provider), 0), {len(fixed.PROVIDERS) + 1}) as place, provider as name)"
+)
 _FLAGS = ("is_tor", "is_proxy", "is_vpn", "is_datacenter")
 
 
-def _local(index: int) -> Column:
-    return by_prefix(F.col("ip"), fixed.FALLBACK_INTEL, lambda e: e[index])
+def _local(index: int) -> str:
+    return by_prefix("ip", fixed.FALLBACK_INTEL, lambda e: e[index])
 
 
 def aggregate_verdicts(ips: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -168,70 +186,65 @@ def aggregate_verdicts(ips: DataFrame, verdicts: DataFrame) -> DataFrame:
     Votes, best confidence and flags are combined; country and operator come from
     the first provider which knows them.  A bad local prefix adds a vote.
     """
-    place = _priority()
-    has_country, has_isp = present(F.col("country")), present(F.col("isp"))
+    first_country = f"min_by(struct(country, country_code), if({present('country')}, {_PLACE}, null))"
     combined = verdicts.groupBy("ip").agg(
-        F.sum(F.col("is_malicious").cast("int")).alias("_votes"),
-        F.greatest(F.max("confidence"), F.lit(0)).alias("_confidence"),
-        F.min_by(F.struct("country", "country_code"), F.when(has_country, place)).alias("_country"),
-        F.min_by("isp", F.when(has_isp, place)).alias("_isp"),
-        *[F.bool_or(flag).alias(flag) for flag in _FLAGS],
-        # As many rows as there are providers.
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col("provider").alias("name")))),
-            lambda s: s["name"],
-        ).alias("_queried"),
+        F.expr("count_if(is_malicious) as _votes"),
+        F.expr("greatest(max(confidence), 0) as _confidence"),
+        F.expr(f"{first_country} as _country"),
+        F.expr(f"min_by(isp, if({present('isp')}, {_PLACE}, null)) as _isp"),
+        *[F.expr(f"bool_or({flag}) as {flag}") for flag in _FLAGS],
+        # As many entries as there are providers.
+        F.expr(f"transform(array_sort(collect_list({_PLACE})), s -> s.name) as _queried"),
     )
-    joined = ips.join(combined, "ip", "left")
-    bad = F.coalesce(_local(1).isin("malicious", "suspicious"), F.lit(False))
-    votes = F.coalesce("_votes", F.lit(0)) + bad.cast("int")
-    queried = F.coalesce("_queried", F.array().cast("array<string>"))
-    country = F.coalesce("_country.country", F.lit(""))
-    return joined.select(
-        "ip",
-        queried.alias("providers_queried"),
-        F.array_except(F.array(*[F.lit(p) for p in fixed.PROVIDERS]), queried).alias("providers_available"),
-        (votes > 0).alias("is_malicious"),
-        votes.cast("bigint").alias("malicious_votes"),
-        F.coalesce("_confidence", F.lit(0)).alias("max_confidence"),
-        F.struct(
-            F.coalesce(blank_to_null(country), _local(2), F.lit("")).alias("country"),
-            F.coalesce("_country.country_code", F.lit("")).alias("country_code"),
-            F.coalesce("_isp", F.lit("")).alias("isp"),
-            *[F.coalesce(flag, F.lit(False)).alias(flag) for flag in _FLAGS],
-        ).alias("aggregated"),
+    providers = "array(" + ", ".join(q(p) for p in fixed.PROVIDERS) + ")"
+    flags = ", ".join(f"coalesce({flag}, false) as {flag}" for flag in _FLAGS)
+    return (
+        ips.join(combined, "ip", "left")
+        .selectExpr(
+            "*",
+            "coalesce(_queried, cast(array() as array<string>)) as providers_queried",
+            f"coalesce(_votes, 0) + if({_local(1)} in ('malicious', 'suspicious'), 1, 0) as malicious_votes",
+        )
+        .selectExpr(
+            "ip",
+            "providers_queried",
+            f"array_except({providers}, providers_queried) as providers_available",
+            "malicious_votes > 0 as is_malicious",
+            "malicious_votes",
+            "coalesce(_confidence, 0) as max_confidence",
+            f"struct(coalesce(nullif(_country.country, ''), {_local(2)}, '') as country, "
+            "coalesce(_country.country_code, '') as country_code, "
+            f"coalesce(_isp, '') as isp, {flags}) as aggregated",
+        )
     )
 
 
 def with_details(aggregated: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Add the single verdicts, in provider order, as an array (one entry per provider)."""
-    columns = [c for c in verdicts.columns if c != "ip"]
+    columns = ", ".join(c for c in verdicts.columns if c != "ip")
+    entries = f"collect_list(struct({_PLACE} as p, struct({columns}) as v))"
     details = verdicts.groupBy("ip").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(_priority().alias("p"), F.struct(*columns).alias("v")))),
-            lambda s: s["v"],
-        ).alias("details")
+        F.expr(f"transform(array_sort({entries}), s -> s.v) as details")
     )
     return aggregated.join(details, "ip", "left")
 
 
 def ip_reputation(aggregated: DataFrame) -> DataFrame:
     """Reputation word per address: the local table first, then the combined verdict."""
-    local = F.when(
-        _local(1) == "malicious",
-        F.when(_local(0).contains("Tor"), F.lit("tor_exit_node")).otherwise(F.lit("malicious")),
-    ).otherwise(_local(1))
-    ladder = (
-        F.when(F.col("malicious_votes") >= 2, "malicious")
-        .when(F.col("malicious_votes") == 1, "suspicious")
-        .when(F.col("max_confidence") >= 50, "concerning")
-        .when(F.col("aggregated.is_tor"), "tor_exit_node")
-        .when(F.col("aggregated.is_vpn"), "vpn")
-        .when(F.col("aggregated.is_proxy"), "proxy")
-        .when(F.col("aggregated.is_datacenter"), "datacenter")
-        .otherwise("clean")
+    local = (
+        f"case when {_local(1)} = 'malicious' then if(contains({_local(0)}, 'Tor'), 'tor_exit_node', 'malicious') "
+        f"else {_local(1)} end"
     )
-    return aggregated.select("ip", F.coalesce(local, ladder).alias("reputation"))
+    ladder = first_case([
+        ("malicious_votes >= 2", "'malicious'"),
+        ("malicious_votes = 1", "'suspicious'"),
+        ("max_confidence >= 50", "'concerning'"),
+        ("aggregated.is_tor", "'tor_exit_node'"),
+        ("aggregated.is_vpn", "'vpn'"),
+        ("aggregated.is_proxy", "'proxy'"),
+        ("aggregated.is_datacenter", "'datacenter'"),
+    ], "'clean'")
+    return aggregated.selectExpr("ip", f"coalesce({local}, {ladder}) as reputation")
 
 
 def enrich_ips(events: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
@@ -241,25 +254,16 @@ def enrich_ips(events: DataFrame, verdicts: DataFrame | None = None) -> DataFram
     """
     ips = source_ips(events)
     if verdicts is None:
-        verdicts = _no_verdicts(events)
+        verdicts = events.sparkSession.createDataFrame([], VERDICT)
     return aggregate_verdicts(ips, verdicts)
 
 
-def _no_verdicts(events: DataFrame) -> DataFrame:
-    from ..schema import VERDICT
-
-    return events.sparkSession.createDataFrame([], VERDICT)
-
-
 def enrich_events(events: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Events with the verdict on their source address."""
     table = materialize(
-        enrich_ips(events, verdicts).select(
-            F.col("ip").alias("source_ip"),
-            "is_malicious",
-            "malicious_votes",
-            "max_confidence",
-            F.col("aggregated.country").alias("country"),
+        enrich_ips(events, verdicts).selectExpr(
+            "ip as source_ip", "is_malicious", "malicious_votes", "max_confidence",
+            "aggregated.country as country",
         ),
         "enriched-ips",
     )

@@ -35,12 +35,23 @@ def order_blocks(df: DataFrame, seq: str = "seq") -> tuple[Column, Column]:
 
 
 def count_ahead(
-    df: DataFrame, keys: list[str], out: str, seq: str = "seq", later: bool = True
+    df: DataFrame,
+    keys: list[str],
+    out: str,
+    seq: str = "seq",
+    later: bool = True,
+    rows_known: int | None = None,
 ) -> DataFrame:
     """Add ``out``: number of rows with the same keys and a later (earlier) order value.
 
-    Keys must not be NULL.  With an empty key list all rows form one group.
+    Keys must not be NULL.  With an empty key list all rows form one group.  A table
+    known to hold no more rows than a block (``rows_known``) needs no blocks: no key
+    can exceed the size of a sort group then.
     """
+    if rows_known is not None and rows_known <= 1 << BLOCK_BITS:
+        order = F.col(seq).desc() if later else F.col(seq).asc()
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+        return df.withColumn(out, (rank - 1).cast("bigint"))
     block, super_block = order_blocks(df, seq)
     rows = df.withColumn("_block", block).withColumn("_super", super_block)
 
@@ -61,26 +72,24 @@ def count_ahead(
 
     blocks = rows.groupBy(*keys, "_super", "_block").agg(F.count("*").alias("_n"))
     supers = blocks.groupBy(*keys, "_super").agg(F.sum("_n").alias("_m"))
-    supers = supers.select(
-        *keys, "_super", F.coalesce(F.sum("_m").over(top), F.lit(0)).alias("_outside")
-    )
+    supers = supers.withColumn("_outside", F.sum("_m").over(top)).drop("_m")
     blocks = (
-        blocks.withColumn("_inside", F.coalesce(F.sum("_n").over(in_super), F.lit(0)))
+        blocks.withColumn("_inside", F.sum("_n").over(in_super))
         .join(supers, [*keys, "_super"])
-        .select(*keys, "_super", "_block", (F.col("_inside") + F.col("_outside")).alias("_offset"))
+        .selectExpr(*keys, "_super", "_block", "coalesce(_inside, 0) + coalesce(_outside, 0) as _offset")
     )
     return (
-        rows.withColumn("_rank", F.row_number().over(in_block) - 1)
+        rows.withColumn("_rank", F.row_number().over(in_block))
         .join(blocks, [*keys, "_super", "_block"])
-        .withColumn(out, F.col("_rank") + F.col("_offset"))
-        .select(*df.columns, out)
+        .selectExpr(*df.columns, f"_rank - 1 + _offset as {out}")
     )
 
 
-def order_value_at(df: DataFrame, position: Column, seq: str = "seq") -> DataFrame:
+def order_value_at(df: DataFrame, position: str, seq: str = "seq") -> DataFrame:
     """One row, one column ``cut``: the order value of the row at a 1-based position.
 
-    ``position`` may use ``n``, the number of rows.  NULL when there is no such row.
+    ``position`` is an expression over ``n``, the number of rows.  NULL when there is
+    no such row.
     """
     block, _ = order_blocks(df, seq)
     rows = df.select(F.col(seq).alias("_seq"), block.alias("_block"))
@@ -93,14 +102,13 @@ def order_value_at(df: DataFrame, position: Column, seq: str = "seq") -> DataFra
     target = (
         blocks.withColumn("_end", F.sum("_n").over(running))
         .withColumn("n", F.sum("_n").over(everything))
-        .withColumn("_position", position)
-        .where((F.col("_position") <= F.col("_end"))
-               & (F.col("_position") > F.col("_end") - F.col("_n")))
-        .select("_block", (F.col("_position") - F.col("_end") + F.col("_n")).alias("_in_block"))
+        .selectExpr("*", f"{position} as _position")
+        .where("_position <= _end and _position > _end - _n")
+        .selectExpr("_block", "_position - _end + _n as _in_block")
     )
     return (
         rows.join(F.broadcast(target), "_block")  # one row at most
         .withColumn("_rank", F.row_number().over(Window.orderBy("_seq")))
-        .where(F.col("_rank") == F.col("_in_block"))
+        .where("_rank = _in_block")
         .agg(F.max("_seq").alias("cut"))
     )

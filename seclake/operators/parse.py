@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats, severity, times
 
 from ..functions.parsers import LineParser, default_parsers
 from ..functions.pin import pin
+from ..functions.text import first_case, q
 from ..schema import EVENT_FIELDS
 from ..session import materialize
 
@@ -17,56 +18,48 @@ BROADCAST_FILES = 50_000
 SALTS = 64
 
 
-def _fields(
-    lines: DataFrame, parsers: dict[str, LineParser], year: Column | int | None
-) -> DataFrame:
+def _fields(lines: DataFrame, parsers: dict[str, LineParser], year: int | str | None) -> DataFrame:
     """Add all event fields to lines which have a ``format`` column."""
-    helpers = [
-        F.when(F.col("format") == name, parser.helper(F.col("line"))).alias(name)
-        for name, parser in parsers.items()
-        if parser.helper is not None
-    ]
-    prepared = pin(lines, "_help", F.struct(*helpers)) if helpers else lines
-    by_format = {
-        name: parser.fields(F.col("line"), F.col(f"_help.{name}") if parser.helper else F.lit(None))
-        for name, parser in parsers.items()
-    }
-
-    def field(name: str) -> Column:
-        chain = None
-        for fmt, fields in by_format.items():
-            if name in fields:
-                start = F if chain is None else chain
-                chain = start.when(F.col("format") == fmt, fields[name])
-        return F.lit(None).cast("string") if chain is None else chain
+    helpers, prepared = [], lines
+    for name, parser in parsers.items():
+        if parser.column_helper is not None:
+            made = F.when(F.col("format") == name, parser.column_helper(F.col("line")))
+            prepared = prepared.withColumn(f"_own_{name}", made)
+        elif parser.helper is not None:
+            helpers.append(f"case when format = {q(name)} then {parser.helper('line')} end as {name}")
+    if helpers:
+        prepared = pin(prepared, _help=f"struct({', '.join(helpers)})")
+
+    def helper_name(name: str) -> str:
+        return f"_own_{name}" if parsers[name].column_helper is not None else f"_help.{name}"
+
+    by_format = {name: parser.fields("line", helper_name(name)) for name, parser in parsers.items()}
+
+    def field(name: str) -> str:
+        arms = [(f"format = {q(fmt)}", fields[name]) for fmt, fields in by_format.items() if name in fields]
+        return first_case(arms) if arms else "cast(null as string)"
 
     # Every job asks for the event type: it tells whether the line is an event at all.
-    typed = pin(prepared, "event_type", field("event_type"))
-    parsed = typed.select(
-        *lines.columns,
-        *[(F.col(n) if n == "event_type" else field(n).alias(n)) for n in EVENT_FIELDS],
+    typed = pin(prepared, event_type=field("event_type"))
+    parsed = typed.selectExpr(
+        *lines.columns, *[n if n == "event_type" else f"{field(n)} as {n}" for n in EVENT_FIELDS]
     )
-    return parsed.withColumn("event_ts", times.event_time(F.col("timestamp"), year))
+    return parsed.selectExpr("*", f"{times.event_time('timestamp', year)} as event_ts")
 
 
 def _events(parsed: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     keep = [c for c in ("file", "seq") if c in parsed.columns]
-    return parsed.where(F.col("event_type").isNotNull()).select(
+    return parsed.where("event_type is not null").select(
         *keep, *extra, "format", "event_ts", *EVENT_FIELDS
     )
 
 
-def line_format(parsers: dict[str, LineParser] | None = None) -> Column:
-    """Detected format, limited to formats there is a parser for."""
-    detected = formats.detect_format(F.col("line"))
-    if parsers is None:
-        return detected
-    return F.when(detected.isin(*parsers), detected)
+_DETECTED = formats.detect_format("line")
 
 
 def parse_lines(
     lines: DataFrame,
-    year: Column | int | None = None,
+    year: int | str | None = None,
     parsers: dict[str, LineParser] | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -76,14 +69,14 @@ def parse_lines(
     left out (see ``rejects``).  ``keep`` names extra input columns to carry along.
     """
     parsers = parsers or default_parsers()
-    formatted = pin(lines, "format", F.coalesce(line_format(), F.lit("syslog")))
+    formatted = pin(lines, format=f"coalesce({_DETECTED}, 'syslog')")
     return _events(_fields(formatted, parsers, year), keep)
 
 
 def file_formats(lines: DataFrame) -> DataFrame:
     """Format of the first recognised line per file (files without one are absent)."""
     return (
-        pin(lines, "format", line_format())
+        pin(lines, format=_DETECTED)
         .where(F.col("format").isNotNull())
         .groupBy("file")
         .agg(F.min_by("format", "seq").alias("file_format"))
@@ -92,7 +85,7 @@ def file_formats(lines: DataFrame) -> DataFrame:
 
 def with_file_format(lines: DataFrame) -> DataFrame:
     """Add ``format``: the line's own format, else the one its file starts with."""
-    own = pin(lines, "format", line_format())
+    own = pin(lines, format=_DETECTED)
     by_file = materialize(file_formats(lines), "file-formats")
     small = by_file.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
     if small:
@@ -117,7 +110,7 @@ def with_file_format(lines: DataFrame) -> DataFrame:
 def parse_logs(
     lines: DataFrame,
     format: str = "auto",
-    year: Column | int | None = None,
+    year: int | str | None = None,
     parsers: dict[str, LineParser] | None = None,
 ) -> DataFrame:
     """Parse whole files: one given format, or ``auto`` with the per-file fallback."""
@@ -147,14 +140,13 @@ def _formatted(lines: DataFrame, format: str, parsers: dict[str, LineParser]) ->
 
 def score(events: DataFrame) -> DataFrame:
     """Add the ``severity`` column."""
-    text = pin(events, "_text", severity.severity_text())
-    return pin(text, "severity", severity.severity_of(F.col("_text"))).drop("_text")
+    return pin(events, _text=severity.SEVERITY_TEXT, severity=severity.severity_of("_text")).drop("_text")
 
 
 def format_counts(lines: DataFrame) -> DataFrame:
     """Lines per detected format."""
     return (
-        lines.select(F.coalesce(line_format(), F.lit("none")).alias("format"))
+        lines.selectExpr(f"coalesce({_DETECTED}, 'none') as format")
         .groupBy("format")
         .agg(F.count("*").alias("n"))
     )

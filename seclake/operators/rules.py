@@ -7,15 +7,16 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.network import starts_with_any
 from ..functions.pin import pin
-from ..functions.text import any_of, event_text, is_plain, null_to_blank
+from ..functions.text import EVENT_TEXT, first_case, is_plain, q
 from ..schema import RULE
-from .bursts import source_of, trailing_counts
+from ..session import literal_table
+from .bursts import SOURCE, trailing_counts
 
 
 @dataclass(frozen=True)
@@ -73,8 +74,6 @@ def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
 def valid_regex(spark: SparkSession, pattern: str) -> bool:
     """Whether the regex engine which will run the pattern accepts it."""
     try:
-        spark.range(1).select(F.lit("").rlike(pattern)).schema  # analysis only
-        re.compile(pattern)
         spark._jvm.java.util.regex.Pattern.compile(pattern)
     except Exception:
         return False
@@ -85,39 +84,35 @@ def quoted(pattern: str) -> str:
     return re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", pattern)
 
 
-def _predicate(rule: Rule, spark: SparkSession) -> Column:
+def _predicate(rule: Rule, spark: SparkSession) -> str:
     """Match condition over the pinned columns ``_low`` (text), ``_type`` and ``source_ip``."""
     if rule.condition == "source_ip_starts_with":
-        return starts_with_any(F.col("source_ip"), fixed.SUSPICIOUS_PREFIXES)
+        return starts_with_any("source_ip", fixed.SUSPICIOUS_PREFIXES)
     if rule.condition == "ip_is_tor":
-        return starts_with_any(F.col("source_ip"), (fixed.TOR_PREFIX,))
+        return starts_with_any("source_ip", (fixed.TOR_PREFIX,))
     plain = [p.lower() for p in rule.patterns if is_plain(p)]
     regexes = []
     for pattern in rule.patterns:
         if not is_plain(pattern):
             regexes.append(pattern if valid_regex(spark, pattern) else quoted(pattern))
-    tests = [c.contains(p) for p in plain for c in (F.col("_low"), F.col("_type"))]
+    tests = [f"contains({c}, {q(p)})" for p in plain for c in ("_low", "_type")]
     if regexes:
-        either = "(?i)" + "|".join(f"(?:{p})" for p in regexes)
-        tests += [F.col("_low").rlike(either), F.col("_type").rlike(either)]
-    return any_of(tests)
+        either = q("(?i)" + "|".join(f"(?:{p})" for p in regexes))
+        tests += [f"rlike(_low, {either})", f"rlike(_type, {either})"]
+    return " or ".join(tests) or "false"
 
 
 def rule_hits(events: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per (enabled rule, matching event): ``position`` of the rule, ``seq``, ``keep``."""
     spark = events.sparkSession
-    text = pin(events, "_low", F.lower(event_text()))
-    typed = pin(text, "_type", F.lower(null_to_blank(F.col("event_type"))))
+    text = pin(events, _low=f"lower({EVENT_TEXT})", _type="lower(coalesce(event_type, ''))")
     tests = [
-        F.when(_predicate(rule, spark), F.lit(position))
+        f"case when {_predicate(rule, spark)} then {position} end"
         for position, rule in enumerate(rules)
         if rule.enabled
     ]
-    if not tests:
-        tests = [F.lit(None).cast("int")]
-    return typed.select(
-        F.explode(F.array_compact(F.array(*tests))).alias("position"), "seq", *keep
-    )
+    matched = f"array_compact(array({', '.join(tests) or 'cast(null as int)'}))"
+    return text.selectExpr(f"explode({matched}) as position", "seq", *keep)
 
 
 def enforce(hits: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -136,9 +131,7 @@ def enforce(hits: DataFrame, rules: list[Rule]) -> DataFrame:
     for window in sorted({r.time_window for r in rules if r.threshold > 1}):
         wanted = {i: r.threshold for i, r in enumerate(rules)
                   if r.threshold > 1 and r.time_window == window}
-        threshold = F.lit(None)
-        for position, value in wanted.items():
-            threshold = F.when(F.col("position") == position, F.lit(value)).otherwise(threshold)
+        threshold = first_case((f"position = {i}", str(value)) for i, value in wanted.items())
         mine = hits.where(F.col("position").isin(list(wanted)))
         if window > 0:
             counted = trailing_counts(mine, ["position", "source"], window)
@@ -147,7 +140,7 @@ def enforce(hits: DataFrame, rules: list[Rule]) -> DataFrame:
                 mine.groupBy("position", "source").agg(F.count("*").alias("n"))
                 .withColumn("in_window", F.col("n"))
             )
-        parts.append(counted.where(F.col("in_window") >= threshold).select("position", "n"))
+        parts.append(counted.where(f"in_window >= {threshold}").select("position", "n"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -167,18 +160,19 @@ def run_rules(
     first matches are attached (0 leaves them out and saves the second scan).
     """
     rules = builtin_rules() if rules is None else rules
-    spark = events.sparkSession
+    if not rules:
+        raise ValueError("no rules given")
     if thresholds:
-        hits = rule_hits(events.withColumn("source", source_of()), rules, ("source", "event_ts"))
+        hits = rule_hits(events.selectExpr("*", f"{SOURCE} as source"), rules, ("source", "event_ts"))
         counts = enforce(hits, rules).groupBy("position").agg(F.sum("n").alias("count"))
     else:
         counts = rule_hits(events, rules).groupBy("position").agg(F.count("*").alias("count"))
 
-    table = spark.createDataFrame(
-        [(i, r.id, r.name, r.severity, r.rank, r.mitre_tactic, r.mitre_technique)
+    table = literal_table(
+        events.sparkSession,
+        "position, rank, rule_id, rule_name, severity, mitre_tactic, mitre_technique",
+        [f"({i}, {r.rank}, {', '.join(q(str(t)) for t in (r.id, r.name, r.severity, r.mitre_tactic, r.mitre_technique))})"
          for i, r in enumerate(rules)],
-        "position INT, rule_id STRING, rule_name STRING, severity STRING, rank INT, "
-        "mitre_tactic STRING, mitre_technique STRING",
     )
     result = counts.join(F.broadcast(table), "position")  # rules are driver-side configuration
     if samples:
@@ -186,7 +180,7 @@ def run_rules(
         first = (
             rule_hits(events, rules, _SAMPLE)
             .withColumn("_n", F.row_number().over(order))
-            .where(F.col("_n") <= samples)
+            .where(f"_n <= {samples}")
             .groupBy("position")
             .agg(F.array_sort(F.collect_list(F.struct("_n", "seq", *_SAMPLE))).alias("_s"))
             .select("position", F.transform("_s", lambda s: s.dropFields("_n")).alias("sample_records"))

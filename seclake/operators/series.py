@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordering import count_ahead
 
 LEVELS = 8
@@ -15,26 +16,23 @@ def levels(series: DataFrame, order: str, value: str, width: int = 50) -> DataFr
 
     Point i of a longer series is its value at position floor(i * n / width).
     """
-    indexed = count_ahead(
-        series.select(F.col(order).cast("bigint").alias("_order"), F.col(value).alias("value")),
-        [], "position", seq="_order", later=False,
+    stored = materialize(
+        series.selectExpr(f"cast({order} as bigint) as _order", f"{value} as value"), "series"
     )
-    total = F.lit(series.agg(F.count("*").alias("n")).scalar())
-    step = total / F.lit(float(width))
-    points = (
-        series.sparkSession.range(width)
-        .select(F.col("id").cast("int").alias("point"))
-        .withColumn("position", F.floor(F.col("point") * step))
+    n = stored.count()
+    indexed = count_ahead(stored, [], "position", seq="_order", later=False, rows_known=n)
+    points = series.sparkSession.range(width).selectExpr(
+        "cast(id as int) as point", f"floor(id * ({n} / {float(width)}D)) as position"
     )
-    short = total <= width
-    chosen = (
+    return (
         indexed.join(F.broadcast(points), "position", "left")  # ``width`` rows
-        .withColumn("point", F.when(short, F.col("position").cast("int")).otherwise(F.col("point")))
-        .where(F.col("point").isNotNull() & (short | (F.col("point") < width)))
+        .selectExpr("value", "cast(position as int) as point" if n <= width else "point")
+        .where("point is not null")
         .dropDuplicates(["point"])
+        # at most ``width`` rows
+        .selectExpr("point", "value", "min(value) over () as low", "max(value) over () as high")
+        .selectExpr(
+            "point", "value",
+            f"cast(floor((value - low) / if(high = low, 1, high - low) * {LEVELS}) as int) as level",
+        )
     )
-    everything = Window.partitionBy()  # at most ``width`` rows
-    low, high = F.min("value").over(everything), F.max("value").over(everything)
-    span = F.when(high == low, F.lit(1)).otherwise(high - low)
-    level = F.floor((F.col("value") - low) / span * LEVELS)
-    return chosen.select("point", "value", level.cast("int").alias("level"))

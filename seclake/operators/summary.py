@@ -2,71 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import times
 from ..functions.severity import mitre_text, stored_severity
-from ..functions.text import blank_to_null, null_to_blank, present, shorten
+from ..functions.text import present, q
+from ..session import literal_table
 
 
-def bar_length(value: Column, largest: Column, width: int) -> Column:
+def bar_length(value: str, largest: str, width: int) -> str:
     """Length of a bar for ``value`` when ``largest`` fills ``width``."""
-    share = F.try_divide(value.cast("double"), largest.cast("double")) * F.lit(width)
-    return F.coalesce(F.floor(share), F.lit(0)).cast("bigint")
+    share = f"try_divide(cast({value} as double), cast({largest} as double)) * {width}"
+    return f"cast(coalesce(floor({share}), 0) as bigint)"
 
 
 def overview(events: DataFrame) -> DataFrame:
     """Number of events, distinct users and distinct source addresses."""
-    return events.agg(
-        F.count("*").alias("total_events"),
-        F.count_distinct(blank_to_null(F.col("source_ip"))).alias("unique_ips"),
-        F.count_distinct(blank_to_null(F.col("user"))).alias("unique_users"),
+    return events.selectExpr(
+        "count(*) as total_events",
+        "count(distinct nullif(source_ip, '')) as unique_ips",
+        "count(distinct nullif(user, '')) as unique_users",
     )
 
 
 def distinct_values(events: DataFrame, column: str) -> DataFrame:
     """Distinct non-empty values of a column, with their event counts."""
     return (
-        events.where(present(F.col(column)))
-        .groupBy(F.col(column).alias("value"))
+        events.where(present(column))
+        .selectExpr(f"{column} as value")
+        .groupBy("value")
         .agg(F.count("*").alias("events"))
     )
 
 
 def event_summary(events: DataFrame) -> DataFrame:
-    return (
-        events.where(present(F.col("event_type")))
-        .groupBy("event_type")
-        .agg(F.count("*").alias("events"))
-    )
+    return distinct_values(events, "event_type").withColumnRenamed("value", "event_type")
 
 
 def severity_counts(scored: DataFrame) -> DataFrame:
     """Total and events per level in one row, levels without events being 0."""
-    return scored.agg(
-        F.count("*").alias("total_events"),
-        *[F.count_if(F.col("severity") == level).alias(level) for level in fixed.SEVERITIES],
+    return scored.selectExpr(
+        "count(*) as total_events",
+        *[f"count_if(severity = {q(level)}) as {level}" for level in fixed.SEVERITIES],
     )
 
 
 def severity_distribution(events: DataFrame, width: int = 40) -> DataFrame:
     """Events and percentage per level, from the stored severity; other names are ignored."""
-    spark = events.sparkSession
-    levels = spark.createDataFrame(
-        [(i, level) for i, level in enumerate(fixed.SEVERITIES)], "position INT, severity STRING"
+    levels = literal_table(
+        events.sparkSession, "position, severity", [f"({i}, {q(s)})" for i, s in enumerate(fixed.SEVERITIES)]
     )
     counts = (
-        events.groupBy(F.lower(stored_severity(events)).alias("severity"))
+        events.selectExpr(f"lower({stored_severity(events)}) as severity")
+        .groupBy("severity")
         .agg(F.count("*").alias("n"))
     )
-    total = F.sum("events").over(Window.partitionBy())  # five rows
     return (
         levels.join(counts, "severity", "left")
-        .select("position", "severity", F.coalesce("n", F.lit(0)).alias("events"))
-        .withColumn("percent", F.try_divide(F.col("events") * 100.0, total))
-        .withColumn("bar", bar_length(F.col("events"), total, width))
+        # five rows
+        .selectExpr("position", "severity", "coalesce(n, 0) as events", "sum(n) over () as total")
+        .selectExpr("position", "severity", "events",
+                    "try_divide(events * 100.0D, total) as percent",
+                    f"{bar_length('events', 'total', width)} as bar")
         .orderBy("position")
     )
 
@@ -74,18 +73,18 @@ def severity_distribution(events: DataFrame, width: int = 40) -> DataFrame:
 def hourly_timeline(events: DataFrame, width: int = 60) -> DataFrame:
     """Events per hour of day, all 24 hours; hours outside 0-23 only scale the bars."""
     counts = (
-        events.select(times.hour_of_last_token(F.col("timestamp")).alias("hour"))
-        .where(F.col("hour").isNotNull())
+        events.selectExpr(f"{times.hour_of_last_token('timestamp')} as hour")
+        .where("hour is not null")
         .groupBy("hour")
         .agg(F.count("*").alias("n"))
     )
-    hours = events.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    largest = F.max("events").over(Window.partitionBy())  # one row per hour
+    hours = events.sparkSession.range(24).selectExpr("cast(id as int) as hour")
     return (
         hours.join(counts, "hour", "full")
-        .select("hour", F.coalesce("n", F.lit(0)).alias("events"))
-        .withColumn("bar", bar_length(F.col("events"), largest, width))
-        .where(F.col("hour").between(0, 23))
+        # one row per hour
+        .selectExpr("hour", "coalesce(n, 0) as events", "max(n) over () as largest")
+        .selectExpr("hour", "events", f"{bar_length('events', 'largest', width)} as bar")
+        .where("hour between 0 and 23")
         .orderBy("hour")
     )
 
@@ -95,17 +94,18 @@ def top_values(
 ) -> DataFrame:
     """Most frequent non-empty values; among equals the one seen first comes first."""
     ranked = (
-        events.where(present(F.col(column)))
-        .groupBy(F.col(column).alias("value"))
+        events.where(present(column))
+        .selectExpr(f"{column} as value", "seq")
+        .groupBy("value")
         .agg(F.count("*").alias("events"), F.min("seq").alias("_first"))
         .orderBy(F.desc("events"), "_first")
         .limit(limit)
     )
-    largest = F.max("events").over(Window.partitionBy())  # at most ``limit`` rows
-    value = shorten(F.col("value"), label) if label else F.col("value")
     return (
-        ranked.withColumn("bar", bar_length(F.col("events"), largest, width))
-        .select(value.alias("value"), "events", "bar")
+        # at most ``limit`` rows
+        ranked.selectExpr("value", "events", "max(events) over () as largest")
+        .selectExpr(f"left(value, {label}) as value" if label else "value", "events",
+                    f"{bar_length('events', 'largest', width)} as bar")
     )
 
 
@@ -124,10 +124,9 @@ def top_event_types(events: DataFrame, limit: int = 15) -> DataFrame:
 def mitre_tactics(events: DataFrame) -> DataFrame:
     """Events per tactic code with its text, ``Unknown`` for codes without one."""
     return (
-        events.where(present(F.col("mitre_tactic")))
-        .groupBy("mitre_tactic")
-        .agg(F.count("*").alias("events"))
-        .withColumn("description", F.coalesce(mitre_text(F.col("mitre_tactic")), F.lit("Unknown")))
+        distinct_values(events, "mitre_tactic")
+        .selectExpr("value as mitre_tactic", "events",
+                    f"coalesce({mitre_text('value')}, 'Unknown') as description")
         .orderBy("mitre_tactic")
     )
 
@@ -135,33 +134,31 @@ def mitre_tactics(events: DataFrame) -> DataFrame:
 def mitre_samples(events: DataFrame, limit: int = 5) -> DataFrame:
     """The first tagged events as ``code: text``; events without a text are passed over."""
     # The code table is consulted only when the event has no technique field at all.
-    text = F.coalesce("mitre_technique", mitre_text(F.col("mitre_tactic")), F.lit(""))
+    text = f"coalesce(mitre_technique, {mitre_text('mitre_tactic')}, '')"
     return (
-        events.where(present(F.col("mitre_tactic")))
-        .select("seq", "mitre_tactic", text.alias("technique"))
-        .where(F.col("technique") != "")
+        events.where(present("mitre_tactic"))
+        .selectExpr("seq", "mitre_tactic", f"{text} as technique")
+        .where("technique <> ''")
         .orderBy("seq")
         .limit(limit)
-        .select("seq", F.concat("mitre_tactic", F.lit(": "), "technique").alias("sample"))
+        .selectExpr("seq", "concat(mitre_tactic, ': ', technique) as sample")
     )
 
 
 def events_per_minute(events: DataFrame) -> DataFrame:
     """Events per minute of event time (minutes without events are absent)."""
     return (
-        events.where(F.col("event_ts").isNotNull())
-        .groupBy(F.date_trunc("minute", "event_ts").alias("minute"))
+        events.where("event_ts is not null")
+        .selectExpr("date_trunc('minute', event_ts) as minute")
+        .groupBy("minute")
         .agg(F.count("*").alias("events"))
     )
 
 
 def display_view(events: DataFrame) -> DataFrame:
     """The six columns of the table view, details cut after 50 characters."""
-    raw = null_to_blank(F.col("raw_message"))
-    details = F.when(F.length(raw) > 50, F.concat(shorten(raw, 50), F.lit("..."))).otherwise(raw)
-    return events.select(
-        "seq",
-        *[null_to_blank(F.col(c)).alias(c)
-          for c in ("timestamp", "host", "user", "source_ip", "event_type")],
-        details.alias("details"),
+    shown = [f"coalesce({c}, '') as {c}" for c in ("timestamp", "host", "user", "source_ip", "event_type")]
+    cut = "if(length(_raw) > 50, concat(left(_raw, 50), '...'), _raw) as details"
+    return events.selectExpr("seq", *shown, "coalesce(raw_message, '') as _raw").selectExpr(
+        "seq", "timestamp", "host", "user", "source_ip", "event_type", cut
     )

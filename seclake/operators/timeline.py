@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.severity import severity_rank
-from ..functions.text import event_text, null_to_blank, shorten
+from ..functions.text import EVENT_TEXT
 from .parse import score
 
 
@@ -18,21 +17,20 @@ def timeline(events: DataFrame, order: str = "text") -> DataFrame:
     """
     if order not in ("text", "event_time"):
         raise ValueError("order must be 'text' or 'event_time'")
-    rows = timeline_rows(events)
-    return rows.orderBy("timestamp" if order == "text" else "event_ts", "seq")
+    return timeline_rows(events).orderBy("timestamp" if order == "text" else "event_ts", "seq")
 
 
 def timeline_rows(events: DataFrame) -> DataFrame:
-    return score(events).select(
+    return score(events).selectExpr(
         "seq",
         "event_ts",
-        null_to_blank(F.col("timestamp")).alias("timestamp"),
-        F.coalesce("host", F.lit("unknown")).alias("host"),
-        null_to_blank(F.col("source_ip")).alias("source_ip"),
-        null_to_blank(F.col("user")).alias("user"),
-        null_to_blank(F.col("event_type")).alias("event_type"),
+        "coalesce(timestamp, '') as timestamp",
+        "coalesce(host, 'unknown') as host",
+        "coalesce(source_ip, '') as source_ip",
+        "coalesce(user, '') as user",
+        "coalesce(event_type, '') as event_type",
         "severity",
-        shorten(event_text(), 100).alias("message"),
+        f"left({EVENT_TEXT}, 100) as message",
     )
 
 
@@ -40,7 +38,7 @@ def timeline_by_severity(events: DataFrame, limit: int = 20) -> DataFrame:
     """The first rows of the timeline, most severe level first."""
     return (
         timeline_rows(events)
-        .withColumn("rank", severity_rank(F.col("severity")))
+        .selectExpr("*", f"{severity_rank('severity')} as rank")
         .orderBy("rank", "timestamp", "seq")
         .limit(limit)
     )

@@ -225,7 +225,7 @@ _BUILTIN = [(r[0], r[1], r[3], r[8], r[9], _rule_test(r[4], r[5])) for r in fixe
 _CUSTOM = [
     ("R101", "Custom Brute Force", "high", "Credential Access", "T1110", _rule_test("", ["failed", "password"])),
     ("R102", "Session By Root", "low", "", "", _rule_test("", [r"user\d+5 by", r"\*bad\["])),
-    ("R012", "Without Id", "notice", "", "", _rule_test("", ["cron", "useradd"])),
+    ("R013", "Without Id", "notice", "", "", _rule_test("", ["cron", "useradd"])),
 ]
 
 
@@ -246,7 +246,8 @@ def _rules(table: str, rules) -> str:
     return f"""
     , h as ({_hits(table, rules)}),
     k as (select *, row_number() over (partition by pos order by seq) as rn from h)
-    select {_RULE_COLUMNS}, string_agg(seq::varchar, ',' order by seq) filter (rn <= 3) as samples from k group by all"""
+    select {_RULE_COLUMNS}, string_agg(seq::varchar, ',' order by seq) filter (rn <= 3) as samples from k
+    group by rule_id, rule_name, severity, mitre_tactic, mitre_technique"""
 
 
 def _thresholded() -> str:
@@ -256,7 +257,8 @@ def _thresholded() -> str:
         range between 43200 preceding and current row) as recent,
         count(*) over (partition by pos, source) as total from h)
     select {_RULE_COLUMNS} from k
-    where case rule_id when 'R001' then recent >= 2 when 'R007' then total >= 10 else true end group by all"""
+    where case rule_id when 'R001' then recent >= 2 when 'R007' then total >= 10 else true end
+    group by rule_id, rule_name, severity, mitre_tactic, mitre_technique"""
 
 
 # --- statistics -------------------------------------------------------------

@@ -85,8 +85,8 @@ _EVENT_COLUMNS = [c for c in EVENT_FIELDS if c != "message"]
 
 
 def _shown(parsed: DataFrame) -> DataFrame:
-    return parsed.withColumn("event_time", times.clock(F.col("event_ts"))).select(
-        "file", "seq", "format", "event_time", *_EVENT_COLUMNS
+    return parsed.selectExpr(
+        "file", "seq", "format", f"{times.clock('event_ts')} as event_time", *_EVENT_COLUMNS
     )
 
 
@@ -217,7 +217,8 @@ def attack_phases_cases(spark, d):
 def internal_sources(spark, d):
     return (
         events(spark, d)
-        .groupBy(network.is_internal(F.col("source_ip")).cast("int").alias("internal"))
+        .selectExpr(f"int({network.is_internal('source_ip')}) as internal")
+        .groupBy("internal")
         .agg(F.count("*").alias("events"))
     )
 
@@ -225,7 +226,7 @@ def internal_sources(spark, d):
 @query
 def events_per_minute(spark, d):
     counts = summary.events_per_minute(events(spark, d))
-    return counts.select(times.clock(F.col("minute")).alias("minute"), "events")
+    return counts.selectExpr(f"{times.clock('minute')} as minute", "events")
 
 
 @query
@@ -233,7 +234,7 @@ def activity_levels(spark, d):
     """Events per minute reduced to fifty points on nine levels."""
     counts = summary.events_per_minute(events(spark, d))
     return series.levels(
-        counts.select(times.epoch_second(F.col("minute")).alias("minute"), "events"), "minute", "events"
+        counts.selectExpr("unix_timestamp(minute) as minute", "events"), "minute", "events"
     )
 
 

@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import shorten
 from ..operators import bursts, correlate, detections, intel, summary, timeline
 from ..operators.parse import score
 from ..session import materialize
@@ -59,9 +58,9 @@ def incident_report(events: DataFrame) -> dict[str, DataFrame]:
         "threat_intel": intel.intel_lookup(stored).where(F.col("reputation") != "unknown"),
         "correlations": correlate.correlate(stored),
         "tactics": summary.mitre_tactics(stored),
-        "timeline": timeline.timeline(stored.drop("severity")).select(
-            "seq", "timestamp", F.upper("severity").alias("severity"), "event_type", "source_ip",
-            "user", shorten(F.col("message"), 50).alias("message")),
+        "timeline": timeline.timeline(stored.drop("severity")).selectExpr(
+            "seq", "timestamp", "upper(severity) as severity", "event_type", "source_ip", "user",
+            "left(message, 50) as message"),
     }
 
 

@@ -52,6 +52,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seclake/{name}-{uuid.uuid4().hex}"
 
 
+def literal_table(spark: SparkSession, columns: str, rows: list[str]) -> DataFrame:
+    """A small fixed table from SQL row texts such as ``(1, 'a')``.
+
+    Planned as a local relation, whose size the optimizer knows.
+    """
+    return spark.sql(f"select * from values {', '.join(rows)} as t({columns})")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 

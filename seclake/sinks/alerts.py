@@ -2,39 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.severity import severity_rank
-from ..functions.text import blank_to_null, event_text, lookup, null_to_blank, shorten
+from ..functions.text import EVENT_TEXT, lookup, q
 
 
-def passes(severity: Column, threshold: str = "low") -> Column:
+def passes(severity: str, threshold: str = "low") -> str:
     """Whether a severity reaches the threshold (an unknown threshold counts as low)."""
-    limit = fixed.SEVERITY_RANK.get(threshold, 3)
-    return severity_rank(F.lower(severity)) <= limit
+    return f"{severity_rank(f'lower({severity})')} <= {fixed.SEVERITY_RANK.get(threshold, 3)}"
 
 
 def severe_only(scored: DataFrame) -> DataFrame:
     """Events of the three upper levels, as the live views show them."""
-    return scored.where(F.col("severity").isin("critical", "high", "medium"))
+    return scored.where("severity in ('critical', 'high', 'medium')")
 
 
 def to_alerts(
     scored: DataFrame, threshold: str = "low", show_all: bool = False, length: int = 100
 ) -> DataFrame:
     """Alert rows of the scored events which reach the threshold."""
-    rows = scored if show_all else scored.where(passes(F.col("severity"), threshold))
-    now = F.date_format(F.current_timestamp(), "MMM dd HH:mm:ss")
+    rows = scored if show_all else scored.where(passes("severity", threshold))
     keep = [c for c in ("seq", "event_ts") if c in scored.columns]
-    return rows.select(
+    return rows.selectExpr(
         *keep,
-        F.coalesce(blank_to_null(F.col("timestamp")), now).alias("timestamp"),
-        F.upper("severity").alias("severity"),
-        null_to_blank(F.col("source_ip")).alias("source_ip"),
-        null_to_blank(F.col("user")).alias("user"),
-        shorten(event_text(), length).alias("message"),
+        "coalesce(nullif(timestamp, ''), date_format(current_timestamp(), 'MMM dd HH:mm:ss')) as timestamp",
+        "upper(severity) as severity",
+        "coalesce(source_ip, '') as source_ip",
+        "coalesce(user, '') as user",
+        f"left({EVENT_TEXT}, {length}) as message",
     )
 
 
@@ -48,13 +46,13 @@ def alert_summary(alerts: DataFrame) -> DataFrame:
     return (
         alerts.rollup("severity")
         .agg(F.count("*").alias("alerts"))
-        .select(F.coalesce("severity", F.lit("TOTAL")).alias("severity"), "alerts")
+        .selectExpr("coalesce(severity, 'TOTAL') as severity", "alerts")
     )
 
 
 def to_tickets(
     alerts: DataFrame,
-    title: Column | str = "Security alert",
+    title: str = "Security alert",
     tags: tuple[str, ...] = (),
     default_priority: str = "P3",
     service: str = "seclake",
@@ -65,26 +63,22 @@ def to_tickets(
     ``service`` is the first tag.  ``workflow=True`` adds source, category and an open
     status, as workflow systems want them.
     """
-    severity = F.lower("severity")
-    titled = F.lit(title) if isinstance(title, str) else title
-    labels = F.array_distinct(F.array(*[F.lit(t) for t in (service, *tags)]))
-    keep = ["seq"] if "seq" in alerts.columns else []
-    tickets = alerts.select(
-        *keep,
-        titled.alias("title"),
-        F.col("message").alias("description"),
-        F.upper("severity").alias("severity"),
-        F.coalesce(lookup(fixed.TICKET_PRIORITY, severity), F.lit(default_priority)).alias("priority"),
+    severity = "lower(severity)"
+    labels = ", ".join(q(t) for t in (service, *tags))
+    extra = [
+        f"{q(service)} as source",
+        f"coalesce({lookup(fixed.TICKET_CATEGORY, severity)}, {q(fixed.TICKET_CATEGORY_DEFAULT)}) as category",
+        "'open' as status",
+    ]
+    return alerts.selectExpr(
+        *(["seq"] if "seq" in alerts.columns else []),
+        f"{q(title)} as title",
+        "message as description",
+        "upper(severity) as severity",
+        f"coalesce({lookup(fixed.TICKET_PRIORITY, severity)}, {q(default_priority)}) as priority",
         "source_ip",
         "user",
-        labels.alias("tags"),
-        F.current_timestamp().alias("created_at"),
-    )
-    if not workflow:
-        return tickets
-    category = F.coalesce(
-        lookup(fixed.TICKET_CATEGORY, F.lower("severity")), F.lit(fixed.TICKET_CATEGORY_DEFAULT)
-    )
-    return tickets.select(
-        "*", F.lit(service).alias("source"), category.alias("category"), F.lit("open").alias("status")
+        f"array_distinct(array({labels})) as tags",
+        "current_timestamp() as created_at",
+        *(extra if workflow else []),
     )

@@ -4,49 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.severity import stored_severity
-from ..functions.text import event_text, null_to_blank
+from ..functions.text import EVENT_TEXT, q
 
 
 def to_siem_docs(events: DataFrame) -> DataFrame:
     """One document row per event, with dotted field names."""
 
-    def text(name: str, default: str = "") -> Column:
-        return F.coalesce(F.col(name), F.lit(default))
-
-    return events.select(
-        null_to_blank(F.col("timestamp")).alias("@timestamp"),
-        F.lit("event").alias("event.kind"),
-        F.lit("authentication").alias("event.category"),
-        text("event_type", "unknown").alias("event.type"),
-        stored_severity(events).alias("log.level"),
-        event_text().alias("message"),
-        text("source_ip").alias("source.ip"),
-        text("destination_ip").alias("destination.ip"),
-        text("user").alias("user.name"),
-        text("host").alias("host.name"),
-        text("host", "unknown").alias("log.source.name"),
-        text("mitre_tactic").alias("mitre_tactic"),
-        text("mitre_technique").alias("mitre_technique"),
+    def text(name: str, default: str = "") -> str:
+        return f"coalesce({name}, {q(default)})"
+
+    return events.selectExpr(
+        f"{text('timestamp')} as `@timestamp`",
+        "'event' as `event.kind`",
+        "'authentication' as `event.category`",
+        f"{text('event_type', 'unknown')} as `event.type`",
+        f"{stored_severity(events)} as `log.level`",
+        f"{EVENT_TEXT} as message",
+        f"{text('source_ip')} as `source.ip`",
+        f"{text('destination_ip')} as `destination.ip`",
+        f"{text('user')} as `user.name`",
+        f"{text('host')} as `host.name`",
+        f"{text('host', 'unknown')} as `log.source.name`",
+        f"{text('mitre_tactic')} as mitre_tactic",
+        f"{text('mitre_technique')} as mitre_technique",
     )
 
 
-def _doc(docs: DataFrame) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+def _doc(docs: DataFrame) -> str:
+    return "struct(" + ", ".join(f"`{c}`" for c in docs.columns) + ")"
 
 
 def to_docs(docs: DataFrame) -> DataFrame:
     """Each document as one JSON text."""
-    return docs.select(F.to_json(_doc(docs)).alias("value"))
+    return docs.selectExpr(f"to_json({_doc(docs)}) as value")
 
 
 def to_bulk_ndjson(docs: DataFrame, index: str = "security-logs") -> DataFrame:
     """Action line and document line per event, kept together in one value."""
-    action = F.to_json(F.struct(F.struct(F.lit(index).alias("_index")).alias("index")))
-    return docs.select(F.concat(action, F.lit("\n"), F.to_json(_doc(docs))).alias("value"))
+    action = f"to_json(struct(struct({q(index)} as _index) as index))"
+    return docs.selectExpr(f"concat({action}, '\\n', to_json({_doc(docs)})) as value")
 
 
 def to_hec(
@@ -56,16 +56,9 @@ def to_hec(
     sourcetype: str = "seclake:json",
 ) -> DataFrame:
     """Event collector payloads."""
-    return docs.select(
-        F.to_json(
-            F.struct(
-                _doc(docs).alias("event"),
-                F.col("`host.name`").alias("host"),
-                F.lit(index).alias("index"),
-                F.lit(source).alias("source"),
-                F.lit(sourcetype).alias("sourcetype"),
-            )
-        ).alias("value")
+    return docs.selectExpr(
+        f"to_json(struct({_doc(docs)} as event, `host.name` as host, {q(index)} as index, "
+        f"{q(source)} as source, {q(sourcetype)} as sourcetype)) as value"
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times
@@ -10,7 +10,7 @@ from ..schema import CASE, EVENT_FIELDS
 
 
 def read_cases(
-    spark: SparkSession, path: str | list[str], year: Column | int | None = None
+    spark: SparkSession, path: str | list[str], year: int | str | None = None
 ) -> DataFrame:
     """Case rows as events: text in ``message``, empty cells kept as empty strings."""
     raw = (
@@ -30,13 +30,10 @@ def read_cases(
     known = set(CASE.fieldNames())
     # An unquoted empty cell is read as NULL; in a case file it is an empty value.
     fields = [
-        (F.coalesce(F.col(name), F.lit("")) if name in known else F.lit(None).cast("string")).alias(name)
+        f"coalesce({name}, '') as {name}" if name in known else f"cast(null as string) as {name}"
         for name in EVENT_FIELDS
     ]
-    return raw.select(
-        F.col("_metadata.file_path").alias("file"),
-        order.alias("seq"),
-        F.lit("case").alias("format"),
-        times.event_time(F.col("timestamp"), year).alias("event_ts"),
-        *fields,
+    ordered = raw.select("*", F.col("_metadata.file_path").alias("file"), order.alias("seq"))
+    return ordered.selectExpr(
+        "file", "seq", "'case' as format", f"{times.event_time('timestamp', year)} as event_ts", *fields
     )

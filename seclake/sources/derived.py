@@ -7,59 +7,11 @@ that table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 YEAR = 2024
 FILES = 16
 
-_NETS = (
-    "185.220.101.", "91.121.45.", "10.0.0.", "192.168.1.",
-    "103.45.67.", "45.33.32.", "77.88.8.", "172.16.4.",
-)
-
-
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
-def log_lines(events: DataFrame) -> DataFrame:
-    """``file, seq, line``: one line per event, in event order."""
-    seq, uid, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    m7 = seq % 7
-    head = F.date_format("ts", "MMM dd HH:mm:ss")
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    net = F.element_at(F.array(*[F.lit(n) for n in _NETS]), (uid % 8 + 1).cast("int"))
-    ip = _text(net, uid % 200)
-    port = _text(" port ", 1024 + seq % 60000, " ssh2")
-    sshd = _text(head, " server01 sshd[", seq, "]: ")
-    api = F.when(m7 == 0, "CreateUser").when(m7 == 1, "AssumeRole").otherwise("DeleteBucket")
-    line = (
-        F.when((kind == "error") & (m7 == 0), _text(sshd, "Invalid user user", uid, " from ", ip, port))
-        .when(kind == "error", _text(sshd, "Failed password for user=user", uid, " from ", ip, port))
-        .when(kind == "click", _text(sshd, "Accepted password for user", uid, " from ", ip, port))
-        .when(kind == "view", _text(
-            head, " server01 CRON[", seq, "]: pam_unix(cron:session): session opened for user", uid,
-            " by (uid=0)"))
-        .when((kind == "signup") & (m7 < 3), _text(
-            '{"eventVersion":"1.08","eventTime":"', iso, '","eventName":"', api,
-            '","awsRegion":"us-east-1","eventSource":"iam.amazonaws.com","sourceIPAddress":"', ip,
-            '","userIdentity":{"type":"IAMUser","arn":"arn:aws:iam::1:user/user', uid,
-            '"},"requestParameters":{"userName":"u', uid, '"}}'))
-        .when(kind == "signup", _text(
-            head, " server02 useradd[", seq, "]: account created for user", uid,
-            " by root, password set"))
-        .when(m7 < 3, _text(
-            head, " fw01 kernel[TACTIC:T1046]: port scan src ", ip, " dst 10.9.8.", seq % 250))
-        .when(m7 < 5, _text(
-            head, " server03 sudo: user=user", uid, " COMMAND=/bin/cat /etc/shadow"))
-        .otherwise(_text(
-            head, " server03 net[TACTIC:T1048]: outbound connection exfil from ", ip,
-            " to 185.220.9.9"))
-    )
-    return events.select(_text("log-", seq % FILES).alias("file"), seq.alias("seq"), line.alias("line"))
-
-
 # The expressions below are plain SQL which other engines read as well, so the same
 # text can define the rows a result is checked against.
 
@@ -143,25 +95,60 @@ FEED_SQL = {
 }
 
 
+# Log lines: one per event.
+_SSHD = "' server01 sshd[' || cast(event_id as varchar(20)) || ']: '"
+_PORT = "' port ' || cast(1024 + event_id % 60000 as varchar(9)) || ' ssh2'"
+_HEAD = "date_format(ts, 'MMM dd HH:mm:ss')"
+_ISO = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+_API = "case event_id % 7 when 0 then 'CreateUser' when 1 then 'AssumeRole' else 'DeleteBucket' end"
+_LINE_SQL = f"""case
+  when event_type = 'error' and event_id % 7 = 0
+    then {_HEAD} || {_SSHD} || 'Invalid user ' || {_USER_SQL} || ' from ' || {IP_SQL} || {_PORT}
+  when event_type = 'error'
+    then {_HEAD} || {_SSHD} || 'Failed password for user=' || {_USER_SQL} || ' from ' || {IP_SQL} || {_PORT}
+  when event_type = 'click'
+    then {_HEAD} || {_SSHD} || 'Accepted password for ' || {_USER_SQL} || ' from ' || {IP_SQL} || {_PORT}
+  when event_type = 'view'
+    then {_HEAD} || ' server01 CRON[' || cast(event_id as varchar(20))
+      || ']: pam_unix(cron:session): session opened for ' || {_USER_SQL} || ' by (uid=0)'
+  when event_type = 'signup' and event_id % 7 < 3
+    then '{{"eventVersion":"1.08","eventTime":"' || {_ISO} || '","eventName":"' || {_API}
+      || '","awsRegion":"us-east-1","eventSource":"iam.amazonaws.com","sourceIPAddress":"' || {IP_SQL}
+      || '","userIdentity":{{"type":"IAMUser","arn":"arn:aws:iam::1:user/' || {_USER_SQL}
+      || '"}},"requestParameters":{{"userName":"u' || cast(user_id as varchar(20)) || '"}}}}'
+  when event_type = 'signup'
+    then {_HEAD} || ' server02 useradd[' || cast(event_id as varchar(20)) || ']: account created for '
+      || {_USER_SQL} || ' by root, password set'
+  when event_id % 7 < 3
+    then {_HEAD} || ' fw01 kernel[TACTIC:T1046]: port scan src ' || {IP_SQL} || ' dst 10.9.8.'
+      || cast(event_id % 250 as varchar(9))
+  when event_id % 7 < 5
+    then {_HEAD} || ' server03 sudo: user=' || {_USER_SQL} || ' COMMAND=/bin/cat /etc/shadow'
+  else {_HEAD} || ' server03 net[TACTIC:T1048]: outbound connection exfil from ' || {IP_SQL} || ' to 185.220.9.9'
+end"""
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    """``file, seq, line``: one line per event, in event order."""
+    return events.selectExpr(
+        f"'log-' || cast(event_id % {FILES} as varchar(9)) as file", "event_id as seq", f"{_LINE_SQL} as line"
+    )
+
+
 def case_rows(events: DataFrame) -> DataFrame:
     """Structured event rows (no raw message), one per event."""
     from ..functions.times import event_time
     from ..schema import EVENT_FIELDS
 
-    known = {name: F.expr(sql) for name, sql in CASE_SQL.items()}
-    known["timestamp"] = F.date_format("ts", "MMM dd HH:mm:ss")
-    rows = events.select(
-        F.col("event_id").alias("seq"),
-        *[known.get(n, F.lit(None).cast("string")).alias(n) for n in EVENT_FIELDS],
+    known = {**CASE_SQL, "timestamp": _HEAD}
+    rows = events.selectExpr(
+        "event_id as seq", *[f"{known.get(n, 'cast(null as string)')} as {n}" for n in EVENT_FIELDS]
     )
-    return rows.select(
-        "seq",
-        F.lit("case").alias("format"),
-        event_time(F.col("timestamp"), YEAR).alias("event_ts"),
-        *EVENT_FIELDS,
+    return rows.selectExpr(
+        "seq", "'case' as format", f"{event_time('timestamp', YEAR)} as event_ts", *EVENT_FIELDS
     )
 
 
 def intel_feed(events: DataFrame) -> DataFrame:
     """``seq, ip, provider, payload``: one provider answer per event."""
-    return events.select(*[F.expr(sql).alias(name) for name, sql in FEED_SQL.items()])
+    return events.selectExpr(*[f"{sql} as {name}" for name, sql in FEED_SQL.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -17,10 +17,8 @@ def _line_columns(df: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row_id"),
     )
     return df.select(
-        F.col("_metadata.file_path").alias("file"),
-        order.alias("seq"),
-        strip(F.col("value")).alias("line"),
-    ).where(F.col("line") != "")
+        F.col("_metadata.file_path").alias("file"), order.alias("seq"), F.expr(strip("value")).alias("line")
+    ).where("line <> ''")
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -49,9 +47,7 @@ def stream_lines(
             started_at = spark.range(1).select(F.current_timestamp().cast("string")).first()[0]
         start = F.to_timestamp(F.lit(started_at))
         raw = raw.where(F.col("_metadata.file_modification_time") >= start)
-    return raw.select(
-        F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("line")
-    ).where(F.col("line") != "")
+    return raw.selectExpr("_metadata.file_path as file", f"{strip('value')} as line").where("line <> ''")
 
 
 def message_lines(messages: DataFrame, value: str = "value", source: str | None = None) -> DataFrame:
@@ -59,11 +55,11 @@ def message_lines(messages: DataFrame, value: str = "value", source: str | None
 
     Bytes which are no UTF-8 are dropped; ``source`` names the sender column.
     """
-    body: Column = F.col(value)
+    body = value
     if dict(messages.dtypes)[value] == "binary":
-        # Undecodable bytes become U+FFFD, which is then removed.
-        body = F.regexp_replace(F.decode(F.col(value), "UTF-8"), "�", "")
-    sender = F.col(source).cast("string") if source else F.lit(None).cast("string")
-    return messages.select(
-        sender.alias("source_address"), strip(body).alias("line")
-    ).where(F.col("line") != "")
+        # Valid text stays as it is; undecodable bytes become U+FFFD, which is removed.
+        text = f"cast({value} as string)"
+        body = f"coalesce(try_validate_utf8({text}), replace(make_valid_utf8({text}), '\\uFFFD', ''))"
+    return messages.selectExpr(
+        f"cast({source or 'null'} as string) as source_address", f"{strip(body)} as line"
+    ).where("line <> ''")

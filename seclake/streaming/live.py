@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import times
-from ..operators.bursts import source_of
+from ..operators.bursts import SOURCE
 from ..operators.detections import failed_logins
 from ..operators.parse import parse_lines, score
 from ..session import scratch_path
@@ -22,14 +22,14 @@ from ..sinks.alerts import to_alerts
 
 
 def stream_events(
-    lines: DataFrame, year: Column | int | None = None, keep: tuple[str, ...] = ()
+    lines: DataFrame, year: int | str | None = None, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Parsed and scored events; lines without an event are left out."""
     return score(parse_lines(lines, year, keep=keep))
 
 
 def stream_alerts(
-    lines: DataFrame, threshold: str = "medium", year: Column | int | None = None
+    lines: DataFrame, threshold: str = "medium", year: int | str | None = None
 ) -> DataFrame:
     return to_alerts(stream_events(lines, year), threshold)
 
@@ -51,16 +51,16 @@ def stream_bursts(
     Counts are combined before the shuffle, so a busy source costs one row per
     window and task.
     """
-    failed = failed_logins(events).select("event_ts", source_of().alias("source"))
+    failed = failed_logins(events).selectExpr("event_ts", f"{SOURCE} as source")
     windows = F.window("event_ts", f"{minutes} minutes", f"{slide_minutes} minutes")
     return (
         failed.withWatermark("event_ts", delay)
-        .where(F.col("source") != "")
+        .where("source <> ''")
         .groupBy(windows.alias("w"), "source")
         .agg(F.count("*").alias("attempts"))
-        .where(F.col("attempts") >= threshold)
-        .select("source", times.clock(F.col("w.start")).alias("started_at"),
-                times.clock(F.col("w.end")).alias("ended_at"), "attempts")
+        .where(f"attempts >= {threshold}")
+        .selectExpr("source", f"{times.clock('w.start')} as started_at",
+                    f"{times.clock('w.end')} as ended_at", "attempts")
     )
 
 
@@ -68,15 +68,15 @@ def stream_sessions(
     events: DataFrame, gap_minutes: int = 10, delay: str = "10 minutes"
 ) -> DataFrame:
     """Runs of failed logins per source, ended by a pause."""
-    failed = failed_logins(events).select("event_ts", source_of().alias("source"))
+    failed = failed_logins(events).selectExpr("event_ts", f"{SOURCE} as source")
     session = F.session_window("event_ts", f"{gap_minutes} minutes")
     return (
         failed.withWatermark("event_ts", delay)
-        .where(F.col("source") != "")
+        .where("source <> ''")
         .groupBy(session.alias("w"), "source")
         .agg(F.count("*").alias("attempts"))
-        .select("source", times.clock(F.col("w.start")).alias("started_at"),
-                times.clock(F.col("w.end")).alias("ended_at"), "attempts")
+        .selectExpr("source", f"{times.clock('w.start')} as started_at",
+                    f"{times.clock('w.end')} as ended_at", "attempts")
     )
 
 
