@@ -131,25 +131,22 @@ _CLOUDTRAIL = (
 )
 
 
-def _cloudtrail_struct(line: str) -> str:
-    return f"case when {is_json_object(line)} then from_json({line}, {q(_CLOUDTRAIL)}) end"
+def _cloudtrail_values() -> Fields:
+    """Event fields from the parsed document ``d``."""
 
-
-def _cloudtrail_fields(_line: str, doc: str) -> Fields:
     def text(name: str) -> str:
-        return f"coalesce({doc}.{name}, '')"
+        return f"coalesce(d.{name}, '')"
 
     def request_part(key: str, label: str) -> str:
         """`` label=value`` when the key is present; a JSON null reads ``None``."""
-        request = f"{doc}.requestParameters"
-        value = f"coalesce(get_json_object({request}, '$.{key}'), 'None')"
-        has_key = f"array_contains(json_object_keys({request}), '{key}')"
+        value = f"coalesce(get_json_object(d.requestParameters, '$.{key}'), 'None')"
+        has_key = f"array_contains(json_object_keys(d.requestParameters), '{key}')"
         return f"if(coalesce({has_key}, false), concat(' {label}=', {value}), '')"
 
     name = text("eventName")
-    who = f"{doc}.userIdentity"
+    who = "d.userIdentity"
     arn_user = f"case when contains({who}.arn, 'arn:aws:iam::') then element_at(split({who}.arn, '/'), -1) end"
-    keys = f"json_object_keys({doc}.responseElements)"
+    keys = "json_object_keys(d.responseElements)"
     response = (
         f"if(coalesce(size({keys}), 0) > 0, concat(' -> [\\'', array_join({keys}, '\\', \\''), '\\']'), '')"
     )
@@ -160,17 +157,28 @@ def _cloudtrail_fields(_line: str, doc: str) -> Fields:
     )
     return {
         "timestamp": text("eventTime"),
-        "host": f"if({text('awsRegion')} <> '', concat('aws:', {doc}.awsRegion), 'aws')",
+        "host": f"if({text('awsRegion')} <> '', concat('aws:', d.awsRegion), 'aws')",
         "user": f"coalesce(nullif({who}.userName, ''), nullif({arn_user}, ''), nullif({who}.type, ''), 'unknown')",
         "source_ip": text("sourceIPAddress"),
         "destination_ip": "''",
-        "event_type": f"case when {doc} is not null then {category} end",
-        "process": f"coalesce(nullif({doc}.eventSource, ''), 'cloudtrail')",
+        "event_type": category,
+        "process": "coalesce(nullif(d.eventSource, ''), 'cloudtrail')",
         "raw_message": f"concat({name}, {request}, {response})",
         "mitre_tactic": f"coalesce({lookup(fixed.CLOUDTRAIL_MITRE, name)}, '')",
     }
 
 
+def _cloudtrail_event(line: str) -> str:
+    """Struct of the event fields, NULL when the line is no JSON object."""
+    values = ", ".join(f"{sql} as {name}" for name, sql in _cloudtrail_values().items())
+    documents = f"array(from_json({line}, {q(_CLOUDTRAIL)}))"
+    return f"case when {is_json_object(line)} then get(transform({documents}, d -> struct({values})), 0) end"
+
+
+def _cloudtrail_fields(_line: str, event: str) -> Fields:
+    return {name: f"{event}.{name}" for name in _cloudtrail_values()}
+
+
 # --- user parsers -----------------------------------------------------------
 
 def struct_parser(make: Callable[[Column], Column], names: tuple[str, ...]) -> LineParser:
@@ -185,5 +193,5 @@ def default_parsers(extended_user: bool = False) -> dict[str, LineParser]:
         "syslog": LineParser(_syslog_fields, _syslog_parts),
         "ssh": ssh_parser(extended_user),
         "auth": LineParser(_auth_fields, lambda line: f"lower({line})"),
-        "cloudtrail": LineParser(_cloudtrail_fields, _cloudtrail_struct),
+        "cloudtrail": LineParser(_cloudtrail_fields, _cloudtrail_event),
     }

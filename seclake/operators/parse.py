@@ -36,7 +36,11 @@ def _fields(lines: DataFrame, parsers: dict[str, LineParser], year: int | str |
     by_format = {name: parser.fields("line", helper_name(name)) for name, parser in parsers.items()}
 
     def field(name: str) -> str:
-        arms = [(f"format = {q(fmt)}", fields[name]) for fmt, fields in by_format.items() if name in fields]
+        same: dict[str, list[str]] = {}  # formats by their expression
+        for fmt, fields in by_format.items():
+            if name in fields:
+                same.setdefault(fields[name], []).append(q(fmt))
+        arms = [(f"format in ({', '.join(fmts)})", sql) for sql, fmts in same.items()]
         return first_case(arms) if arms else "cast(null as string)"
 
     # Every job asks for the event type: it tells whether the line is an event at all.

@@ -14,7 +14,9 @@ def build_session(app: str = "seclake", master: str | None = None, **conf: str)
     """A session with the settings the jobs are designed for.
 
     Adaptive execution coalesces small shuffle partitions and splits skewed join
-    partitions, so ``spark.sql.shuffle.partitions`` may be set generously.
+    partitions, so ``spark.sql.shuffle.partitions`` may be set generously.  The JVM
+    never compiles methods of more than 8000 bytes; stages beyond that limit run
+    faster as separate, smaller methods.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -23,6 +25,7 @@ def build_session(app: str = "seclake", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **conf,
     }

@@ -96,41 +96,44 @@ FEED_SQL = {
 
 
 # Log lines: one per event.
-_SSHD = "' server01 sshd[' || cast(event_id as varchar(20)) || ']: '"
-_PORT = "' port ' || cast(1024 + event_id % 60000 as varchar(9)) || ' ssh2'"
 _HEAD = "date_format(ts, 'MMM dd HH:mm:ss')"
-_ISO = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
-_API = "case event_id % 7 when 0 then 'CreateUser' when 1 then 'AssumeRole' else 'DeleteBucket' end"
-_LINE_SQL = f"""case
+_PARTS = {
+    "head": _HEAD,
+    "iso": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
+    "ip": IP_SQL,
+    "usr": _USER_SQL,
+    "id": "cast(event_id as varchar(20))",
+    "port": "' port ' || cast(1024 + event_id % 60000 as varchar(9)) || ' ssh2'",
+    "api": "case event_id % 7 when 0 then 'CreateUser' when 1 then 'AssumeRole' else 'DeleteBucket' end",
+}
+_LINE_SQL = """case
   when event_type = 'error' and event_id % 7 = 0
-    then {_HEAD} || {_SSHD} || 'Invalid user ' || {_USER_SQL} || ' from ' || {IP_SQL} || {_PORT}
+    then concat(head, ' server01 sshd[', id, ']: Invalid user ', usr, ' from ', ip, port)
   when event_type = 'error'
-    then {_HEAD} || {_SSHD} || 'Failed password for user=' || {_USER_SQL} || ' from ' || {IP_SQL} || {_PORT}
+    then concat(head, ' server01 sshd[', id, ']: Failed password for user=', usr, ' from ', ip, port)
   when event_type = 'click'
-    then {_HEAD} || {_SSHD} || 'Accepted password for ' || {_USER_SQL} || ' from ' || {IP_SQL} || {_PORT}
+    then concat(head, ' server01 sshd[', id, ']: Accepted password for ', usr, ' from ', ip, port)
   when event_type = 'view'
-    then {_HEAD} || ' server01 CRON[' || cast(event_id as varchar(20))
-      || ']: pam_unix(cron:session): session opened for ' || {_USER_SQL} || ' by (uid=0)'
+    then concat(head, ' server01 CRON[', id, ']: pam_unix(cron:session): session opened for ', usr, ' by (uid=0)')
   when event_type = 'signup' and event_id % 7 < 3
-    then '{{"eventVersion":"1.08","eventTime":"' || {_ISO} || '","eventName":"' || {_API}
-      || '","awsRegion":"us-east-1","eventSource":"iam.amazonaws.com","sourceIPAddress":"' || {IP_SQL}
-      || '","userIdentity":{{"type":"IAMUser","arn":"arn:aws:iam::1:user/' || {_USER_SQL}
-      || '"}},"requestParameters":{{"userName":"u' || cast(user_id as varchar(20)) || '"}}}}'
+    then concat('{"eventVersion":"1.08","eventTime":"', iso, '","eventName":"', api,
+      '","awsRegion":"us-east-1","eventSource":"iam.amazonaws.com","sourceIPAddress":"', ip,
+      '","userIdentity":{"type":"IAMUser","arn":"arn:aws:iam::1:user/', usr,
+      '"},"requestParameters":{"userName":"u', cast(user_id as string), '"}}')
   when event_type = 'signup'
-    then {_HEAD} || ' server02 useradd[' || cast(event_id as varchar(20)) || ']: account created for '
-      || {_USER_SQL} || ' by root, password set'
+    then concat(head, ' server02 useradd[', id, ']: account created for ', usr, ' by root, password set')
   when event_id % 7 < 3
-    then {_HEAD} || ' fw01 kernel[TACTIC:T1046]: port scan src ' || {IP_SQL} || ' dst 10.9.8.'
-      || cast(event_id % 250 as varchar(9))
+    then concat(head, ' fw01 kernel[TACTIC:T1046]: port scan src ', ip, ' dst 10.9.8.', cast(event_id % 250 as string))
   when event_id % 7 < 5
-    then {_HEAD} || ' server03 sudo: user=' || {_USER_SQL} || ' COMMAND=/bin/cat /etc/shadow'
-  else {_HEAD} || ' server03 net[TACTIC:T1048]: outbound connection exfil from ' || {IP_SQL} || ' to 185.220.9.9'
+    then concat(head, ' server03 sudo: user=', usr, ' COMMAND=/bin/cat /etc/shadow')
+  else concat(head, ' server03 net[TACTIC:T1048]: outbound connection exfil from ', ip, ' to 185.220.9.9')
 end"""
 
 
 def log_lines(events: DataFrame) -> DataFrame:
     """``file, seq, line``: one line per event, in event order."""
-    return events.selectExpr(
+    parts = [f"{sql} as {name}" for name, sql in _PARTS.items()]
+    return events.selectExpr("event_id", "user_id", "event_type", *parts).selectExpr(
         f"'log-' || cast(event_id % {FILES} as varchar(9)) as file", "event_id as seq", f"{_LINE_SQL} as line"
     )
 
