@@ -18,6 +18,9 @@ from .summary import events_per_minute
 
 METRICS = ("failed_logins", "auth_failures", "unique_ips", "unique_users")
 BUCKETS = 65_536
+# Up to this many rows may share one sort group.
+SORT_ROWS = 1 << 20
+_STATS = ("mean", "std_dev", "min_val", "max_val", "median", "p95", "p99")
 
 
 def value_bucket(col: str) -> str:
@@ -97,12 +100,7 @@ def baselines(events: DataFrame) -> DataFrame:
 
 
 def baseline(events: DataFrame, metric: str) -> DataFrame:
-    """Statistics of one metric: a standard one, or any numeric field of the events.
-
-    A field may have any number of distinct values.  They are spread over equal
-    value ranges first; only the (bounded) range counts and the values of the few
-    ranges holding a wanted position are put in order.
-    """
+    """Statistics of one metric: a standard one, or any numeric field of the events."""
     if metric in METRICS:
         return baselines(events).where(F.col("metric") == metric)
     if metric == "events_per_minute":
@@ -118,63 +116,64 @@ def baseline(events: DataFrame, metric: str) -> DataFrame:
     return field_stats(values).selectExpr(f"{q(metric)} as metric", "*")
 
 
-def field_stats(values: DataFrame) -> DataFrame:
-    """One row of statistics from (value, n) with any number of distinct values."""
-    totals = values.selectExpr(
-        "struct(sum(n) as count, sum(value * n) / sum(n) as mean, min(value) as low, max(value) as high) as t"
-    )
-    # Rounding is monotone in each step, so ranges are in value order.
-    bucket = f"coalesce(floor(try_divide((value - low) * {float(BUCKETS - 1)}D, high - low)), 0)"
-    placed = (
-        values.withColumn("t", totals.scalar())
-        .selectExpr("value", "n", "t.*")
-        .selectExpr("*", f"{bucket} as _bucket")
-    )
-    ranges = placed.groupBy("_bucket").agg(
-        F.expr("sum(n) as m"),
-        F.expr("sum(n * pow(value - mean, 2)) as spread"),
-        *[F.expr(f"first({c}) as {c}") for c in ("count", "mean", "low", "high")],
-    )
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.sum("m").over(before))
-    wanted_at = {
-        "lo": "floor((count - 1) / 2)",
-        "hi": "floor(count / 2)",
-        "p95": "floor(count * 0.95D)",
-        "p99": "floor(count * 0.99D)",
-    }
-    positions = ", ".join(f"struct({q(name)} as name, {at} as at)" for name, at in wanted_at.items())
-    wanted = (
-        ranges.selectExpr("_bucket", "m", "coalesce(_before, 0) as _start", f"explode(array({positions})) as p")
-        .where("p.at >= _start and p.at < _start + m")
-        .selectExpr("_bucket", "p.name", "p.at - _start as _at")
-    )
-    running = Window.partitionBy("name").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    found = (
-        placed.select("_bucket", "value", "n")
-        .join(F.broadcast(wanted), "_bucket")  # four rows
-        .withColumn("_end", F.sum("n").over(running))
-        .where("_at < _end and _at >= _end - n")
-        .selectExpr(
-            "struct(" + ", ".join(
-                f"max(value) filter (where name = {q(name)}) as {name}" for name in wanted_at
-            ) + ") as f"
+def values_at(values: DataFrame, positions: set[int], sort_rows: int = SORT_ROWS) -> dict[int, float]:
+    """Values at 0-based positions of the sorted list which (value, n) describes.
+
+    The running count needs all values in one sort group.  While there are more than
+    ``sort_rows`` distinct ones, they are cut into equal ranges and only the range
+    holding the position is followed; the range counts are at most ``BUCKETS`` rows.
+    """
+    found = {}
+    if values.count() <= sort_rows:
+        wanted = ", ".join(f"{p}L" for p in sorted(positions))
+        running = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = (
+            values.withColumn("_end", F.sum("n").over(running))
+            .selectExpr("value", f"filter(array({wanted}), p -> p < _end and p >= _end - n) as hits")
+            .where("size(hits) > 0")
+            .collect()  # one row per position at most
         )
-    )
-    stats = ranges.selectExpr(
-        "first(mean) as mean",
-        "sqrt(try_divide(sum(spread), first(count) - 1)) as std",
-        "first(low) as min_val",
-        "first(high) as max_val",
-        "first(count) as sample_count",
-    )
-    return (
-        stats.where("sample_count is not null")
-        .withColumn("f", found.scalar())
-        .selectExpr("mean", "coalesce(std, 0.0D) as std_dev", "min_val", "max_val",
-                    "(f.lo + f.hi) / 2 as median", "f.p95 as p95", "f.p99 as p99", "sample_count")
+        return {p: row.value for row in rows for p in row.hits}
+    for position in positions:
+        inside, start = values, 0
+        while inside.count() > sort_rows:
+            low, high = inside.selectExpr("min(value)", "max(value)").first()
+            # Each step of the arithmetic is monotone, so ranges are in value order.
+            place = F.floor((F.col("value") - F.lit(low)) * F.lit(float(BUCKETS - 1)) / F.lit(high - low))
+            ranges = inside.groupBy(place.alias("r")).agg(
+                F.sum("n").alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi")
+            )
+            running = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            hit = (
+                ranges.withColumn("_end", F.sum("m").over(running))
+                .where(f"_end > {position - start} and _end - m <= {position - start}")
+                .first()
+            )
+            start += hit["_end"] - hit["m"]
+            inside = inside.where(F.col("value").between(hit["lo"], hit["hi"]))
+            if (hit["lo"], hit["hi"]) == (low, high):  # not finite: cannot be cut further
+                break
+        found[position] = values_at(inside, {position - start}, inside.count())[position - start]
+    return found
+
+
+def field_stats(values: DataFrame, sort_rows: int = SORT_ROWS) -> DataFrame:
+    """One row of statistics from a stored table (value, n) of distinct values."""
+    count, mean = values.selectExpr("sum(n)", "sum(value * n) / sum(n)").first()
+    if not count:
+        return values.selectExpr(*[f"value as {c}" for c in _STATS], "n as sample_count").limit(0)
+    lo, hi, p95, p99 = (count - 1) // 2, count // 2, int(count * 0.95), int(count * 0.99)
+    at = values_at(values, {lo, hi, p95, p99}, sort_rows)
+    deviation = F.sqrt(F.sum(F.col("n") * F.pow(F.col("value") - F.lit(mean), 2)) / F.lit(max(count - 1, 1)))
+    return values.agg(
+        F.lit(mean).alias("mean"),
+        deviation.alias("std_dev"),
+        F.min("value").alias("min_val"),
+        F.max("value").alias("max_val"),
+        F.lit((at[lo] + at[hi]) / 2).alias("median"),
+        F.lit(at[p95]).alias("p95"),
+        F.lit(at[p99]).alias("p99"),
+        F.lit(count).cast("bigint").alias("sample_count"),
     )
 
 

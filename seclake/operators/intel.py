@@ -194,7 +194,7 @@ def aggregate_verdicts(ips: DataFrame, verdicts: DataFrame) -> DataFrame:
         F.expr(f"min_by(isp, if({present('isp')}, {_PLACE}, null)) as _isp"),
         *[F.expr(f"bool_or({flag}) as {flag}") for flag in _FLAGS],
         # As many entries as there are providers.
-        F.expr(f"transform(array_sort(collect_list({_PLACE})), s -> s.name) as _queried"),
+        F.expr(f"transform(array_sort(collect_set({_PLACE})), s -> s.name) as _queried"),
     )
     providers = "array(" + ", ".join(q(p) for p in fixed.PROVIDERS) + ")"
     flags = ", ".join(f"coalesce({flag}, false) as {flag}" for flag in _FLAGS)

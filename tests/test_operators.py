@@ -118,6 +118,18 @@ def test_field_statistics(events):
     assert anomaly.baseline(df.where("false"), "pid").count() == 0
 
 
+@pytest.mark.parametrize("outlier", [0.0, 1e9])
+def test_values_are_found_by_narrowing_ranges(spark, monkeypatch, outlier):
+    monkeypatch.setattr(anomaly, "BUCKETS", 8)
+    rnd = random.Random(8)
+    counts = Counter(round(rnd.random() * 100, 3) for _ in range(400))
+    counts[outlier] += 1
+    ordered = sorted(counts.elements())
+    table = spark.createDataFrame(list(counts.items()), "value DOUBLE, n BIGINT")
+    wanted = {0, 57, 200, len(ordered) - 1}
+    assert anomaly.values_at(table, wanted, 20) == {p: ordered[p] for p in wanted}
+
+
 def test_percentile_position_on_whole_products(events):
     df = events([{"pid": str(i)} for i in range(20)])
     assert anomaly.baseline(df, "pid").first().p95 == 19.0
@@ -276,6 +288,14 @@ def test_prefix_lookup_against_startswith(spark):
         assert row.label == (min(hits)[1] if hits else None)
 
 
+def test_read_feed(spark, tmp_path):
+    from seclake.sources.feeds import read_feed
+
+    (tmp_path / "f.json").write_text('{"ip": "1.1.1.1", "provider": "Shodan", "payload": {"tags": ["vpn"], "isp": "x"}}\n')
+    row = intel.normalize_verdicts(read_feed(spark, str(tmp_path))).first()
+    assert (row.ip, row.isp, row.is_vpn, row.tags) == ("1.1.1.1", "x", True, ["vpn"])
+
+
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_lookup_join_with_hot_key(spark, limit):
     left = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id % 50)) as k")
