@@ -202,12 +202,12 @@ def _baseline_for(known: DataFrame, baseline_events: DataFrame | None) -> DataFr
         cut = order_value_at(known, "case when n > 10 then floor(n / 2) else n end")
         # One scan serves both: the histogram is kept per half.
         marked = known.withColumn("_base", F.col("seq") <= cut.scalar())
-        histogram = metric_histogram(marked, "_base")
+        histogram = materialize(metric_histogram(marked, "_base"), "histogram")
         own = histogram.where("_base").select("metric", "value", "n")
         whole = histogram.groupBy("metric", "value").agg(F.sum("n").alias("n"))
     else:
-        own = metric_histogram(facts(baseline_events))
-        whole = metric_histogram(known)
+        own = materialize(metric_histogram(facts(baseline_events)), "histogram")
+        whole = materialize(metric_histogram(known), "histogram")
     first = histogram_stats(own, "metric")
     rest = histogram_stats(whole, "metric").join(first.select("metric"), "metric", "left_anti")
     return first.unionByName(rest)

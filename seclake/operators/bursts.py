@@ -43,27 +43,30 @@ def failed_login_bursts(events: DataFrame, threshold: int = 5) -> DataFrame:
     )
 
 
-def trailing_counts(rows: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Per key and second: events ``n`` and events ``in_window`` of the last ``seconds``.
-
-    Rows need ``event_ts``.  Counting per second first leaves at most one row per
-    key and second, however hot the key is.  The seconds of a key are then cut into
-    day blocks; the end of a block is repeated at the start of the next one, so
-    that no sort group spans more than a block and every frame is complete.
-    """
-    block = max(DAY, seconds)
-    per_second = (
-        rows.where("event_ts is not null")
-        .selectExpr(*keys, "unix_timestamp(event_ts) as second")
+def count_per_second(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, second, n): at most one row per key and second, however hot the key is."""
+    return (
+        rows.selectExpr(*keys, "unix_timestamp(event_ts) as second")
         .groupBy(*keys, "second")
         .agg(F.count("*").alias("n"))
     )
+
+
+def trailing_counts(per_second: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """Add ``in_window`` to (keys, second, n): events of the key in the last ``seconds``.
+
+    The seconds of a key are cut into day blocks; the end of a block is repeated at
+    the start of the next one, so that no sort group spans more than a block and
+    every frame is complete.
+    """
+    block = max(DAY, seconds)
     own = f"floor(second / {block})"
     reaches_next = f"pmod(second, {block}) >= {block - seconds}"
     blocks = f"explode(if({reaches_next}, array({own}, {own} + 1), array({own}))) as _block"
     frame = Window.partitionBy(*keys, "_block").orderBy("second").rangeBetween(-seconds, 0)
     return (
-        per_second.selectExpr("*", blocks)
+        per_second.where("second is not null")
+        .selectExpr("*", blocks)
         .withColumn("in_window", F.sum("n").over(frame))
         .where(f"_block = {own}")
         .drop("_block")
@@ -78,8 +81,8 @@ def failed_login_bursts_windowed(
     One row per source: the highest count of any window, the second the threshold
     was first met, and the number of failed logins at which it was met.
     """
-    rows = failed_logins(events).selectExpr(f"{SOURCE} as source", "event_ts")
-    counts = trailing_counts(rows.where("source <> ''"), ["source"], minutes * 60)
+    rows = failed_logins(events).selectExpr(f"{SOURCE} as source", "event_ts").where("source <> ''")
+    counts = trailing_counts(count_per_second(rows, ["source"]), ["source"], minutes * 60)
     return (
         counts.where(f"in_window >= {threshold}")
         .groupBy("source")

@@ -15,8 +15,8 @@ from ..functions.network import starts_with_any
 from ..functions.pin import pin
 from ..functions.text import EVENT_TEXT, first_case, is_plain, q
 from ..schema import RULE
-from ..session import literal_table
-from .bursts import SOURCE, trailing_counts
+from ..session import literal_table, materialize
+from .bursts import SOURCE, count_per_second, trailing_counts
 
 
 @dataclass(frozen=True)
@@ -116,31 +116,31 @@ def rule_hits(events: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ())
 
 
 def enforce(hits: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Keep hits per (rule, second) only where one source reaches the rule's threshold.
+    """Keep hits only where one source reaches the rule's threshold; returns (position, n).
 
-    Returns (position, n).  With a time window the matches of the window up to the
-    hit count; without one all matches of the source do.
+    With a time window the matches of the window up to the hit count; without one
+    all matches of the source do.  The hits (``position, source, event_ts``) are
+    counted per source and second first, in one scan.
     """
-    parts = []
-    at_once = [i for i, r in enumerate(rules) if r.threshold <= 1]
-    if at_once:
-        parts.append(
-            hits.where(F.col("position").isin(at_once))
-            .groupBy("position").agg(F.count("*").alias("n"))
-        )
+    strict = ", ".join(str(i) for i, r in enumerate(rules) if r.threshold > 1) or "-1"
+    timed = hits.selectExpr(
+        "position",
+        f"if(position in ({strict}), source, '') as source",
+        f"if(position in ({strict}), event_ts, null) as event_ts",
+    )
+    keys = ["position", "source"]
+    counted = materialize(count_per_second(timed, keys), "rule-hits")
+    parts = [counted.where(f"position not in ({strict})").select("position", "n")]
     for window in sorted({r.time_window for r in rules if r.threshold > 1}):
         wanted = {i: r.threshold for i, r in enumerate(rules)
                   if r.threshold > 1 and r.time_window == window}
-        threshold = first_case((f"position = {i}", str(value)) for i, value in wanted.items())
-        mine = hits.where(F.col("position").isin(list(wanted)))
+        mine = counted.where(f"position in ({', '.join(map(str, wanted))})")
         if window > 0:
-            counted = trailing_counts(mine, ["position", "source"], window)
+            mine = trailing_counts(mine, keys, window)
         else:
-            counted = (
-                mine.groupBy("position", "source").agg(F.count("*").alias("n"))
-                .withColumn("in_window", F.col("n"))
-            )
-        parts.append(counted.where(f"in_window >= {threshold}").select("position", "n"))
+            mine = mine.groupBy(*keys).agg(F.sum("n").alias("n")).selectExpr("*", "n as in_window")
+        threshold = first_case((f"position = {i}", str(value)) for i, value in wanted.items())
+        parts.append(mine.where(f"in_window >= {threshold}").select("position", "n"))
     return reduce(DataFrame.unionByName, parts)
 
 
