@@ -30,7 +30,12 @@ def prefix_lookup(ips: DataFrame, table: DataFrame) -> DataFrame:
     """
     leading = ", ".join(f"concat(substring_index(ip, '.', {n}), '.')" for n in (1, 2, 3))
     payload = [c for c in table.columns if c not in ("prefix", "priority")]
-    candidates = ips.selectExpr("ip", f"explode(array({leading}, ip)) as prefix")
+    candidates = (
+        ips.selectExpr("ip", f"explode(array({leading}, ip)) as prefix")
+        # Texts of fewer octets (host names, for instance) do not have all of them.
+        .where("startswith(ip, prefix)")
+        .distinct()
+    )
     hits = lookup_join(candidates, table, "prefix")
     return (
         hits.groupBy("ip")

@@ -94,11 +94,11 @@ def _predicate(rule: Rule, spark: SparkSession) -> str:
     regexes = []
     for pattern in rule.patterns:
         if not is_plain(pattern):
-            regexes.append(pattern if valid_regex(spark, pattern) else quoted(pattern))
+            named = pattern.replace("(?P<", "(?<")  # the other spelling of named groups
+            regexes.append(named if valid_regex(spark, named) else quoted(pattern))
     tests = [f"contains({c}, {q(p)})" for p in plain for c in ("_low", "_type")]
-    if regexes:
-        either = q("(?i)" + "|".join(f"(?:{p})" for p in regexes))
-        tests += [f"rlike(_low, {either})", f"rlike(_type, {either})"]
+    # One test per pattern: joined by "|", their group names and numbers would collide.
+    tests += [f"rlike({c}, {q('(?i)' + p)})" for p in regexes for c in ("_low", "_type")]
     return " or ".join(tests) or "false"
 
 

@@ -597,6 +597,7 @@ def all_sql() -> dict[str, str]:
         "hec_payloads": f"""{SCORED} select json_object('event', {_DOC.format(severity='severity')}, 'host', host, 'index', 'security',
             'source', 'seclake', 'sourcetype', 'seclake:json')::varchar as value from sc""",
         "alerts_medium": f"{SCORED} select {_ALERT} from sc where {_RANK} <= 2",
+        "alerts_severe": f"{SCORED} select {_ALERT.replace('100', '80')} from sc where severity in ('critical', 'high', 'medium')",
         "alert_summary": f"""{SCORED} , a as (select upper(severity) as severity from sc where {_RANK} <= 3 order by seq desc limit 50)
             select coalesce(severity, 'TOTAL') as severity, count(*) as alerts from a group by rollup (severity)""",
         "tickets": f"""{SCORED} select seq, 'Security alert' as title, text[1:100] as description, upper(severity) as severity,

@@ -531,6 +531,12 @@ def alerts_medium(spark, d):
     return alerts.to_alerts(scored(spark, d), "medium").drop("event_ts")
 
 
+@query
+def alerts_severe(spark, d):
+    """What the live views show: the three upper levels, text cut after 80 characters."""
+    return alerts.to_alerts(alerts.severe_only(scored(spark, d)), show_all=True, length=80).drop("event_ts")
+
+
 @query
 def alert_summary(spark, d):
     """Over the fifty newest alerts."""

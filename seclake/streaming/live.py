@@ -108,10 +108,26 @@ def append_to_table(rows: DataFrame, path: str, checkpoint: str, **trigger) -> S
 
 
 def catch_up(rows: DataFrame, name: str) -> DataFrame:
-    """Process everything available now and return the table written."""
-    base = scratch_path(rows.sparkSession, name)
-    append_to_table(rows, f"{base}/table", f"{base}/checkpoint", availableNow=True).awaitTermination()
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{base}/table")
+    """Process everything available now and return the table written.
+
+    State is kept in ``spark.sql.shuffle.partitions`` parts.  On a single machine
+    more parts than cores only cost time, so there the number is lowered for the
+    start of the query, which takes a copy of the settings.
+    """
+    spark = rows.sparkSession
+    base = scratch_path(spark, name)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    local = spark.conf.get("spark.master", "").startswith("local")
+    if local:
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(parts), cores)))
+    try:
+        query = append_to_table(rows, f"{base}/table", f"{base}/checkpoint", availableNow=True)
+    finally:
+        if local:
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/table")
 
 
 class RecentAlerts:

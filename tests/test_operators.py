@@ -237,16 +237,17 @@ def test_rule_engine(spark, events):
         {"id": "R001", "patterns": ["abc"]},
         {"id": "C", "patterns": ["abc"], "enabled": False},
         {"id": "D", "condition": "other"},
+        {"id": "E", "severity": "low", "patterns": [r"zz(.)\1", r"(?P<word>w[a-z]+e)\*"]},
     ])
-    assert len(own) == 14
+    assert len(own) == 15
     rows = rules.run_rules(df, own).collect()
     assert [(r.rule_id, r["count"]) for r in rows] == [
-        ("R010", 1), ("R001", 1), ("R004", 2), ("R007", 1), ("R006", 1), ("B", 1), ("A", 1)]
+        ("R010", 1), ("R001", 1), ("R004", 2), ("R007", 1), ("R006", 1), ("B", 1), ("E", 1), ("A", 1)]
     by_id = {r.rule_id: r for r in rows}
     assert [s.seq for s in by_id["R004"].sample_records] == [0, 2]
     assert by_id["R004"].message == "Suspicious IP Range: 2 matches"
     totals = rules.rule_summary(rules.run_rules(df, own, samples=0), own).first()
-    assert (totals.rules_evaluated, totals.matches, totals.critical, totals.high) == (14, 7, 1, 3)
+    assert (totals.rules_evaluated, totals.matches, totals.critical, totals.high) == (15, 8, 1, 3)
 
 
 def test_thresholds(events):
@@ -279,6 +280,7 @@ def test_rule_files(spark, tmp_path):
 def test_prefix_lookup_against_startswith(spark):
     rnd = random.Random(6)
     ips = [".".join(str(rnd.choice([1, 10, 101, 185])) for _ in range(4)) for _ in range(200)]
+    ips += ["10", "10.1", "1.x.host", "host"]
     table = [("10.", 3, "x"), ("10.1.", 2, "y"), ("185.10.1.", 5, "z"), ("1.", 9, "w"), ("101.1.1.1", 0, "v")]
     df = intel.prefix_lookup(spark.createDataFrame([(i,) for i in set(ips)], "ip STRING"),
                              spark.createDataFrame(table, "prefix STRING, priority INT, label STRING"))
