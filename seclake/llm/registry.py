@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import decontaminate, langid, minhash, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_minhash": minhash.op4_minhash,
+    "op9_langid": langid.op9_langid,
 }
 
 SQL = {
     "op2_substring_dedup": substring_dedup.SQL,
+    "op3_decontaminate": decontaminate.SQL,
+    "op4_minhash": minhash.SQL,
 }
