@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, minhash, substring_dedup
+from . import ann, decontaminate, langid, minhash, mixing, substring_dedup, token_files, warc
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_minhash": minhash.op4_minhash,
+    "op5_token_files": token_files.op5_token_files,
+    "op7_ann": ann.op7_ann,
+    "op8_mixing": mixing.op8_mixing,
     "op9_langid": langid.op9_langid,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op4_minhash": minhash.SQL,
+    "op10_warc": warc.SQL,
 }
