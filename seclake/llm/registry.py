@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, langid, minhash, mixing, substring_dedup, token_files, warc
+from . import ann, decontaminate, langid, minhash, mixing, pii, quotes, substring_dedup, token_files, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_minhash": minhash.op4_minhash,
     "op5_token_files": token_files.op5_token_files,
+    "op6_quotes": quotes.op6_quotes,
     "op7_ann": ann.op7_ann,
     "op8_mixing": mixing.op8_mixing,
     "op9_langid": langid.op9_langid,
@@ -19,5 +21,6 @@ SQL = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op4_minhash": minhash.SQL,
+    "op6_quotes": quotes.SQL,
     "op10_warc": warc.SQL,
 }
