@@ -116,7 +116,7 @@ class _Window:
     def more(self) -> bool:
         if not self.ended:
             self.file.seek(self.start + len(self.data))
-            new = self.file.read(READ_BYTES)
+            new = self.file.read(max(READ_BYTES, len(self.data)))
             self.ended = not new
             self.data += new
         return not self.ended
