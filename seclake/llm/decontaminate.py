@@ -2,7 +2,7 @@
 
 Of every window of ``WINDOW`` words the least hash of its ``GRAM``-word grams is kept (the rightmost of
 equal ones).  Two equal windows keep the same gram at the same offset, so every shared span of
-``WINDOW`` words shares a fingerprint.  Documents keep about two in seven of their grams; each carries
+``WINDOW`` words shares a fingerprint.  Documents keep about two in seven of their grams, of which a bit filter passes those that may be the benchmark's; each carries
 the few words around it, so that a fingerprint which meets one of a benchmark item is extended to the
 windows that hold it and compared word by word, without going back to the text.
 
@@ -21,28 +21,36 @@ WINDOW, GRAM = 10, 5
 #: Distinct benchmark windows up to which their fingerprints are sent to all tasks (about 10 MB).
 BROADCAST_WINDOWS = 200_000
 
+#: Bits of the filter of fingerprints, as a power of two; the largest place of a gram.
+FILTER_BITS, _LAST = 17, 2147483647
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of bytes `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing: digits, letters, all beyond ASCII.
 _BETWEEN = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def _words(text: str) -> str:
-    return (f"filter(split(translate({text}, '{_UPPER}', '{_LOWER}'), '{_BETWEEN}'), x -> x <> '')")
+    """Lower-cased words; ``lower`` is the same on ASCII and much faster."""
+    small = f"if(octet_length({text}) = length({text}), lower({text}), translate({text}, '{_UPPER}', '{_LOWER}'))"
+    return f"filter(split({small}, '{_BETWEEN}'), x -> x <> '')"
+
 
+def _grams(words: str) -> str:
+    """A number for each gram: 32 bits of its hash above its place, counted down.
 
-def _grams(words: str, n: int) -> str:
-    """Hashes of all grams of ``n`` words; the words are hashed one after the other, so 'a bc' is not 'ab c'."""
-    parts = ", ".join(f"{words}[i + {k}]" for k in range(n))
-    return (f"if(size({words}) < {n}, array(), transform(sequence(0, greatest(size({words}) - {n}, 0)), "
-            f"i -> xxhash64({parts})))")
+    The least of several is thus the least hash, the rightmost of equal ones, and tells its place.  The words are
+    hashed one after the other, so 'a bc' is not 'ab c'.
+    """
+    parts = ", ".join(f"{words}[i + {k}]" for k in range(GRAM))
+    return (f"if(size({words}) < {GRAM}, array(), transform(sequence(0, greatest(size({words}) - {GRAM}, 0)), "
+            f"i -> shiftleft(xxhash64({parts}), 32) | cast({_LAST} - i as bigint)))")
 
 
-def _winnow(grams: str, run: int) -> str:
-    """Places of the least of every ``run`` grams, the rightmost of equal ones, without repeats."""
-    least = f"array_min(slice({grams}, i + 1, {run}))"
-    places = (f"transform(sequence(0, greatest(size({grams}) - {run}, 0)), "
-              f"i -> i + {run} - array_position(reverse(slice({grams}, i + 1, {run})), {least}))")
-    return f"if(size({grams}) < {run}, array(), array_distinct({places}))"
+def _winnow(grams: str) -> str:
+    """The least of every run of grams that make a window, without repeats."""
+    run = WINDOW - GRAM + 1
+    return (f"if(size({grams}) < {run}, array(), array_distinct(transform(sequence(0, greatest(size({grams}) - {run}, 0)), "
+            f"i -> array_min(slice({grams}, i + 1, {run})))))")
 
 
 def _joined(words: str, start: str, n: str) -> str:
@@ -67,44 +75,56 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 def _fingerprints(spans: DataFrame) -> DataFrame:
     """(print, offset) of full windows."""
     cut = spans.where(f"size = {WINDOW}").select(F.split("span", " ").alias("w"))
-    hashed = cut.select(F.expr(_grams("w", GRAM)).alias("g"))
-    return hashed.select(F.explode(F.expr(_winnow("g", WINDOW - GRAM + 1))).alias("offset"), "g").select(
-        F.expr("g[cast(offset as int)]").alias("print"), F.col("offset").cast("int").alias("offset")).distinct()
+    kept = cut.select(F.expr(_grams("w")).alias("g")).select(F.explode(F.expr(_winnow("g"))).alias("p"))
+    return kept.selectExpr("shiftright(p, 32) as print", f"cast({_LAST} - (p & {_LAST}L) as int) as offset").distinct()
 
 
-def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, version, start, size, span): where benchmark windows occur in documents (doc_id, version, text)."""
-    spans = materialize(windows.select("size", "span").distinct(), "spans")
+def _filter(prints: DataFrame) -> str:
+    """An array literal with a bit for each value of some bits of the fingerprints, set where one occurs."""
+    words = 1 << FILTER_BITS - 5
+    rows = prints.selectExpr(f"cast(shiftright(print, 5) & {words - 1} as int) as at", "cast(print & 31 as int) as bit").groupBy(
+        "at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).collect()  # at most 2^12
+    bits = [0] * words
+    for r in rows:
+        bits[r["at"]] = r["bits"]
+    return "array(" + ", ".join(f"{x}L" for x in bits) + ")"
+
+
+def scan(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """One row per document (place -1) and one per fingerprint that may be one of ``prints``, from one reading.
+
+    doc_id, version, n_words, place, print, around: the words from which a window that keeps the gram can
+    start, up to where it can end.
+    """
+    reach = WINDOW - GRAM
+    words = (1 << FILTER_BITS - 5) - 1
+    may = f"(shiftright({_filter(prints)}[cast(shiftright(x, 37) & {words} as int)], cast(shiftright(x, 32) & 31 as int)) & 1) = 1"
+    place = f"cast({_LAST} - (x & {_LAST}L) as int)"
+    return (docs.select("doc_id", "version", F.expr(f"coalesce({_words('text')}, array())").alias("w"))
+            .select("doc_id", "version", "w", F.expr(_grams("w")).alias("g"))
+            .select("doc_id", "version", F.size("w").cast("bigint").alias("n_words"), F.expr(
+                f"inline(concat(array(named_struct('place', -1, 'print', 0L, 'around', '')), "
+                f"transform(filter({_winnow('g')}, x -> {may}), x -> named_struct('place', {place}, 'print', shiftright(x, 32), "
+                f"'around', {_joined('w', f'greatest({place} - {reach}, 0)', f'least({place}, {reach}) + {WINDOW}')}))))")))
+
+
+def occurrences(docs: DataFrame, scanned: DataFrame, spans: DataFrame, prints: DataFrame) -> DataFrame:
+    """(doc_id, version, start, size, span): where benchmark windows occur in the documents."""
     sizes = [r[0] for r in spans.select("size").distinct().collect()]  # ten at most
     small = spans.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     sent = F.broadcast if small else lambda df: df
+    reach = WINDOW - GRAM
+    by_print = prints.groupBy("print").agg(F.collect_set("offset").alias("offsets"))  # six at most
+    met = scanned.where("place >= 0").join(sent(by_print), "print")
+    starts = met.select("doc_id", "version", "around", "place", F.explode("offsets").alias("offset")).where("place >= offset")
+    every = starts.select("doc_id", "version", F.expr("place - offset").alias("start"), F.expr(_joined(
+        "split(around, ' ')", f"least(place, {reach}) - offset", str(WINDOW))).alias("span"), F.lit(WINDOW).alias("size")).distinct()
     split = docs.select("doc_id", "version", F.expr(_words("text")).alias("w"))
-    found = []
-    if WINDOW in sizes:
-        run = WINDOW - GRAM + 1
-        reach = WINDOW - GRAM
-        # a gram with the words from which a window that keeps it can start, up to where it can end
-        prints = split.where(f"size(w) >= {WINDOW}").withColumn("g", F.expr(_grams("w", GRAM))).select(
-            "doc_id", "version", F.expr(f"inline(transform({_winnow('g', run)}, p -> named_struct("
-            f"'place', cast(p as int), 'print', g[cast(p as int)], 'around', "
-            f"{_joined('w', f'greatest(p - {reach}, 0)', f'least(p, {reach}) + {WINDOW}')})))"))
-        by_print = _fingerprints(spans).groupBy("print").agg(F.collect_set("offset").alias("offsets"))  # six at most
-        met = prints.join(sent(by_print), "print")
-        starts = met.select("doc_id", "version", "around", "place", F.explode("offsets").alias("offset")).where(
-            "place >= offset")
-        cut = starts.select("doc_id", "version", F.expr("place - offset").alias("start"), F.expr(_joined(
-            "split(around, ' ')", f"least(place, {reach}) - offset", str(WINDOW))).alias("span"))
-        found.append(cut.distinct().withColumn("size", F.lit(WINDOW)))
     for n in sizes:
         if n < WINDOW:
-            found.append(split.where(f"size(w) >= {n}").select(
+            every = every.unionByName(split.where(f"size(w) >= {n}").select(
                 "doc_id", "version", F.expr(f"posexplode(transform(sequence(0, size(w) - {n}), i -> {_joined('w', 'i', str(n))}))")
-                .alias("start", "span")).withColumn("size", F.lit(n)).select("doc_id", "version", "start", "span", "size"))
-    if not found:
-        return docs.select("doc_id", "version", F.lit(0).alias("start"), F.lit("").alias("span"), F.lit(0).alias("size")).limit(0)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+                .alias("start", "span")).withColumn("size", F.lit(n)))
     return every.join(sent(spans), ["span", "size"]).select("doc_id", "version", "start", "size", "span")
 
 
@@ -123,7 +143,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     rows = _key_by_row(docs, id_col, text_col)
     windows = materialize(benchmark_windows(benchmark), "windows")
-    hits = materialize(occurrences(rows, windows), "occurrences")
+    spans = materialize(windows.select("size", "span").distinct(), "spans")
+    prints = materialize(_fingerprints(spans), "prints")
+    scanned = materialize(scan(rows, prints), "scanned")
+    hits = materialize(occurrences(rows, scanned, spans, prints), "occurrences")
     key = ["doc_id", "version"]
     # ranges sorted by start, merged: (end so far, words so far, ranges so far)
     merged = F.expr("""
@@ -142,10 +165,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     listed = ids.groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
     found = counted.join(listed, (counted.doc_id.eqNullSafe(listed.doc_id)) & (counted.version == listed.version), "left").select(
         counted.doc_id.alias("id"), counted.version.alias("v"), "n_hit", "spans", "item_ids")
-    sized = rows.select("doc_id", "version", F.expr(f"coalesce(size({_words('text')}), 0)").cast("bigint").alias("n_words"))
+    sized = scanned.where("place = -1").select("doc_id", "version", "n_words")
     none = F.array().cast("array<string>")
     return sized.join(found, sized.doc_id.eqNullSafe(found.id) & (sized.version == found.v), "left").select(
-        "doc_id", F.greatest("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("item_ids", none).alias("item_ids"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
