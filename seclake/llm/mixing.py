@@ -148,7 +148,7 @@ def mix(docs: DataFrame, size: str, sources: str, weights, seed: int = 0, most:
     ahead = F.col("edge_before") + F.coalesce(inner, F.lit(0))
     more = F.when(F.col("__slice") < F.col("edge"), 1).when(
         (F.col("__slice") == F.col("edge")) & (2 * (F.col("part") - ahead) >= F.col(size)) & (ahead < F.col("part")), 1).otherwise(0)
-    repeats = F.coalesce(F.least(F.col("whole") + more, F.lit(most)), F.lit(0)).cast("int")
+    repeats = F.when(F.col("whole").isNull(), 0).otherwise(F.least(F.col("whole") + more, F.lit(most))).cast("int")
     return keyed.withColumn("repeats", repeats).withColumn("taken", (F.col("repeats") * F.col(size)).cast("bigint")).drop(
         *names, "whole", "part", "edge", "edge_before")
 
