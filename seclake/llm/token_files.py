@@ -8,13 +8,15 @@ doc_ids, sizes, control, data) beside the table of ranks, so any storage and any
 them.  Decoding looks the lengths of four ranks up by control byte and the bytes by position, in numpy.
 
 Encoding works on segments: a text is cut where its pre-tokenizer must cut in any case (before a space
-which a visible character follows, and around a single line end), and each distinct segment of a task is
-encoded once.
+which a visible character follows, and around a single line end), and a worker process encodes a segment
+once as long as it remembers it.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,9 @@ from .tables import partitions, scratch_path
 from .words import slices, text_buffer
 
 END_ID = 2
-#: Bytes of text encoded at a time; ids of a block of a file; distinct segments which a task remembers.
-TEXT_PIECE, BLOCK_IDS, REMEMBERED = 1 << 22, 1 << 20, 1 << 19
+#: Bytes of text encoded at a time; ids of a block of a file; distinct segments of a generation which a
+#: worker process remembers (about 200 bytes each).
+TEXT_PIECE, BLOCK_IDS, REMEMBERED = 1 << 23, 1 << 20, 1 << 19
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -51,7 +54,11 @@ def _cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class _Segments:
-    """Ids of segments, each encoded once while remembered."""
+    """Ids of segments, each encoded once while remembered.
+
+    Two generations are remembered, of which the older goes when the younger is full; what is still in use
+    moves to the younger one.
+    """
 
     def __init__(self, path: str):
         import os
@@ -61,12 +68,28 @@ class _Segments:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._forget()
-
-    def _forget(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.sizes = np.zeros(0, np.int64)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, distinct: list[bytes]) -> list[bytes]:
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        found = list(map(young.get, distinct))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            s = distinct[i]
+            ids = old.get(s)
+            if ids is None:
+                new.append(i)
+            else:
+                found[i] = young[s] = ids
+        if new:
+            encoded = self.tokenizer.encode_batch_fast([distinct[i].decode() for i in new], add_special_tokens=False)
+            for i, e in zip(new, encoded):
+                found[i] = young[distinct[i]] = array("i", e.ids).tobytes()
+        return found
 
     def __call__(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after the other, and their bounds."""
@@ -76,18 +99,11 @@ class _Segments:
         offsets = np.append(cut, len(raw)).astype(np.int32)
         coded = pc.dictionary_encode(pa.Array.from_buffers(
             pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]))
-        distinct = coded.dictionary.to_pylist()
-        if len(self.places) > REMEMBERED:
-            self._forget()
-        new = [s for s in distinct if s not in self.places]
-        if new:
-            encoded = self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)
-            for s, e in zip(new, encoded):
-                self.places[s] = len(self.ids)
-                self.ids.append(e.ids)
-        own = [self.ids[self.places[s]] for s in distinct]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter((i for ids in own for i in ids), np.int32, int(size.sum()))
+        data, ends = text_buffer(coded.dictionary)
+        data, ends = data.tobytes(), ends.tolist()
+        own = self._ids([data[a:b] for a, b in zip(ends, ends[1:])])
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), np.int32)
         first = np.cumsum(size) - size
         which = coded.indices.to_numpy()
         n = size[which]
@@ -96,9 +112,15 @@ class _Segments:
         return out, np.concatenate([[0], ends])[np.searchsorted(cut, at)]
 
 
+@lru_cache(maxsize=2)
+def _segments(path: str) -> _Segments:
+    """One per worker process, which runs many tasks."""
+    return _Segments(path)
+
+
 def _encode(path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = _Segments(path)
+        segments = _segments(path)
         for batch in batches:
             raw, at = text_buffer(batch.column("text"))
             for lo, hi in slices(at, TEXT_PIECE):
