@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .tables import materialize, scratch_path
 
-#: Bytes of payload in a file, bytes of a file which a reading task gets, and bytes read at a time.
-FILE_BYTES, SPLIT_BYTES, READ_BYTES = 256 << 20, 64 << 20, 1 << 20
+#: Bytes of a file which a reading task gets, and bytes read at a time.
+SPLIT_BYTES, READ_BYTES = 64 << 20, 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 _GZIP = 31  # window bits of gzip members in zlib
 _REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -98,12 +98,10 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 0, date: str = "1
         F.col("page_id").alias("again"), F.col("sha1").alias("of"), F.col("first").alias("refers_to")).distinct()
     marked = rows.join(again, rows.page_id.eqNullSafe(again.again) & (rows.sha1 == again.of), "left").select(
         "page_id", "url", "payload", "sha1", "refers_to", F.col("of").isNotNull().alias("revisit"))
-    size = keys.agg(F.sum("size")).first()[0] or 0
-    spark = pages.sparkSession
-    files = max(spark.sparkContext.defaultParallelism, size // FILE_BYTES + 1)
     storage, folder = _open(path)
     storage.create_dir(folder, recursive=True)
-    placed = marked.repartition(files, F.xxhash64("page_id", "sha1")).sortWithinPartitions("page_id", "sha1", "url")
+    # the order makes a second attempt of a task write the same file
+    placed = marked.sortWithinPartitions("page_id", "sha1", "url")
     return materialize(placed.mapInArrow(_write(path, date), "file string, records bigint"), "archives")
 
 
