@@ -170,9 +170,12 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_
     languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     if not languages:
         return Model([], [], [], [], [])
-    each = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = (labelled.where(F.octet_length("text") <= TRAIN_TEXT_BYTES).withColumn("place", F.row_number().over(each))
-              .where(F.col("place") <= max(1, rows // len(languages))))
+    short = labelled.where(F.octet_length("text") <= TRAIN_TEXT_BYTES).withColumn("digest", F.xxhash64("text", "lang"))
+    each = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "digest")
+    chosen = (short.select("lang", "doc_id", "digest").distinct().withColumn("place", F.row_number().over(each))
+              .where(F.col("place") <= max(1, rows // len(languages))).select(F.col("doc_id").alias("id"), F.col("digest").alias("of")))
+    # as many rows as the parameter says, so they may go to all tasks; only their texts are moved
+    sample = short.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, key bigint, n bigint").groupBy(
         "lang", "key").agg(F.sum("n").alias("n")).toArrow()
     key = counts["key"].to_numpy()
