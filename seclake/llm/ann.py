@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of ``TABLES`` tables hashes a vector by M projections on normal random directions, cut into slots.
+Each of ``TABLES`` tables hashes a vector by M projections on normal random directions, cut into slots of
+``WIDTH`` times R.
 A query visits, besides its own bucket, perturbed buckets in the order of the estimated probability that a
 neighbour at distance R lies in them: the difference of a projection is normal with standard deviation R,
 which gives the probability of each slot, and a bucket's is the product.  Buckets are added until the
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .tables import materialize, partitions
 from .words import _mix
 
-TABLES, WIDTH, SUCCESS, SEED = 4, 1.5, 0.98, 7
+TABLES, WIDTH, SUCCESS, SEED = 4, 2.5, 0.98, 7
 #: Sampled queries which R is fitted on, and the part of them whose k-th neighbour it reaches.
 FIT_QUERIES, FIT_PART = 64, 0.9
 #: Index rows of a block of a bucket, and of a group of buckets dealt to one call.
