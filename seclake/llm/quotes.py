@@ -23,15 +23,16 @@ _INTRODUCES = r"^on .*wrote:$"
 
 def parse(messages: DataFrame, text: str) -> DataFrame:
     """Add body (text without quotes) and passages (level and hash of each)."""
+    # each step stands behind a one-element explode, so that it is computed once and not inside later loops
     lines = messages.withColumn("__lines", F.expr(
-        f"transform(split(coalesce({text}, ''), '\\r?\\n'), x -> named_struct('raw', x, "
+        f"explode(array(transform(split(coalesce({text}, ''), '\\r?\\n'), x -> named_struct('raw', x, "
         f"'level', length(regexp_replace(regexp_extract(x, '{_MARKS}', 1), '[^>]', '')), "
-        f"'plain', lower(trim(regexp_replace(regexp_replace(x, '{_MARKS}', ''), '{_SPACE}', ' ')))))"))
+        f"'plain', lower(trim(regexp_replace(regexp_replace(x, '{_MARKS}', ''), '{_SPACE}', ' ')))))))"))
     lines = lines.withColumn("__lines", F.expr(
-        f"filter(__lines, x -> not (x.level = 0 and x.plain rlike '{_INTRODUCES}'))"))
+        f"explode(array(filter(__lines, x -> not (x.level = 0 and x.plain rlike '{_INTRODUCES}'))))"))
     starts = lines.withColumn("__starts", F.expr(
-        "filter(transform(__lines, (x, i) -> if(x.plain <> '' and (i = 0 or __lines[i - 1].plain = '' "
-        "or __lines[i - 1].level <> x.level), i, -1)), i -> i >= 0)"))
+        "explode(array(filter(transform(__lines, (x, i) -> if(x.plain <> '' and (i = 0 or __lines[i - 1].plain = '' "
+        "or __lines[i - 1].level <> x.level), i, -1)), i -> i >= 0)))"))
     passages = starts.withColumn("passages", F.expr(
         "transform(__starts, (s, k) -> named_struct('level', __lines[s].level, 'hash', md5(array_join(filter(transform("
         "slice(__lines, s + 1, if(k + 1 < size(__starts), __starts[k + 1], size(__lines)) - s), x -> x.plain), "
@@ -58,8 +59,9 @@ def link_quotes(messages: DataFrame, order: str, scope: str | None = None, text:
     new = ["parent", "root", "depth", "n_quoted", "n_linked", "body"]
     inside = F.col(scope) if scope else F.lit(0)
     rows = parse(messages.drop(*new, "passages"), text)
-    keyed = materialize(rows.select(inside.alias("scope"), F.col(order).alias("at"), F.explode("passages").alias("p")).select(
-        "scope", "at", "p.level", "p.hash").where("at is not null"), "passages")
+    # inline, not explode with field access, for which the optimizer would repeat the parsing inside its loops
+    keyed = materialize(rows.select(inside.alias("scope"), F.col(order).alias("at"), F.inline("passages")).where(
+        "at is not null").select("scope", "at", "level", "hash"), "passages")
     first = keyed.where("level = 0").groupBy("scope", "hash").agg(F.min("at").alias("origin"))
     quoted = keyed.where("level > 0").alias("q").join(
         first.alias("f"), F.col("q.scope").eqNullSafe(F.col("f.scope")) & (F.col("q.hash") == F.col("f.hash")), "left").select(
