@@ -10,7 +10,7 @@ answer; their texts are given without quotes and without the lines which introdu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import materialize
@@ -19,6 +19,8 @@ _MARKS = r"^((?:[ \\t]?>)+)"
 _SPACE = r"[ \\t\\n\\f\\r]+"
 #: Lower-cased lines such as "on monday, ann wrote:" which introduce a quote.
 _INTRODUCES = r"^on .*wrote:$"
+#: Orders in a row which may be one run of answers.
+RUN = 4096
 
 
 def parse(messages: DataFrame, text: str) -> DataFrame:
@@ -44,7 +46,7 @@ def parse(messages: DataFrame, text: str) -> DataFrame:
 def link_quotes(messages: DataFrame, order: str, scope: str | None = None, text: str = "text") -> DataFrame:
     """Link messages by the passages they quote.
 
-    ``order`` names the column by which messages follow one another (a number; unique within ``scope``), ``scope``
+    ``order`` names the column by which messages follow one another (an integer; unique within ``scope``), ``scope``
     the column within which originals are looked for (a mailing list, a mailbox; all messages if None).
 
     Returns the columns of ``messages`` and parent (order of the message answered, null for none), root (order of
@@ -71,19 +73,30 @@ def link_quotes(messages: DataFrame, order: str, scope: str | None = None, text:
         F.count("*").alias("n_quoted"), F.count("origin").alias("n_linked")).select(
         "scope", "at", (-F.col("best.back")).alias("parent"), "n_quoted", "n_linked"), "answers")
 
-    # each step doubles how far back a message sees
-    seen = materialize(answers.where("parent is not null").select(
-        "scope", "at", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth")), "roots")
-    while True:
-        far = seen.select(F.col("scope").alias("s"), F.col("at").alias("a"), F.col("root").alias("r"), F.col("depth").alias("d"))
-        stepped = materialize(seen.join(far, seen.scope.eqNullSafe(far.s) & (seen.root == far.a), "left").select(
-            "scope", "at", F.coalesce("r", "root").alias("root"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"),
-            F.col("r").isNotNull().alias("moved")), "roots")
-        seen = stepped.drop("moved")
-        if not stepped.where("moved").head(1):
-            break
-    known = answers.join(seen.withColumnsRenamed({"scope": "s", "at": "a"}),
-                         answers.scope.eqNullSafe(F.col("s")) & (F.col("at") == F.col("a")), "left").select(
+    # messages which answer the one just before are a run, of at most RUN orders; only its head is followed back
+    before = Window.partitionBy("scope", F.floor(F.col("at") / RUN)).orderBy("at")
+    runs = answers.where("parent is not null").withColumn("last", F.lag("at").over(before)).withColumn(
+        "head", F.when((F.col("parent") == F.col("at") - 1) & (F.col("parent") == F.col("last")), None).otherwise(F.col("at")))
+    runs = materialize(runs.select("scope", "at", "parent", F.max("head").over(before).alias("head")), "runs")
+    heads = runs.where("at = head").select("scope", "at", "parent").alias("h").join(
+        runs.select("scope", "at", "head").alias("t"),
+        F.col("h.scope").eqNullSafe(F.col("t.scope")) & (F.col("h.parent") == F.col("t.at")), "left")
+    seen = materialize(heads.select(
+        "h.scope", "h.at", F.coalesce("t.head", "h.parent").alias("root"),
+        (F.lit(1) + F.coalesce(F.col("t.at") - F.col("t.head"), F.lit(0))).cast("bigint").alias("depth"),
+        F.col("t.head").isNotNull().alias("moves")), "roots")
+    # each step doubles how far back a head sees, until its root answers nothing
+    while seen.where("moves").head(1):
+        far = seen.select(F.col("scope").alias("s"), F.col("at").alias("a"), F.col("root").alias("r"), F.col("depth").alias("d"),
+                          F.col("moves").alias("m"))
+        near = seen.where("moves")
+        stepped = near.join(far, near.scope.eqNullSafe(far.s) & (near.root == far.a)).select(
+            "scope", "at", F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth"), F.col("m").alias("moves"))
+        seen = materialize(seen.where("not moves").unionByName(stepped), "roots")
+    ends = runs.alias("n").join(
+        seen.alias("h"), F.col("n.scope").eqNullSafe(F.col("h.scope")) & (F.col("n.head") == F.col("h.at"))).select(
+        F.col("n.scope").alias("s"), F.col("n.at").alias("a"), "h.root", (F.col("h.depth") + F.col("n.at") - F.col("n.head")).alias("depth"))
+    known = answers.join(ends, answers.scope.eqNullSafe(F.col("s")) & (F.col("at") == F.col("a")), "left").select(
         F.col("scope").alias("__scope"), F.col("at").alias("__at"), *new[:3], "n_quoted", "n_linked")
     joined = rows.withColumn("__in", inside).join(
         known, F.col("__in").eqNullSafe(F.col("__scope")) & (F.col(order) == F.col("__at")), "left")

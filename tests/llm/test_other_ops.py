@@ -406,3 +406,17 @@ def test_twin(spark, name):
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert sorted(map(repr, map(tuple, df.select(columns).collect()))) == sorted(map(repr, cursor.fetchall()))
+
+
+@pytest.mark.parametrize("run", [1, 4, 4096])
+def test_runs_of_answers_are_followed_whole(spark, monkeypatch, run):
+    monkeypatch.setattr(quotes, "RUN", run)
+    parent = {i: None if i % 11 == 0 else i - 3 if i % 7 == 3 and i > 3 else i - 1 for i in range(60)}
+    rows = [(i, f"text {i}" if p is None else f"> text {p}\n\ntext {i}") for i, p in parent.items()]
+    got = {r.at: (r.parent, r.root, r.depth) for r in quotes.link_quotes(
+        spark.createDataFrame(rows, "at bigint, text string"), "at").collect()}
+
+    def path(i):
+        return [i] if parent[i] is None else [i, *path(parent[i])]
+
+    assert got == {i: (p, path(i)[-1], len(path(i)) - 1) for i, p in parent.items()}
