@@ -194,11 +194,11 @@ def _anomaly(
 def _baseline_for(known: DataFrame, baseline_events: DataFrame | None) -> DataFrame:
     """The statistics current facts are compared with.
 
-    From ``baseline_events`` when given, else from the first half of the events (all
-    of them when there are ten or fewer).  Metrics without a value there are taken
+    From ``baseline_events`` when there are any, else from the first half of the events
+    (all of them when there are ten or fewer).  Metrics without a value there are taken
     from the events themselves.
     """
-    if baseline_events is None:
+    if baseline_events is None or baseline_events.isEmpty():
         cut = order_value_at(known, "case when n > 10 then floor(n / 2) else n end")
         # One scan serves both: the histogram is kept per half.
         marked = known.withColumn("_base", F.col("seq") <= cut.scalar())

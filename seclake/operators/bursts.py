@@ -30,9 +30,8 @@ def failed_login_bursts(events: DataFrame, threshold: int = 5) -> DataFrame:
     )
     # Read several times below and much narrower than the events.
     rows = materialize(rows, "failed-logins")
-    size = rows.count()
     for keys, out in ((["ip"], "by_ip"), (["user"], "by_user"), (["ip", "user"], "by_both")):
-        rows = count_ahead(rows, keys, out, rows_known=size)
+        rows = count_ahead(rows, keys, out)
     return (
         rows.selectExpr(
             "coalesce(nullif(ip, ''), user) as source", "1 + by_ip + by_user - by_both as attempts"
@@ -57,18 +56,18 @@ def trailing_counts(per_second: DataFrame, keys: list[str], seconds: int) -> Dat
 
     The seconds of a key are cut into day blocks; the end of a block is repeated at
     the start of the next one, so that no sort group spans more than a block and
-    every frame is complete.
+    every frame is complete.  Events without a time are one row per key, a window of
+    their own.
     """
     block = max(DAY, seconds)
     own = f"floor(second / {block})"
-    reaches_next = f"pmod(second, {block}) >= {block - seconds}"
+    reaches_next = f"coalesce(pmod(second, {block}) >= {block - seconds}, false)"
     blocks = f"explode(if({reaches_next}, array({own}, {own} + 1), array({own}))) as _block"
     frame = Window.partitionBy(*keys, "_block").orderBy("second").rangeBetween(-seconds, 0)
     return (
-        per_second.where("second is not null")
-        .selectExpr("*", blocks)
+        per_second.selectExpr("*", blocks)
         .withColumn("in_window", F.sum("n").over(frame))
-        .where(f"_block = {own}")
+        .where(f"_block <=> {own}")
         .drop("_block")
     )
 
@@ -79,7 +78,8 @@ def failed_login_bursts_windowed(
     """Sources with at least ``threshold`` failed logins inside ``minutes``.
 
     One row per source: the highest count of any window, the second the threshold
-    was first met, and the number of failed logins at which it was met.
+    was first met, and the number of failed logins at which it was met.  Failed logins
+    without a time count as one window of their source.
     """
     rows = failed_logins(events).selectExpr(f"{SOURCE} as source", "event_ts").where("source <> ''")
     counts = trailing_counts(count_per_second(rows, ["source"]), ["source"], minutes * 60)
@@ -102,13 +102,13 @@ def attack_sessions(events: DataFrame, gap_minutes: int = 10) -> DataFrame:
 
     Rows within one gap-sized time slot always belong together, so a slot is first
     folded to its first second, last second and count; only slots are then put in
-    order per source.
+    order per source.  Failed logins without a time are one session without times.
     """
     gap = gap_minutes * 60
     slots = (
         failed_logins(events)
         .selectExpr(f"{SOURCE} as source", "unix_timestamp(event_ts) as second")
-        .where("source <> '' and second is not null")
+        .where("source <> ''")
         .selectExpr("source", "second", f"floor(second / {gap}) as slot")
         .groupBy("source", "slot")
         .agg(F.min("second").alias("first"), F.max("second").alias("last"),

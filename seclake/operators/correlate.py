@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..functions.pin import pin
 from ..functions.text import EVENT_TEXT, has_any, present, q
+from ..schema import EVENT_FIELDS
 from .detections import failed_logins, type_has
 
 # campaign -> word in the event type
@@ -29,29 +30,30 @@ def brute_force_campaigns(events: DataFrame) -> DataFrame:
 
 
 def listed_campaigns(events: DataFrame, first: int = 10) -> DataFrame:
-    """The first rows, in input order, of the campaigns named by the event type."""
+    """The first events, in input order, of the campaigns named by the event type, as whole records."""
+    order_columns = [c for c in ("file", "seq", "event_ts") if c in events.columns]
     tags = ", ".join(f"case when {type_has(word)} then {q(name)} end" for name, word in _LISTED.items())
     order = Window.partitionBy("campaign").orderBy("seq")
     return (
         events.selectExpr("*", f"explode(array_compact(array({tags}))) as campaign")
         .withColumn("position", F.row_number().over(order))
         .where(f"position <= {first}")
-        .selectExpr("campaign", "position", "timestamp", "source_ip", "user", "event_type",
-                    f"left({EVENT_TEXT}, 80) as message")
+        .select("campaign", "position", *order_columns, *EVENT_FIELDS)
     )
 
 
 def correlate(events: DataFrame, first: int = 10) -> DataFrame:
-    """All campaigns in one table: (campaign, key, attempts, position, timestamp, message)."""
+    """All campaigns in one table: (campaign, key, attempts, position, the event's columns).
+
+    Brute force campaigns are totals per address and have no event.
+    """
     brute = brute_force_campaigns(events).selectExpr(
-        "'brute_force_campaigns' as campaign", "source_ip as key", "attempts",
-        "cast(null as int) as position", "cast(null as string) as timestamp",
-        "cast(null as string) as message",
+        "'brute_force_campaigns' as campaign", "source_ip as key", "attempts"
     )
     listed = listed_campaigns(events, first).selectExpr(
-        "campaign", "coalesce(source_ip, '') as key", "1L as attempts", "position", "timestamp", "message"
+        "campaign", "coalesce(source_ip, '') as key", "1L as attempts", "* except (campaign)"
     )
-    return brute.unionByName(listed)
+    return brute.unionByName(listed, allowMissingColumns=True)
 
 
 _HOST = r"((?:\d{1,3}\.){3}\d{1,3})"

@@ -11,7 +11,7 @@ from ..functions.pin import pin
 from ..functions.text import first_case, present, q
 from ..schema import VERDICT
 from ..session import materialize
-from .joins import lookup_join
+from .joins import BROADCAST_ROWS, lookup_join
 
 
 def source_ips(events: DataFrame) -> DataFrame:
@@ -21,7 +21,9 @@ def source_ips(events: DataFrame) -> DataFrame:
 
 # --- prefix tables ----------------------------------------------------------
 
-def prefix_lookup(ips: DataFrame, table: DataFrame) -> DataFrame:
+def prefix_lookup(
+    ips: DataFrame, table: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """First matching prefix per address, ``ips(ip)`` against ``table(prefix, priority, ...)``.
 
     Prefixes end at an octet dot (or are whole addresses), so an address can only
@@ -36,7 +38,7 @@ def prefix_lookup(ips: DataFrame, table: DataFrame) -> DataFrame:
         .where("startswith(ip, prefix)")
         .distinct()
     )
-    hits = lookup_join(candidates, table, "prefix")
+    hits = lookup_join(candidates, table, "prefix", broadcast_rows)
     return (
         hits.groupBy("ip")
         .agg(F.min_by(F.struct("prefix", *payload), "priority").alias("_p"))
@@ -263,13 +265,19 @@ def enrich_ips(events: DataFrame, verdicts: DataFrame | None = None) -> DataFram
     return aggregate_verdicts(ips, verdicts)
 
 
-def enrich_events(events: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+def enrich_events(
+    events: DataFrame, verdicts: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Events with the verdict on their source address."""
+    # One reading gives the addresses and how often each occurs.
+    counts = materialize(
+        events.groupBy("source_ip").agg(F.count("*").alias("_n")), "source-counts"
+    )
     table = materialize(
-        enrich_ips(events, verdicts).selectExpr(
+        enrich_ips(counts, verdicts).selectExpr(
             "ip as source_ip", "is_malicious", "malicious_votes", "max_confidence",
             "aggregated.country as country",
         ),
         "enriched-ips",
     )
-    return lookup_join(events, table, "source_ip")
+    return lookup_join(events, table, "source_ip", broadcast_rows, counts)

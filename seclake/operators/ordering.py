@@ -40,18 +40,11 @@ def count_ahead(
     out: str,
     seq: str = "seq",
     later: bool = True,
-    rows_known: int | None = None,
 ) -> DataFrame:
     """Add ``out``: number of rows with the same keys and a later (earlier) order value.
 
-    Keys must not be NULL.  With an empty key list all rows form one group.  A table
-    known to hold no more rows than a block (``rows_known``) needs no blocks: no key
-    can exceed the size of a sort group then.
+    Keys must not be NULL.  With an empty key list all rows form one group.
     """
-    if rows_known is not None and rows_known <= 1 << BLOCK_BITS:
-        order = F.col(seq).desc() if later else F.col(seq).asc()
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-        return df.withColumn(out, (rank - 1).cast("bigint"))
     block, super_block = order_blocks(df, seq)
     rows = df.withColumn("_block", block).withColumn("_super", super_block)
 
@@ -91,23 +84,32 @@ def order_value_at(df: DataFrame, position: str, seq: str = "seq") -> DataFrame:
     ``position`` is an expression over ``n``, the number of rows.  NULL when there is
     no such row.
     """
-    block, _ = order_blocks(df, seq)
-    rows = df.select(F.col(seq).alias("_seq"), block.alias("_block"))
-    # One row per 2**20 order values: small enough for a single running sum.
-    blocks = rows.groupBy("_block").agg(F.count("*").alias("_n"))
-    running = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.orderBy("_block").rowsBetween(
+    block, super_block = order_blocks(df, seq)
+    rows = df.select(F.col(seq).alias("_seq"), block.alias("_block"), super_block.alias("_super"))
+    blocks = rows.groupBy("_super", "_block").agg(F.count("*").alias("_n"))
+    # Running sums over the super blocks (2**40 order values or one file each), then
+    # over the blocks of the one which holds the position.
+    supers = blocks.groupBy("_super").agg(F.sum("_n").alias("_m"))
+    running = Window.orderBy("_super").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.orderBy("_super").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
-    target = (
-        blocks.withColumn("_end", F.sum("_n").over(running))
-        .withColumn("n", F.sum("_n").over(everything))
+    top = (
+        supers.withColumn("_end", F.sum("_m").over(running))
+        .withColumn("n", F.sum("_m").over(everything))
         .selectExpr("*", f"{position} as _position")
-        .where("_position <= _end and _position > _end - _n")
-        .selectExpr("_block", "_position - _end + _n as _in_block")
+        .where("_position <= _end and _position > _end - _m")
+        .selectExpr("_super", "_position - _end + _m as _in_super")
+    )
+    inside = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    target = (
+        blocks.join(F.broadcast(top), "_super")  # one row at most
+        .withColumn("_end", F.sum("_n").over(inside))
+        .where("_in_super <= _end and _in_super > _end - _n")
+        .selectExpr("_super", "_block", "_in_super - _end + _n as _in_block")
     )
     return (
-        rows.join(F.broadcast(target), "_block")  # one row at most
+        rows.join(F.broadcast(target), ["_super", "_block"])  # one row at most
         .withColumn("_rank", F.row_number().over(Window.orderBy("_seq")))
         .where("_rank = _in_block")
         .agg(F.max("_seq").alias("cut"))

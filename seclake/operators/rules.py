@@ -71,43 +71,88 @@ def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, RULE)
 
 
-def valid_regex(spark: SparkSession, pattern: str) -> bool:
-    """Whether the regex engine which will run the pattern accepts it."""
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception:
-        return False
-    return True
-
-
 def quoted(pattern: str) -> str:
     return re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", pattern)
 
 
-def _predicate(rule: Rule, spark: SparkSession) -> str:
+_REPEAT = re.compile(r"\{(\d*)(,?)(\d*)\}")
+_FLAGS = re.compile(r"\(\?([aiLmsux]+)(-[imsx]+)?([:)])")
+
+
+def to_java(pattern: str) -> str:
+    """A pattern of a rule file (Python's dialect) for the engine which runs it.
+
+    A pattern which is not valid in its own dialect matches its own text.  A valid one
+    is never taken literally: what the engine cannot express ends the job.
+    """
+    try:
+        re.compile(pattern, re.IGNORECASE)
+    except re.error:
+        return quoted(pattern)
+    names: dict[str, str] = {}  # Java's group names have no underscore
+    out, i, first = [], 0, None  # ``first``: place of the first character of an open class
+    while i < len(pattern):
+        c, step = pattern[i], 1
+        if c == "\\":
+            c, step = pattern[i : i + 2], 2
+            if first is not None:
+                c = {"\\b": "\\x08", "\\v": "\\x0B"}.get(c, c)
+            else:
+                c = {"\\Z": "\\z", "\\v": "\\x0B"}.get(c, c)
+        elif first is not None:
+            if c == "]" and i > first:
+                first = None
+            elif c in "[]&":
+                c = "\\" + c
+        elif c == "[":
+            c = "[^" if pattern.startswith("[^", i) else "["
+            step = len(c)
+            first = i + step
+        elif pattern.startswith("(?P<", i):
+            end = pattern.index(">", i)
+            name = names.setdefault(pattern[i + 4 : end], f"g{len(names) + 1}")
+            c, step = f"(?<{name}>", end + 1 - i
+        elif pattern.startswith("(?P=", i):
+            end = pattern.index(")", i)
+            c, step = f"\\k<{names[pattern[i + 4 : end]]}>", end + 1 - i
+        elif pattern.startswith("(?#", i):
+            c, step = "", pattern.index(")", i) + 1 - i
+        elif pattern.startswith("(?(", i):
+            raise ValueError(f"conditional groups are not supported: {pattern!r}")
+        elif found := _FLAGS.match(pattern, i):
+            kept = re.sub("[aLu]", "", found[1]) + (found[2] or "")
+            c, step = f"(?{kept}{found[3]}" if kept or found[3] == ":" else "", len(found[0])
+        elif c == "{":
+            found = _REPEAT.match(pattern, i)
+            if found and found[0] != "{}":
+                c, step = f"{{{found[1] or 0}{found[2]}{found[3]}}}", len(found[0])
+            else:
+                c = "\\{"
+        out.append(c)
+        i += step
+    return "".join(out)
+
+
+def _predicate(rule: Rule) -> str:
     """Match condition over the pinned columns ``_low`` (text), ``_type`` and ``source_ip``."""
     if rule.condition == "source_ip_starts_with":
         return starts_with_any("source_ip", fixed.SUSPICIOUS_PREFIXES)
     if rule.condition == "ip_is_tor":
         return starts_with_any("source_ip", (fixed.TOR_PREFIX,))
     plain = [p.lower() for p in rule.patterns if is_plain(p)]
-    regexes = []
-    for pattern in rule.patterns:
-        if not is_plain(pattern):
-            named = pattern.replace("(?P<", "(?<")  # the other spelling of named groups
-            regexes.append(named if valid_regex(spark, named) else quoted(pattern))
+    regexes = [to_java(p) for p in rule.patterns if not is_plain(p)]
     tests = [f"contains({c}, {q(p)})" for p in plain for c in ("_low", "_type")]
     # One test per pattern: joined by "|", their group names and numbers would collide.
-    tests += [f"rlike({c}, {q('(?i)' + p)})" for p in regexes for c in ("_low", "_type")]
+    # "d": only a line feed ends a line.
+    tests += [f"rlike({c}, {q('(?id)' + p)})" for p in regexes for c in ("_low", "_type")]
     return " or ".join(tests) or "false"
 
 
 def rule_hits(events: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per (enabled rule, matching event): ``position`` of the rule, ``seq``, ``keep``."""
-    spark = events.sparkSession
     text = pin(events, _low=f"lower({EVENT_TEXT})", _type="lower(coalesce(event_type, ''))")
     tests = [
-        f"case when {_predicate(rule, spark)} then {position} end"
+        f"case when {_predicate(rule)} then {position} end"
         for position, rule in enumerate(rules)
         if rule.enabled
     ]
@@ -119,7 +164,8 @@ def enforce(hits: DataFrame, rules: list[Rule]) -> DataFrame:
     """Keep hits only where one source reaches the rule's threshold; returns (position, n).
 
     With a time window the matches of the window up to the hit count; without one
-    all matches of the source do.  The hits (``position, source, event_ts``) are
+    all matches of the source do.  Matches without a time count as one window of their
+    source.  The hits (``position, source, event_ts``) are
     counted per source and second first, in one scan.
     """
     strict = ", ".join(str(i) for i, r in enumerate(rules) if r.threshold > 1) or "-1"

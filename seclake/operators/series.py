@@ -20,7 +20,7 @@ def levels(series: DataFrame, order: str, value: str, width: int = 50) -> DataFr
         series.selectExpr(f"cast({order} as bigint) as _order", f"{value} as value"), "series"
     )
     n = stored.count()
-    indexed = count_ahead(stored, [], "position", seq="_order", later=False, rows_known=n)
+    indexed = count_ahead(stored, [], "position", seq="_order", later=False)
     points = series.sparkSession.range(width).selectExpr(
         "cast(id as int) as point", f"floor(id * ({n} / {float(width)}D)) as position"
     )

@@ -7,6 +7,7 @@ are expressed in plain SQL, using the fixed values but none of the job code.
 from __future__ import annotations
 
 from .. import fixed
+from ..schema import CASE, EVENT_FIELDS
 from ..sources.derived import CASE_SQL, FEED_SQL
 
 
@@ -138,6 +139,8 @@ feed as (select """ + ", ".join(f"{sql} as {name}" for name, sql in FEED_SQL.ite
 _AUTO = "coalesce(own_format, 'syslog')"
 LOGS = "with" + ",".join([_LINES, _FORMAT, _parsed(_AUTO)])
 SCORED = LOGS + "," + _scored("ev")
+# Header times say nothing without a year.
+UNTIMED = LOGS + ", tv as (select * replace (case when format = 'cloudtrail' then event_ts end as event_ts) from ev)"
 CASES = "with" + _CASES
 CASES_SCORED = CASES + "," + _scored("ca")
 
@@ -186,16 +189,22 @@ def _phases(table: str) -> str:
     return f" select * from ({arms}) where events > 0"
 
 
+# Event columns which the CTE does not have.
+_MISSING = {"ev": ("message",), "ca": ("source_port", "pid", "mitre_tactic", "mitre_technique")}
+
+
 def _correlate(table: str) -> str:
+    record = ", ".join(f"null::varchar as {c}" if c in _MISSING[table] else f'"{c}"' for c in EVENT_FIELDS)
     lists = " union all ".join(
         f"""select '{name}' as campaign, coalesce(source_ip, '') as key, 1::bigint as attempts,
-        row_number() over (order by seq)::int as position, "timestamp", text[1:80] as message
+        row_number() over (order by seq)::int as position, seq, {record}
         from {table} where contains({_TYPE}, '{word}') qualify position <= 10"""
         for name, word in (("privilege_escalation_attempts", "priv_esc"), ("lateral_movement_chains", "lateral"),
                            ("exfiltration_campaigns", "exfil"))
     )
+    nothing = ", ".join(f'null::varchar as "{c}"' for c in EVENT_FIELDS)
     return f""" select 'brute_force_campaigns' as campaign, source_ip as key, count(*) as attempts, null::int as position,
-      null::varchar as "timestamp", null::varchar as message
+      null::bigint as seq, {nothing}
       from {table} where contains({_TYPE}, 'fail') and source_ip <> '' group by source_ip union all {lists}"""
 
 
@@ -227,6 +236,15 @@ _CUSTOM = [
     ("R102", "Session By Root", "low", "", "", _rule_test("", [r"user\d+5 by", r"\*bad\["])),
     ("R013", "Without Id", "notice", "", "", _rule_test("", ["cron", "useradd"])),
 ]
+# The patterns of PATTERN_RULES, written for this engine by hand.
+_PATTERNS = [
+    ("P1", "Named Group", "high", "", "", _rule_test("", [r"from [0-9]+\.[0-9]+\.0\."])),
+    ("P2", "Named Reference", "low", "", "", _rule_test("", ["sshd"])),
+    ("P3", "Repeats From Zero", "low", "", "", _rule_test("", ["port 1([0-9]([0-9]([0-9])?)?)? ssh"])),
+    ("P4", "Class With Bracket", "low", "", "", _rule_test("", [r"cron(\[|a)[0-9]+", r"(\]|&|x)uid=0"])),
+    ("P5", "Broken", "low", "", "", f"contains({_LOW}, '(uid=0')"),
+    ("P6", "Comment And Brace", "low", "", "", _rule_test("", [r"sudo: user\{?=[a-z0-9_]+5\b"])),
+]
 
 
 def _hits(table: str, rules) -> str:
@@ -250,11 +268,12 @@ def _rules(table: str, rules) -> str:
     group by rule_id, rule_name, severity, mitre_tactic, mitre_technique"""
 
 
-def _thresholded() -> str:
+def _thresholded(table: str = "ev") -> str:
     return f"""
-    , h as ({_hits('ev', _BUILTIN)}),
-    k as (select *, count(*) over (partition by pos, source order by epoch(event_ts)::bigint
-        range between 43200 preceding and current row) as recent,
+    , h as ({_hits(table, _BUILTIN)}),
+    k as (select *, case when event_ts is null then count(*) over (partition by pos, source, event_ts is null)
+        else count(*) over (partition by pos, source, event_ts is null order by epoch(event_ts)::bigint
+        range between 43200 preceding and current row) end as recent,
         count(*) over (partition by pos, source) as total from h)
     select {_RULE_COLUMNS} from k
     where case rule_id when 'R001' then recent >= 2 when 'R007' then total >= 10 else true end
@@ -311,6 +330,29 @@ def _metric_anomalies(base: str) -> str:
       from cmp where case when std_dev = 0 then value > mean * 2 else abs(z) > 2 end)"""
 
 
+_FAILED_AT = f"""select event_ts, case when coalesce(source_ip, '') <> '' then source_ip else coalesce("user", '') end as source
+            from {{0}} where contains({_TYPE}, 'fail')"""
+
+
+def _windowed(table: str) -> str:
+    return f""", f as ({_FAILED_AT.format(table)}),
+            w as (select *, case when event_ts is null then count(*) over (partition by source, event_ts is null)
+              else count(*) over (partition by source, event_ts is null order by epoch(event_ts)::bigint
+              range between 36000 preceding and current row) end as recent
+            from f where source <> '') select source, max(recent) as peak, strftime(min(event_ts), {_CLOCK}) as first_at, count(*) as attempts_over
+            from w where recent >= 2 group by source"""
+
+
+def _sessions(table: str) -> str:
+    return f""", f as ({_FAILED_AT.format(table)}),
+            l as (select *, case when event_ts - lag(event_ts) over w < interval 12 hour then 0 else 1 end as starts
+            from f where source <> '' and event_ts is not null window w as (partition by source order by event_ts)),
+            s as (select *, sum(starts) over (partition by source order by event_ts range unbounded preceding) as session from l)
+            select source, strftime(min(event_ts), {_CLOCK}) as started_at, strftime(max(event_ts), {_CLOCK}) as last_at, count(*) as attempts
+            from s group by source, session
+            union all select source, null, null, count(*) from f where source <> '' and event_ts is null group by source"""
+
+
 _HALF = """select * from mv where seq in (select seq from (select seq, row_number() over (order by seq) as rn,
    count(*) over () as n from ev) where n <= 10 or rn <= n // 2)"""
 
@@ -376,10 +418,10 @@ v as (select seq, ip, provider,
   case provider when 'AbuseIPDB' then {_jb(_AB + '.isDatacenter')} when 'Shodan' then contains({_list('$.tags[*]')}, 'datacenter') else false end as is_datacenter,
   case provider when 'AbuseIPDB' then {_ji(_AB + '.abuseConfidenceScore')} else 0 end as abuse_score,
   case provider when 'AbuseIPDB' then {_ji(_AB + '.totalReports')} else 0 end as report_count,
-  case provider when 'VirusTotal' then replace({_jt(_VT + '.last_analysis_date')}, '0', '') when 'AbuseIPDB' then {_jt(_AB + '.lastReportedAt')} else '' end as last_reported,
+  case provider when 'VirusTotal' then coalesce(nullif({_jt(_VT + '.last_analysis_date')}, '0'), '') when 'AbuseIPDB' then {_jt(_AB + '.lastReportedAt')} else '' end as last_reported,
   case provider when 'AbuseIPDB' then coalesce(array_to_string(json_extract_string(j, '{_AB}.reports[*]')[1:5], ','), '')
-    when 'AlienVaultOTX' then case when j is null then '' else 'malware,scan' end else '' end as categories,
-  case provider when 'VirusTotal' then {_list(_VT + '.tags[*]')} when 'AlienVaultOTX' then case when j is null then '' else 'p1,,p3' end
+    when 'AlienVaultOTX' then coalesce(array_to_string(list_sort(list_distinct(json_extract_string(j, '$.categories.*'))), ','), '') else '' end as categories,
+  case provider when 'VirusTotal' then {_list(_VT + '.tags[*]')} when 'AlienVaultOTX' then coalesce(array_to_string(list_transform(json_extract(j, '$.pulse_info.pulses[*]'), lambda x: coalesce(json_extract_string(x, '$.name'), '')), ','), '')
     when 'Shodan' then {_list('$.tags[*]')} else '' end as tags
   from fj)"""
 
@@ -462,7 +504,15 @@ def all_sql() -> dict[str, str]:
     as_syslog = "with" + ",".join([_LINES, _FORMAT, _parsed("'syslog'")])
     as_ssh = "with" + ",".join([_LINES, _FORMAT, _parsed("'ssh'")])
     counted = "count(*) as events from ev where {0} <> '' group by 1"
-    stream_mark = "(select max(event_ts) - interval 10 minute from fl)"
+    empty, written = "''", ("timestamp", "host", "user", "source_ip", "event_type", "raw_message", "severity")
+    prefixes = f"""{LOGS} , i as ({_EV_IPS}), t as (select * from (values ('185.220.', 0, 'anonymizer'), ('185.220.101.', 1, 'never reached'),
+            ('10.', 2, 'private'), ('192.168.1.', 3, 'office'), ('45.33.32.10', 4, 'one host'), ('45.', 5, 'cloud')) t(prefix, priority, label))
+            select ip, prefix, label from i left join t on case when ends_with(prefix, '.') then starts_with(ip, prefix) else ip = prefix end
+            qualify row_number() over (partition by ip order by priority) = 1"""
+    enriched = f"""{INTEL} {_aggregated(_EV_IPS)} select seq, source_ip, (malicious_votes > 0)::int as is_malicious, malicious_votes,
+            max_confidence, ag.country from ev left join ag on ag.ip = ev.source_ip"""
+    hec = f"""{SCORED} select json_object('event', {_DOC.format(severity='severity')}, 'host', host, 'index', 'security',
+            'source', 'seclake', 'sourcetype', 'seclake:json')::varchar as value from sc"""
     return {
         # parsing
         "parsed_events": f"{LOGS} select {_FIELDS} from ev",
@@ -518,18 +568,10 @@ def all_sql() -> dict[str, str]:
         "failed_login_bursts": LOGS + _bursts("ev"),
         "failed_login_bursts_top10": LOGS + _bursts("ev") + " order by attempts desc, source limit 10",
         "failed_login_bursts_cases": CASES + _bursts("ca"),
-        "failed_login_bursts_windowed": f"""{LOGS} , f as (select event_ts, case when coalesce(source_ip, '') <> '' then source_ip else coalesce("user", '') end as source
-            from ev where contains({_TYPE}, 'fail')),
-            w as (select *, count(*) over (partition by source order by epoch(event_ts)::bigint range between 36000 preceding and current row) as recent
-            from f where source <> '') select source, max(recent) as peak, strftime(min(event_ts), {_CLOCK}) as first_at, count(*) as attempts_over
-            from w where recent >= 2 group by source""",
-        "attack_sessions": f"""{LOGS} , f as (select event_ts, case when coalesce(source_ip, '') <> '' then source_ip else coalesce("user", '') end as source
-            from ev where contains({_TYPE}, 'fail')),
-            l as (select *, case when event_ts - lag(event_ts) over w < interval 12 hour then 0 else 1 end as starts from f where source <> ''
-            window w as (partition by source order by event_ts)),
-            s as (select *, sum(starts) over (partition by source order by event_ts range unbounded preceding) as session from l)
-            select source, strftime(min(event_ts), {_CLOCK}) as started_at, strftime(max(event_ts), {_CLOCK}) as last_at, count(*) as attempts
-            from s group by source, session""",
+        "failed_login_bursts_windowed": LOGS + _windowed("ev"),
+        "bursts_untimed": UNTIMED + _windowed("tv"),
+        "attack_sessions": LOGS + _sessions("ev"),
+        "attack_sessions_untimed": UNTIMED + _sessions("tv"),
         "auth_failures": f"""{LOGS} select seq, source_ip, "user" from ev where {_FAILING}""",
         "new_accounts": f"""{LOGS} select seq, "timestamp", "user", "user" || ' created on ' || "timestamp" as item from ev
             where event_type in ('account_created', 'new_account', 'account_password')""",
@@ -552,6 +594,8 @@ def all_sql() -> dict[str, str]:
         "rules_builtin": LOGS + _rules("ev", _BUILTIN),
         "rules_builtin_cases": CASES + _rules("ca", _BUILTIN),
         "rules_thresholded": LOGS + _thresholded(),
+        "rules_thresholded_untimed": UNTIMED + _thresholded("tv"),
+        "rules_patterns": LOGS + _rules("ev", _PATTERNS),
         "rules_custom_merge": LOGS + _rules("ev", _BUILTIN + _CUSTOM),
         "rules_summary": f"""{LOGS} , h as ({_hits('ev', _BUILTIN)}), r as (select distinct rule_id, severity from h)
             select 10::int as rules_evaluated, count(*) as matches, {', '.join(four)} from r""",
@@ -563,6 +607,7 @@ def all_sql() -> dict[str, str]:
             st as ({_stats('mv')}) select metric, {_ROUNDED} from st""",
         "anomalies": f"{LOGS} {_ALL_ANOMALIES} select {_ANOMALY} from an",
         "anomalies_against_cases": f"""{LOGS},{_CASES} {_metric_anomalies(f"select * from ({_metric_values('ca')})")} select {_ANOMALY} from ma""",
+        "anomalies_empty_baseline": f"{LOGS} {_metric_anomalies(_HALF)} select {_ANOMALY} from ma",
         "anomaly_summary": f"""{LOGS} {_ALL_ANOMALIES} select count(*) as total_anomalies, {', '.join(four)},
             string_agg(distinct metric, ',' order by metric) as metrics_affected from an""",
         "off_hours": f"{CASES} {_off_hours('ca')} select {_ANOMALY} from oh",
@@ -573,10 +618,8 @@ def all_sql() -> dict[str, str]:
         "intel_lookup": f"""{LOGS} , i as ({_EV_IPS}) select ip, {_prefix('ip', fixed.LOCAL_INTEL, "'unknown'", lambda v: v[0])} as type,
             {_prefix('ip', fixed.LOCAL_INTEL, "'info'", lambda v: v[1])} as severity,
             {_prefix('ip', fixed.LOCAL_INTEL, "'unknown'", lambda v: v[2])} as reputation from i""",
-        "prefix_lookup": f"""{LOGS} , i as ({_EV_IPS}), t as (select * from (values ('185.220.', 0, 'anonymizer'), ('185.220.101.', 1, 'never reached'),
-            ('10.', 2, 'private'), ('192.168.1.', 3, 'office'), ('45.33.32.10', 4, 'one host'), ('45.', 5, 'cloud')) t(prefix, priority, label))
-            select ip, prefix, label from i left join t on case when ends_with(prefix, '.') then starts_with(ip, prefix) else ip = prefix end
-            qualify row_number() over (partition by ip order by priority) = 1""",
+        "prefix_lookup": prefixes,
+        "prefix_lookup_shuffled": prefixes,
         "verdicts_normalized": f"{FEED} select * from v",
         "verdicts_aggregated": f"{INTEL} {_aggregated(_EV_IPS)} select *, malicious_votes > 0 as is_malicious from ag",
         "verdict_details": f"{FEED} select ip, string_agg(provider || ':' || confidence, ',' order by place) as details from lv group by ip",
@@ -586,24 +629,33 @@ def all_sql() -> dict[str, str]:
             when is_tor then 'tor_exit_node' when is_vpn then 'vpn' when is_proxy then 'proxy' when is_datacenter then 'datacenter' else 'clean' end) as reputation from ag""",
         "enrich_ips_local": f"""{LOGS} , i as ({_EV_IPS}) select ip, case when {_fallback(1)} in ('malicious', 'suspicious') then 'MALICIOUS' else 'clean' end as verdict,
             coalesce({_fallback(2)}, '') as country from i""",
-        "enrich_events": f"""{INTEL} {_aggregated(_EV_IPS)} select seq, source_ip, (malicious_votes > 0)::int as is_malicious, malicious_votes,
-            max_confidence, ag.country from ev left join ag on ag.ip = ev.source_ip""",
+        "enrich_events": enriched,
+        "enrich_events_shuffled": enriched,
         # documents
         "siem_docs": f"""{SCORED} select "timestamp", 'event' as event_kind, 'authentication' as event_category, event_type, severity as log_level,
             text as message, source_ip, destination_ip, "user" as user_name, host as host_name, host as log_source_name,
             coalesce(mitre_tactic, '') as mitre_tactic, coalesce(mitre_technique, '') as mitre_technique from sc""",
         "plain_docs": f"{SCORED} select {_DOC.format(severity='severity')}::varchar as value from sc",
         "bulk_ndjson": f"""{LOGS} select '{{"index":{{"_index":"security-logs"}}}}' || chr(10) || {_DOC.format(severity="'info'")}::varchar as value from ev""",
-        "hec_payloads": f"""{SCORED} select json_object('event', {_DOC.format(severity='severity')}, 'host', host, 'index', 'security',
-            'source', 'seclake', 'sourcetype', 'seclake:json')::varchar as value from sc""",
+        "hec_payloads": hec,
+        "exported_hec": hec,
         "alerts_medium": f"{SCORED} select {_ALERT} from sc where {_RANK} <= 2",
         "alerts_severe": f"{SCORED} select {_ALERT.replace('100', '80')} from sc where severity in ('critical', 'high', 'medium')",
         "alert_summary": f"""{SCORED} , a as (select upper(severity) as severity from sc where {_RANK} <= 3 order by seq desc limit 50)
             select coalesce(severity, 'TOTAL') as severity, count(*) as alerts from a group by rollup (severity)""",
-        "tickets": f"""{SCORED} select seq, 'Security alert' as title, text[1:100] as description, upper(severity) as severity,
+        "tickets": f"""{SCORED} select seq, 'Security alert' as title, text as description, upper(severity) as severity,
             case severity when 'critical' then 'P1' when 'high' then 'P2' when 'medium' then 'P3' else 'P4' end as priority, source_ip, "user",
             'seclake,triage' as tags, 'seclake' as source, {_map('severity', fixed.TICKET_CATEGORY, "'other'")} as category, 'open' as status
             from sc where {_RANK} <= 1""",
+        "tickets_long": f"""{SCORED} select seq, text as description,
+            case severity when 'critical' then 'P1' when 'high' then 'P2' when 'medium' then 'P3' else 'P4' end as priority
+            from sc where length(text) > 100""",
+        # files
+        "text_files_parsed": f"{LOGS} select {_FIELDS.replace('file, seq, ', '')} from ev",
+        "case_files_scored": f"""{CASES_SCORED} select strftime(event_ts, {_CLOCK}) as event_time, {', '.join(f'"{c}"' for c in CASE.fieldNames())},
+            severity from sc""",
+        "csv_files": f"""{SCORED} select seq, {', '.join(f'coalesce("{c}", {empty}) as "{c}"' for c in written)} from sc""",
+        "json_files": f"""{SCORED} select seq, {', '.join(f'"{c}"' for c in written)} from sc""",
         # compositions
         "triage_summary": LOGS + _triage(),
         "report_summary": f"{SCORED} select count(*) as total_events, {', '.join(levels)} from sc",
@@ -611,20 +663,21 @@ def all_sql() -> dict[str, str]:
             {_prefix('ip', fixed.LOCAL_INTEL, "'info'", lambda v: v[1])} as severity,
             {_prefix('ip', fixed.LOCAL_INTEL, "'unknown'", lambda v: v[2])} as reputation from i) select * from r where reputation <> 'unknown'""",
         "dashboard_event_types": LOGS + _top("event_type", 15, "value[1:20]"),
-        # streams: windows and sessions are final once the watermark has passed them
+        # streams, to their end
         "stream_events": f"""{SCORED} select seq, event_type, source_ip, "user", severity from sc""",
         "stream_alerts": f"{SCORED} select {_ALERT} from sc where {_RANK} <= 1",
         "stream_bursts": f"""{LOGS} , fl as (select event_ts, case when coalesce(source_ip, '') <> '' then source_ip else coalesce("user", '') end as source
             from ev where contains({_TYPE}, 'fail')),
             w as (select source, time_bucket(interval 30 minute, event_ts) - to_minutes(30 * k) as started from fl, range(2) r(k) where source <> '')
             select source, strftime(started, {_CLOCK}) as started_at, strftime(started + interval 60 minute, {_CLOCK}) as ended_at, count(*) as attempts
-            from w where started + interval 60 minute <= {stream_mark} group by source, started having count(*) >= 2""",
+            from w group by source, started having count(*) >= 2""",
         "stream_sessions": f"""{LOGS} , fl as (select event_ts, case when coalesce(source_ip, '') <> '' then source_ip else coalesce("user", '') end as source
             from ev where contains({_TYPE}, 'fail')),
             l as (select *, case when event_ts - lag(event_ts) over w < interval 120 minute then 0 else 1 end as starts from fl where source <> ''
             window w as (partition by source order by event_ts)),
             s as (select *, sum(starts) over (partition by source order by event_ts range unbounded preceding) as session from l)
             select source, strftime(min(event_ts), {_CLOCK}) as started_at, strftime(max(event_ts) + interval 120 minute, {_CLOCK}) as ended_at, count(*) as attempts
-            from s group by source, session having max(event_ts) + interval 120 minute <= {stream_mark}""",
+            from s group by source, session""",
+        "stream_text_alerts": f"{SCORED} select {_ALERT.replace('seq, ', '', 1)} from sc where {_RANK} <= 1",
         "stream_deduped": f"{LOGS} select seq, event_type from ev",
     }

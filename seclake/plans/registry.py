@@ -11,9 +11,13 @@ from ..functions import network, times
 from ..operators import (
     anomaly, bursts, correlate, detections, intel, parse, rules, series, summary, timeline,
 )
-from ..schema import EVENT_FIELDS
-from ..sinks import alerts, siem
+from ..schema import CASE, EVENT_FIELDS
+from ..session import scratch_path
+from ..sinks import alerts, files, siem
 from ..sources import derived
+from ..sources.cases import read_cases
+from ..sources.lines import read_lines
+from ..sources.lines import stream_lines as follow_lines
 from ..streaming import live
 from . import reports
 
@@ -32,6 +36,16 @@ CUSTOM_RULES = [
 ]
 
 
+PATTERN_RULES = [
+    {"id": "P1", "name": "Named Group", "severity": "high", "patterns": [r"from (?P<src_ip>\d+\.\d+)\.0\."]},
+    {"id": "P2", "name": "Named Reference", "severity": "low", "patterns": [r"(?P<one_s>s)(?P=one_s)hd"]},
+    {"id": "P3", "name": "Repeats From Zero", "severity": "low", "patterns": [r"port 1[0-9]{,3} ssh"]},
+    {"id": "P4", "name": "Class With Bracket", "severity": "low", "patterns": [r"cron[[a]\d+", r"[]&&x]uid=0"]},
+    {"id": "P5", "name": "Broken", "severity": "low", "patterns": ["(uid=0"]},
+    {"id": "P6", "name": "Comment And Brace", "severity": "low", "patterns": [r"(?#note)(?u:sudo): user{?=\w+5\b"]},
+]
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -283,6 +297,21 @@ def attack_sessions(spark, d):
     return bursts.attack_sessions(events(spark, d), gap_minutes=720)
 
 
+def untimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events parsed without a year: header times stay unknown."""
+    return parse.parse_lines(lines(spark, sf_dir))
+
+
+@query
+def bursts_untimed(spark, d):
+    return bursts.failed_login_bursts_windowed(untimed(spark, d), threshold=2, minutes=600)
+
+
+@query
+def attack_sessions_untimed(spark, d):
+    return bursts.attack_sessions(untimed(spark, d), gap_minutes=720)
+
+
 @query
 def auth_failures(spark, d):
     return detections.auth_failures(events(spark, d)).select("seq", "source_ip", "user")
@@ -323,14 +352,17 @@ def data_exfiltration_cases(spark, d):
     return detections.data_exfiltration(cases(spark, d))
 
 
+_CAMPAIGN = ("campaign", "key", "attempts", "position", "seq", *EVENT_FIELDS)
+
+
 @query
 def correlate_logs(spark, d):
-    return correlate.correlate(events(spark, d))
+    return correlate.correlate(events(spark, d)).select(*_CAMPAIGN)
 
 
 @query
 def correlate_cases(spark, d):
-    return correlate.correlate(cases(spark, d))
+    return correlate.correlate(cases(spark, d)).select(*_CAMPAIGN)
 
 
 @query
@@ -360,14 +392,28 @@ def rules_builtin_cases(spark, d):
     return _rule_rows(rules.run_rules(cases(spark, d)))
 
 
-@query
-def rules_thresholded(spark, d):
-    changed = [
+def _strict_rules() -> list[rules.Rule]:
+    return [
         rules.Rule(**{**vars(r), "threshold": 2, "time_window": 43_200}) if r.id == "R001" else
         rules.Rule(**{**vars(r), "threshold": 10}) if r.id == "R007" else r
         for r in rules.builtin_rules()
     ]
-    return rules.run_rules(events(spark, d), changed, samples=0, thresholds=True)
+
+
+@query
+def rules_thresholded(spark, d):
+    return rules.run_rules(events(spark, d), _strict_rules(), samples=0, thresholds=True)
+
+
+@query
+def rules_thresholded_untimed(spark, d):
+    return rules.run_rules(untimed(spark, d), _strict_rules(), samples=0, thresholds=True)
+
+
+@query
+def rules_patterns(spark, d):
+    """Patterns in the dialect of rule files."""
+    return _rule_rows(rules.run_rules(events(spark, d), rules.merge_rules([], PATTERN_RULES)))
 
 
 @query
@@ -420,6 +466,12 @@ def anomalies_against_cases(spark, d):
     return _anomaly_rows(anomaly.metric_anomalies(events(spark, d), cases(spark, d)))
 
 
+@query
+def anomalies_empty_baseline(spark, d):
+    """An empty baseline counts as none."""
+    return _anomaly_rows(anomaly.metric_anomalies(events(spark, d), cases(spark, d).where("false")))
+
+
 @query
 def anomaly_summary(spark, d):
     found = anomaly.anomaly_summary(anomaly.detect_anomalies(events(spark, d)))
@@ -449,14 +501,23 @@ def intel_lookup(spark, d):
     return intel.intel_lookup(events(spark, d))
 
 
-@query
-def prefix_lookup(spark, d):
-    table = spark.createDataFrame(
+def _prefixes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
         [("185.220.", 0, "anonymizer"), ("185.220.101.", 1, "never reached"), ("10.", 2, "private"),
          ("192.168.1.", 3, "office"), ("45.33.32.10", 4, "one host"), ("45.", 5, "cloud")],
         "prefix STRING, priority INT, label STRING",
     )
-    return intel.prefix_lookup(intel.source_ips(events(spark, d)), table)
+
+
+@query
+def prefix_lookup(spark, d):
+    return intel.prefix_lookup(intel.source_ips(events(spark, d)), _prefixes(spark))
+
+
+@query
+def prefix_lookup_shuffled(spark, d):
+    """As against a table too large to broadcast."""
+    return intel.prefix_lookup(intel.source_ips(events(spark, d)), _prefixes(spark), broadcast_rows=0)
 
 
 @query
@@ -498,9 +559,18 @@ def enrich_ips_local(spark, d):
 
 @query
 def enrich_events(spark, d):
-    enriched = intel.enrich_events(events(spark, d), verdicts(spark, d))
-    return enriched.select("seq", "source_ip", F.col("is_malicious").cast("int").alias("is_malicious"),
-                           "malicious_votes", "max_confidence", "country")
+    return _enriched(intel.enrich_events(events(spark, d), verdicts(spark, d)))
+
+
+@query
+def enrich_events_shuffled(spark, d):
+    """As against a table too large to broadcast."""
+    return _enriched(intel.enrich_events(events(spark, d), verdicts(spark, d), broadcast_rows=0))
+
+
+def _enriched(rows: DataFrame) -> DataFrame:
+    return rows.select("seq", "source_ip", F.col("is_malicious").cast("int").alias("is_malicious"),
+                       "malicious_votes", "max_confidence", "country")
 
 
 # --- documents, alerts, tickets ---------------------------------------------
@@ -546,10 +616,18 @@ def alert_summary(spark, d):
 @query
 def tickets(spark, d):
     rows = alerts.to_tickets(
-        alerts.to_alerts(scored(spark, d), "high"), tags=("triage",), workflow=True)
+        alerts.to_alerts(scored(spark, d), "high", length=None), tags=("triage",), workflow=True)
     return rows.withColumns(_joined("tags")).drop("created_at")
 
 
+@query
+def tickets_long(spark, d):
+    """Of all events whose text is longer than an alert shows."""
+    long = scored(spark, d).where("length(raw_message) > 100")
+    return alerts.to_tickets(alerts.to_alerts(long, show_all=True, length=None)).select(
+        "seq", "description", "priority")
+
+
 # --- compositions -----------------------------------------------------------
 
 @query
@@ -597,13 +675,76 @@ def stream_alerts(spark, d):
 @query
 def stream_bursts(spark, d):
     parsed = parse.parse_lines(stream_lines(spark, d), derived.YEAR)
-    return live.catch_up(live.stream_bursts(parsed, threshold=2, minutes=60, slide_minutes=30), "bursts")
+    return live.catch_up_closed(
+        parsed, lambda rows: live.stream_bursts(rows, threshold=2, minutes=60, slide_minutes=30), "bursts")
 
 
 @query
 def stream_sessions(spark, d):
     parsed = parse.parse_lines(stream_lines(spark, d), derived.YEAR)
-    return live.catch_up(live.stream_sessions(parsed, gap_minutes=120), "sessions")
+    return live.catch_up_closed(parsed, lambda rows: live.stream_sessions(rows, gap_minutes=120), "sessions")
+
+
+def written_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The lines as text below the shared folder, one folder per log file."""
+    path = scratch_path(spark, "texts")
+    lines(spark, sf_dir).selectExpr("file as name", "line as value").repartition("name").write.partitionBy(
+        "name").text(path)
+    return path
+
+
+@query
+def stream_text_alerts(spark, d):
+    """Text files followed as a stream, four files to a batch."""
+    followed = follow_lines(spark, f"{written_lines(spark, d)}/*", files_per_trigger=4)
+    return live.catch_up(live.stream_alerts(followed, "high", derived.YEAR).drop("event_ts"), "text-alerts")
+
+
+# --- files ------------------------------------------------------------------
+
+@query
+def text_files_parsed(spark, d):
+    """Text files read, parsed by line."""
+    read = parse.parse_lines(read_lines(spark, written_lines(spark, d)), derived.YEAR)
+    return read.selectExpr("format", f"{times.clock('event_ts')} as event_time", *_EVENT_COLUMNS)
+
+
+@query
+def case_files_scored(spark, d):
+    """Case files read, with their severity."""
+    path = scratch_path(spark, "cases")
+    cases(spark, d).select(*CASE.fieldNames()).write.option("header", True).option("escape", '"').csv(path)
+    return parse.score(read_cases(spark, path, derived.YEAR)).selectExpr(
+        f"{times.clock('event_ts')} as event_time", *CASE.fieldNames(), "severity")
+
+
+_WRITTEN = ("timestamp", "host", "user", "source_ip", "event_type", "raw_message", "severity")
+
+
+@query
+def csv_files(spark, d):
+    """Scored events written as CSV and read back; missing and empty fields are alike there."""
+    path = scratch_path(spark, "csv")
+    files.write_csv(scored(spark, d), path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.selectExpr("cast(seq as bigint) as seq", *[f"coalesce({c}, '') as {c}" for c in _WRITTEN])
+
+
+@query
+def json_files(spark, d):
+    """Scored events written as JSON lines and read back."""
+    path = scratch_path(spark, "json")
+    files.write_json(scored(spark, d), path)
+    schema = ", ".join(["seq BIGINT", *[f"{c} STRING" for c in _WRITTEN]])
+    return spark.read.schema(schema).json(path)
+
+
+@query
+def exported_hec(spark, d):
+    """Payloads as the export writes them."""
+    path = scratch_path(spark, "export")
+    siem.export(scored(spark, d), "splunk", path)
+    return spark.read.text(path)
 
 
 @query

@@ -21,9 +21,14 @@ def severe_only(scored: DataFrame) -> DataFrame:
 
 
 def to_alerts(
-    scored: DataFrame, threshold: str = "low", show_all: bool = False, length: int = 100
+    scored: DataFrame, threshold: str = "low", show_all: bool = False, length: int | None = 100
 ) -> DataFrame:
-    """Alert rows of the scored events which reach the threshold."""
+    """Alert rows of the scored events which reach the threshold.
+
+    The message is cut after ``length`` characters for display; None keeps all of it,
+    as tickets want it.
+    """
+    message = EVENT_TEXT if length is None else f"left({EVENT_TEXT}, {length})"
     rows = scored if show_all else scored.where(passes("severity", threshold))
     keep = [c for c in ("seq", "event_ts") if c in scored.columns]
     return rows.selectExpr(
@@ -32,7 +37,7 @@ def to_alerts(
         "upper(severity) as severity",
         "coalesce(source_ip, '') as source_ip",
         "coalesce(user, '') as user",
-        f"left({EVENT_TEXT}, {length}) as message",
+        f"{message} as message",
     )
 
 
@@ -58,7 +63,7 @@ def to_tickets(
     service: str = "seclake",
     workflow: bool = False,
 ) -> DataFrame:
-    """Ticket rows of alerts.
+    """Ticket rows of alerts, made with ``length=None`` for the whole text.
 
     ``service`` is the first tag.  ``workflow=True`` adds source, category and an open
     status, as workflow systems want them.

@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import times
@@ -110,43 +112,72 @@ def append_to_table(rows: DataFrame, path: str, checkpoint: str, **trigger) -> S
 def catch_up(rows: DataFrame, name: str) -> DataFrame:
     """Process everything available now and return the table written.
 
-    State is kept in ``spark.sql.shuffle.partitions`` parts.  On a single machine
-    more parts than cores only cost time, so there the number is lowered for the
-    start of the query, which takes a copy of the settings.
+    Windows and sessions which the watermark has not passed stay open; see ``catch_up_closed``.
     """
     spark = rows.sparkSession
     base = scratch_path(spark, name)
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    local = spark.conf.get("spark.master", "").startswith("local")
-    if local:
-        cores = spark.sparkContext.defaultParallelism
-        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(parts), cores)))
-    try:
-        query = append_to_table(rows, f"{base}/table", f"{base}/checkpoint", availableNow=True)
-    finally:
-        if local:
-            spark.conf.set("spark.sql.shuffle.partitions", parts)
-    query.awaitTermination()
+    append_to_table(rows, f"{base}/table", f"{base}/checkpoint", availableNow=True).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/table")
+
+
+# A failed login after all others.  It takes part in every job on failed logins.
+_LAST = {"event_ts": "timestamp'9999-01-01 00:00:00'", "event_type": "'fail'", "user": "'-'"}
+
+
+def catch_up_closed(events: DataFrame, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The table ``job`` writes from a stream of events which has ended: nothing stays open.
+
+    When everything available is processed, an event far in the future moves the
+    watermark past all open windows and sessions.  Its own stays open and never comes out.
+    """
+    spark = events.sparkSession
+    base = scratch_path(spark, name)
+    last = spark.range(1).select(*[
+        F.expr(_LAST.get(field.name, "null")).cast(field.dataType).alias(field.name)
+        for field in events.schema
+    ])
+    last.where("false").write.parquet(f"{base}/end")
+    rows = job(events.unionByName(spark.readStream.schema(last.schema).parquet(f"{base}/end")))
+    for step in ("input", "end"):
+        if step == "end":
+            last.write.mode("append").parquet(f"{base}/end")
+        append_to_table(rows, f"{base}/table", f"{base}/checkpoint", availableNow=True).awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{base}/table")
 
 
 class RecentAlerts:
     """Keeps the last ``keep`` alerts of a stream as a small table.
 
-    Used as a ``foreachBatch`` callback.  Each batch writes the merged list under
-    its batch number, so a repeated batch replaces its own result only.
+    Used as a ``foreachBatch`` callback.  Each batch merges the newest state before it
+    and writes the list under its own number, so a repeated batch replaces its own result
+    only, and numbers may start anywhere or be left out.  Newest are the latest by ``order``
+    (alerts without one come last), of equal ones those which arrived later.
     """
 
     def __init__(self, path: str, keep: int = 50, order: str = "event_ts"):
         self.path, self.keep, self.order = path, keep, order
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        newest = batch.orderBy(F.desc(self.order)).limit(self.keep)
-        if batch_id > 0:
-            newest = newest.unionByName(self.read(batch.sparkSession, batch_id - 1, batch.schema))
-        newest.orderBy(F.desc(self.order)).limit(self.keep).coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(f"{self.path}/batch={batch_id}")
-
-    def read(self, spark, batch_id: int, schema) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{self.path}/batch={batch_id}")
+        before = self._state(batch.sparkSession, batch_id - 1, batch.schema)
+        rows = batch.withColumn("_arrived", F.lit(batch_id).cast("bigint")).unionByName(before)
+        ties = [F.desc("seq")] if "seq" in batch.columns else []
+        rows.orderBy(F.desc_nulls_last(self.order), F.desc("_arrived"), *ties).limit(self.keep).coalesce(
+            1
+        ).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def _state(self, spark, batch_id: int, schema: T.StructType) -> DataFrame:
+        own = T.StructType([*schema.fields, T.StructField("_arrived", T.LongType())])
+        try:
+            states = spark.read.schema(T.StructType([*own.fields, T.StructField("batch", T.LongType())])).parquet(
+                self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], own)
+        states = states.where(F.col("batch") <= batch_id)
+        newest = states.agg(F.max("batch")).first()[0]  # one folder per batch, ``keep`` rows each
+        return states.where(F.col("batch") == newest).select(*own.names)
+
+    def read(self, spark, batch_id: int, schema: T.StructType) -> DataFrame:
+        """The newest state not above this batch."""
+        return self._state(spark, batch_id, schema).select(*schema.names)

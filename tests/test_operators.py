@@ -1,4 +1,5 @@
 import random
+import re
 import statistics
 from collections import Counter
 
@@ -275,6 +276,48 @@ def test_rule_files(spark, tmp_path):
     assert rules.rules_table(spark, many).count() == 12
 
 
+@pytest.mark.parametrize("pattern", [
+    r"from (?P<src_ip>\d+)\.(?P<b_2>\d+)", r"(?P<a_b>s+)x(?P=a_b)", r"a{,3}b", r"a{2,}b", r"x{,}y", "a{b", "a{}",
+    "[[a]b", "[]a]+", "[^]a]+z", "[a&&b]c", r"[\]x]", r"[\b]", r"end\Z", "(?#no)ab", "(?u:a)b", "(?i)AB", "a.c$", "*bad[", "(x",
+])
+def test_patterns_match_as_in_rule_files(spark, pattern):
+    texts = ["from 10.2", "ssxss", "sxs", "aab", "b", "xxy", "a{b", "a{}", "[b", "ab", "]a", "qz", "az", "&c", "bc", "]",
+             "the end", "end.", "a\nc", "a\rc", "abc", "abc\n", "*bad[", "(x", "\x08", ""]
+    try:
+        own = re.compile(pattern, re.IGNORECASE)
+    except re.error:
+        own = re.compile(re.escape(pattern), re.IGNORECASE)
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = {r.t for r in rows.where(F.col("t").rlike("(?id)" + rules.to_java(pattern))).collect()}
+    assert got == {t for t in texts if own.search(t)}
+
+
+def test_conditional_groups_are_refused():
+    with pytest.raises(ValueError):
+        rules.to_java("(a)?(?(1)b|c)")
+
+
+def test_events_without_a_time_are_kept(events):
+    df = events([{"event_type": "fail", "source_ip": "a"}] * 3 + [{"event_type": "fail", "source_ip": "b"}] + [
+        {"event_type": "fail", "source_ip": "a", "event_ts": "2024-01-01 00:00:00"}])
+    rule = rules.Rule(id="T", patterns=("fail",), threshold=3, time_window=60)
+    assert [r["count"] for r in rules.run_rules(df, [rule], samples=0, thresholds=True).collect()] == [3]
+    assert collect(bursts.failed_login_bursts_windowed(df, threshold=3)) == [("a", 3, None, 3)]
+    assert sorted(map(str, collect(bursts.attack_sessions(df)))) == sorted(map(str, [
+        ("a", None, None, 3), ("b", None, None, 1), ("a", "2024-01-01 00:00:00", "2024-01-01 00:00:00", 1)]))
+
+
+def test_order_value_over_wide_order_values(spark):
+    df = spark.range(5000).selectExpr("1700000000000000000L + id * 1000000007L * 1000 as seq")
+    cut = ordering.order_value_at(df, "floor(n / 2)").first().cut
+    assert cut == sorted(r.seq for r in df.collect())[2499]
+
+
+def test_empty_baseline_is_none(events):
+    df = events([{"event_type": "fail" if i % 3 else "ok", "source_ip": f"10.0.0.{i % 7}"} for i in range(60)])
+    assert collect(anomaly.metric_anomalies(df, df.where("false"))) == collect(anomaly.metric_anomalies(df))
+
+
 # --- intel ------------------------------------------------------------------
 
 def test_prefix_lookup_against_startswith(spark):
@@ -361,3 +404,22 @@ def test_levels(spark, small_blocks, n, width):
     low, span = min(picked), max(picked) - min(picked)
     expected = [(i, v, int((v - low) / span * 8)) for i, v in enumerate(picked)]
     assert sorted(collect(series.levels(df, "t", "v", width))) == expected
+
+
+def test_hot_keys_without_a_match_are_spread(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(20000).selectExpr(
+            "id", "case when id % 2 = 0 then '' when id % 10 = 1 then null else concat('k', id) end as k")
+        table = spark.range(10000).selectExpr("concat('k', id) as k", "id as v")
+        joined = joins.lookup_join(left, table, "k", 0)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20000 and max(sizes) <= 2 * 20000 / 8
+        assert joined.where("v is not null").count() == left.join(table, "k").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -145,3 +145,37 @@ def test_micro_batches_and_recent_alerts(spark, logs, tmp_path):
     assert sizes == [3, 3]
     kept = recent.read(spark, 1, rows.schema).collect()
     assert sorted(r.timestamp for r in kept) == ["Apr 10 15:23:05", "Apr 10 15:23:10"]
+
+
+def test_recent_alerts_start_at_any_batch(spark, tmp_path):
+    def batch(*rows):
+        return spark.createDataFrame(rows, "seq BIGINT, event_ts STRING").selectExpr("seq", "cast(event_ts as timestamp) as event_ts")
+
+    recent = live.RecentAlerts(str(tmp_path / "recent"), keep=2)
+    recent(batch((1, "2024-01-01 00:00:01"), (2, None), (3, None)), 7)
+    recent(batch((4, None)), 9)
+    recent(batch((4, None)), 9)  # repeated
+    schema = batch().schema
+    assert sorted(r.seq for r in recent.read(spark, 8, schema).collect()) == [1, 3]
+    assert sorted(r.seq for r in recent.read(spark, 9, schema).collect()) == [1, 4]
+
+
+def test_streams_end_with_nothing_open(spark, tmp_path):
+    from seclake.operators import bursts
+
+    events = spark.createDataFrame(
+        [("2024-01-01 00:00:00", "a"), ("2024-01-01 00:05:00", "a"), ("2024-01-01 09:00:00", "b"), ("2024-01-01 09:01:00", "b")],
+        "at STRING, source_ip STRING").selectExpr(
+        "cast(at as timestamp) as event_ts", "'fail' as event_type", "source_ip", "cast(null as string) as user")
+    events.repartition(4).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    found = live.catch_up_closed(stream, lambda rows: live.stream_sessions(rows, 10, delay="1 day"), "t").collect()
+    whole = bursts.attack_sessions(events, 10).collect()
+    assert sorted((r.source, r.started_at, r.attempts) for r in found) == sorted(
+        (r.source, r.started_at, r.attempts) for r in whole)
+
+
+def test_tickets_have_the_whole_text(scored):
+    long = scored.limit(1).withColumn("raw_message", F.lit("x" * 500))
+    whole = alerts.to_tickets(alerts.to_alerts(long, show_all=True, length=None)).first()
+    assert whole.description == "x" * 500
