@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .words import PIECE, slices, text_buffer
 
@@ -218,13 +219,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     new = ["lang_pred", "lang_score", "lang_bits"]
     kept = [f for f in docs.schema.fields if (keep is None or f.name in keep) and f.name not in new]
     quoted = [F.col(f"`{f.name}`") for f in kept]
-    rows = docs.select(*quoted, F.col(text_col).cast("string").alias("__text"),
+    # a text which is kept anyway goes to the worker once
+    sent = text_col if any(f.name == text_col and f.dataType == StringType() for f in kept) else "__text"
+    rows = docs.select(*quoted, *([F.col(text_col).cast("string").alias("__text")] if sent == "__text" else []),
                        F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     names = np.array([*model.languages, UNDETERMINED], dtype=object)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at = text_buffer(batch.column("__text"))
+        # one piece after the other is scored and given back, so neither side holds more than a batch
+        for batch in (whole.slice(lo, hi - lo) for whole in batches
+                      for lo, hi in slices(text_buffer(whole.column(sent))[1], PIECE)):
+            raw, at = text_buffer(batch.column(sent))
             best = np.full(batch.num_rows, len(model.languages))
             score, bits = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             good = batch.column("__letter").to_numpy(zero_copy_only=False).astype(bool) & bool(model.languages)
@@ -238,8 +243,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
                 [*(batch.column(f.name) for f in kept), pa.array(names[best], pa.string()), pa.array(score),
                  pa.array(bits, mask=~good)], names=[*(f.name for f in kept), *new])
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
     schema = StructType([*kept, StructField(new[0], StringType()), StructField(new[1], DoubleType()),
                          StructField(new[2], DoubleType())])
     return rows.mapInArrow(run, schema)
