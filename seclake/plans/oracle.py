@@ -647,9 +647,9 @@ def all_sql() -> dict[str, str]:
             case severity when 'critical' then 'P1' when 'high' then 'P2' when 'medium' then 'P3' else 'P4' end as priority, source_ip, "user",
             'seclake,triage' as tags, 'seclake' as source, {_map('severity', fixed.TICKET_CATEGORY, "'other'")} as category, 'open' as status
             from sc where {_RANK} <= 1""",
-        "tickets_long": f"""{SCORED} select seq, text as description,
+        "tickets_long": f"""{SCORED} select seq, repeat(text, 4) as description,
             case severity when 'critical' then 'P1' when 'high' then 'P2' when 'medium' then 'P3' else 'P4' end as priority
-            from sc where length(text) > 100""",
+            from sc where length(repeat(text, 4)) > 100""",
         # files
         "text_files_parsed": f"{LOGS} select {_FIELDS.replace('file, seq, ', '')} from ev",
         "case_files_scored": f"""{CASES_SCORED} select strftime(event_ts, {_CLOCK}) as event_time, {', '.join(f'"{c}"' for c in CASE.fieldNames())},

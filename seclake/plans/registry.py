@@ -622,8 +622,8 @@ def tickets(spark, d):
 
 @query
 def tickets_long(spark, d):
-    """Of all events whose text is longer than an alert shows."""
-    long = scored(spark, d).where("length(raw_message) > 100")
+    """Of texts longer than an alert shows."""
+    long = scored(spark, d).withColumn("raw_message", F.repeat("raw_message", F.lit(4))).where("length(raw_message) > 100")
     return alerts.to_tickets(alerts.to_alerts(long, show_all=True, length=None)).select(
         "seq", "description", "priority")
 
