@@ -29,8 +29,8 @@ from .words import slices, text_buffer
 
 END_ID = 2
 #: Bytes of text encoded at a time; ids of a block of a file; distinct segments of a generation which a
-#: worker process remembers (about 200 bytes each).
-TEXT_PIECE, BLOCK_IDS, REMEMBERED = 1 << 23, 1 << 20, 1 << 19
+#: worker process remembers (about 200 bytes each); segments given to the library in one call.
+TEXT_PIECE, BLOCK_IDS, REMEMBERED, AT_ONCE = 1 << 23, 1 << 20, 1 << 19, 1 << 13
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -85,9 +85,10 @@ class _Segments:
                 new.append(i)
             else:
                 found[i] = young[s] = ids
-        if new:
-            encoded = self.tokenizer.encode_batch_fast([distinct[i].decode() for i in new], add_special_tokens=False)
-            for i, e in zip(new, encoded):
+        for lo in range(0, len(new), AT_ONCE):  # what the library returns is many times larger than the ids
+            some = new[lo:lo + AT_ONCE]
+            encoded = self.tokenizer.encode_batch_fast([distinct[i].decode() for i in some], add_special_tokens=False)
+            for i, e in zip(some, encoded):
                 found[i] = young[distinct[i]] = array("i", e.ids).tobytes()
         return found
 
