@@ -14,9 +14,9 @@ once as long as it remembers it.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import partitions, scratch_path
-from .words import slices, text_buffer
+from .words import VALUES, Rolling, slices, text_buffer
 
 END_ID = 2
-#: Bytes of text encoded at a time; ids of a block of a file; distinct segments of a generation which a
-#: worker process remembers (about 200 bytes each); segments given to the library in one call.
-TEXT_PIECE, BLOCK_IDS, REMEMBERED, AT_ONCE = 1 << 23, 1 << 20, 1 << 19, 1 << 13
+#: Bytes of text encoded at a time; ids of a block of a file; distinct segments which a worker process remembers
+#: (about 60 bytes each); bytes from which on a segment is not remembered; segments given to the library in one call.
+TEXT_PIECE, BLOCK_IDS, REMEMBERED, LONG, AT_ONCE = 1 << 22, 1 << 20, 1 << 20, 64, 1 << 13
+#: Bytes of numbers which are ranked or packed at a time.
+IDS_PIECE = 1 << 21
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -53,11 +55,40 @@ def _cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class _Runs:
+    """Runs of values one after the other in arrays which grow."""
+
+    def __init__(self, kind: type):
+        self.values, self.ends, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 16, np.int32), 0
+
+    def add(self, values: np.ndarray, size: np.ndarray) -> None:
+        used = int(self.ends[self.n])
+        for name, need in (("values", used + len(values)), ("ends", self.n + 1 + len(size))):
+            old = getattr(self, name)
+            if need > len(old):
+                new = np.zeros(max(need, 2 * len(old)), old.dtype)
+                new[:len(old)] = old
+                setattr(self, name, new)
+        self.values[used:used + len(values)] = values
+        self.ends[self.n + 1:self.n + 1 + len(size)] = used + np.cumsum(size)
+        self.n += len(size)
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = self.ends[which].astype(np.int64)
+        return first, self.ends[which + 1] - first
+
+
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs of the given sizes which begin at ``first``, one run after the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + size, size)
+
+
 class _Segments:
     """Ids of segments, each encoded once while remembered.
 
-    Two generations are remembered, of which the older goes when the younger is full; what is still in use
-    moves to the younger one.
+    Bytes and ids of known segments lie in two arrays, found by hash in a table at most half full; a segment
+    found is compared byte by byte.  All are forgotten when the table is full, or too much lies outside it.
     """
 
     def __init__(self, path: str):
@@ -68,29 +99,82 @@ class _Segments:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _ids(self, distinct: list[bytes]) -> list[bytes]:
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        found = list(map(young.get, distinct))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        new = []
-        for i in missing:
-            s = distinct[i]
-            ids = old.get(s)
-            if ids is None:
-                new.append(i)
-            else:
-                found[i] = young[s] = ids
+        self.hash = Rolling(0x9E3779B97F4A7C15)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at = np.zeros(2 * REMEMBERED, np.uint64), np.zeros(2 * REMEMBERED, np.int32)
+        self.known, self.segments, self.ids = 0, _Runs(np.uint8), _Runs(np.int32)
+
+    def _keys(self, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hashes of segments, never 0; that of a long one is 0."""
+        out = np.zeros(len(size), np.uint64)
+        short = np.flatnonzero(size <= LONG)
+        for lo in range(0, len(short), AT_ONCE):
+            some = short[lo:lo + AT_ONCE]
+            stop = np.cumsum(size[some])
+            values = VALUES[data[_places(first[some], size[some])]]
+            out[some] = np.maximum(self.hash.ranges(values, stop - size[some], stop), np.uint64(1))
+        return out
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of the first known segment with each key, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        left = np.flatnonzero(keys)
+        slot = self._slot(keys[left])
+        while len(left):
+            there = self.keys[slot]
+            same = there == keys[left]
+            out[left[same]] = self.at[slot[same]]
+            go = ~same & (there != 0)
+            left, slot = left[go], self._next(slot[go])
+        return out
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & (len(self.keys) - 1)
+
+    def _insert(self, keys: np.ndarray, number: np.ndarray) -> None:
+        left = np.flatnonzero(keys)[:REMEMBERED - self.known]
+        self.known += len(left)
+        slot = self._slot(keys[left])
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            taken, first = np.unique(slot[free], return_index=True)
+            self.keys[taken], self.at[taken] = keys[left[free[first]]], number[left[free[first]]]
+            rest = np.ones(len(left), bool)
+            rest[free[first]] = False
+            left, slot = left[rest], self._next(slot[rest])
+
+    def _entries(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of distinct segments; new ones are encoded."""
+        if self.known >= REMEMBERED or self.ids.ends[self.ids.n] > 8 * REMEMBERED or self.segments.ends[self.segments.n] > 16 * REMEMBERED:
+            self._forget()
+        first, size = ends[:-1], np.diff(ends)
+        keys = self._keys(data, first, size)
+        out = self._find(keys)
+        hit = np.flatnonzero(out >= 0)
+        begin, length = self.segments.of(out[hit])
+        out[hit[length != size[hit]]] = -1
+        hit, begin = hit[length == size[hit]], begin[length == size[hit]]
+        if len(hit):
+            other = data[_places(first[hit], size[hit])] != self.segments.values[_places(begin, size[hit])]
+            out[hit[np.add.reduceat(other, np.cumsum(size[hit]) - size[hit], dtype=np.int64) > 0]] = -1
+        new = np.flatnonzero(out < 0)
         for lo in range(0, len(new), AT_ONCE):  # what the library returns is many times larger than the ids
             some = new[lo:lo + AT_ONCE]
-            encoded = self.tokenizer.encode_batch_fast([distinct[i].decode() for i in some], add_special_tokens=False)
-            for i, e in zip(some, encoded):
-                found[i] = young[distinct[i]] = array("i", e.ids).tobytes()
-        return found
+            encoded = self.tokenizer.encode_batch_fast(
+                [data[a:b].tobytes().decode() for a, b in zip(first[some], ends[some + 1])], add_special_tokens=False)
+            out[some] = self.ids.n + np.arange(len(some))
+            ids = [e.ids for e in encoded]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.ids.add(np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n)
+            kept = np.where(keys[some] > 0, size[some], 0)  # long ones are never looked up
+            self.segments.add(data[_places(first[some], kept)], kept)
+        self._insert(keys[new], out[new])
+        return out
 
     def __call__(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after the other, and their bounds."""
@@ -100,17 +184,11 @@ class _Segments:
         offsets = np.append(cut, len(raw)).astype(np.int32)
         coded = pc.dictionary_encode(pa.Array.from_buffers(
             pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]))
-        data, ends = text_buffer(coded.dictionary)
-        data, ends = data.tobytes(), ends.tolist()
-        own = self._ids([data[a:b] for a, b in zip(ends, ends[1:])])
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        flat = np.frombuffer(b"".join(own), np.int32)
-        first = np.cumsum(size) - size
+        first, size = self.ids.of(self._entries(*text_buffer(coded.dictionary)))
         which = coded.indices.to_numpy()
         n = size[which]
-        ends = np.cumsum(n)
-        out = flat[np.arange(int(ends[-1])) + np.repeat(first[which] - ends + n, n)]
-        return out, np.concatenate([[0], ends])[np.searchsorted(cut, at)]
+        out = self.ids.values[_places(first[which], n)]
+        return out, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(cut, at)]
 
 
 @lru_cache(maxsize=2)
@@ -135,6 +213,7 @@ def _encode(path: str, end_id: int):
                     "doc_id": batch.column("doc_id").slice(lo, hi - lo), "row": batch.column("row").slice(lo, hi - lo),
                     "n": pa.array(np.diff(bounds)), "wide": pa.array([not narrow] * (hi - lo)),
                     "ids": pa.array(rows, pa.binary())})
+            pa.default_memory_pool().release_unused()  # the worker lives on beside the executor's JVM
     return run
 
 
@@ -145,15 +224,16 @@ def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)), n
 
 
-def _small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of batches whose ``column`` takes about ``IDS_PIECE`` bytes; a longer row stands alone."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+        for lo, hi in slices(text_buffer(batch.column(column))[1], IDS_PIECE):
+            yield batch.slice(lo, hi - lo)
 
 
 def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
-    for batch in _small(batches):
+    for batch in _small(batches, "ids"):
         count = np.bincount(_numbers(batch)[0])
         if len(count) > len(total):
             total = np.pad(total, (0, len(count) - len(total)))
@@ -200,7 +280,7 @@ def unpack(control: np.ndarray, data: np.ndarray, size: np.ndarray) -> np.ndarra
 
 def _rank(by_id: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
+        for batch in _small(batches, "ids"):
             ids, n = _numbers(batch)
             control, data, c, d = pack(by_id[ids], n)
             control, data = control.tobytes(), data.tobytes()
@@ -229,7 +309,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, number = [], 0, number + 1
         return out
 
-    for batch in batches:
+    for batch in _small(batches, "data"):
         for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "control", "data"))):
             if held and total + row[1] > BLOCK_IDS:
                 yield block()
@@ -270,7 +350,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
 
 def _decode(by_rank: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches, 1):
+        for batch in (whole.slice(i, 1) for whole in batches for i in range(whole.num_rows)):
             doc_ids, size = (batch.column(c).to_pylist()[0] for c in ("doc_ids", "sizes"))
             control, data = (np.frombuffer(batch.column(c)[0].as_py(), np.uint8) for c in ("control", "data"))
             size = np.array(size, np.int64)

@@ -68,6 +68,7 @@ def _values(lower: bool) -> np.ndarray:
 
 
 _VALUES = {False: _values(False), True: _values(True)}
+VALUES = _VALUES[False]
 #: Bytes of words `[^\x20\x09-\x0D]+`.
 VISIBLE = np.ones(256, bool)
 VISIBLE[[0x20, *range(0x09, 0x0E)]] = False
