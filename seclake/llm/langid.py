@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .words import PIECE, slices, text_buffer
+from .tables import frugal
+from .words import slices, text_buffer
 
 ORDER = 4
 UNIT = 4096
+#: Bytes of text scored at a time; bounds the temporary arrays.
+PIECE = 1 << 18
 #: Labelled rows learned from, shared evenly by the languages; longer texts are not learned from.
 TRAIN_ROWS = 1600
 TRAIN_TEXT_BYTES = 1 << 16
@@ -177,7 +180,7 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_
               .where(F.col("place") <= max(1, rows // len(languages))).select(F.col("doc_id").alias("id"), F.col("digest").alias("of")))
     # as many rows as the parameter says, so they may go to all tasks; only their texts are moved
     sample = short.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
-    counts = sample.select("lang", "text").mapInArrow(_count, "lang string, key bigint, n bigint").groupBy(
+    counts = sample.select("lang", "text").mapInArrow(frugal(_count), "lang string, key bigint, n bigint").groupBy(
         "lang", "key").agg(F.sum("n").alias("n")).toArrow()
     key = counts["key"].to_numpy()
     number = np.searchsorted(languages, counts["lang"].to_numpy(zero_copy_only=False).astype(str))
@@ -245,7 +248,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     schema = StructType([*kept, StructField(new[0], StringType()), StructField(new[1], DoubleType()),
                          StructField(new[2], DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def _held_out(id_col: str = "doc_id"):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seclake.session import materialize, scratch_path
 
-__all__ = ["bucketed", "materialize", "partitions", "runs", "scratch_path"]
+__all__ = ["bucketed", "frugal", "materialize", "partitions", "runs", "scratch_path"]
+
+Batches = Iterable[pa.RecordBatch]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -31,6 +34,31 @@ def bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
     return spark.table(name)
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable[[Batches], Iterator[pa.RecordBatch]]) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """``run``, which gives freed memory back after each batch.
+
+    Worker processes outlive their tasks beside the executor's JVM; what their allocators keep for later is
+    missing there.
+    """
+    def each(batches: Batches) -> Iterator[pa.RecordBatch]:
+        def given() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                _give_back()
+
+        yield from run(given())
+        _give_back()
+    return each
+
+
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of adjacent rows with the same ``key`` (an integer column without nulls).
 

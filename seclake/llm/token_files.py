@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import partitions, scratch_path
+from .tables import frugal, partitions, scratch_path
 from .words import VALUES, Rolling, slices, text_buffer
 
 END_ID = 2
@@ -213,7 +213,6 @@ def _encode(path: str, end_id: int):
                     "doc_id": batch.column("doc_id").slice(lo, hi - lo), "row": batch.column("row").slice(lo, hi - lo),
                     "n": pa.array(np.diff(bounds)), "wide": pa.array([not narrow] * (hi - lo)),
                     "ids": pa.array(rows, pa.binary())})
-            pa.default_memory_pool().release_unused()  # the worker lives on beside the executor's JVM
     return run
 
 
@@ -332,18 +331,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.monotonically_increasing_id().alias("row"))
     at = scratch_path(spark, "ids")
-    rows.mapInArrow(_encode(tokenizer, end_id), "doc_id bigint, row bigint, n bigint, wide boolean, ids binary").write.option(
+    rows.mapInArrow(frugal(_encode(tokenizer, end_id)), "doc_id bigint, row bigint, n bigint, wide boolean, ids binary").write.option(
         "compression", "zstd").parquet(at)
     coded = spark.read.parquet(at)
-    counts = coded.mapInArrow(_tally, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a vocabulary
+    counts = coded.mapInArrow(frugal(_tally), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a vocabulary
     counts = counts.sort_values(["n", "id"], ascending=[False, True])
     ids = counts["id"].to_numpy(np.int64)
     by_id = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     by_id[ids] = np.arange(len(ids))
     spark.createDataFrame(list(enumerate(ids.tolist())), "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
-    ranked = coded.mapInArrow(_rank(by_id), "doc_id bigint, row bigint, n bigint, control binary, data binary")
+    ranked = coded.mapInArrow(frugal(_rank(by_id)), "doc_id bigint, row bigint, n bigint, control binary, data binary")
     (ranked.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "row")
-     .mapInArrow(_blocks, "shard int, block bigint, ids bigint, doc_ids array<bigint>, sizes array<bigint>, "
+     .mapInArrow(frugal(_blocks), "shard int, block bigint, ids bigint, doc_ids array<bigint>, sizes array<bigint>, "
                           "control binary, data binary")
      .write.option("compression", "zstd").parquet(f"{path}/blocks"))
 
@@ -378,7 +377,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("shard", "block", F.coalesce(F.sum("ids").over(inside), F.lit(0)).alias("inner")).join(
         shards, "shard").select("shard", "block", (F.col("base") + F.col("inner")).alias("base"))
-    rows = blocks.mapInArrow(_decode(by_rank), "shard int, block bigint, doc_id bigint, before bigint, n_tokens bigint, ids binary")
+    rows = blocks.mapInArrow(frugal(_decode(by_rank)), "shard int, block bigint, doc_id bigint, before bigint, n_tokens bigint, ids binary")
     return rows.select("*", F.crc32("ids").alias("crc")).join(starts, ["shard", "block"]).select(
         "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids", "crc")
 
