@@ -11,22 +11,41 @@ from pyspark.sql import functions as F
 from .tables import materialize
 
 
-def _shrink(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the edges of each batch by as many stars as they have components."""
-    for batch in batches:
-        up: dict[bytes, bytes] = {}
+#: Edges which are replaced by stars at a time.
+EDGES = 1 << 16
+
+
+def _stars(edges: pa.Table) -> pa.RecordBatch:
+    up: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
 
-        def root(x: bytes) -> bytes:
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = x = up[y]
-            return x
+    for a, b in zip(edges["a"].to_pylist(), edges["b"].to_pylist()):
+        x, y = root(a), root(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    nodes = [n for n in up if root(n) != n]
+    return pa.record_batch({"a": pa.array([root(n) for n in nodes], pa.binary()), "b": pa.array(nodes, pa.binary())})
 
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            x, y = root(a), root(b)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-        nodes = [n for n in up if root(n) != n]
-        yield pa.record_batch({"a": pa.array([root(n) for n in nodes], pa.binary()), "b": pa.array(nodes, pa.binary())})
+
+def shrink(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace every ``EDGES`` edges by as many stars as they have components.
+
+    For use behind what finds the edges, in the same worker.
+    """
+    held: list[pa.RecordBatch] = []
+    waiting = 0
+    for batch in batches:
+        held.append(batch)
+        waiting += batch.num_rows
+        if waiting >= EDGES:
+            yield _stars(pa.Table.from_batches(held))
+            held, waiting = [], 0
+    if held:
+        yield _stars(pa.Table.from_batches(held))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,7 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
     grows with the logarithm of the longest path.  Every round is a written table.  An empty graph
     gives an empty result; loops and repeated edges do no harm.
     """
-    stars = edges.mapInArrow(_shrink, "a binary, b binary").distinct()
+    stars = edges.distinct()
     both = materialize(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
                          .select("node", F.least("node", "label").alias("label")), "labels")

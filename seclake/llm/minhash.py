@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .tables import materialize, partitions, runs
-from .words import PIECE, _FIRST, _mix, slices, text_buffer, windows, words
+from .components import components, shrink
+from .tables import frugal, materialize, partitions, runs
+from .words import _FIRST, _mix, slices, text_buffer, windows, words
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 28, 5, 4
@@ -37,7 +37,9 @@ PERMS = BANDS * ROWS
 MARGIN = 5
 #: Signatures of a block of a bucket; shingles of a block of a family.
 BLOCK_NODES = 4096
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 1_000_000
+#: Bytes of text signed at a time.
+TEXT_PIECE = 1 << 18
 _U = np.uint64
 _FACTORS = _mix(np.arange(1, PERMS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _ADDENDS = _mix(_FACTORS)
@@ -62,7 +64,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, at = text_buffer(batch.column("text"))
-        for lo, hi in slices(at, PIECE):
+        for lo, hi in slices(at, TEXT_PIECE):
             sets = list(_sets(raw[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]))
             size = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(size)
@@ -199,10 +201,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     their own text.  A null id is never a component's id unless all of its documents have none.  An empty
     table gives an empty result; other columns are ignored.
     """
-    n = partitions(docs.sparkSession)
+    n, tie, confirm = partitions(docs.sparkSession), _tie(needed_matches(percent)), _confirm(percent)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(rows.mapInArrow(
-        _sign, "doc_id bigint, n_shingles bigint, node binary, signature binary, bands array<bigint>"), "signed")
+        frugal(_sign), "doc_id bigint, n_shingles bigint, node binary, signature binary, bands array<bigint>"), "signed")
     nodes = materialize(
         signed.where("node is not null").groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"),
@@ -212,14 +214,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(banded.join(shared, "key"), "members").join(nodes.select("node", "signature"), "node")
     tied = _by_group(_in_blocks(members, "key", f"ceil(members / {BLOCK_NODES})").select("g", "node", "signature"), n)
-    family = components(tied.mapInArrow(_tie(needed_matches(percent)), "a binary, b binary"))
+    family = components(tied.mapInArrow(frugal(lambda b: shrink(tie(b))), "a binary, b binary"))
 
     of = family.join(nodes.select("node", "doc_id", "n_shingles"), "node")
     total = of.groupBy("label").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
     of = of.join(total, "label").withColumnRenamed("doc_id", "id")
     texts = rows.join(of, rows.doc_id.eqNullSafe(of.id))
     grouped = _by_group(_in_blocks(texts, "label", "blocks").select("g", "node", "text"), n)
-    linked = components(grouped.mapInArrow(_confirm(percent), "a binary, b binary"))
+    linked = components(grouped.mapInArrow(frugal(lambda b: shrink(confirm(b))), "a binary, b binary"))
 
     whole = nodes.select("node", "doc_id").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
