@@ -15,6 +15,8 @@ from seclake.llm.tables import materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Code length in bits per byte from which on no learned language explains a text: it takes more than its bytes.
 REJECT_BITS = 8.0
+#: Shingle similarity in percent from which on documents are near duplicates here (op4_minhash has its own).
+NEAR_PERCENT = 80
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,9 +33,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near duplicates the document with the smallest id."""
+    """Keep of each group of near duplicates (similarity of 0.8 or more) the document with the smallest id."""
     docs = docs.select(*COLUMNS)
-    return _only(docs, minhash.near_duplicates(docs).where("kept"))
+    return _only(docs, minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
