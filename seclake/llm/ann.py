@@ -5,8 +5,9 @@ Each of ``TABLES`` tables hashes a vector by M projections on normal random dire
 A query visits, besides its own bucket, perturbed buckets in the order of the estimated probability that a
 neighbour at distance R lies in them: the difference of a projection is normal with standard deviation R,
 which gives the probability of each slot, and a bucket's is the product.  Buckets are added until the
-estimated success over all tables reaches ``SUCCESS``; R is the distance of the k-th neighbour which a
-bounded sample of queries needs.
+estimated success over all tables reaches ``SUCCESS``; R is the distance of the k-th neighbour which most
+of a bounded sample of queries need.  Queries which did not find k neighbours within R ask again, by an index
+with an R fitted to them; the few left in the end are compared with all rows.
 
 Equal vectors are one class, so any number of copies is one row of the index.  Buckets are dealt out by
 key, large ones in blocks; a task compares a query with the rows of its buckets at once and gives only the
@@ -31,6 +32,8 @@ TABLES, WIDTH, SUCCESS, SEED = 4, 2.5, 0.98, 7
 FIT_QUERIES, FIT_PART = 64, 0.9
 #: Index rows of a block of a bucket, and of a group of buckets dealt to one call.
 BLOCK_ROWS, GROUP_ROWS = 20_000, 50_000
+#: Times that queries ask an index; those left, and any FIT_QUERIES left before, are compared with all rows.
+ROUNDS = 5
 _REACH = 2  # slots on either side
 _U = np.uint64
 
@@ -157,11 +160,54 @@ def _compare(k: int):
     return run
 
 
+def _radius(classes: DataFrame, asked: DataFrame, k: int) -> float:
+    """Distance within which most of a bounded sample of queries have their k nearest classes."""
+    sample = [(r["query"], r["vector"]) for r in asked.orderBy(F.xxhash64("query")).limit(FIT_QUERIES).collect()]
+    fitted = classes.select("class", "vector").mapInArrow(_scan(sample, k + 1), "query bigint, class bigint, score double").where("query <> class")
+    place = Window.partitionBy("query").orderBy("score", "class")
+    kth = fitted.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).groupBy("query").agg(F.max("score").alias("r"))
+    return kth.agg(F.percentile("r", FIT_PART)).first()[0] or 1.0
+
+
+def _best(index: DataFrame, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k + 1 nearest classes in each group for the queries which visit some of its keys."""
+    asked = asked.groupBy("g", "query").agg(F.collect_set("key").alias("keys")).join(queries, "query")
+    return index.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(
+        _compare(k + 1), "query bigint, class bigint, score double")
+
+
+def _through_index(classes: DataFrame, queries: DataFrame, dim: int, size: int, r: float, groups: int, k: int) -> DataFrame:
+    """Candidates by an index whose slots are fitted to ``r``."""
+    m = min(16, max(4, round(math.log2(max(size, 2)) / 2)))
+    settings = (dim, m, WIDTH * r)
+    keyed = classes.select("class", "vector").mapInArrow(_index(*settings), "class bigint, vector array<double>, keys array<bigint>")
+    index = materialize(keyed, "index").select("class", "vector", F.explode("keys").alias("key"))
+    large = index.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).select(
+        "key", F.ceil(F.col("count") / BLOCK_ROWS).alias("blocks"))
+    large = materialize(large, "large")
+    group = F.pmod(F.xxhash64("key", "block"), F.lit(groups)).alias("g")
+    one = F.coalesce("blocks", F.lit(1).cast("bigint"))
+    index = index.join(large, "key", "left").withColumn("block", F.pmod(F.xxhash64("class"), one)).select(group, "key", "class", "vector")
+    asked = materialize(queries.withColumnRenamed("query", "class").repartition(partitions(classes.sparkSession)).mapInArrow(
+        _visit(*settings, r), "query bigint, keys array<bigint>"), "probes").select("query", F.explode("keys").alias("key"))
+    asked = asked.join(large, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), one - 1))).select(group, "key", "query")
+    return _best(index, asked, queries, k)
+
+
+def _exact(classes: DataFrame, queries: DataFrame, groups: int, k: int) -> DataFrame:
+    """Candidates of queries which are compared with all classes, block by block."""
+    g = F.pmod(F.xxhash64("class"), F.lit(groups))
+    index = classes.select(g.alias("g"), g.alias("key"), "class", "vector")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint")))
+    asked = queries.select(every.alias("g"), "query").withColumn("key", F.col("g"))
+    return _best(index, asked, queries, k)
+
+
 def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest found rows of every row for which ``is_query`` holds, other than itself, by Euclidean distance.
 
     Returns query_id, rank (from 1, nearest first, ties to the smaller id), vec_id, score (the distance in double
-    precision on the vectors as given).  Fewer than k candidates are all returned.
+    precision on the vectors as given).  Every query gets k rows; fewer than k candidates are all returned.
 
     Vectors which are null, zero, or hold a null or not finite component take no part, nor do rows without an id
     or vectors of another length than most have (of equally frequent lengths the larger).  Rows which repeat an id
@@ -176,40 +222,33 @@ def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
     lengths = usable.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = lengths["dim"] if lengths else 1
     usable = materialize(usable.where(F.size("vector") == dim), "vectors")
-    classes = materialize(usable.groupBy("vector").agg(F.min("id").alias("class"), F.max("asks").alias("asks")), "classes")
+    classes = materialize(usable.groupBy("vector").agg(F.min("id").alias("class"), F.max("asks").alias("asks"),
+                                                        F.count_distinct("id").alias("ids")), "classes")
     first = Window.partitionBy("vector").orderBy("id")
     members = usable.select("vector", "id").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
     members = members.join(classes, "vector").select("class", "id")
     asking = usable.where("asks").join(classes.select("vector", "class"), "vector").select(F.col("class").alias("query"), F.col("id").alias("query_id"))
 
     size = classes.count()
-    sample = [(r["class"], r["vector"]) for r in classes.where("asks").orderBy(F.xxhash64("class")).limit(FIT_QUERIES).collect()]
-    fitted = classes.select("class", "vector").mapInArrow(_scan(sample, k + 1), "query bigint, class bigint, score double").where("query <> class")
-    place = Window.partitionBy("query").orderBy("score", "class")
-    kth = fitted.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).groupBy("query").agg(F.max("score").alias("r"))
-    r = (kth.agg(F.percentile("r", FIT_PART)).first()[0] or 1.0)
-    m = min(16, max(4, round(math.log2(max(size, 2)) / 2)))
-    settings = (dim, m, WIDTH * r)
-
-    keyed = classes.select("class", "vector").mapInArrow(_index(*settings), "class bigint, vector array<double>, keys array<bigint>")
-    index = materialize(keyed, "index").select("class", "vector", F.explode("keys").alias("key"))
-    large = index.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).select(
-        "key", F.ceil(F.col("count") / BLOCK_ROWS).alias("blocks"))
-    large = materialize(large, "large")
     groups = max(n, size * TABLES // GROUP_ROWS)
-    group = F.pmod(F.xxhash64("key", "block"), F.lit(groups)).alias("g")
-    one = F.coalesce("blocks", F.lit(1).cast("bigint"))
-    index = index.join(large, "key", "left").withColumn("block", F.pmod(F.xxhash64("class"), one)).select(group, "key", "class", "vector")
-    asked = materialize(classes.where("asks").select("class", "vector").repartition(n).mapInArrow(
-        _visit(*settings, r), "query bigint, keys array<bigint>"), "probes").select("query", F.explode("keys").alias("key"))
-    asked = asked.join(large, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), one - 1))).select(group, "key", "query")
-    asked = asked.groupBy("g", "query").agg(F.collect_set("key").alias("keys")).join(
-        classes.select(F.col("class").alias("query"), "vector"), "query")
-    found = index.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(
-        _compare(k + 1), "query bigint, class bigint, score double")
-    own = classes.where("asks").select(F.col("class").alias("query"), "class", F.lit(0.0).alias("score"))
+    left = classes.where("asks").select(F.col("class").alias("query"), "vector")
+    found = classes.where("asks").select(F.col("class").alias("query"), "class", F.lit(0.0).alias("score"))
+    for turn in range(ROUNDS + 1):
+        waiting = left.count()
+        if not waiting:
+            break
+        if turn == ROUNDS or turn and waiting <= FIT_QUERIES:
+            found = found.unionByName(materialize(_exact(classes, left, groups, k), "scanned"))
+            break
+        r = _radius(classes, left, k)
+        some = materialize(_through_index(classes, left, dim, size, r, groups, k), "found")
+        found = found.unionByName(some)
+        # sure of its neighbours is a query which has k within R; the others ask again, with an R fitted to them
+        near = some.where(F.col("score") <= r).join(classes.select("class", "ids"), "class").groupBy("query").agg(
+            F.sum("ids").alias("ids")).where(F.col("ids") >= k + 1)
+        left = materialize(left.join(near, "query", "left_anti"), "left")
     best = Window.partitionBy("query").orderBy("score", "class")
-    found = found.unionByName(own).distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    found = found.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     near = found.join(members, "class").withColumn("place", F.row_number().over(
         Window.partitionBy("query").orderBy("score", "id"))).where(F.col("place") <= k + 1)
     out = near.join(asking, "query").where("id <> query_id").withColumn(

@@ -3,6 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seclake.llm import ann
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -40,3 +45,25 @@ def test_stage_on_documents(spark):
     rows = [(r.doc_id, "".join(c.lower() if c.isascii() else c for c in r.text)) for r in table.collect()]
     got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table, SMALL).collect()}
     assert got == brute_kept(rows, 80)
+
+
+# ---- nearest neighbours
+
+@pytest.mark.parametrize("rounds", [1, 5])
+def test_every_query_gets_its_rows(spark, monkeypatch, rounds):
+    monkeypatch.setattr(ann, "ROUNDS", rounds)
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(60):  # tight groups, then vectors far from all others
+        centre = rng.normal(size=8) * 10
+        rows += [(centre + rng.normal(size=8) * 1e-4).tolist() for _ in range(15)]
+    rows += [(rng.normal(size=8) * 10).tolist() for _ in range(80)]
+    table = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id") >= 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert [len(got.get(i, ())) for i in range(len(rows))] == [10] * len(rows)
+    x, hits = np.array(rows), 0
+    for i in range(900, 980):
+        hits += len(got[i] & set(np.argsort(((x - x[i]) ** 2).sum(axis=1))[1:11].tolist()))
+    assert hits >= 0.9 * 800
