@@ -1,7 +1,8 @@
 """Mixing sources to target weights by min-cost flow.
 
 A document may belong to several sources.  Documents are aggregated by membership pattern; the patterns,
-not the documents, come to the driver.  A flow routes each pattern's words to the quotas of its sources:
+not the documents, come to the driver.  A flow routes each pattern's words to the quotas of its sources (a source
+which no overlapping pattern shares gets its quota, as far as its words reach, without the flow):
 the first use of a pattern is cheap, each repetition dearer, so quotas are met with the least repetition.
 The flow of a pattern then says how often its documents are used: all of them a whole number of times, and
 a seeded part of them once more.  That part is the beginning of a pseudo-random order of the documents,
@@ -20,9 +21,9 @@ _WORDS = r"[^\\x20\\x09-\\x0D]+"
 MAX_REPEAT = 3
 #: Extra cost of the second, third, ... use of a document.
 REPEAT_COST = 1
-#: Slices of the pseudo-random order of a pattern, as a power of two; patterns which the driver solves for.
+#: Slices of the pseudo-random order of a pattern, as a power of two; patterns whose uses are broadcast.
 SLICE_BITS = 12
-MAX_PATTERNS = 20_000
+BROADCAST_PATTERNS = 20_000
 
 
 def capped_shares(sizes: dict, weights: dict, most: float = MAX_REPEAT) -> dict:
@@ -93,6 +94,19 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
             room[e ^ 1] += step
 
 
+def uses(supply: list[int], members: list[list[int]], quota: list[int], most: int = MAX_REPEAT) -> list[int]:
+    """Words which each pattern gives; only patterns which share a source with another need the flow."""
+    shared = {s for m in members if len(m) > 1 for s in m}
+    out = [min(quota[m[0]], most * w) for m, w in zip(members, supply)]
+    flowing = [p for p, m in enumerate(members) if m[0] in shared]
+    place = {s: i for i, s in enumerate(sorted(shared))}
+    flow = min_cost_flow([supply[p] for p in flowing], [[place[s] for s in members[p]] for p in flowing],
+                         [quota[s] for s in place], most)
+    for p, f in zip(flowing, flow):
+        out[p] = sum(f)
+    return out
+
+
 def word_count(text: str) -> F.Column:
     return F.expr(f"cast(coalesce(regexp_count({text}, '{_WORDS}'), 0) as bigint)")
 
@@ -107,7 +121,7 @@ def mix(docs: DataFrame, size: str, sources: str, weights, seed: int = 0, most:
     Returns the rows of ``docs`` with repeats (0 to ``most``), taken (size * repeats), source_size and target of
     the document's first source.  The same documents and seed give the same choice; the order of rows with equal
     ids is decided by size.  Documents of size 0 are used as often as the pattern as a whole.  An empty array
-    belongs to no source and is not used.  Patterns beyond MAX_PATTERNS raise an error.
+    belongs to no source and is not used.  The driver holds one row for each pattern.
     """
     spark = docs.sparkSession
     names = ["__pattern", "__slice", "__order"]
@@ -115,9 +129,7 @@ def mix(docs: DataFrame, size: str, sources: str, weights, seed: int = 0, most:
     rows = docs.withColumn("__pattern", F.array_sort(F.array_distinct(sources))).withColumn("__order", order).withColumn(
         "__slice", F.conv(F.substring("__order", 1, SLICE_BITS // 4), 16, 10).cast("int"))
     slices = rows.groupBy("__pattern", "__slice").agg(F.sum(size).alias("words"))
-    found = slices.groupBy("__pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    found = slices.groupBy("__pattern").agg(F.sum("words").alias("words")).collect()
     known = sorted({s for r in found for s in r[0] or []}, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
     place = {s: i for i, s in enumerate(known)}
     patterns = [(list(r[0]), int(r[1] or 0)) for r in found if r[0]]
@@ -129,20 +141,21 @@ def mix(docs: DataFrame, size: str, sources: str, weights, seed: int = 0, most:
         for s in members:
             sizes[s] += words
     target = capped_shares(sizes, dict(zip(known, weights(known))), most)
-    flow = min_cost_flow([w for _, w in patterns], [[place[s] for s in m] for m, _ in patterns],
-                         [round(target[s]) for s in known], most)
-    plan = [(m, *(divmod(sum(f), w) if w else (min(1, most), 0)), sizes[m[0]], target[m[0]])
-            for (m, w), f in zip(patterns, flow)]
+    given = uses([w for _, w in patterns], [[place[s] for s in m] for m, _ in patterns],
+                 [round(target[s]) for s in known], most)
+    plan = [(m, *(divmod(g, w) if w else (min(1, most), 0)), sizes[m[0]], target[m[0]])
+            for (m, w), g in zip(patterns, given)]
+    small = F.broadcast if len(plan) <= BROADCAST_PATTERNS else (lambda table: table)
     kind = dict(docs.withColumn("x", F.col(sources)).dtypes)["x"]
     plan_df = spark.createDataFrame(plan, f"__pattern {kind}, whole bigint, part bigint, source_size bigint, target double")
 
     along = Window.partitionBy("__pattern").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     edge = (slices.withColumn("before", F.coalesce(F.sum("words").over(along), F.lit(0)))
-            .join(F.broadcast(plan_df), "__pattern").where("before <= part and part < before + words")
+            .join(small(plan_df), "__pattern").where("before <= part and part < before + words")
             .groupBy("__pattern").agg(F.max("__slice").alias("edge"), F.max("before").alias("edge_before")))
     ruled = plan_df.join(edge, "__pattern", "left").withColumn("edge", F.when(F.col("part") > 0, F.coalesce("edge", F.lit(1 << SLICE_BITS))).otherwise(-1))
     # only in the slice in which the part ends does the order of its rows matter
-    keyed = rows.join(F.broadcast(ruled), "__pattern", "left")
+    keyed = rows.join(small(ruled), "__pattern", "left")
     run = Window.partitionBy("__pattern", "__slice").orderBy("__order", size).rowsBetween(Window.unboundedPreceding, -1)
     inner = F.sum(size).over(run)
     ahead = F.col("edge_before") + F.coalesce(inner, F.lit(0))

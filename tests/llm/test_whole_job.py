@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seclake.llm import ann
+from seclake.llm import ann, mixing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -67,3 +67,23 @@ def test_every_query_gets_its_rows(spark, monkeypatch, rounds):
     for i in range(900, 980):
         hits += len(got[i] & set(np.argsort(((x - x[i]) ** 2).sum(axis=1))[1:11].tolist()))
     assert hits >= 0.9 * 800
+
+
+# ---- mixing
+
+def test_very_many_sources(spark):
+    n = 21_000
+    table = spark.range(n).selectExpr("id as doc_id", "'a b c d' as text", "concat('site', id) as source")
+    got = mixing.mix_documents(table).groupBy("target").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()
+    assert sum(r.n for r in got) == n and sum(r.target * r.n for r in got) == pytest.approx(4 * n)
+    assert {round(r.target, 6): r.n for r in got} == {2.0: n // 3, 4.0: n // 3, 6.0: n // 3}
+    # texts of four words are used a whole number of times
+    assert all(r.taken in (0, 4 * r.n, 8 * r.n) for r in got)
+
+
+def test_uses_are_those_of_the_flow():
+    rng = random.Random(2)
+    for _ in range(200):
+        members = [[0], [1], [2], [3], *([sorted(rng.sample(range(4), 2))] if rng.random() < 0.7 else [])]
+        supply, quota = [rng.randrange(9) for _ in members], [rng.randrange(20) for _ in range(4)]
+        assert mixing.uses(supply, members, quota) == [sum(f) for f in mixing.min_cost_flow(supply, members, quota)]
