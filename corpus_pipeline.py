@@ -26,8 +26,13 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter or text, and those which no learned language explains."""
+    """Drop documents without a letter or text, and those which no learned language explains.
+
+    Where no document has a language, none is learned, and all documents with a letter are kept.
+    """
     model = langid.learn(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = langid.identify(docs.select(*COLUMNS), model)
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_bits") < REJECT_BITS)).select(*COLUMNS)
 

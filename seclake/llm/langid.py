@@ -166,15 +166,22 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_
           lang_col: str = "lang") -> Model:
     """Learn from at most ``rows`` rows with a text of at most ``TRAIN_TEXT_BYTES`` bytes and a language.
 
+    Of a language which has longer texts only, their beginnings of at most so many bytes are learned.
+
     The rows are the first of each language by the hash of their id, so the sample is the same in every run
     and does not grow with the table; the string counts which come to the driver are bounded by it.
     """
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                            F.col(lang_col).cast("string").alias("lang")).where("lang is not null and length(text) > 0")
-    languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
+    least = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.min(F.octet_length("text"))).collect()}
+    languages = sorted(least)
     if not languages:
         return Model([], [], [], [], [])
-    short = labelled.where(F.octet_length("text") <= TRAIN_TEXT_BYTES).withColumn("digest", F.xxhash64("text", "lang"))
+    short = labelled.where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
+    long_only = [language for language in languages if least[language] > TRAIN_TEXT_BYTES]
+    if long_only:  # a character takes four bytes at most
+        short = short.unionByName(labelled.where(F.col("lang").isin(long_only)).withColumn("text", F.substring("text", 1, TRAIN_TEXT_BYTES // 4)))
+    short = short.withColumn("digest", F.xxhash64("text", "lang"))
     each = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "digest")
     chosen = (short.select("lang", "doc_id", "digest").distinct().withColumn("place", F.row_number().over(each))
               .where(F.col("place") <= max(1, rows // len(languages))).select(F.col("doc_id").alias("id"), F.col("digest").alias("of")))

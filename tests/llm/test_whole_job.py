@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seclake.llm import ann, mixing
+from seclake.llm import ann, langid, mixing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -87,3 +87,24 @@ def test_uses_are_those_of_the_flow():
         members = [[0], [1], [2], [3], *([sorted(rng.sample(range(4), 2))] if rng.random() < 0.7 else [])]
         supply, quota = [rng.randrange(9) for _ in members], [rng.randrange(20) for _ in range(4)]
         assert mixing.uses(supply, members, quota) == [sum(f) for f in mixing.min_cost_flow(supply, members, quota)]
+
+
+# ---- language ID
+
+def test_language_of_long_texts_only(spark):
+    rng = random.Random(4)
+    words = {"en": ["the", "house", "with", "night"], "xx": ["дом", "ночь", "улица", "слово"]}
+    text = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    rows = [(i, text("en", 200), "en", "s", 1) for i in range(20)] + [(100 + i, text("xx", 9000), "xx", "s", 1) for i in range(3)]
+    assert all(len(r[1].encode()) > langid.TRAIN_TEXT_BYTES for r in rows[20:])
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in langid.identify(table, langid.learn(table)).collect()}
+    assert all(got[r[0]].lang_pred == r[2] and got[r[0]].lang_bits < 3 for r in rows)
+    kept = corpus_pipeline.identify_language(spark, table, SMALL)
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows}
+
+
+def test_stage_without_any_language(spark, docs):
+    table = docs([(1, "a text"), (2, "12 34"), (3, None), (None, "no id"), (4, "улица")])
+    kept = corpus_pipeline.identify_language(spark, table, SMALL)
+    assert kept.columns == corpus_pipeline.COLUMNS and {r.doc_id for r in kept.collect()} == {1, None, 4}
