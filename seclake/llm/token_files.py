@@ -14,6 +14,7 @@ once as long as it remembers it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -37,21 +38,24 @@ IDS_PIECE = 1 << 21
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
-def _cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Places at which segments begin.
+def _cuts(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Places at which segments begin, those of ``edges`` among them; what lies behind an edge is not looked at.
 
     Bytes which may belong to white space beyond ASCII are never taken for visible ones.
     """
     if not len(raw):
         return np.zeros(0, np.int64)
+    edges = edges[edges < len(raw)]
     visible = (raw > 0x20) & (raw < 0x7F)
     leads = visible | ((raw >= 0xC3) & (raw != 0xE1) & (raw != 0xE2) & (raw != 0xE3))
     next_leads = np.append(leads[1:], False)
+    next_leads[edges[edges > 0] - 1] = False
     after_visible = np.concatenate([[False], visible[:-1]])
+    after_visible[edges] = False
     line_end = (raw == 0x0A) & after_visible
     cut = ((raw == 0x20) & next_leads) | line_end
     cut[1:] |= line_end[:-1] & leads[1:]
-    cut[at[:-1][at[:-1] < len(raw)]] = True
+    cut[edges] = True
     return np.flatnonzero(cut)
 
 
@@ -98,7 +102,11 @@ class _Segments:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens which take the text beside them are not supported")
+        strings = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, strings))) if strings else None
         self.hash = Rolling(0x9E3779B97F4A7C15)
         self._forget()
 
@@ -176,9 +184,24 @@ class _Segments:
         self._insert(keys[new], out[new])
         return out
 
+    def _whole(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of strings of added tokens, which the library takes out of a text before all else."""
+        begin, end, place = [], [], 0
+        while self.added and (hit := self.added.search(raw, place)):
+            edge = int(at[np.searchsorted(at, hit.start(), "right")])  # the end of its text
+            if hit.end() <= edge:
+                begin.append(hit.start())
+                end.append(hit.end())
+            place = min(hit.end(), edge)
+        return np.array(begin, np.int64), np.array(end, np.int64)
+
     def __call__(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after the other, and their bounds."""
-        cut = _cuts(raw, at)
+        begin, end = self._whole(raw, at)
+        cut = _cuts(raw, np.unique(np.concatenate([at, begin, end])))
+        if len(begin):
+            token = np.searchsorted(begin, cut) - 1  # the last one which begins before the cut
+            cut = cut[(token < 0) | (cut >= end[token])]
         if not len(cut):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
         offsets = np.append(cut, len(raw)).astype(np.int32)
@@ -277,47 +300,39 @@ def unpack(control: np.ndarray, data: np.ndarray, size: np.ndarray) -> np.ndarra
     return out
 
 
-def _rank(by_id: np.ndarray):
+def _blocks(by_id: np.ndarray):
+    """Blocks of whole documents of the sorted rows of a shard, ranked and packed; a longer document stands alone."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard, number = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+        total = 0
+
+        def block():
+            nonlocal held, total, number
+            ids, n, control, data = zip(*held)
+            out = pa.record_batch({
+                "shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int64()), "ids": pa.array([total], pa.int64()),
+                "doc_ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([n], pa.list_(pa.int64())),
+                "control": pa.array([b"".join(control)], pa.binary()), "data": pa.array([b"".join(data)], pa.binary())})
+            held, total, number = [], 0, number + 1
+            return out
+
         for batch in _small(batches, "ids"):
             ids, n = _numbers(batch)
             control, data, c, d = pack(by_id[ids], n)
             control, data = control.tobytes(), data.tobytes()
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "row": batch.column("row"), "n": batch.column("n"),
-                "control": pa.array([control[a:b] for a, b in zip(c, c[1:])], pa.binary()),
-                "data": pa.array([data[a:b] for a, b in zip(d, d[1:])], pa.binary())})
+            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                if held and total + int(n[i]) > BLOCK_IDS:
+                    yield block()
+                held.append((doc, int(n[i]), control[c[i]:c[i + 1]], data[d[i]:d[i + 1]]))
+                total += int(n[i])
+        if held:
+            yield block()
     return run
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole documents of the sorted rows of a shard; a longer document stands alone."""
-    from pyspark import TaskContext
-
-    shard, number = TaskContext.get().partitionId(), 0
-    held: list[tuple] = []
-    total = 0
-
-    def block():
-        nonlocal held, total, number
-        ids, n, control, data = zip(*held)
-        out = pa.record_batch({
-            "shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int64()), "ids": pa.array([total], pa.int64()),
-            "doc_ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([n], pa.list_(pa.int64())),
-            "control": pa.array([b"".join(control)], pa.binary()), "data": pa.array([b"".join(data)], pa.binary())})
-        held, total, number = [], 0, number + 1
-        return out
-
-    for batch in _small(batches, "data"):
-        for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "control", "data"))):
-            if held and total + row[1] > BLOCK_IDS:
-                yield block()
-            held.append(row)
-            total += row[1]
-    if held:
-        yield block()
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id``, and write token files below ``path``.
@@ -340,10 +355,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     by_id = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     by_id[ids] = np.arange(len(ids))
     spark.createDataFrame(list(enumerate(ids.tolist())), "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
-    ranked = coded.mapInArrow(frugal(_rank(by_id)), "doc_id bigint, row bigint, n bigint, control binary, data binary")
-    (ranked.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "row")
-     .mapInArrow(frugal(_blocks), "shard int, block bigint, ids bigint, doc_ids array<bigint>, sizes array<bigint>, "
-                          "control binary, data binary")
+    # rows are dealt out before they are ranked: finding the bounds of the ranges reads the stored rows once more
+    (coded.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+     .mapInArrow(frugal(_blocks(by_id)), "shard int, block bigint, ids bigint, doc_ids array<bigint>, sizes array<bigint>, "
+                                         "control binary, data binary")
      .write.option("compression", "zstd").parquet(f"{path}/blocks"))
 
 

@@ -102,14 +102,12 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def odd_texts():
     rng = random.Random(1)
-    atoms = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "　", " ", "\x1c", "\x85", "a", "It's", "don't", "é", "日本", "42", "!!", "<|endoftext|>", "ﬁ", "​", "Ⅷ"]
+    atoms = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "　", " ", "\x1c", "\x85", "a", "It's", "don't", "é", "日本", "42", "!!", "<|endoftext|>", "<|endof", "text|>", "ﬁ", "​", "Ⅷ"]
     return ["".join(rng.choices(atoms, k=rng.randint(0, 25))) for _ in range(600)]
 
 
