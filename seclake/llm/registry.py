@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, langid, minhash, mixing, pii, quotes, substring_dedup, token_files, warc
+from . import ann, decontaminate, langid, minhash, mixing, packing, pii, quotes, substring_dedup, token_files, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_langid": langid.op9_langid,
     "op10_warc": warc.op10_warc,
+    "op11_packing": packing.op11_packing,
 }
 
 SQL = {

@@ -215,14 +215,14 @@ class _Segments:
 
 
 @lru_cache(maxsize=2)
-def _segments(path: str) -> _Segments:
-    """One per worker process, which runs many tasks."""
+def segments_of(path: str) -> _Segments:
+    """Encoder of a tokenizer file; one per worker process, which runs many tasks."""
     return _Segments(path)
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = _segments(path)
+        segments = segments_of(path)
         for batch in batches:
             raw, at = text_buffer(batch.column("text"))
             for lo, hi in slices(at, TEXT_PIECE):
