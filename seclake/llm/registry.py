@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, langid, minhash, mixing, packing, pii, quotes, substring_dedup, token_files, warc
+from . import ann, decontaminate, langid, minhash, mixing, packing, pii, prefix_trie, quotes, substring_dedup, token_files, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_langid": langid.op9_langid,
     "op10_warc": warc.op10_warc,
     "op11_packing": packing.op11_packing,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op4_minhash": minhash.SQL,
     "op6_quotes": quotes.SQL,
     "op10_warc": warc.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
