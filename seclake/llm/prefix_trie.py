@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +149,7 @@ def _join_ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids = batch.column("key"), batch.column("conv_id").to_pylist()
         if not ids:
             continue
-        code = pa.compute.dictionary_encode(key).indices.to_numpy()
+        code = pc.dictionary_encode(key).indices.to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])).tolist()
         cuts = [c for a, z in zip(starts, [*starts[1:], len(ids)]) for c in range(a, z, IDS_AT_ONCE)]
         yield pa.record_batch({

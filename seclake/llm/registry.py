@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, langid, minhash, mixing, packing, pii, prefix_trie, quotes, substring_dedup, token_files, warc
+from . import ann, collocations, decontaminate, langid, minhash, mixing, packing, pii, prefix_trie, quotes, substring_dedup, token_files, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_packing": packing.op11_packing,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op6_quotes": quotes.SQL,
     "op10_warc": warc.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
+    "op13_collocations": collocations.SQL,
 }
