@@ -87,7 +87,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, p, k in zip(full, packed, keys):
                     signature[i], bands[i] = p.tobytes(), k.tolist()
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id").slice(lo, hi - lo), "n_shingles": pa.array(size),
+                "row": batch.column("row").slice(lo, hi - lo), "doc_id": batch.column("doc_id").slice(lo, hi - lo), "n_shingles": pa.array(size),
                 "node": pa.array(nodes, pa.binary()), "signature": pa.array(signature, pa.binary()),
                 "bands": pa.array(bands, pa.list_(pa.int64()))})
 
@@ -139,8 +139,7 @@ def _confirm(percent: int):
             raw, at = text_buffer(group["text"])
             found: dict[bytes, np.ndarray] = {}
             for node, s in zip(group["node"].to_pylist(), _sets(raw, at)):
-                if len(s) and _digest(s) == node:  # else another row with the same id
-                    found[node] = s
+                found[node] = s
             nodes = list(found)
             if len(nodes) < 2:
                 continue
@@ -189,26 +188,32 @@ def _by_group(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n, "g").sortWithinPartitions("g")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
+                    row_col: str | None = None) -> DataFrame:
     """Components of documents linked by 100 * common >= percent * union of their shingles.
 
     Words are runs of bytes other than space and ``\\t\\n\\v\\f\\r`` with A-Z lower-cased; a set holds the
     distinct shingles of five words, or the whole sequence where there are fewer.
 
-    Returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept
-    (doc_id is the component's).
+    Returns one row per input row: row (its number), doc_id, n_shingles, component_id (smallest doc_id
+    reachable), kept (doc_id is the component's), group (equal in the rows of a component, null without
+    shingles).
 
-    Null, empty and blank texts have no shingles and stand alone.  Rows with equal ids are each judged by
-    their own text.  A null id is never a component's id unless all of its documents have none.  An empty
-    table gives an empty result; other columns are ignored.
+    ``row_col`` names a column which numbers the rows of a stored table; without one the rows are numbered
+    and written first, as texts are fetched by that number.  Null, empty and blank texts have no shingles and
+    stand alone.  Rows with equal ids are each judged by their own text.  A null id is never a component's id
+    unless all of its documents have none.  An empty table gives an empty result; other columns are ignored.
     """
     n, tie, confirm = partitions(docs.sparkSession), _tie(needed_matches(percent)), _confirm(percent)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not row_col:
+        rows = materialize(rows, "rows")
     signed = materialize(rows.mapInArrow(
-        frugal(_sign), "doc_id bigint, n_shingles bigint, node binary, signature binary, bands array<bigint>"), "signed")
+        frugal(_sign), "row bigint, doc_id bigint, n_shingles bigint, node binary, signature binary, bands array<bigint>"), "signed")
     nodes = materialize(
         signed.where("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"),
+            F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"),
             F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")), "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("key"))
@@ -217,24 +222,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     tied = _by_group(_in_blocks(members, "key", f"ceil(members / {BLOCK_NODES})").select("g", "node", "signature"), n)
     family = components(tied.mapInArrow(frugal(lambda b: shrink(tie(b))), "a binary, b binary"))
 
-    of = family.join(nodes.select("node", "doc_id", "n_shingles"), "node")
+    of = family.join(nodes.select("node", "row", "n_shingles"), "node")
     total = of.groupBy("label").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
-    of = of.join(total, "label").withColumnRenamed("doc_id", "id")
-    texts = rows.join(of, rows.doc_id.eqNullSafe(of.id))
+    texts = rows.select("row", "text").join(of.join(total, "label"), "row")
     grouped = _by_group(_in_blocks(texts, "label", "blocks").select("g", "node", "text"), n)
     linked = components(grouped.mapInArrow(frugal(lambda b: shrink(confirm(b))), "a binary, b binary"))
 
     whole = nodes.select("node", "doc_id").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    result = signed.select("doc_id", "n_shingles", "node").join(
-        whole.select("node", "label").join(ids, "label").select("node", "component_id"), "node", "left")
+    result = signed.select("row", "doc_id", "n_shingles", "node").join(
+        whole.select("node", "label").join(ids, "label").select("node", "component_id", F.col("label").alias("group")), "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"),
-                         F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return result.select("row", "doc_id", "n_shingles", component.alias("component_id"),
+                         F.col("doc_id").eqNullSafe(component).alias("kept"), "group")
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row", "group")
 
 
 SQL = r"""

@@ -171,9 +171,12 @@ def cycle(known: list) -> list[int]:
     return [1 + i % 3 for i in range(len(known))]
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix of a documents table by its column source: weights 1, 2, 3, repeating, over the sorted sources."""
-    rows = docs.select(F.col("doc_id"), word_count("text").alias("size"), F.array(F.col("source").cast("string")).alias("sources"))
+def mix_documents(docs: DataFrame, *keep: str) -> DataFrame:
+    """The mix of a documents table by its column source: weights 1, 2, 3, repeating, over the sorted sources.
+
+    Rows have the columns ``keep`` too; those with equal or null ids are rows of their own.
+    """
+    rows = docs.select(*keep, F.col("doc_id"), word_count("text").alias("size"), F.array(F.col("source").cast("string")).alias("sources"))
     return mix(rows, "size", "sources", cycle)
 
 

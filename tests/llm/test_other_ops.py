@@ -378,7 +378,7 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == corpus_pipeline.COLUMNS
     ids = {n: {r.doc_id for r in d.select("doc_id").collect()} for n, d in results.items()}
     assert ids["language_id"] == {r.doc_id for r in start.select("doc_id").collect()} - {10 ** 6, 10 ** 6 + 1}
-    near = minhash.near_duplicates(results["language_id"]).where("kept")
+    near = minhash.near_duplicates(results["language_id"], percent=corpus_pipeline.NEAR_PERCENT).where("kept")
     assert ids["near_duplicates"] == {r.doc_id for r in near.collect()}
     hit = decontaminate.contamination(results["near_duplicates"], spark.read.parquet(f"{SMALL}/benchmark.parquet"))
     assert ids["decontamination"] == {r.doc_id for r in hit.where("not contaminated").collect()}

@@ -47,6 +47,46 @@ def test_stage_on_documents(spark):
     assert got == brute_kept(rows, 80)
 
 
+# ---- rows without an id, or with the same one
+
+def texts_of(df):
+    return sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect())
+
+
+def test_stages_judge_each_row(spark, docs):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    rows = [(None, item), (None, "a clean text of its own"), (4, f"x {item}"), (4, "also clean"), (4, None), (None, "")]
+    got = corpus_pipeline.drop_contaminated(spark, docs(rows), SMALL)
+    assert texts_of(got) == texts_of(docs([rows[1], rows[3], rows[4], rows[5]]))
+
+    one, two = " ".join("a%d" % i for i in range(100)), " ".join("b%d" % i for i in range(100))
+    rows = [(None, one), (None, one + " end"), (None, two), (None, None), (None, None), (3, two), (3, two), (2, one), (9, "c")]
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(rows), SMALL)
+    assert texts_of(got) == texts_of(docs([(None, None), (None, None), (3, two), (2, one), (9, "c")]))
+
+    rows = [(None, "a b c d"), (None, "e f g h i j")] + [(i, "w " * 10) for i in range(20)]
+    source = lambda d: F.when(F.col("text") == "a b c d", "s1").when(F.col("doc_id").isNull(), "s2").otherwise("s0")
+    table = docs(rows).withColumn("source", source("text"))
+    expected = {r.text: r.repeats for r in mixing.mix_documents(table, "text").where("doc_id is null").collect()}
+    used = [r.text for r in corpus_pipeline.mix_sources(spark, table, SMALL).where("doc_id is null").collect()]
+    assert {t: used.count(t) for t in expected} == expected and set(expected) == {"a b c d", "e f g h i j"}
+    assert corpus_pipeline.write_tokens(spark, docs([(None, "a"), (None, "b"), (1, "c"), (1, "c")]), SMALL).count() == 4
+
+
+def test_texts_sent_to_confirming(spark, docs, monkeypatch):
+    """As many as there are members of families, whatever the ids are."""
+    from seclake.llm import minhash
+
+    sent = []
+    by_group = minhash._by_group
+    monkeypatch.setattr(minhash, "_by_group", lambda rows, n: (sent.append(rows.count()) if "text" in rows.columns else 0) or by_group(rows, n))
+    base = ["v%d" % i for i in range(300)]
+    rows = [(None, " ".join(base[:i % 290] + ["new%d" % i] + base[i % 290:])) for i in range(100)]
+    got = minhash.near_duplicates(docs(rows))
+    assert got.select("group").distinct().count() == 1 and got.count() == 100
+    assert sent == [100]
+
+
 # ---- nearest neighbours
 
 @pytest.mark.parametrize("rounds", [1, 5])
