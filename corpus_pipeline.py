@@ -17,12 +17,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REJECT_BITS = 8.0
 #: Shingle similarity in percent from which on documents are near duplicates here (op4_minhash has its own).
 NEAR_PERCENT = 80
+#: Numbers of dropped rows which are broadcast; beyond that many they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is in ``ids``; a null id counts as an id."""
-    wanted = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents, written with a number of each row in ``__row``; ids may be null or repeated, rows are not."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "numbered")
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents whose row is not in ``dropped``; texts are not moved where these are few."""
+    few = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(dropped) if few else dropped, "__row", "left_anti").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,28 +45,44 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near duplicates (similarity of 0.8 or more) the document with the smallest id."""
-    docs = docs.select(*COLUMNS)
-    return _only(docs, minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept"))
+    """Keep one row of each group of near duplicates (similarity of 0.8 or more), that with the smallest id.
+
+    A null id is the largest; equal rows count as copies.  Rows without text or words are in no group and stay.
+    An empty table stays empty.
+    """
+    docs = _numbered(docs)
+    found = materialize(minhash.near_duplicates(docs, percent=NEAR_PERCENT, row_col="__row").where("group is not null"), "near")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).getField("row").alias("row"))
+    return _without(docs, found.join(first, "row", "left_anti").select(F.col("row").alias("__row")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents which share a window of ten words with a benchmark item."""
-    docs = docs.select(*COLUMNS)
+    """Drop rows which share a window of ten words with a benchmark item, each by its own text.
+
+    Rows without text stay; without items all rows stay; an empty table stays empty.
+    """
+    docs = _numbered(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _only(docs, decontaminate.contamination(docs, benchmark).where("not contaminated"))
+    found = decontaminate.contamination(docs, benchmark, id_col="__row").where("contaminated")
+    return _without(docs, materialize(found.select(F.col("doc_id").alias("__row")), "contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bring sources to their target weights; a document used n times is in n rows."""
-    docs = docs.select(*COLUMNS)
-    times = mixing.mix_documents(docs).where("repeats > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__n"))
-    used = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return used.withColumn("__use", F.explode(F.sequence(F.lit(1), "__n"))).select(*COLUMNS)
+    """Bring sources to their target weights; a row used n times is in n rows.
+
+    Rows with equal or null ids are used each by itself; a null source is a source; an empty table stays empty.
+    """
+    docs = _numbered(docs)
+    times = mixing.mix_documents(docs, "__row").where("repeats > 0").select("__row", "repeats")
+    used = docs.join(times, "__row").withColumn("__use", F.explode(F.sequence(F.lit(1), "repeats")))
+    return used.select(*COLUMNS)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token files and return what they hold: doc_id, start, n_tokens, ids_crc32."""
+    """Write token files and return what they hold, a row for each row of ``docs``: doc_id, start, n_tokens, ids_crc32.
+
+    A null or empty text has the end id only; rows with equal or null ids are each written; an empty table gives no rows.
+    """
     return token_files.tokens_of(docs)
 
 
