@@ -9,10 +9,11 @@ threshold is known then.  A language is settled when 2000 phrases above its thre
 expanded further, down to a threshold of nothing if need be.
 
 Tasks learn which prefixes are to be expanded from a bit filter of bounded size.  It never misses one; what
-it lets through beyond them is counted exactly as well, so its size changes the work and not the result.
+it lets through beyond them is counted exactly as well, so its size changes the work and not the result.  Such
+a filter also keeps most rare words and pairs from being counted by their texts: their hashes are counted first.
 
-Within a task, words are codes of a dictionary of the text at hand and phrases are pairs of codes, so counting
-needs no hashes of texts; what leaves the task is one row for each different phrase of a few megabytes of text.
+Within a task, words are codes of a dictionary of the text at hand and phrases are pairs of codes; what leaves
+the task is one row for each different phrase of a few megabytes of text.
 """
 
 from __future__ import annotations
@@ -27,15 +28,15 @@ from pyspark.sql import functions as F
 
 from seclake.operators.joins import lookup_join
 
-from .tables import frugal, materialize
-from .words import VALUES, Rolling, slices, text_buffer
+from .tables import frugal, materialize, partitions
+from .words import VALUES, Rolling, _mix, slices, text_buffer
 
 #: Least count of a candidate; share (percent) of a phrase's count from which on a longer one displaces it.
 LEAST, DISPLACE = 10, 50
 #: Phrases of a language; pairs of a language above its first threshold; by which factor they grow.
 TOP, FIRST, GROW = 2000, 4000, 8
-#: Bytes of text counted at a time; bits of the filter for each phrase in it, and at most.
-PIECE, BITS_EACH, MOST_BITS = 1 << 22, 32, 1 << 27
+#: Bytes of text counted at a time; rows sent on at a time; bits of a filter for each phrase in it, and at most.
+PIECE, ROWS, BITS_EACH, MOST_BITS = 1 << 21, 1 << 16, 32, 1 << 27
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -66,6 +67,30 @@ def _chunks(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[np.ndarray, np.
             begin = end
 
 
+_U = np.uint64
+_ONE, _TWO, _ROLE = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x2545F4914F6CDD1D)
+
+
+def _hash(column: pa.Array) -> np.ndarray:
+    """Hash of each text, the same in every task."""
+    raw, at = text_buffer(column)
+    return _KEYS.ranges(VALUES[raw], at[:-1], at[1:])
+
+
+def _key(lang: np.ndarray, one: np.ndarray, two: np.ndarray | int = 0) -> np.ndarray:
+    """Key of a word or a pair from the hashes of its parts."""
+    return _mix(lang + one * _ONE + two * _TWO)
+
+
+def _phrase_keys(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
+    """Keys of pairs from their texts."""
+    raw, at = text_buffer(phrase)
+    blank = np.flatnonzero(raw == 0x20)  # one in each
+    coded = lang.dictionary_encode()
+    one, two = _KEYS.ranges(VALUES[raw], at[:-1], blank), _KEYS.ranges(VALUES[raw], blank + 1, at[1:])
+    return _key(_hash(coded.dictionary)[coded.indices.to_numpy()], one, two)
+
+
 class _Words:
     """Words of texts as codes: ``code`` of each, its ``lang``, and whether the ``next`` one is in its piece."""
 
@@ -81,6 +106,7 @@ class _Words:
         coded = words.dictionary_encode()
         self.words, self.code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         self.size = max(len(self.words), 1)
+        self.hash = _hash(self.words)
         text = np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(start, at)))
         self.lang = lang[text]
         piece = np.cumsum(_STOPS[raw], dtype=np.int32)[start] if len(start) else np.zeros(0, np.int32)
@@ -89,6 +115,11 @@ class _Words:
     def phrase(self, *codes: np.ndarray) -> pa.Array:
         return pc.binary_join_element_wise(*(self.words.take(pa.array(c)) for c in codes), b" ").cast(pa.string())
 
+    def singles(self) -> tuple[np.ndarray, ...]:
+        """Language and code of different words, and their counts."""
+        key, n = np.unique(self.lang * self.size + self.code, return_counts=True)
+        return key // self.size, key % self.size, n
+
     def pairs(self) -> tuple[np.ndarray, ...]:
         """Language and codes of different pairs, their counts, and the pair which begins at each word (-1: none)."""
         there = np.flatnonzero(self.next)
@@ -99,52 +130,70 @@ class _Words:
         return key // self.size ** 2, key // self.size % self.size, key % self.size, n, at
 
 
-def _rows(langs: pa.Array, lang: np.ndarray, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({"lang": langs.take(pa.array(lang)), "k": pa.array([k] * len(n), pa.int32()), "phrase": phrase, "n": pa.array(n)})
+def _sent(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    batch = pa.record_batch(columns)
+    for lo in range(0, batch.num_rows, ROWS):
+        yield batch.slice(lo, ROWS)
+
+
+def _rows(langs: pa.Array, lang: np.ndarray, k: int, phrase: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    return _sent({"lang": langs.take(pa.array(lang)), "k": pa.array([k] * len(n), pa.int32()), "phrase": phrase, "n": pa.array(n)})
 
 
-def _languages(batch: pa.RecordBatch) -> pa.Array:
-    return batch.column("lang").dictionary_encode().dictionary
+def _languages(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    langs = batch.column("lang").dictionary_encode().dictionary
+    return langs, _hash(langs)
 
 
-def _count_short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and pairs in a few megabytes of text at a time."""
+def _count_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the keys of words and pairs in a few megabytes of text at a time."""
     for batch in batches:
-        langs = _languages(batch)
+        _, known = _languages(batch)
         for chunk in _chunks(batch, PIECE):
             words = _Words(*chunk)
-            if not len(words.code):
-                continue
-            key, n = np.unique(words.lang * words.size + words.code, return_counts=True)
-            yield _rows(langs, key // words.size, 1, words.phrase(key % words.size), n)
+            lang, one, n = words.singles()
+            yield from _sent({"key": pa.array(_key(known[lang], words.hash[one]).view(np.int64)), "n": pa.array(n)})
             lang, one, two, n, _ = words.pairs()
-            yield _rows(langs, lang, 2, words.phrase(one, two), n)
+            yield from _sent({"key": pa.array(_key(known[lang], words.hash[one], words.hash[two]).view(np.int64)), "n": pa.array(n)})
 
 
-def _places(lang: pa.Array, phrase: pa.Array, role: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of the filter for each phrase in a role."""
-    def hashes(column: pa.Array) -> np.ndarray:
-        raw, at = text_buffer(column)
-        return _KEYS.ranges(VALUES[raw], at[:-1], at[1:])
-
-    coded = lang.dictionary_encode()
-    key = hashes(phrase) ^ (hashes(coded.dictionary) * np.uint64(2 * role + 3))[coded.indices.to_numpy()]
-    key *= np.uint64(0x9E3779B97F4A7C15)
-    return (key >> np.uint64(36)).astype(np.int64) & (bits - 1), (key & np.uint64(bits - 1)).astype(np.int64)
+def _count_short(shared):
+    """Counts of words and pairs which the filter lets through, and of all words of a language (without a text)."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = _Filter(shared.value)
+        for batch in batches:
+            langs, known = _languages(batch)
+            for chunk in _chunks(batch, PIECE):
+                words = _Words(*chunk)
+                lang, n = np.unique(words.lang, return_counts=True)
+                yield from _rows(langs, lang, 0, pa.array([""] * len(lang), pa.string()), n)
+                lang, one, n = words.singles()
+                keep = passes(_key(known[lang], words.hash[one]))
+                yield from _rows(langs, lang[keep], 1, words.phrase(one[keep]), n[keep])
+                lang, one, two, n, _ = words.pairs()
+                keep = passes(_key(known[lang], words.hash[one], words.hash[two]))
+                yield from _rows(langs, lang[keep], 2, words.phrase(one[keep], two[keep]), n[keep])
+    return run
 
 
 ANY, GROWN, ABOVE = 0, 1, 2
 
 
+def _places(key: np.ndarray, role: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a filter for each key in a role."""
+    key = _mix(key + _U(role) * _ROLE)
+    return (key >> _U(32)).astype(np.int64) & (bits - 1), (key & _U(bits - 1)).astype(np.int64)
+
+
 class _Filter:
-    """Which pairs may be in which role; ``packed`` holds the bits."""
+    """Which keys may be in which role; ``packed`` holds the bits."""
 
     def __init__(self, packed: bytes):
         self.packed, self.bits = packed, 8 * len(packed)
 
-    def __call__(self, lang: pa.Array, phrase: pa.Array, role: int) -> np.ndarray:
+    def __call__(self, key: np.ndarray, role: int = ANY) -> np.ndarray:
         table = np.frombuffer(self.packed, np.uint8)
-        one, two = _places(lang, phrase, role, self.bits)
+        one, two = _places(key, role, self.bits)
         return ((table[one >> 3] >> (one & 7).astype(np.uint8)) & (table[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -153,50 +202,50 @@ def _count_long(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = _Filter(shared.value)
         for batch in batches:
-            langs = _languages(batch)
+            langs, hashes = _languages(batch)
             for chunk in _chunks(batch, PIECE):
                 words = _Words(*chunk)
                 if len(words.code) < 3:
                     continue
                 lang, one, two, _, at = words.pairs()
-                names, phrase = langs.take(pa.array(lang)), words.phrase(one, two)
-                known = passes(names, phrase, ANY)
-                grown, above = known & passes(names, phrase, GROWN), known & passes(names, phrase, ABOVE)
+                keys = _key(hashes[lang], words.hash[one], words.hash[two])
+                known = passes(keys)
+                grown, above = known & passes(keys, GROWN), known & passes(keys, ABOVE)
                 place = np.flatnonzero((at[:-2] >= 0) & (at[1:-1] >= 0))
                 left, right = at[place], at[place + 1]
                 place = place[(grown[left] & known[right]) | (known[left] & above[right])]
-                if not len(place):
-                    continue
                 key, n = np.unique(at[place] * words.size + words.code[place + 2], return_counts=True)
                 pair = key // words.size
-                yield _rows(langs, lang[pair], 3, words.phrase(one[pair], two[pair], key % words.size), n)
+                yield from _rows(langs, lang[pair], 3, words.phrase(one[pair], two[pair], key % words.size), n)
     return run
 
 
-def _bits(bits: int):
-    """Words of 64 bits of the filter which rows set."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            places = []
-            for role, column in ((ANY, None), (GROWN, "grown"), (ABOVE, "above")):
-                rows = batch.filter(batch.column(column)) if column else batch
-                if rows.num_rows:
-                    places += _places(rows.column("lang"), rows.column("phrase"), role, bits)
-            place = np.unique(np.concatenate(places))
-            word, start = np.unique(place >> 6, return_index=True)
-            value = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), start)
-            yield pa.record_batch({"word": pa.array(word), "value": pa.array(value.view(np.int64))})
-    return run
+def _of_keys(batch: pa.RecordBatch, bits: int) -> list[np.ndarray]:
+    return [*_places(batch.column("key").to_numpy().view(_U), ANY, bits)]
+
 
+def _of_pairs(batch: pa.RecordBatch, bits: int) -> list[np.ndarray]:
+    keys, places = _phrase_keys(batch.column("lang"), batch.column("phrase")), []
+    for role, column in ((ANY, None), (GROWN, "grown"), (ABOVE, "above")):
+        places += _places(keys[batch.column(column).to_numpy(zero_copy_only=False).astype(bool)] if column else keys, role, bits)
+    return places
 
-def _filter_of(pairs: DataFrame) -> bytes:
-    """The bits of all pairs, sized by their number up to ``MOST_BITS``."""
+
+def _filter_of(rows: DataFrame, places) -> bytes:
+    """The bits which rows set, sized by their number up to ``MOST_BITS``."""
     bits = 1 << 10
-    while bits < min(BITS_EACH * pairs.count(), MOST_BITS):
+    while bits < min(BITS_EACH * rows.count(), MOST_BITS):
         bits *= 2
-    words = pairs.select("lang", "phrase", "grown", "above").mapInArrow(_bits(bits), "word bigint, value bigint").groupBy("word").agg(
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                place = np.unique(np.concatenate(places(batch, bits)))
+                word, start = np.unique(place >> 6, return_index=True)
+                value = np.bitwise_or.reduceat(_U(1) << (place & 63).astype(_U), start)
+                yield pa.record_batch({"word": pa.array(word), "value": pa.array(value.view(np.int64))})
+
+    words = rows.mapInArrow(run, "word bigint, value bigint").groupBy("word").agg(
         F.bit_or("value").alias("value")).toPandas()  # at most MOST_BITS bits
     table = np.zeros(bits // 64, np.int64)
     table[words["word"].to_numpy(np.int64)] = words["value"].to_numpy(np.int64)
@@ -215,9 +264,19 @@ _KEY = "concat(lang, ' ', {})"  # words hold no blank, so the parts of a key are
 
 
 def counted(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Counts of words, and of pairs from ``LEAST`` on, over all texts: lang, k (words), phrase, n."""
-    counts = _texts(docs, lang_col, text_col).mapInArrow(frugal(_count_short), "lang string, k int, phrase string, n bigint")
-    return materialize(counts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where(f"k = 1 or n >= {LEAST}"), "counts")
+    """Counts over all texts: lang, k (words; 0: all words of a language), phrase, n.
+
+    Words and pairs are there from ``LEAST`` on.  Pieces of text are counted before their rows are dealt out, so a
+    frequent phrase has one row a piece.
+    """
+    spark = docs.sparkSession
+    texts = _texts(docs, lang_col, text_col)
+    keys = texts.mapInArrow(frugal(_count_keys), "key bigint, n bigint").repartition(partitions(spark), "key").groupBy("key").agg(
+        F.sum("n").alias("n"))
+    often = materialize(keys.where(f"n >= {LEAST}").select("key"), "keys")
+    shared = spark.sparkContext.broadcast(_filter_of(often, _of_keys))
+    counts = texts.mapInArrow(frugal(_count_short(shared)), "lang string, k int, phrase string, n bigint")
+    return materialize(counts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where(f"k = 0 or n >= {LEAST}"), "counts")
 
 
 def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -227,7 +286,7 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 def scored_pairs(counts: DataFrame) -> DataFrame:
     """Candidates of two words: lang, phrase, a, l, r, score, bound (of phrases which begin with it)."""
-    words = counts.where(f"k = 1 and n >= {LEAST}").select(F.expr(_KEY.format("phrase")).alias("key"), F.col("n").alias("f"))
+    words = counts.where("k = 1").select(F.expr(_KEY.format("phrase")).alias("key"), F.col("n").alias("f"))
     pairs = counts.where("k = 2").selectExpr("lang", "phrase", "n as a", "substring_index(phrase, ' ', 1) as one", "substring_index(phrase, ' ', -1) as two")
     first = lookup_join(pairs.withColumn("key", F.expr(_KEY.format("one"))), words, "key").withColumnRenamed("f", "l")
     both = lookup_join(first.withColumn("key", F.expr(_KEY.format("two"))), words, "key").withColumnRenamed("f", "r")
@@ -266,7 +325,7 @@ def collocations(docs: DataFrame, top: int = TOP, first: int = FIRST, lang_col:
         limits = materialize(limits, "limits")
         live = lookup_join(live, limits, "lang").selectExpr("*", "bound >= limit as grown", "score >= limit as above")
         live = materialize(live, "live")
-        shared = spark.sparkContext.broadcast(_filter_of(live))
+        shared = spark.sparkContext.broadcast(_filter_of(live.select("lang", "phrase", "grown", "above"), _of_pairs))
         triples = _texts(docs, lang_col, text_col).mapInArrow(
             frugal(_count_long(shared)), "lang string, k int, phrase string, n bigint")
         triples = materialize(triples.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(f"n >= {LEAST}"), "triples")
@@ -288,8 +347,7 @@ def collocations(docs: DataFrame, top: int = TOP, first: int = FIRST, lang_col:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    total = counts.where("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    return lookup_join(out, total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return lookup_join(out, counts.where("k = 0").select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
