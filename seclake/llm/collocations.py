@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from seclake.operators.joins import lookup_join
 
-from .tables import frugal, materialize, partitions
+from .tables import frugal, materialize, partitions, runs
 from .words import VALUES, Rolling, _mix, slices, text_buffer
 
 #: Least count of a candidate; share (percent) of a phrase's count from which on a longer one displaces it.
@@ -36,7 +36,9 @@ LEAST, DISPLACE = 10, 50
 #: Phrases of a language; pairs of a language above its first threshold; by which factor they grow.
 TOP, FIRST, GROW = 2000, 4000, 8
 #: Bytes of text counted at a time; rows sent on at a time; bits of a filter for each phrase in it, and at most.
-PIECE, ROWS, BITS_EACH, MOST_BITS = 1 << 21, 1 << 16, 32, 1 << 27
+PIECE, ROWS, BITS_EACH, MOST_BITS = 1 << 21, 1 << 16, 16, 1 << 27
+#: Words of 64 bits of a filter which come to the driver in one row.
+BLOCK_WORDS = 1 << 12
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -245,13 +247,24 @@ def _filter_of(rows: DataFrame, places) -> bytes:
                 value = np.bitwise_or.reduceat(_U(1) << (place & 63).astype(_U), start)
                 yield pa.record_batch({"word": pa.array(word), "value": pa.array(value.view(np.int64))})
 
-    words = rows.mapInArrow(run, "word bigint, value bigint").groupBy("word").agg(
-        F.bit_or("value").alias("value")).toPandas()  # at most MOST_BITS bits
-    table = np.zeros(bits // 64, np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["value"].to_numpy(np.int64)
+    words = rows.mapInArrow(run, "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value"))
+    blocks = words.withColumn("block", F.expr(f"word div {BLOCK_WORDS}")).repartition("block").sortWithinPartitions("block").mapInArrow(
+        _packed, "block bigint, bits binary").toArrow()  # at most MOST_BITS bits
+    table = np.zeros(bits // 8, np.uint8)
+    for block, packed in zip(blocks["block"].to_pylist(), blocks["bits"].to_pylist()):
+        there = table[8 * BLOCK_WORDS * block:8 * BLOCK_WORDS * (block + 1)]
+        there[:] = np.frombuffer(packed, np.uint8)[:len(there)]
     return table.tobytes()
 
 
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of bits from their words."""
+    for group in runs(batches, "block"):
+        table = np.zeros(BLOCK_WORDS, np.int64)
+        table[group["word"].to_numpy() % BLOCK_WORDS] = group["value"].to_numpy()
+        yield pa.record_batch({"block": group["block"].combine_chunks()[:1], "bits": pa.array([table.tobytes()], pa.binary())})
+
+
 def _exact(up: str, down: str) -> str:
     """SQL: floor(1000000 * up / down) of products of bigints, beyond 64 bits."""
     def product(names: str) -> str:
