@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from .. import fixed
 from ..schema import CASE, EVENT_FIELDS
-from ..sources.derived import CASE_SQL, FEED_SQL
+from ..sources.derived import CASE_SQL, FEED_SQL, IP_SQL
 
 
 def _s(text: str) -> str:
@@ -680,4 +680,23 @@ def all_sql() -> dict[str, str]:
             from s group by source, session""",
         "stream_text_alerts": f"{SCORED} select {_ALERT.replace('seq, ', '', 1)} from sc where {_RANK} <= 1",
         "stream_deduped": f"{LOGS} select seq, event_type from ev",
+        "stream_appended": f"{LOGS} select {_FIELDS.replace('seq, ', '')} from ev",
+        "stream_replays": f"{LOGS} select seq, event_type from ev",
+        "stream_recent_alerts": f"{SCORED} select {_ALERT} from (select * from sc where {_RANK} <= 3 order by event_ts desc nulls last, seq desc limit 50)",
+        "stream_groups": f"""{LOGS} select seq, event_type, source_ip, (n // 10)::bigint as group_id, (n % 10)::bigint as position
+            from (select *, row_number() over (order by seq) - 1 as n from ev)""",
+        # own parts
+        "stream_callback": f"{SCORED} select event_type, severity, count(*) as events from sc group by all",
+        "messages_parsed": f"""{LOGS} select '10.9.0.' || seq % 5 as source_address, {_FIELDS.replace('file, seq, ', '')} from ev""",
+        "rules_from_file": LOGS + _rules("ev", _BUILTIN + _CUSTOM),
+        "own_parser": f"""{LOGS} select seq, format, event_type, raw_message, host from ev where format <> 'ssh' union all
+            select seq, format, case when contains(line, 'Failed') then 'door_closed' else 'door_open' end, upper(line), null
+            from fmt where format = 'ssh' and (contains(line, 'Failed') or contains(line, 'Accepted'))""",
+        "own_provider": f"""{INTEL.replace('lv as (', 'lk as (')}, lv as (select * from lk union all by name
+            select distinct {IP_SQL} as ip, 'Blocklist' as provider, true as is_malicious, 99 as confidence, 'Nowhere' as country, 'NO' as country_code, '' as isp,
+            false as is_tor, false as is_proxy, false as is_vpn, false as is_datacenter, 5 as place from events where user_id % 10 = 3)
+            {_aggregated(_EV_IPS)} select *, malicious_votes > 0 as is_malicious from ag""",
+        "own_target": f"""{SCORED} select concat_ws(' ', 'type=' || event_type, 'src=' || source_ip, 'user=' || "user") as value from sc""",
+        "exported_bulk": f"""{SCORED} select unnest(['{{"index":{{"_index":"security-logs"}}}}', {_DOC.format(severity='severity')}::varchar]) as value from sc""",
+        "exported_docs": f"{SCORED} select {_DOC.format(severity='severity')}::varchar as value from sc",
     }

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network, times
+from ..functions.parsers import LineParser, default_parsers
 from ..operators import (
     anomaly, bursts, correlate, detections, intel, parse, rules, series, summary, timeline,
 )
-from ..schema import CASE, EVENT_FIELDS
-from ..session import scratch_path
+from ..schema import CASE, EVENT_FIELDS, VERDICT
+from ..session import materialize, scratch_path
 from ..sinks import alerts, files, siem
 from ..sources import derived
+from ..sources import follow
 from ..sources.cases import read_cases
-from ..sources.lines import read_lines
-from ..sources.lines import stream_lines as follow_lines
+from ..sources.lines import message_lines, read_lines
+from ..sources.lines import stream_lines as follow_files
+from ..sources.rulefile import load_rules
 from ..streaming import live
 from . import reports
 
@@ -696,7 +699,7 @@ def written_lines(spark: SparkSession, sf_dir: str) -> str:
 @query
 def stream_text_alerts(spark, d):
     """Text files followed as a stream, four files to a batch."""
-    followed = follow_lines(spark, f"{written_lines(spark, d)}/*", files_per_trigger=4)
+    followed = follow_files(spark, f"{written_lines(spark, d)}/*", files_per_trigger=4)
     return live.catch_up(live.stream_alerts(followed, "high", derived.YEAR).drop("event_ts"), "text-alerts")
 
 
@@ -753,3 +756,197 @@ def stream_deduped(spark, d):
     parsed = parse.parse_lines(stream_lines(spark, d), derived.YEAR).where(F.col("event_ts").isNotNull())
     twice = parsed.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return live.catch_up(live.dedupe_replays(twice, ["seq"]).select("seq", "event_type"), "deduped")
+
+
+# --- streams over several batches -------------------------------------------
+
+def _write_texts(rows: DataFrame, folder: str) -> None:
+    """Write ``file, seq, value`` as one file for each ``file``, its values in order.  Files are written anew."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        name, out = None, None
+        for batch in batches:
+            for file, value in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
+                if file != name:
+                    if out:
+                        out.close()
+                    name, out = file, system.open_output_stream(f"{path}/{file}")
+                out.write(value.encode())
+        if out:
+            out.close()
+        yield pa.record_batch({"done": pa.array([1], pa.int32())})
+
+    rows.repartition(derived.FILES, "file").sortWithinPartitions("file", "seq").select("file", "value").mapInArrow(
+        run, "done int").write.format("noop").mode("overwrite").save()
+
+
+@query
+def stream_appended(spark, d):
+    """Files followed by bytes, which grow between two runs; the first run ends inside a line of each."""
+    folder = scratch_path(spark, "appended")
+    text = lines(spark, d)
+    half = base(spark, d).agg(F.expr("max(event_id) div 2")).scalar()
+    broken = text.where(F.col("seq") > half).groupBy("file").agg(F.min("seq").alias("broken"))  # one row for each file
+    first = text.join(F.broadcast(broken), "file", "left").where((F.col("seq") <= half) | (F.col("seq") == F.col("broken")))
+    target = scratch_path(spark, "followed")
+    for rows in (first.selectExpr("file", "seq", "if(seq <=> broken, left(line, 7), line || '\n') as value"),
+                 text.selectExpr("file", "seq", "line || '\n' as value")):
+        _write_texts(rows, folder)
+        parsed = parse.parse_lines(follow.follow_lines(spark, folder, partition_bytes=1 << 16), derived.YEAR)
+        live.append_to_table(parsed, f"{target}/table", f"{target}/checkpoint", availableNow=True).awaitTermination()
+    return spark.read.schema(parsed.schema).parquet(f"{target}/table").selectExpr(
+        "element_at(split(file, '/'), -1) as file", "format", f"{times.clock('event_ts')} as event_time", *_EVENT_COLUMNS)
+
+
+PARTS = 4
+
+
+def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Scored events and the conditions of their parts in time order."""
+    rows = materialize(scored(spark, sf_dir), "scored")
+    second = "unix_timestamp(event_ts)"
+    cuts = rows.selectExpr(f"percentile_approx({second}, array({', '.join(str(i / PARTS) for i in range(1, PARTS))}))").first()[0] or []
+    lower = ["true", *[f"{second} >= {c}" for c in cuts]]
+    upper = [*[f"{second} < {c}" for c in cuts], "true"]
+    return rows, [f"{a} and {b}" for a, b in zip(lower, upper)]
+
+
+class _Arriving:
+    """A folder in which rows arrive in steps, and the stream of it."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.path = rows, scratch_path(rows.sparkSession, "arriving")
+        rows.limit(0).write.parquet(self.path)
+
+    def add(self, condition: str) -> None:
+        self.rows.where(condition).write.mode("append").parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return self.rows.sparkSession.readStream.schema(self.rows.schema).parquet(self.path)
+
+
+@query
+def stream_replays(spark, d):
+    """Events which are sent again in later files, within the delay and beyond it."""
+    rows, conditions = parts(spark, d)
+    arriving, target = _Arriving(rows), scratch_path(spark, "replays")
+    for i, condition in enumerate(conditions):
+        arriving.add(condition)
+        for again in conditions[max(i - 2, 0):i]:
+            arriving.add(f"{again} and seq % 3 = {i % 3}")
+        once = live.dedupe_replays(arriving.stream(), ["seq"], "1 hour").select("seq", "event_type")
+        live.append_to_table(once, f"{target}/table", f"{target}/checkpoint", availableNow=True).awaitTermination()
+    return spark.read.schema(once.schema).parquet(f"{target}/table")
+
+
+@query
+def stream_recent_alerts(spark, d):
+    """The fifty newest alerts after four batches, the last of which is repeated."""
+    rows, conditions = parts(spark, d)
+    arriving, target = _Arriving(rows), scratch_path(spark, "recent")
+    recent = live.RecentAlerts(f"{target}/recent")
+    for condition in conditions:
+        arriving.add(condition)
+        live.run_batches(alerts.to_alerts(arriving.stream(), "low"), recent, f"{target}/checkpoint")
+    last = alerts.to_alerts(rows.where(conditions[-1]), "low")
+    recent(last, PARTS - 1)
+    return recent.read(spark, PARTS, last.schema).drop("event_ts")
+
+
+@query
+def stream_groups(spark, d):
+    """Groups of ten events which go over four batches, the last one shorter."""
+    rows = materialize(scored(spark, d).select("seq", "event_type", "source_ip"), "scored")
+    part = (rows.agg(F.max("seq")).first()[0] or 0) // PARTS + 1
+    arriving, target = _Arriving(rows.withColumn("part", F.floor(F.col("seq") / part))), scratch_path(spark, "groups")
+    groups = live.RowGroups(target)
+    for i in range(PARTS):
+        arriving.add(f"part = {i}")
+        live.run_batches(arriving.stream().drop("part"), groups, f"{target}/checkpoint")
+    groups.flush(spark, rows.schema, PARTS)
+    return groups.read(spark, rows.schema)
+
+
+# --- own parts --------------------------------------------------------------
+
+@query
+def stream_callback(spark, d):
+    """A function of one's own on each batch."""
+    arriving, target = _Arriving(scored(spark, d).select("seq", "event_type", "severity")), scratch_path(spark, "callback")
+    arriving.add("true")
+
+    def callback(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy("event_type", "severity").agg(F.count("*").alias("events")).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    live.run_batches(arriving.stream(), callback, f"{target}-checkpoint")
+    found = spark.read.schema("event_type string, severity string, events bigint").parquet(target)
+    return found.groupBy("event_type", "severity").agg(F.sum("events").alias("events"))
+
+
+@query
+def messages_parsed(spark, d):
+    """Messages as bytes, some not UTF-8, with their senders."""
+    messages = lines(spark, d).selectExpr(
+        "seq", "concat(encode(line, 'utf-8'), if(seq % 3 = 0, unhex('FF0A'), unhex('')) ) as value", "'10.9.0.' || seq % 5 as sender")
+    received = message_lines(messages, source="sender")
+    return parse.parse_lines(received, derived.YEAR, keep=("source_address",)).selectExpr(
+        "source_address", "format", f"{times.clock('event_ts')} as event_time", *_EVENT_COLUMNS)
+
+
+@query
+def rules_from_file(spark, d):
+    """Rules read from a JSON file below the shared folder."""
+    import json
+
+    path = f"{scratch_path(spark, 'rules')}.json"
+    spark.createDataFrame([(json.dumps({"rules": CUSTOM_RULES}),)], "value string").coalesce(1).write.text(path)
+    return _rule_rows(rules.run_rules(events(spark, d), load_rules(spark, path)))
+
+
+@query
+def own_parser(spark, d):
+    """A parser of one's own for one format, the others as they are."""
+    door = "case when contains({0}, 'Failed') then 'door_closed' when contains({0}, 'Accepted') then 'door_open' end"
+    own = LineParser(lambda line, _: {"event_type": door.format(line), "raw_message": f"upper({line})"})
+    return parse.parse_lines(lines(spark, d), derived.YEAR, {**default_parsers(), "ssh": own}).select(
+        "seq", "format", "event_type", "raw_message", "host")
+
+
+@query
+def own_provider(spark, d):
+    """A provider of one's own beside the known ones."""
+    listed = {"provider": "'Blocklist'", "is_malicious": "true", "confidence": "99", "country": "'Nowhere'", "country_code": "'NO'"}
+    defaults = {"boolean": "false", "int": "0", "string": "''", "array<string>": "cast(array() as array<string>)"}
+    blocked = base(spark, d).where("user_id % 10 = 3").selectExpr(f"{derived.IP_SQL} as ip").distinct().selectExpr(
+        "ip", *[f"{listed.get(f.name, defaults[f.dataType.simpleString()])} as {f.name}" for f in VERDICT.fields if f.name != "ip"])
+    return _flat(intel.enrich_ips(events(spark, d), verdicts(spark, d).unionByName(blocked)))
+
+
+@query
+def own_target(spark, d):
+    """An export target of one's own, as its files read."""
+    siem.register_target("keyvalue", lambda docs: docs.selectExpr(
+        "concat_ws(' ', 'type=' || `event.type`, 'src=' || `source.ip`, 'user=' || `user.name`) as value"))
+    path = scratch_path(spark, "export")
+    siem.export(scored(spark, d), "keyvalue", path)
+    return spark.read.text(path)
+
+
+@query
+def exported_bulk(spark, d):
+    """Payloads as the export writes them: action lines and documents."""
+    path = scratch_path(spark, "export")
+    siem.export(scored(spark, d), "elasticsearch", path)
+    return spark.read.text(path)
+
+
+@query
+def exported_docs(spark, d):
+    path = scratch_path(spark, "export")
+    siem.export(scored(spark, d), "sumologic", path)
+    return spark.read.text(path)
