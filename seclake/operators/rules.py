@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions.network import starts_with_any
@@ -16,6 +17,7 @@ from ..functions.pin import pin
 from ..functions.text import EVENT_TEXT, first_case, is_plain, q
 from ..schema import RULE
 from ..session import literal_table, materialize
+from . import ruleindex
 from .bursts import SOURCE, count_per_second, trailing_counts
 
 
@@ -133,31 +135,54 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
+#: Matching as in rule files: case and classes of all of Unicode, only a line feed ends a line.
+MATCH_FLAGS = "(?iuUd)"
+#: From so many rules with patterns on, lines look rules up instead of being tested against each.
+INDEX_FROM = 50
+
+
+def _tests(rule: Rule) -> list[tuple[str, bool]]:
+    """(pattern, whether it is plain text) of a rule, for the engine which runs it."""
+    return [(p.lower(), True) if is_plain(p) else (MATCH_FLAGS + to_java(p), False) for p in rule.patterns]
+
+
 def _predicate(rule: Rule) -> str:
     """Match condition over the pinned columns ``_low`` (text), ``_type`` and ``source_ip``."""
     if rule.condition == "source_ip_starts_with":
         return starts_with_any("source_ip", fixed.SUSPICIOUS_PREFIXES)
     if rule.condition == "ip_is_tor":
         return starts_with_any("source_ip", (fixed.TOR_PREFIX,))
-    plain = [p.lower() for p in rule.patterns if is_plain(p)]
-    regexes = [to_java(p) for p in rule.patterns if not is_plain(p)]
-    tests = [f"contains({c}, {q(p)})" for p in plain for c in ("_low", "_type")]
-    # One test per pattern: joined by "|", their group names and numbers would collide.
-    # "d": only a line feed ends a line.
-    tests += [f"rlike({c}, {q('(?id)' + p)})" for p in regexes for c in ("_low", "_type")]
+    # Plain ones first.  One test per pattern: joined by "|", their group names and numbers would collide.
+    tests = [f"{'contains' if plain else 'rlike'}({c}, {q(p)})"
+             for p, plain in sorted(_tests(rule), key=lambda t: not t[1]) for c in ("_low", "_type")]
     return " or ".join(tests) or "false"
 
 
-def rule_hits(events: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per (enabled rule, matching event): ``position`` of the rule, ``seq``, ``keep``."""
+def rule_hits(events: DataFrame, rules: list[Rule], keep: tuple[str, ...] = (), index: bool | None = None) -> DataFrame:
+    """One row per (enabled rule, matching event): ``position`` of the rule, ``seq``, ``keep``.
+
+    ``index`` says whether lines look rules up (see ``ruleindex``); None leaves it to the number of rules.  Rules
+    with a condition, and those with a pattern that requires no text, are tested on each line in any case.
+    """
     text = pin(events, _low=f"lower({EVENT_TEXT})", _type="lower(coalesce(event_type, ''))")
-    tests = [
-        f"case when {_predicate(rule)} then {position} end"
-        for position, rule in enumerate(rules)
-        if rule.enabled
-    ]
-    matched = f"array_compact(array({', '.join(tests) or 'cast(null as int)'}))"
-    return text.selectExpr(f"explode({matched}) as position", "seq", *keep)
+    enabled = [(i, rule) for i, rule in enumerate(rules) if rule.enabled]
+    by_pattern = [(i, r) for i, r in enabled if r.patterns and r.condition not in ("source_ip_starts_with", "ip_is_tor")]
+    indexed = []
+    if index or (index is None and len(by_pattern) >= INDEX_FROM):
+        found = iter(ruleindex.keys([p for _, r in by_pattern for p in r.patterns]))
+        for i, rule in by_pattern:
+            own = [(*test, next(found)) for test in _tests(rule)]
+            if all(keys for *_, keys in own):
+                indexed.append((i, own))
+    looked_up = {i for i, _ in indexed}
+    tests = [f"case when {_predicate(rule)} then {i} end" for i, rule in enabled if i not in looked_up]
+    parts = []
+    if tests or not indexed:
+        matched = f"array_compact(array({', '.join(tests) or 'cast(null as int)'}))"
+        parts.append(text.selectExpr(f"explode({matched}) as position", "seq", *keep))
+    if indexed:
+        parts.append(ruleindex.indexed_hits(text, indexed, keep))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def enforce(hits: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -193,6 +218,19 @@ def enforce(hits: DataFrame, rules: list[Rule]) -> DataFrame:
 _SAMPLE = ("timestamp", "host", "user", "source_ip", "event_type", "raw_message", "message")
 
 
+#: Rows of a block in which the first hits of a rule are looked for, as a power of two.
+SAMPLE_BITS = 14
+
+
+def _in_blocks(events: DataFrame, blocks: list[int]) -> DataFrame:
+    """Events of some blocks of the order; the limits reach the scan, the rest is dropped before it is parsed."""
+    if not blocks:
+        return events.where("false")
+    listed = ", ".join(f"{b}L" for b in blocks)
+    return events.where(
+        f"seq >= {blocks[0] << SAMPLE_BITS} and seq < {blocks[-1] + 1 << SAMPLE_BITS} and shiftright(seq, {SAMPLE_BITS}) in ({listed})")
+
+
 def run_rules(
     events: DataFrame,
     rules: list[Rule] | None = None,
@@ -203,14 +241,25 @@ def run_rules(
 
     ``thresholds=True`` applies each rule's ``threshold`` and ``time_window``; the
     count is then the number of matches at which the threshold was met.  ``samples``
-    first matches are attached (0 leaves them out and saves the second scan).
+    first matches are attached (0 leaves them out); for a BIGINT ``seq`` they are read from those blocks of the
+    order which the first scan found to hold them.
     """
     rules = builtin_rules() if rules is None else rules
     if not rules:
         raise ValueError("no rules given")
+    first_blocks = None
     if thresholds:
         hits = rule_hits(events.selectExpr("*", f"{SOURCE} as source"), rules, ("source", "event_ts"))
         counts = enforce(hits, rules).groupBy("position").agg(F.sum("n").alias("count"))
+    elif samples and isinstance(events.schema["seq"].dataType, T.LongType):
+        # which blocks of the order hold the first hits comes with the counts
+        blocks = materialize(
+            rule_hits(events, rules).groupBy("position", F.shiftright("seq", SAMPLE_BITS).alias("block")).agg(F.count("*").alias("n")),
+            "rule-blocks")
+        counts = blocks.groupBy("position").agg(F.sum("n").alias("count"))
+        by_block = Window.partitionBy("position").orderBy("block")
+        first_blocks = (blocks.withColumn("_n", F.row_number().over(by_block)).where(f"_n <= {samples}")
+                        .agg(F.array_sort(F.collect_set("block"))).first()[0])  # ``samples`` of each rule
     else:
         counts = rule_hits(events, rules).groupBy("position").agg(F.count("*").alias("count"))
 
@@ -224,7 +273,7 @@ def run_rules(
     if samples:
         order = Window.partitionBy("position").orderBy("seq")
         first = (
-            rule_hits(events, rules, _SAMPLE)
+            rule_hits(events if first_blocks is None else _in_blocks(events, first_blocks), rules, _SAMPLE)
             .withColumn("_n", F.row_number().over(order))
             .where(f"_n <= {samples}")
             .groupBy("position")

@@ -268,6 +268,20 @@ def _rules(table: str, rules) -> str:
     group by rule_id, rule_name, severity, mitre_tactic, mitre_technique"""
 
 
+# The generated rules, by the number which a line holds at their place.
+_THOUSAND = rf"""
+    , h as (
+      select try_cast(regexp_extract({_LOW}, 'user(\d+) from', 1) as int) as pos, seq, 0 as kind from ev
+      union select try_cast(regexp_extract({_LOW}, 'user=user(\d+)\s+command=', 1) as int), seq, 1 from ev
+      union select try_cast(regexp_extract({_LOW}, '(?:session opened|account created) for user(\d+) by', 1) as int), seq, 2 from ev
+      union select unnest(range(try_cast(regexp_extract({_LOW}, 'src 10\.0\.0\.(\d+) dst', 1) as int), 1000, 200)), seq, 3 from ev
+      union select try_cast(regexp_extract({_LOW}, 'port (\d+)\b', 1) as int) - 1024, seq, 3 from ev),
+    k as (select *, row_number() over (partition by pos order by seq) as rn from h where pos between 0 and 999 and pos % 4 = kind)
+    select 'G' || lpad(pos::varchar, 4, '0') as rule_id, 'Generated ' || pos as rule_name, 'low' as severity, count(*) as "count",
+      'Generated ' || pos || ': ' || count(*) || ' matches' as message, '' as mitre_tactic, '' as mitre_technique,
+      string_agg(seq::varchar, ',' order by seq) filter (rn <= 3) as samples from k group by pos"""
+
+
 def _thresholded(table: str = "ev") -> str:
     return f"""
     , h as ({_hits(table, _BUILTIN)}),
@@ -596,6 +610,12 @@ def all_sql() -> dict[str, str]:
         "rules_thresholded": LOGS + _thresholded(),
         "rules_thresholded_untimed": UNTIMED + _thresholded("tv"),
         "rules_patterns": LOGS + _rules("ev", _PATTERNS),
+        "rules_thousand": LOGS + _THOUSAND,
+        "rules_unicode": f"""{LOGS.replace('ev as (', 'e0 as (')}, ev as (select * replace (case seq % 5 when 0 then replace(text, ' by', 'É by')
+            when 1 then replace(text, 'user', 'üser') when 2 then 'René ' || text when 3 then 'für' || text else text end as text) from e0)
+            {_rules('ev', [(i, n, 'medium', '', '', test) for i, n, test in (
+                ('U1', 'Class', f"regexp_matches({_LOW}, 'user[a-z0-9=]+é by')"), ('U2', 'Folded', f"contains({_LOW}, 'rené ')"),
+                ('U3', 'Edge', f"regexp_matches({_LOW}, 'für($|[^a-z0-9_é])') or regexp_matches({_LOW}, '(^|[^a-z0-9_é])üser[0-9]*5($|[^a-z0-9_é])')"))])}""",
         "rules_custom_merge": LOGS + _rules("ev", _BUILTIN + _CUSTOM),
         "rules_summary": f"""{LOGS} , h as ({_hits('ev', _BUILTIN)}), r as (select distinct rule_id, severity from h)
             select 10::int as rules_evaluated, count(*) as matches, {', '.join(four)} from r""",

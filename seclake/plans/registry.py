@@ -425,6 +425,38 @@ def rules_custom_merge(spark, d):
     return _rule_rows(rules.run_rules(events(spark, d), merged))
 
 
+def thousand_rules() -> list[rules.Rule]:
+    """A rule for each of many users, addresses and ports."""
+    kinds = (
+        lambda i: [f"user{i} from"],
+        lambda i: [rf"user=user{i}\s+COMMAND="],
+        lambda i: [rf"(session opened|account created) for user{i} by"],
+        lambda i: [rf"src 10\.0\.0\.{i % 200} dst", rf"port {1024 + i}\b"],
+    )
+    return [rules.Rule(f"G{i:04d}", f"Generated {i}", severity="low", patterns=tuple(kinds[i % 4](i))) for i in range(1000)]
+
+
+@query
+def rules_thousand(spark, d):
+    return _rule_rows(rules.run_rules(events(spark, d), thousand_rules()))
+
+
+UNICODE_RULES = [
+    {"id": "U1", "name": "Class", "patterns": [r"USER\w+É by"]},
+    {"id": "U2", "name": "Folded", "patterns": ["ren[É] "]},
+    {"id": "U3", "name": "Edge", "patterns": [r"für\b", r"\büser\d*5\b"]},
+]
+
+
+@query
+def rules_unicode(spark, d):
+    """Patterns and text beyond ASCII."""
+    foreign = events(spark, d).withColumn("raw_message", F.expr(
+        "case seq % 5 when 0 then replace(raw_message, ' by', 'É by') when 1 then replace(raw_message, 'user', 'üser') "
+        "when 2 then concat('René ', raw_message) when 3 then concat('für', raw_message) else raw_message end"))
+    return _rule_rows(rules.run_rules(foreign, rules.merge_rules([], UNICODE_RULES)))
+
+
 @query
 def rules_summary(spark, d):
     return rules.rule_summary(rules.run_rules(events(spark, d), samples=0))

@@ -423,3 +423,54 @@ def test_hot_keys_without_a_match_are_spread(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+# --- many rules -------------------------------------------------------------
+
+@pytest.mark.parametrize("pattern, texts", [
+    ("Failed Login", [["failed login"]]), (r"user=user7\s+COMMAND=", [["user=user7"], ["command="]]),
+    ("(opened|closed) by", [["opened", "closed"], [" by"]]), (r"(?:ab)+c", [["abc"]]), ("a?bc*", [["b"]]), (r"\d+", []),
+    ("x(y(z))w", [["x"], ["y", ], ["z"], ["w"]]), ("(a|)b", [["b"]]), ("fürst", [["f"], ["rst"]]), ("(broken", [["(broken"]]),
+    (r"(?i:ab)c", [["abc"]]), ("[ab]cd{2}e", [["c"], ["d"], ["e"]]),
+])
+def test_texts_which_a_match_contains(pattern, texts):
+    from seclake.operators import ruleindex
+
+    got = ruleindex.required(pattern)
+    try:
+        compiled = re.compile(pattern, re.IGNORECASE)
+    except re.error:
+        assert got == texts
+        return
+    for text in ("failed login", "user=user7  command=", "closed by", "opened by", "ababc", "bc", "b", "17", "xyzw", "fürst", "abc", "acdde", "bcdde"):
+        if compiled.search(text):
+            assert all(any(t in text for t in alternatives) for alternatives in got)
+    assert {t for alternatives in got for t in alternatives} <= {t for alternatives in texts for t in alternatives} | {"abc", "ab", "c", "xyzw", "xyz", "yz"}
+
+
+def test_looked_up_rules_hit_the_same_lines(events):
+    rnd = random.Random(9)
+    words = ["Failed", "login", "root", "session", "opened", "ſudo", "sudo", "KELVIN", "über", "x1", "x2", "(a", "port 22"]
+    rows = [{"raw_message": " ".join(rnd.choices(words, k=4)), "event_type": rnd.choice(["ssh_login_fail", "syslog", "", None])} for _ in range(200)]
+    patterns = [["failed"], ["Root", "login"], [r"session\s+opened"], ["(root|sudo) x[12]", "x1 x2"], [r"\bsudo\b"], ["kelvin"], ["ÜBER x"],
+                [r"x\d"], [r"\w+"], ["(a"], ["ssh_login"], ["p[o]rt 2{2}"], ["login", "login"], [""], ["(fail|ssh|port)"], ["it", "ot"]]
+    own = [rules.Rule(f"T{i}", patterns=tuple(p)) for i, p in enumerate(patterns)]
+    own += [rules.Rule("C", condition="ip_is_tor", patterns=("failed",)), rules.Rule("N"), rules.Rule("D", patterns=("root",), enabled=False)]
+    df = events(rows)
+    direct = sorted(map(tuple, rules.rule_hits(df, own, index=False).collect()))
+    assert sorted(map(tuple, rules.rule_hits(df, own, index=True).collect())) == direct
+    expected = sorted((i, j) for i, p in enumerate(patterns) for j, r in enumerate(rows)
+                      if any(re.search(x if x != "(a" else r"\(a", t, re.IGNORECASE) for x in p for t in (r["raw_message"].lower(), (r["event_type"] or "").lower())))
+    assert direct == expected
+
+
+def test_samples_come_from_few_blocks(events, monkeypatch):
+    monkeypatch.setattr(rules, "SAMPLE_BITS", 2)
+    df = events([{"raw_message": "failed" if i % 7 == 3 or i > 90 else "rare" if i in (40, 77) else "x", "event_type": "a"} for i in range(100)])
+    seen = []
+    inner = rules._in_blocks
+    monkeypatch.setattr(rules, "_in_blocks", lambda e, b: seen.append(b) or inner(e, b))
+    got = rules.run_rules(df, [rules.Rule("F", patterns=("failed",)), rules.Rule("R", patterns=("rare",)), rules.Rule("Z", patterns=("none",))]).collect()
+    assert {r.rule_id: [s.seq for s in r.sample_records] for r in got} == {"F": [3, 10, 17], "R": [40, 77]}
+    assert seen == [[0, 2, 4, 10, 19]]
+    assert rules.run_rules(df, [rules.Rule("Z", patterns=("none",))]).count() == 0
