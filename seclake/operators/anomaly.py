@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -17,9 +18,6 @@ from .ordering import order_value_at
 from .summary import events_per_minute
 
 METRICS = ("failed_logins", "auth_failures", "unique_ips", "unique_users")
-BUCKETS = 65_536
-# Up to this many rows may share one sort group.
-SORT_ROWS = 1 << 20
 _STATS = ("mean", "std_dev", "min_val", "max_val", "median", "p95", "p99")
 
 
@@ -116,54 +114,57 @@ def baseline(events: DataFrame, metric: str) -> DataFrame:
     return field_stats(values).selectExpr(f"{q(metric)} as metric", "*")
 
 
-def values_at(values: DataFrame, positions: set[int], sort_rows: int = SORT_ROWS) -> dict[int, float]:
+# Bits of a double, the sign turned so that they are in the order of the values as unsigned numbers.  Infinities
+# stand at the ends, NaN above all.
+_BITS = "cast(reflect('java.lang.Double', 'doubleToLongBits', value) as bigint)"
+_SORTABLE = "if(_bits < 0, ~_bits, _bits ^ (-9223372036854775807L - 1))"
+_DIGIT_BITS = 16
+
+
+def _value_of(key: int) -> float:
+    bits = key ^ 1 << 63 if key >> 63 else ~key & (1 << 64) - 1
+    return struct.unpack(">d", bits.to_bytes(8, "big"))[0]
+
+
+def values_at(values: DataFrame, positions: set[int]) -> dict[int, float]:
     """Values at 0-based positions of the sorted list which (value, n) describes.
 
-    The running count needs all values in one sort group.  While there are more than
-    ``sort_rows`` distinct ones, they are cut into equal ranges and only the range
-    holding the position is followed; the range counts are at most ``BUCKETS`` rows.
+    Radix selection: each of four steps counts the next sixteen bits of the values which share the bits found so
+    far, for all positions in one pass, so nothing is sorted but 65,536 counts for each position.
     """
-    found = {}
-    if values.count() <= sort_rows:
-        wanted = ", ".join(f"{p}L" for p in sorted(positions))
-        running = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = (
-            values.withColumn("_end", F.sum("n").over(running))
-            .selectExpr("value", f"filter(array({wanted}), p -> p < _end and p >= _end - n) as hits")
-            .where("size(hits) > 0")
-            .collect()  # one row per position at most
+    keyed = materialize(values.selectExpr("n", f"{_BITS} as _bits").selectExpr("n", f"{_SORTABLE} as _key"), "sortable")
+    found = {p: (0, p) for p in positions}  # bits so far, position among the values which have them
+    for used in range(0, 64, _DIGIT_BITS):
+        prefixes = sorted({prefix for prefix, _ in found.values()})
+        prefix = f"shiftrightunsigned(_key, {64 - used})" if used else "0L"
+        digit = f"shiftrightunsigned(_key, {64 - used - _DIGIT_BITS}) & {(1 << _DIGIT_BITS) - 1}L"
+        counts = (
+            keyed.selectExpr(f"{prefix} as _prefix", f"{digit} as _digit", "n")
+            .where(f"_prefix in ({', '.join(f'{x}L' for x in prefixes)})")
+            .groupBy("_prefix", "_digit")
+            .agg(F.sum("n").alias("m"))
         )
-        return {p: row.value for row in rows for p in row.hits}
-    for position in positions:
-        inside, start = values, 0
-        while inside.count() > sort_rows:
-            low, high = inside.selectExpr("min(value)", "max(value)").first()
-            # Each step of the arithmetic is monotone, so ranges are in value order.
-            place = F.floor((F.col("value") - F.lit(low)) * F.lit(float(BUCKETS - 1)) / F.lit(high - low))
-            ranges = inside.groupBy(place.alias("r")).agg(
-                F.sum("n").alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi")
-            )
-            running = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            hit = (
-                ranges.withColumn("_end", F.sum("m").over(running))
-                .where(f"_end > {position - start} and _end - m <= {position - start}")
-                .first()
-            )
-            start += hit["_end"] - hit["m"]
-            inside = inside.where(F.col("value").between(hit["lo"], hit["hi"]))
-            if (hit["lo"], hit["hi"]) == (low, high):  # not finite: cannot be cut further
-                break
-        found[position] = values_at(inside, {position - start}, inside.count())[position - start]
-    return found
+        running = Window.partitionBy("_prefix").orderBy("_digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        wanted = " or ".join(f"(_prefix = {x}L and _end > {at}L and _end - m <= {at}L)" for x, at in set(found.values()))
+        hits = counts.withColumn("_end", F.sum("m").over(running)).where(wanted).collect()  # one row per position at most
+        step = {}
+        for p, (x, at) in found.items():
+            hit = next(h for h in hits if h["_prefix"] == x and h["_end"] - h["m"] <= at < h["_end"])
+            step[p] = (x << _DIGIT_BITS | hit["_digit"], at - hit["_end"] + hit["m"])
+        found = step
+    return {p: _value_of(key) for p, (key, _) in found.items()}
+
 
+def field_stats(values: DataFrame) -> DataFrame:
+    """One row of statistics from a stored table (value, n) of distinct values.
 
-def field_stats(values: DataFrame, sort_rows: int = SORT_ROWS) -> DataFrame:
-    """One row of statistics from a stored table (value, n) of distinct values."""
+    Infinities and NaN are in order with the others; mean and deviation are what sums with them give.
+    """
     count, mean = values.selectExpr("sum(n)", "sum(value * n) / sum(n)").first()
     if not count:
         return values.selectExpr(*[f"value as {c}" for c in _STATS], "n as sample_count").limit(0)
     lo, hi, p95, p99 = (count - 1) // 2, count // 2, int(count * 0.95), int(count * 0.99)
-    at = values_at(values, {lo, hi, p95, p99}, sort_rows)
+    at = values_at(values, {lo, hi, p95, p99})
     deviation = F.sqrt(F.sum(F.col("n") * F.pow(F.col("value") - F.lit(mean), 2)) / F.lit(max(count - 1, 1)))
     return values.agg(
         F.lit(mean).alias("mean"),
@@ -333,3 +334,23 @@ def minute_rate_anomalies(events: DataFrame, sensitivity: float = 2.0) -> DataFr
         .where(f"abs(z_score) > {float(sensitivity)}D")
         .selectExpr(f"{times.clock('minute')} as minute", "events", "z_score")
     )
+
+
+def minute_rate_anomalies_dense(events: DataFrame, sensitivity: float = 2.0) -> DataFrame:
+    """Like ``minute_rate_anomalies``, minutes without events between the first and the last one counting as zeros.
+
+    The silent minutes enter mean and spread by their number, which the span gives; no rows are made for them, and
+    they are not listed.
+    """
+    counts = events_per_minute(events)
+    sums = counts.selectExpr(
+        "cast((unix_timestamp(max(minute)) - unix_timestamp(min(minute))) / 60 + 1 as bigint) as m",
+        "sum(events) as total", "sum(cast(events as double) * events) as squares")
+    stats = sums.selectExpr("m", "total / m as mean", "squares").selectExpr(
+        "struct(mean, sqrt(try_divide(greatest(squares - m * mean * mean, 0), m - 1)) as std) as s")
+    return (
+        counts.withColumn("s", stats.scalar())
+        .selectExpr("minute", "events", "try_divide(events - s.mean, s.std) as z_score")
+        .where(f"abs(z_score) > {float(sensitivity)}D")
+        .selectExpr(f"{times.clock('minute')} as minute", "events", "z_score")
+    )

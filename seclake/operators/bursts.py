@@ -25,17 +25,15 @@ def failed_login_bursts(events: DataFrame, threshold: int = 5) -> DataFrame:
     exclusion this is 1 + later(ip) + later(user) - later(ip and user), so three
     counts replace the comparison of all pairs.
     """
-    rows = failed_logins(events).selectExpr(
-        "seq", "coalesce(source_ip, '') as ip", "coalesce(user, '') as user"
-    )
-    # Read several times below and much narrower than the events.
-    rows = materialize(rows, "failed-logins")
-    for keys, out in ((["ip"], "by_ip"), (["user"], "by_user"), (["ip", "user"], "by_both")):
-        rows = count_ahead(rows, keys, out)
+    # One stream of keys serves all three counts: blocks and ranges of the order are made once.
+    keys = ("struct('i' as kind, coalesce(source_ip, '') as ip, '' as user)", "struct('u' as kind, '' as ip, coalesce(user, '') as user)",
+            "struct('b' as kind, coalesce(source_ip, '') as ip, coalesce(user, '') as user)")
+    rows = materialize(failed_logins(events).selectExpr("seq", f"inline(array({', '.join(keys)}))"), "failed-logins")
+    counted = count_ahead(rows, ["kind", "ip", "user"], "later")
     return (
-        rows.selectExpr(
-            "coalesce(nullif(ip, ''), user) as source", "1 + by_ip + by_user - by_both as attempts"
-        )
+        counted.groupBy("seq")
+        .agg(F.expr("1 + sum(if(kind = 'b', -later, later)) as attempts"), F.max("ip").alias("ip"), F.max("user").alias("user"))
+        .selectExpr("coalesce(nullif(ip, ''), user) as source", "attempts")
         .where(f"source <> '' and attempts >= {threshold}")
         .distinct()
         .selectExpr("source", "attempts", "concat(source, ': ', attempts, ' failed attempts') as item")

@@ -221,6 +221,23 @@ def _scans(table: str) -> str:
     having greatest(count(distinct host), count(distinct port)) >= 2"""
 
 
+def _sliding(table: str) -> str:
+    # Literally: the different targets of the twelve hours before each probe.
+    host = r"((?:\d{1,3}\.){3}\d{1,3})"
+    return rf"""
+    , sp as (select epoch(date_trunc('second', event_ts))::bigint as t,
+        coalesce(nullif(regexp_extract({_LOW}, '(?:from|src)\s+{host}', 1), ''), source_ip, '') as scanner,
+        nullif(coalesce(nullif(regexp_extract({_LOW}, '(?:to|dst)\s+{host}', 1), ''), destination_ip, ''), '') as host,
+        nullif(regexp_extract({_LOW}, '(?:\d{{1,3}}\.){{3}}\d{{1,3}}:(\d+)', 1), '') as port
+      from {table} where event_ts is not null and (contains({_TYPE}, 'scan') or contains({_LOW}, 'port scan'))),
+    pt as (select a.scanner, a.t, count(distinct b.host) as hosts, count(distinct b.port) as ports
+      from (select distinct scanner, t from sp where scanner <> '') a
+      join sp b on b.scanner = a.scanner and b.t between a.t - 43200 and a.t group by all),
+    pp as (select scanner, max(hosts) as hosts, max(ports) as ports, min(t) filter (greatest(hosts, ports) >= 2) as first from pt group by scanner)
+    select scanner, strftime(make_timestamp(first * 1000000), {_CLOCK}) as first_at, hosts, ports, n as probes
+    from pp join (select scanner, count(*) as n from sp group by 1) using (scanner) where first is not null"""
+
+
 # Rules as (id, name, severity, tactic, technique, predicate), in rule order.
 def _rule_test(condition: str, patterns) -> str:
     if condition == "source_ip_starts_with":
@@ -604,6 +621,8 @@ def all_sql() -> dict[str, str]:
         "correlate_cases": CASES + _correlate("ca"),
         "port_scan_campaigns": LOGS + _scans("ev"),
         "port_scan_campaigns_cases": CASES + _scans("ca"),
+        "port_scan_sliding": LOGS + _sliding("ev"),
+        "port_scan_sliding_cases": CASES + _sliding("ca"),
         # rules
         "rules_builtin": LOGS + _rules("ev", _BUILTIN),
         "rules_builtin_cases": CASES + _rules("ca", _BUILTIN),
@@ -623,6 +642,10 @@ def all_sql() -> dict[str, str]:
         "baseline_stats": f"{LOGS} , mv as ({_metric_values('ev')}), st as ({_stats('mv')}) select metric, {_ROUNDED} from st",
         "baseline_source_port": f"""{LOGS} , mv as (select 'source_port' as metric, try_cast(source_port as double) as value from ev where source_port <> ''),
             st as ({_stats('(select * from mv where value is not null)')}) select metric, {_ROUNDED} from st""",
+        "baseline_infinite": f"""{LOGS} , mv as (select 'source_port' as metric, try_cast(case when seq % 40 = 3 then 'Infinity' when seq % 40 = 23 then '-Infinity'
+            when seq % 40 = 4 then '-' || source_port else source_port end as double) as value from ev where source_port <> '')
+            select metric, min(value) as min_val, max(value) as max_val, median(value) as median, list_sort(list(value))[(floor(count(*) * 0.95) + 1)::int] as p95,
+            list_sort(list(value))[(floor(count(*) * 0.99) + 1)::int] as p99, count(*) as sample_count from mv group by metric""",
         "baseline_events_per_minute": f"""{LOGS} , m as ({minute}), mv as (select 'events_per_minute' as metric, events::double as value from m),
             st as ({_stats('mv')}) select metric, {_ROUNDED} from st""",
         "anomalies": f"{LOGS} {_ALL_ANOMALIES} select {_ANOMALY} from an",
@@ -634,6 +657,10 @@ def all_sql() -> dict[str, str]:
         "single_source_flood": f"{LOGS} {_FLOOD} select {_ANOMALY} from fl",
         "minute_rate_anomalies": f"""{LOGS} , m as ({minute}), s as (select avg(events) as mean, stddev_samp(events) as std from m)
             select strftime(minute, {_CLOCK}) as minute, events, round((events - mean) / std, 4) as z_score from m, s where abs((events - mean) / std) > 2""",
+        "minute_rate_anomalies_dense": f"""{LOGS} , m as ({minute}), g as (select unnest(generate_series(min(minute), max(minute), interval 1 minute)) as minute from m),
+            d as (select g.minute, coalesce(events, 0) as events from g left join m using (minute)),
+            s as (select avg(events) as mean, stddev_samp(events) as std from d)
+            select strftime(minute, {_CLOCK}) as minute, events, round((events - mean) / std, 4) as z_score from d, s where events > 0 and abs((events - mean) / std) > 2""",
         # intel
         "intel_lookup": f"""{LOGS} , i as ({_EV_IPS}) select ip, {_prefix('ip', fixed.LOCAL_INTEL, "'unknown'", lambda v: v[0])} as type,
             {_prefix('ip', fixed.LOCAL_INTEL, "'info'", lambda v: v[1])} as severity,

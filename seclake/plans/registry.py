@@ -378,6 +378,16 @@ def port_scan_campaigns_cases(spark, d):
     return correlate.port_scan_campaigns(cases(spark, d), minutes=1440, min_targets=2)
 
 
+@query
+def port_scan_sliding(spark, d):
+    return correlate.port_scan_sliding(events(spark, d), minutes=720, min_targets=2)
+
+
+@query
+def port_scan_sliding_cases(spark, d):
+    return correlate.port_scan_sliding(cases(spark, d), minutes=720, min_targets=2)
+
+
 # --- rules ------------------------------------------------------------------
 
 def _rule_rows(result: DataFrame) -> DataFrame:
@@ -477,6 +487,15 @@ def baseline_source_port(spark, d):
     return _rounded(anomaly.baseline(events(spark, d), "source_port"), *_STATS)
 
 
+@query
+def baseline_infinite(spark, d):
+    """A field with values which are not finite."""
+    odd = events(spark, d).withColumn("source_port", F.expr(
+        "case when coalesce(source_port, '') = '' then source_port when seq % 40 = 3 then 'Infinity' when seq % 40 = 23 then '-Infinity' "
+        "when seq % 40 = 4 then '-' || source_port else source_port end"))
+    return anomaly.baseline(odd, "source_port").select("metric", "min_val", "max_val", "median", "p95", "p99", "sample_count")
+
+
 @query
 def baseline_events_per_minute(spark, d):
     return _rounded(anomaly.baseline(events(spark, d), "events_per_minute"), *_STATS)
@@ -529,6 +548,12 @@ def minute_rate_anomalies(spark, d):
     return _rounded(anomaly.minute_rate_anomalies(events(spark, d)), "z_score", digits=4)
 
 
+@query
+def minute_rate_anomalies_dense(spark, d):
+    """Silent minutes counted as zeros."""
+    return _rounded(anomaly.minute_rate_anomalies_dense(events(spark, d)), "z_score", digits=4)
+
+
 # --- threat intelligence ----------------------------------------------------
 
 @query

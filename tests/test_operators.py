@@ -119,16 +119,18 @@ def test_field_statistics(events):
     assert anomaly.baseline(df.where("false"), "pid").count() == 0
 
 
-@pytest.mark.parametrize("outlier", [0.0, 1e9])
-def test_values_are_found_by_narrowing_ranges(spark, monkeypatch, outlier):
-    monkeypatch.setattr(anomaly, "BUCKETS", 8)
+def test_values_are_found_by_their_bits(spark):
     rnd = random.Random(8)
-    counts = Counter(round(rnd.random() * 100, 3) for _ in range(400))
-    counts[outlier] += 1
+    inf = float("inf")
+    odd = [0.0, 1e9, -1e9, inf, -inf, 5e-324, -5e-324, 1e308, -1e308, 1.0, 1.0 + 2 ** -52]
+    counts = Counter(round(rnd.random() * 100, 3) for _ in range(400)) + Counter(odd + [inf, -inf, -2.5])
     ordered = sorted(counts.elements())
     table = spark.createDataFrame(list(counts.items()), "value DOUBLE, n BIGINT")
-    wanted = {0, 57, 200, len(ordered) - 1}
-    assert anomaly.values_at(table, wanted, 20) == {p: ordered[p] for p in wanted}
+    wanted = set(range(0, len(ordered), 19)) | {0, 1, 2, 3, len(ordered) - 1, len(ordered) - 2, len(ordered) - 3}
+    assert anomaly.values_at(table, wanted) == {p: ordered[p] for p in wanted}
+    last = table.union(spark.createDataFrame([(float("nan"), 2)], "value DOUBLE, n BIGINT"))
+    assert str(anomaly.values_at(last, {len(ordered)})[len(ordered)]) == "nan" and anomaly.values_at(last, {len(ordered) - 1})[len(ordered) - 1] == inf
+    assert anomaly.values_at(spark.createDataFrame([(7.0, 3)], "value DOUBLE, n BIGINT"), {0, 2}) == {0: 7.0, 2: 7.0}
 
 
 def test_percentile_position_on_whole_products(events):
@@ -474,3 +476,38 @@ def test_samples_come_from_few_blocks(events, monkeypatch):
     assert {r.rule_id: [s.seq for s in r.sample_records] for r in got} == {"F": [3, 10, 17], "R": [40, 77]}
     assert seen == [[0, 2, 4, 10, 19]]
     assert rules.run_rules(df, [rules.Rule("Z", patterns=("none",))]).count() == 0
+
+
+# --- sliding scans ----------------------------------------------------------
+
+@pytest.mark.parametrize("day", [86_400, 600])
+def test_sliding_scans_against_pairs(events, monkeypatch, day):
+    monkeypatch.setattr(correlate, "DAY", day)
+    rnd = random.Random(day)
+    rows = []
+    for _ in range(300):
+        second = rnd.randrange(7200)
+        rows.append({"event_type": "port_scan", "event_ts": f"2024-01-01 {second // 3600:02d}:{second // 60 % 60:02d}:{second % 60:02d}",
+                     "message": f"to 10.0.0.{rnd.randrange(8)}:{rnd.randrange(20, 26)} from 9.9.9.{rnd.choice([1, 1, 1, 2, 3])}"})
+    rows += [{"event_type": "port_scan", "message": "to 10.0.0.99:99 from 9.9.9.1"}, {"event_type": "scan", "message": "nobody"},
+             {"event_type": "x", "event_ts": "2024-01-01 00:00:00", "message": "to 10.0.0.98:98 from 9.9.9.1"}]
+    seen = [(r["message"].split()[3], int(r["event_ts"][11:13]) * 3600 + int(r["event_ts"][14:16]) * 60 + int(r["event_ts"][17:]),
+             *r["message"].split()[1].split(":")) for r in rows[:300]]
+    expected = {}
+    for scanner in {s[0] for s in seen}:
+        own = [s for s in seen if s[0] == scanner]
+        per = {t: (len({h for _, u, h, _ in own if t - 300 <= u <= t}), len({p for _, u, _, p in own if t - 300 <= u <= t})) for _, t, _, _ in own}
+        first = min((t for t, n in per.items() if max(n) >= 4), default=None)
+        if first is not None:
+            expected[scanner] = (f"2024-01-01 {first // 3600:02d}:{first // 60 % 60:02d}:{first % 60:02d}",
+                                 max(n[0] for n in per.values()), max(n[1] for n in per.values()), len(own))
+    got = {r.scanner: (r.first_at, r.hosts, r.ports, r.probes) for r in correlate.port_scan_sliding(events(rows), 5, 4).collect()}
+    assert got == expected and expected
+
+
+def test_scan_over_the_edge_of_a_window(events):
+    """Ten ports in a minute, half of them before the full hour."""
+    rows = [{"event_type": "scan", "event_ts": f"2024-01-01 0{1 if i < 5 else 2}:{59 if i < 5 else 0:02d}:{(30 + i) if i < 5 else i:02d}",
+             "message": f"to 10.0.0.1:{i + 1} from 9.9.9.9"} for i in range(10)]
+    assert correlate.port_scan_campaigns(events(rows), 10, 10).count() == 0
+    assert [(r.ports, r.first_at) for r in correlate.port_scan_sliding(events(rows), 10, 10).collect()] == [(10, "2024-01-01 02:00:09")]
