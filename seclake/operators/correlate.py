@@ -49,10 +49,13 @@ def correlate(events: DataFrame, first: int = 10) -> DataFrame:
 
     Brute force campaigns are totals per address and have no event.
     """
-    brute = brute_force_campaigns(events).selectExpr(
-        "'brute_force_campaigns' as campaign", "source_ip as key", "attempts"
-    )
-    listed = listed_campaigns(events, first).selectExpr(
+    return campaigns(brute_force_campaigns(events), listed_campaigns(events, first))
+
+
+def campaigns(brute: DataFrame, listed: DataFrame) -> DataFrame:
+    """``correlate`` from its two parts."""
+    brute = brute.selectExpr("'brute_force_campaigns' as campaign", "source_ip as key", "attempts")
+    listed = listed.selectExpr(
         "campaign", "coalesce(source_ip, '') as key", "1L as attempts", "* except (campaign)"
     )
     return brute.unionByName(listed, allowMissingColumns=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import network
@@ -11,6 +12,11 @@ from ..functions.text import EVENT_TEXT, JOINED_TEXT, has_any, present, q
 
 _TYPE = "lower(coalesce(event_type, ''))"
 _HEAD = 60  # characters of the message shown in an item
+_ITEMS = {
+    "privilege_escalation": f"concat(coalesce(timestamp, '?'), ' - ', coalesce(user, '?'), ' - ', left(_msg, {_HEAD}))",
+    "lateral_movement": f"concat(coalesce(timestamp, '?'), ' - ', coalesce(source_ip, '?'), ' -> ', left(_msg, {_HEAD}))",
+    "data_exfiltration": f"concat(coalesce(timestamp, '?'), ' - ', coalesce(source_ip, ''), ' - ', left(_msg, {_HEAD}))",
+}
 
 
 def type_has(*words: str) -> str:
@@ -54,24 +60,43 @@ def _by_words(events: DataFrame, words: tuple) -> DataFrame:
     return text.where(f"{type_has(*type_words)} or {has_any('_low', text_words)}")
 
 
+# What the lists of a triage show of an event, by list: test and item, over ``_msg`` and ``_low``.
+def _listed() -> dict[str, tuple[str, str]]:
+    types = ", ".join(q(t) for t in fixed.NEW_ACCOUNT_TYPES)
+
+    def by_words(words: tuple) -> str:
+        return f"{type_has(*words[0])} or {has_any('_low', words[1])}"
+
+    return {
+        "new_accounts": (f"event_type in ({types})", "concat(coalesce(user, 'unknown'), ' created on ', coalesce(timestamp, ''))"),
+        "privilege_escalation": (by_words(fixed.PRIVILEGE_WORDS), _ITEMS["privilege_escalation"]),
+        "lateral_movement": (by_words(fixed.LATERAL_WORDS), _ITEMS["lateral_movement"]),
+        "data_exfiltration": (by_words(fixed.EXFIL_WORDS), _ITEMS["data_exfiltration"]),
+    }
+
+
+def findings(events: DataFrame) -> DataFrame:
+    """(check, seq, item): the lists of new accounts, escalations, lateral movement and exfiltration in one scan."""
+    text = pin(events, _msg=EVENT_TEXT, _low="lower(_msg)")
+    entries = ", ".join(f"case when {test} then struct({q(name)} as check, {item} as item) end" for name, (test, item) in _listed().items())
+    return text.selectExpr("seq", f"explode(array_compact(array({entries}))) as f").selectExpr("f.check", "seq", "f.item")
+
+
 def privilege_escalation(events: DataFrame) -> DataFrame:
     return _by_words(events, fixed.PRIVILEGE_WORDS).selectExpr(
-        "seq", "timestamp", "user",
-        f"concat(coalesce(timestamp, '?'), ' - ', coalesce(user, '?'), ' - ', left(_msg, {_HEAD})) as item",
+        "seq", "timestamp", "user", f"{_ITEMS['privilege_escalation']} as item",
     )
 
 
 def lateral_movement(events: DataFrame) -> DataFrame:
     return _by_words(events, fixed.LATERAL_WORDS).selectExpr(
-        "seq", "timestamp", "source_ip",
-        f"concat(coalesce(timestamp, '?'), ' - ', coalesce(source_ip, '?'), ' -> ', left(_msg, {_HEAD})) as item",
+        "seq", "timestamp", "source_ip", f"{_ITEMS['lateral_movement']} as item",
     )
 
 
 def data_exfiltration(events: DataFrame) -> DataFrame:
     return _by_words(events, fixed.EXFIL_WORDS).selectExpr(
-        "seq", "timestamp", "source_ip",
-        f"concat(coalesce(timestamp, '?'), ' - ', coalesce(source_ip, ''), ' - ', left(_msg, {_HEAD})) as item",
+        "seq", "timestamp", "source_ip", f"{_ITEMS['data_exfiltration']} as item",
     )
 
 
@@ -95,11 +120,15 @@ def attack_phases(events: DataFrame) -> DataFrame:
 
 def geo_distribution(events: DataFrame) -> DataFrame:
     """Events per coarse origin of the source address, most frequent first."""
+    counts = events.where(present("source_ip")).groupBy("source_ip").agg(F.count("*").alias("events"))
+    return origins(counts)
+
+
+def origins(counts: DataFrame) -> DataFrame:
+    """``geo_distribution`` from (source_ip, events)."""
     return (
-        events.where(present("source_ip"))
-        .selectExpr(f"{network.geo_class('source_ip')} as origin")
+        counts.selectExpr(f"{network.geo_class('source_ip')} as origin", "events")
         .groupBy("origin")
-        .count()
-        .withColumnRenamed("count", "events")
+        .agg(F.sum("events").alias("events"))
         .orderBy("events", "origin", ascending=[False, True])
     )

@@ -51,14 +51,19 @@ def severity_counts(scored: DataFrame) -> DataFrame:
 
 def severity_distribution(events: DataFrame, width: int = 40) -> DataFrame:
     """Events and percentage per level, from the stored severity; other names are ignored."""
-    levels = literal_table(
-        events.sparkSession, "position, severity", [f"({i}, {q(s)})" for i, s in enumerate(fixed.SEVERITIES)]
-    )
     counts = (
         events.selectExpr(f"lower({stored_severity(events)}) as severity")
         .groupBy("severity")
         .agg(F.count("*").alias("n"))
     )
+    return shares(counts, width)
+
+
+def shares(counts: DataFrame, width: int = 40) -> DataFrame:
+    """``severity_distribution`` from (severity, n)."""
+    levels = literal_table(
+        counts.sparkSession, "position, severity", [f"({i}, {q(s)})" for i, s in enumerate(fixed.SEVERITIES)]
+    )
     return (
         levels.join(counts, "severity", "left")
         # five rows
@@ -78,7 +83,12 @@ def hourly_timeline(events: DataFrame, width: int = 60) -> DataFrame:
         .groupBy("hour")
         .agg(F.count("*").alias("n"))
     )
-    hours = events.sparkSession.range(24).selectExpr("cast(id as int) as hour")
+    return dense_hours(counts, width)
+
+
+def dense_hours(counts: DataFrame, width: int = 60) -> DataFrame:
+    """``hourly_timeline`` from (hour, n)."""
+    hours = counts.sparkSession.range(24).selectExpr("cast(id as int) as hour")
     return (
         hours.join(counts, "hour", "full")
         # one row per hour
@@ -93,14 +103,18 @@ def top_values(
     events: DataFrame, column: str, limit: int = 10, width: int = 30, label: int | None = None
 ) -> DataFrame:
     """Most frequent non-empty values; among equals the one seen first comes first."""
-    ranked = (
+    counts = (
         events.where(present(column))
         .selectExpr(f"{column} as value", "seq")
         .groupBy("value")
-        .agg(F.count("*").alias("events"), F.min("seq").alias("_first"))
-        .orderBy(F.desc("events"), "_first")
-        .limit(limit)
+        .agg(F.count("*").alias("events"), F.min("seq").alias("first"))
     )
+    return top_counts(counts, limit, width, label)
+
+
+def top_counts(counts: DataFrame, limit: int = 10, width: int = 30, label: int | None = None) -> DataFrame:
+    """``top_values`` from (value, events, first)."""
+    ranked = counts.orderBy(F.desc("events"), "first").limit(limit)
     return (
         # at most ``limit`` rows
         ranked.selectExpr("value", "events", "max(events) over () as largest")
@@ -123,12 +137,14 @@ def top_event_types(events: DataFrame, limit: int = 15) -> DataFrame:
 
 def mitre_tactics(events: DataFrame) -> DataFrame:
     """Events per tactic code with its text, ``Unknown`` for codes without one."""
-    return (
-        distinct_values(events, "mitre_tactic")
-        .selectExpr("value as mitre_tactic", "events",
-                    f"coalesce({mitre_text('value')}, 'Unknown') as description")
-        .orderBy("mitre_tactic")
-    )
+    return described_tactics(distinct_values(events, "mitre_tactic"))
+
+
+def described_tactics(counts: DataFrame) -> DataFrame:
+    """``mitre_tactics`` from (value, events)."""
+    return counts.selectExpr(
+        "value as mitre_tactic", "events", f"coalesce({mitre_text('value')}, 'Unknown') as description"
+    ).orderBy("mitre_tactic")
 
 
 def mitre_samples(events: DataFrame, limit: int = 5) -> DataFrame:

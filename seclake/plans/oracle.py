@@ -544,7 +544,7 @@ def all_sql() -> dict[str, str]:
             max_confidence, ag.country from ev left join ag on ag.ip = ev.source_ip"""
     hec = f"""{SCORED} select json_object('event', {_DOC.format(severity='severity')}, 'host', host, 'index', 'security',
             'source', 'seclake', 'sourcetype', 'seclake:json')::varchar as value from sc"""
-    return {
+    twins = {
         # parsing
         "parsed_events": f"{LOGS} select {_FIELDS} from ev",
         "parsed_files": f"{by_file} select {_FIELDS} from ev",
@@ -747,3 +747,9 @@ def all_sql() -> dict[str, str]:
         "exported_bulk": f"""{SCORED} select unnest(['{{"index":{{"_index":"security-logs"}}}}', {_DOC.format(severity='severity')}::varchar]) as value from sc""",
         "exported_docs": f"{SCORED} select {_DOC.format(severity='severity')}::varchar as value from sc",
     }
+    same = {"report_assets": "overview", "report_correlations": "correlate_logs", "report_tactics": "mitre_tactics", "dashboard_totals": "overview",
+            "dashboard_hourly": "hourly_timeline", "dashboard_severity": "severity_distribution", "dashboard_top_sources": "top_sources",
+            "dashboard_top_users": "top_users", "dashboard_attack_phases": "attack_phases", "dashboard_geography": "geo_distribution"}
+    twins |= {name: twins[other] for name, other in same.items()}
+    twins["report_timeline"] = f"""{SCORED} select seq, "timestamp", upper(severity) as severity, event_type, source_ip, "user", text[1:50] as message from sc"""
+    return twins

@@ -700,16 +700,71 @@ def report_summary(spark, d):
     return reports.incident_report(events(spark, d))["summary"]
 
 
+@query
+def report_assets(spark, d):
+    return reports.incident_report(events(spark, d))["assets"]
+
+
 @query
 def report_intel(spark, d):
     return reports.incident_report(events(spark, d))["threat_intel"]
 
 
+@query
+def report_correlations(spark, d):
+    return reports.incident_report(events(spark, d))["correlations"].select(*_CAMPAIGN)
+
+
+@query
+def report_tactics(spark, d):
+    return reports.incident_report(events(spark, d))["tactics"]
+
+
+@query
+def report_timeline(spark, d):
+    return reports.incident_report(events(spark, d))["timeline"]
+
+
+@query
+def dashboard_totals(spark, d):
+    return reports.dashboard(events(spark, d))["totals"]
+
+
+@query
+def dashboard_hourly(spark, d):
+    return reports.dashboard(events(spark, d))["hourly"]
+
+
+@query
+def dashboard_severity(spark, d):
+    return _rounded(reports.dashboard(scored(spark, d))["severity"], "percent")
+
+
+@query
+def dashboard_top_sources(spark, d):
+    return reports.dashboard(events(spark, d))["top_sources"]
+
+
+@query
+def dashboard_top_users(spark, d):
+    return reports.dashboard(events(spark, d))["top_users"]
+
+
 @query
 def dashboard_event_types(spark, d):
     return reports.dashboard(events(spark, d))["event_types"]
 
 
+@query
+def dashboard_attack_phases(spark, d):
+    return reports.dashboard(events(spark, d))["attack_phases"]
+
+
+@query
+def dashboard_geography(spark, d):
+    return reports.dashboard(events(spark, d))["geography"]
+
+
 # --- streams ----------------------------------------------------------------
 
 def stream_base(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Compositions: triage summary, incident report, dashboard.
 
-Each stores the scored events once and derives all its tables from that copy.
+Counts, distinct values, tactics, hours and phases come from one scan, as a narrow table of facets; no event is
+copied.  Lists of single events are read from the events themselves.
 """
 
 from __future__ import annotations
@@ -10,72 +11,84 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bursts, correlate, detections, intel, summary, timeline
-from ..operators.parse import score
-from ..session import materialize
+from .. import fixed
+from ..functions.text import q
+from ..operators import bursts, correlate, detections, facets, intel, summary, timeline
+from ..session import literal_table, materialize
 
 
-def _stored(events: DataFrame) -> DataFrame:
-    scored = events if "severity" in events.columns else score(events)
-    return materialize(scored, "scored-events")
+def _facets(events: DataFrame) -> DataFrame:
+    return materialize(facets.facet_counts(events), "facets")
+
+
+def _overview(counts: DataFrame) -> DataFrame:
+    return counts.selectExpr(
+        f"coalesce(sum(events) filter (where facet = {q(facets.TOTAL)}), 0) as total_events",
+        f"count_if(facet = {q(facets.SOURCE)}) as unique_ips",
+        f"count_if(facet = {q(facets.USER)}) as unique_users",
+    )
 
 
 def triage(events: DataFrame, threshold: int = 5) -> dict[str, DataFrame]:
-    """Result of every check, by name."""
-    stored = _stored(events)
-    burst_order = [F.desc("attempts"), "source"]
+    """Result of every check, by name; the lists of single events are under ``findings``, with their check."""
+    counts = _facets(events)
+    sources = facets.of(counts, facets.SOURCE, "source_ip")
     return {
-        "failed_logins": bursts.failed_login_bursts(stored, threshold).orderBy(*burst_order).limit(10),
-        "new_accounts": detections.new_accounts(stored),
-        "suspicious_ips": detections.suspicious_ips(stored),
-        "privilege_escalation": detections.privilege_escalation(stored),
-        "lateral_movement": detections.lateral_movement(stored),
-        "data_exfiltration": detections.data_exfiltration(stored),
-        "mitre_tactics": summary.mitre_tactics(stored).withColumn(
+        "failed_logins": bursts.failed_login_bursts(events, threshold).orderBy(F.desc("attempts"), "source").limit(10),
+        "findings": detections.findings(events),
+        "suspicious_ips": detections.suspicious_ips(sources),
+        "mitre_tactics": summary.described_tactics(facets.of(counts, facets.TACTIC)).withColumn(
             "item", F.format_string("%s: %d", "mitre_tactic", "events")),
-        "mitre_samples": summary.mitre_samples(stored).withColumnRenamed("sample", "item"),
-        "unique_users": summary.distinct_values(stored, "user").withColumnRenamed("value", "item"),
-        "unique_sources": summary.distinct_values(stored, "source_ip").withColumnRenamed("value", "item"),
-        "event_summary": summary.event_summary(stored).withColumn(
-            "item", F.format_string("%s: %d", "event_type", "events")),
+        "mitre_samples": summary.mitre_samples(events).withColumnRenamed("sample", "item"),
+        "unique_users": facets.of(counts, facets.USER, "item"),
+        "unique_sources": facets.of(counts, facets.SOURCE, "item"),
+        "event_summary": facets.of(counts, facets.TYPE).withColumn("item", F.format_string("%s: %d", "value", "events")),
     }
 
 
 def triage_table(events: DataFrame, threshold: int = 5) -> DataFrame:
     """All checks in one table (check, item)."""
     parts = [
-        rows.select(F.lit(name).alias("check"), "item") for name, rows in triage(events, threshold).items()
+        rows.select("check" if name == "findings" else F.lit(name).alias("check"), "item")
+        for name, rows in triage(events, threshold).items()
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def incident_report(events: DataFrame) -> dict[str, DataFrame]:
     """The tables of an incident report."""
-    stored = _stored(events)
+    counts = _facets(events)
+    levels = [f"coalesce(sum(events) filter (where facet = {q(facets.SEVERITY)} and value = {q(level)}), 0) as {level}"
+              for level in fixed.SEVERITIES]
+    total = f"coalesce(sum(events) filter (where facet = {q(facets.TOTAL)}), 0) as total_events"
+    brute = facets.of(counts, facets.FAILING, "source_ip").selectExpr("source_ip", "events as attempts")
     return {
-        "summary": summary.severity_counts(score(stored.drop("severity"))),
-        "assets": summary.overview(stored),
-        "threat_intel": intel.intel_lookup(stored).where(F.col("reputation") != "unknown"),
-        "correlations": correlate.correlate(stored),
-        "tactics": summary.mitre_tactics(stored),
-        "timeline": timeline.timeline(stored.drop("severity")).selectExpr(
+        "summary": counts.selectExpr(total, *levels),
+        "assets": _overview(counts),
+        "threat_intel": intel.intel_lookup(facets.of(counts, facets.SOURCE, "source_ip")).where("reputation <> 'unknown'"),
+        "correlations": correlate.campaigns(brute, correlate.listed_campaigns(events)),
+        "tactics": summary.described_tactics(facets.of(counts, facets.TACTIC)),
+        "timeline": timeline.timeline(events.drop("severity")).selectExpr(
             "seq", "timestamp", "upper(severity) as severity", "event_type", "source_ip", "user",
             "left(message, 50) as message"),
     }
 
 
 def dashboard(events: DataFrame) -> dict[str, DataFrame]:
-    """The tables of the dashboard, in display order."""
-    stored = _stored(events)
+    """The tables of the dashboard, in display order, all from one scan."""
+    counts = _facets(events)
+    phases = literal_table(events.sparkSession, "position, phase", [
+        f"({i}, {q(phase)})" for i, phase in enumerate(fixed.PHASE_WORDS, start=1)])
     return {
-        "totals": summary.overview(stored),
-        "hourly": summary.hourly_timeline(stored),
-        "severity": summary.severity_distribution(stored),
-        "top_sources": summary.top_sources(stored),
-        "top_users": summary.top_users(stored),
-        "event_types": summary.top_event_types(stored),
-        "attack_phases": detections.attack_phases(stored),
-        "geography": detections.geo_distribution(stored),
+        "totals": _overview(counts),
+        "hourly": summary.dense_hours(facets.of(counts, facets.HOUR, "hour").selectExpr("cast(hour as int) as hour", "events as n")),
+        "severity": summary.shares(facets.of(counts, facets.STORED, "severity").selectExpr("severity", "events as n")),
+        "top_sources": summary.top_counts(facets.of(counts, facets.SOURCE)),
+        "top_users": summary.top_counts(facets.of(counts, facets.USER)),
+        "event_types": summary.top_counts(facets.of(counts, facets.TYPE), 15, label=20),
+        "attack_phases": facets.of(counts, facets.PHASE, "phase").join(F.broadcast(phases), "phase").select(
+            "position", "phase", "events").orderBy("position"),
+        "geography": detections.origins(facets.of(counts, facets.SOURCE, "source_ip")),
     }
 
 
