@@ -297,7 +297,7 @@ def test_flow_prefers_few_repetitions():
 
 def test_mixing_overlapping_sources(spark):
     rows = [(i, 10, ["a"] if i < 60 else ["b", "a"] if i < 90 else ["b"] if i < 99 else []) for i in range(100)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, n bigint, sources array<string>"), "n", "sources", lambda known: [1] * len(known))
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, n bigint, sources array<string>"), "n", "sources", "1")
     used = {r.doc_id: r.taken for r in out.collect()}
     assert used[99] == 0 and 0 < sum(used.values()) and all(v <= 30 for v in used.values())
 

@@ -121,6 +121,46 @@ def test_very_many_sources(spark):
     assert all(r.taken in (0, 4 * r.n, 8 * r.n) for r in got)
 
 
+def test_patterns_of_each_solved_part(spark, monkeypatch):
+    """Sources by themselves are solved in the tasks; the driver's flows see what overlaps, a part at a time."""
+    parts = []
+    flow = mixing.min_cost_flow
+    monkeypatch.setattr(mixing, "min_cost_flow", lambda supply, *more: parts.append(len(supply)) or flow(supply, *more))
+    rows = [(i, 10, [f"alone{i % 50}"]) for i in range(500)]
+    rows += [(1000 + i, 10, ["a", "b"] if i % 3 == 0 else ["b"] if i % 3 == 1 else ["c", "d"]) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id bigint, n bigint, sources array<string>")
+    got = mixing.mix(table, "n", "sources", "1 + place % 2").collect()
+    assert sorted(parts) == [1, 2] and len(got) == 800
+    by = {}
+    for r in got:
+        by.setdefault(r.sources[0], []).append(r)
+    assert all(abs(sum(r.taken for r in v) - min(v[0].target, 3 * v[0].source_size)) <= 10 for k, v in by.items() if k.startswith("alone"))
+
+
+def test_chosen_documents(spark):
+    """Which documents are used, against the order of their digests."""
+    import hashlib
+
+    rng = random.Random(6)
+    rows = [(i if i % 40 else None, "w " * rng.randint(0, 9), rng.choice(["a", "b", "b", "c", None])) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix_documents(table, "text").collect()
+    for source in ("a", "b", "c", None):
+        own = [r for r in got if r.sources[0] == source]
+        words, target = sum(r["size"] for r in own), own[0].target
+        whole, part = divmod(min(round(target), 3 * words), words)
+        assert all(whole <= r.repeats <= whole + 1 for r in own)
+        key = lambda r: (hashlib.md5(("0/" + str(r.doc_id) if r.doc_id is not None else "0").encode()).hexdigest(), r["size"])
+        before = 0
+        for r in sorted(own, key=key):
+            slice_edge = r.repeats == whole + 1
+            if before + r["size"] <= part:
+                assert slice_edge or r["size"] == 0 or 2 * (part - before) < r["size"]
+            elif before >= part:
+                assert not slice_edge or r["size"] == 0 or r.doc_id is None
+            before += r["size"]
+
+
 def test_uses_are_those_of_the_flow():
     rng = random.Random(2)
     for _ in range(200):
