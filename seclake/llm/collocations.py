@@ -306,6 +306,18 @@ def scored_pairs(counts: DataFrame) -> DataFrame:
     return materialize(both.selectExpr("lang", "phrase", "a", "l", "r", f"{_exact('a a', 'l r')} as score", f"{_exact('a', 'l')} as bound"), "pairs")
 
 
+def _thresholds(pairs: DataFrame, first: int) -> DataFrame:
+    """(lang, limit): a score which about ``first`` pairs of the language reach, 0 where there are fewer.
+
+    Scores are counted in some hundred classes, so no task ranks the pairs of a language.
+    """
+    classes = pairs.groupBy("lang", F.floor(F.log2(F.col("score") + 1) * 32).alias("class")).agg(
+        F.count("*").alias("n"), F.min("score").alias("least"))
+    above = Window.partitionBy("lang").orderBy(F.desc("class"))
+    return classes.withColumn("reached", F.sum("n").over(above)).groupBy("lang").agg(
+        F.coalesce(F.max(F.when(F.col("reached") >= first, F.col("least"))), F.lit(0)).alias("limit"))
+
+
 def _scored_triples(triples: DataFrame, pairs: DataFrame) -> DataFrame:
     """Candidates of three words with keys of the pairs in them."""
     named = triples.selectExpr("lang", "phrase", "n as a", f"{_KEY.format('substring_index(phrase, chr(32), 2)')} as head",
@@ -328,13 +340,10 @@ def collocations(docs: DataFrame, top: int = TOP, first: int = FIRST, lang_col:
     counts = counted(docs, lang_col, text_col)
     pairs = scored_pairs(counts)
     done: list[DataFrame] = []
-    open_langs = pairs.select("lang").distinct()
+    open_langs: DataFrame | None = None
     while True:
-        by_score = Window.partitionBy("lang").orderBy(F.desc("score"))
-        live = pairs.join(F.broadcast(open_langs), "lang", "left_semi") if done else pairs
-        best = live.withColumn("at", F.row_number().over(by_score)).where(F.col("at") <= first)
-        # the threshold: what the `first` best pairs reach; nothing where there are fewer
-        limits = best.groupBy("lang").agg(F.when(F.count("*") < first, 0).otherwise(F.min("score")).alias("limit"))
+        live = pairs if open_langs is None else lookup_join(pairs, open_langs.withColumn("open", F.lit(True)), "lang").where("open").drop("open")
+        limits = _thresholds(live, first)
         limits = materialize(limits, "limits")
         live = lookup_join(live, limits, "lang").selectExpr("*", "bound >= limit as grown", "score >= limit as above")
         live = materialize(live, "live")
