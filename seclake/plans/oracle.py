@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from .. import fixed
 from ..schema import CASE, EVENT_FIELDS
-from ..sources.derived import CASE_SQL, FEED_SQL, IP_SQL
+from ..sources.derived import CASE_SQL, CLOUDTRAIL_SQL, FEED_SQL, IP_SQL
 
 
 def _s(text: str) -> str:
@@ -102,7 +102,11 @@ p as (
       when 'cloudtrail' then {_map('ev_name', fixed.CLOUDTRAIL_CATEGORY, "'aws_other'")} end as event_type,
     case format when 'syslog' then regexp_extract(clean, {_SYS}, 3) when 'cloudtrail' then coalesce(nullif(json_extract_string(line, '$.eventSource'), ''), 'cloudtrail') end as process,
     case format when 'syslog' then nullif(regexp_extract(clean, {_SYS}, 4), '') end as pid,
-    case format when 'syslog' then msg when 'cloudtrail' then ev_name || case when json_exists(line, '$.requestParameters.userName') then ' user=' || json_extract_string(line, '$.requestParameters.userName') else '' end else line end as raw_message,
+    case format when 'syslog' then msg when 'cloudtrail' then ev_name || case when json_exists(line, '$.requestParameters.userName') then ' user=' || coalesce(json_extract_string(line, '$.requestParameters.userName'), 'None') else '' end
+      || case when json_exists(line, '$.requestParameters.groupName') then ' group=' || coalesce(json_extract_string(line, '$.requestParameters.groupName'), 'None') else '' end
+      || case when json_exists(line, '$.requestParameters.policyName') then ' policy=' || coalesce(json_extract_string(line, '$.requestParameters.policyName'), 'None') else '' end
+      || case when len(json_keys(line, '$.responseElements')) > 0 then ' -> [''' || array_to_string(json_keys(line, '$.responseElements'), ''', ''') || ''']' else '' end
+      else line end as raw_message,
     case format when 'syslog' then tag when 'cloudtrail' then {_map('ev_name', fixed.CLOUDTRAIL_MITRE, "''")} end as mitre_tactic,
     case format when 'syslog' then {_map('tag', fixed.MITRE_TEXT, "''")} end as mitre_technique
   from pre),
@@ -547,6 +551,8 @@ def all_sql() -> dict[str, str]:
     twins = {
         # parsing
         "parsed_events": f"{LOGS} select {_FIELDS} from ev",
+        "parsed_cloudtrail": f"""{LOGS.replace('lines as (', 'l0 as (').replace('own as (', f'lines as (select file, seq, {CLOUDTRAIL_SQL} as line from l0), own as (')}
+            select {_FIELDS} from ev where format = 'cloudtrail'""",
         "parsed_files": f"{by_file} select {_FIELDS} from ev",
         "parsed_as_auth": f"{as_auth} select {_FIELDS} from ev",
         "parsed_as_syslog": f"{as_syslog} select {_FIELDS} from ev",

@@ -120,6 +120,13 @@ def parsed_files(spark, d):
     return _shown(parse.parse_logs(lines(spark, d), "auto", derived.YEAR))
 
 
+@query
+def parsed_cloudtrail(spark, d):
+    """Lines with groups, policies and responses."""
+    full = lines(spark, d).withColumn("line", F.expr(derived.CLOUDTRAIL_SQL))
+    return _shown(parse.parse_lines(full, derived.YEAR).where("format = 'cloudtrail'"))
+
+
 @query
 def parsed_as_auth(spark, d):
     return _shown(parse.parse_logs(lines(spark, d), "auth", derived.YEAR))

@@ -130,6 +130,15 @@ _LINE_SQL = """case
 end"""
 
 
+# CloudTrail lines with the optional parts of a request and a response; other lines as they are.
+CLOUDTRAIL_SQL = (
+    "case when left(line, 1) = '{' then replace(line, '\"requestParameters\":{', '\"responseElements\":' || "
+    "case seq % 3 when 0 then '{\"z\":{\"q\":[1,2]},\"a\":2}' when 1 then 'null' else '{}' end || ',\"requestParameters\":{' || "
+    "case when seq % 2 = 0 then '\"groupName\":\"g' || cast(seq % 9 as varchar(9)) || '\",' else '' end || "
+    "case seq % 5 when 0 then '\"policyName\":null,' when 1 then '\"policyName\":\"p1\",' else '' end) else line end"
+)
+
+
 def log_lines(events: DataFrame) -> DataFrame:
     """``file, seq, line``: one line per event, in event order."""
     parts = [f"{sql} as {name}" for name, sql in _PARTS.items()]

@@ -88,10 +88,11 @@ def lines_of(data: bytes, at: int) -> tuple[np.ndarray, pa.Array]:
 
 class _Reader(DataSourceStreamReader):
     def __init__(self, options: dict):
+        options = {name.lower(): value for name, value in options.items()}
         self.uri, self.pattern = options["path"], options.get("pattern", "*")
-        self.existing = options.get("processExisting", "true").lower() == "true"
+        self.existing = options.get("process_existing", "true").lower() == "true"
         self.ended = options.get("ended", "false").lower() == "true"
-        self.size = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.size = int(options.get("partition_bytes", PARTITION_BYTES))
 
     def initialOffset(self) -> dict:
         return {} if self.existing else self.latestOffset()
@@ -182,9 +183,9 @@ def follow_lines(
     raw = (
         spark.readStream.format(FORMAT)
         .option("pattern", pattern)
-        .option("processExisting", str(process_existing).lower())
+        .option("process_existing", str(process_existing).lower())
         .option("ended", str(ended).lower())
-        .option("partitionBytes", partition_bytes)
+        .option("partition_bytes", partition_bytes)
         .load(folder)
     )
     text = "cast(line as string)"
