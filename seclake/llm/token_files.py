@@ -31,7 +31,7 @@ from .words import VALUES, Rolling, slices, text_buffer
 END_ID = 2
 #: Bytes of text encoded at a time; ids of a block of a file; distinct segments which a worker process remembers
 #: (about 60 bytes each); bytes from which on a segment is not remembered; segments given to the library in one call.
-TEXT_PIECE, BLOCK_IDS, REMEMBERED, LONG, AT_ONCE = 1 << 22, 1 << 20, 1 << 21, 64, 1 << 13
+TEXT_PIECE, BLOCK_IDS, REMEMBERED, LONG, AT_ONCE = 1 << 21, 1 << 20, 1 << 21, 64, 1 << 13
 #: Bytes of numbers which are ranked or packed at a time.
 IDS_PIECE = 1 << 21
 
