@@ -2,8 +2,8 @@
 
 A line's quote level is the number of ``>`` before it.  Adjacent lines of one level without a blank line
 between are a passage; its hash is taken over the text without marks, with white space collapsed and in
-lower case.  A quoted passage is linked to its original: the first message of the scope which has it as text
-of its own, if that comes before the quoting message.  A message answers the original that it quotes at the
+lower case.  A quoted passage is linked to its original: the latest message of the scope before the quoting one
+which has it as text of its own.  A message answers the original that it quotes at the
 lowest level, of several the latest.  Answers of answers make a conversation, whose messages follow what they
 answer; their texts are given without quotes and without the lines which introduce them.
 """
@@ -21,6 +21,8 @@ _SPACE = r"[ \\t\\n\\f\\r]+"
 _INTRODUCES = r"^on .*wrote:$"
 #: Orders in a row which may be one run of answers.
 RUN = 4096
+#: Orders of a block in which the latest original is looked for by a window.
+BLOCK = 1 << 20
 
 
 def parse(messages: DataFrame, text: str) -> DataFrame:
@@ -43,6 +45,23 @@ def parse(messages: DataFrame, text: str) -> DataFrame:
         "trim(both '\\n' from array_join(transform(filter(__lines, x -> x.level = 0), x -> x.raw), '\\n'))")).drop("__lines", "__starts")
 
 
+def latest_before(passages: DataFrame) -> DataFrame:
+    """(scope, at, level, origin) of quoted passages: the latest order below ``at`` with the same passage at level 0.
+
+    Found in blocks of orders: within a block by a window, across blocks by the greatest order of each block before.
+    So a passage which very many messages share is no group of its own.
+    """
+    marks = passages.select("scope", "hash", F.floor(F.col("at") / BLOCK).alias("block"), "at", "level",
+                            F.when(F.col("level") == 0, F.col("at")).alias("own"))
+    inside = Window.partitionBy("scope", "hash", "block").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("scope", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = marks.groupBy("scope", "hash", "block").agg(F.max("own").alias("last")).withColumn("before", F.max("last").over(earlier))
+    blocks = blocks.where("before is not null").select(F.col("scope").alias("s"), F.col("hash").alias("h"), F.col("block").alias("b"), "before")
+    quoted = marks.withColumn("near", F.max("own").over(inside)).where("level > 0")
+    return quoted.join(blocks, quoted.scope.eqNullSafe(F.col("s")) & (quoted.hash == F.col("h")) & (quoted.block == F.col("b")), "left").select(
+        "scope", "at", "level", F.coalesce("near", "before").alias("origin"))
+
+
 def link_quotes(messages: DataFrame, order: str, scope: str | None = None, text: str = "text") -> DataFrame:
     """Link messages by the passages they quote.
 
@@ -64,10 +83,7 @@ def link_quotes(messages: DataFrame, order: str, scope: str | None = None, text:
     # inline, not explode with field access, for which the optimizer would repeat the parsing inside its loops
     keyed = materialize(rows.select(inside.alias("scope"), F.col(order).alias("at"), F.inline("passages")).where(
         "at is not null").select("scope", "at", "level", "hash"), "passages")
-    first = keyed.where("level = 0").groupBy("scope", "hash").agg(F.min("at").alias("origin"))
-    quoted = keyed.where("level > 0").alias("q").join(
-        first.alias("f"), F.col("q.scope").eqNullSafe(F.col("f.scope")) & (F.col("q.hash") == F.col("f.hash")), "left").select(
-        "q.scope", "at", "level", F.when(F.col("origin") < F.col("at"), F.col("origin")).alias("origin"))
+    quoted = latest_before(keyed)
     answers = materialize(quoted.groupBy("scope", "at").agg(
         F.min(F.when(F.col("origin").isNotNull(), F.struct("level", (-F.col("origin")).alias("back")))).alias("best"),
         F.count("*").alias("n_quoted"), F.count("origin").alias("n_linked")).select(
@@ -144,10 +160,10 @@ l4 as (select *, sum(starts::int) over (partition by conv_id, turn order by n) a
 p as (
   select conv_id, turn, passage, any_value(level) as level, md5(string_agg(plain, ' ' order by n)) as hash
   from l4 where plain <> '' group by conv_id, turn, passage),
-f as (select conv_id, hash, min(turn) as origin from p where level = 0 group by conv_id, hash),
 q as (
-  select p.conv_id, p.turn, p.level, case when f.origin < p.turn then f.origin end as origin
-  from p left join f using (conv_id, hash) where p.level > 0),
+  select p.conv_id, p.turn, p.level, max(o.turn) as origin
+  from p left join p o on o.level = 0 and o.conv_id = p.conv_id and o.hash = p.hash and o.turn < p.turn
+  where p.level > 0 group by p.conv_id, p.turn, p.level, p.passage),
 a as (
   select conv_id, turn, arg_min(origin, level * 1000000 - origin) filter (where origin is not null) as parent,
     count(*) as n_quoted, count(origin) as n_linked from q group by conv_id, turn),

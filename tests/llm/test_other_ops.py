@@ -167,6 +167,16 @@ def test_quotes(spark):
     assert twice.count() == 2 * len(rows)
 
 
+@pytest.mark.parametrize("block", [1, 3, 1 << 20])
+def test_latest_original_before(spark, monkeypatch, block):
+    monkeypatch.setattr(quotes, "BLOCK", block)
+    rows = [(1, "yes"), (2, "why?"), (3, "Yes"), (4, "> yes\n\nno"), (5, "yes"), (6, "> YES\n> > why?"), (7, "> later"), (8, "later"),
+            (9, "> no\n>\n> yes"), (12, "word " * 200_000), (15, "> " + "word " * 200_000 + "\nlong"), (16, "yes\n> yes")]
+    got = {r.at: (r.parent, r.n_linked) for r in quotes.link_quotes(spark.createDataFrame(rows, "at bigint, text string"), "at").collect()}
+    assert got == {1: (None, 0), 2: (None, 0), 3: (None, 0), 4: (3, 1), 5: (None, 0), 6: (5, 2), 7: (None, 0), 8: (None, 0), 9: (5, 2),
+                   12: (None, 0), 15: (12, 1), 16: (5, 1)}
+
+
 def test_long_thread(spark):
     rows = [(i, (f"> text {i - 1}\n" if i else "") + f"text {i}") for i in range(300)]
     got = quotes.link_quotes(spark.createDataFrame(rows, "at bigint, text string"), "at").collect()
