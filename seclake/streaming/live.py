@@ -188,6 +188,11 @@ class _Slots:
             "overwrite").parquet(self.paths[1 if slot == 0 else 0])
 
 
+def _nullable(schema: T.StructType) -> T.StructType:
+    """Kept rows come back from a table, in which any column may be null."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
 class RecentAlerts:
     """Keeps the last ``keep`` alerts of a stream as a small table.
 
@@ -199,7 +204,7 @@ class RecentAlerts:
         self.path, self.keep, self.order = path, keep, order
 
     def _slots(self, schema: T.StructType) -> _Slots:
-        alert = T.StructType([*schema.fields, T.StructField("_arrived", T.LongType())])
+        alert = T.StructType([*_nullable(schema).fields, T.StructField("_arrived", T.LongType())])
         return _Slots(self.path, T.StructType([T.StructField("alerts", T.ArrayType(alert))]))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
@@ -233,7 +238,7 @@ class RowGroups:
 
     def _slots(self, schema: T.StructType) -> _Slots:
         return _Slots(f"{self.path}/rest", T.StructType([
-            T.StructField("next_group", T.LongType()), T.StructField("rest", T.ArrayType(schema))]))
+            T.StructField("next_group", T.LongType()), T.StructField("rest", T.ArrayType(_nullable(schema)))]))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark, columns = batch.sparkSession, batch.columns
@@ -258,7 +263,7 @@ class RowGroups:
 
     def read(self, spark, schema: T.StructType) -> DataFrame:
         """The table of groups."""
-        own = T.StructType([*schema.fields, T.StructField("group_id", T.LongType()), T.StructField("position", T.LongType())])
+        own = T.StructType([*_nullable(schema).fields, T.StructField("group_id", T.LongType()), T.StructField("position", T.LongType())])
         return spark.read.schema(own).parquet(f"{self.path}/groups").select(*own.names)
 
 
