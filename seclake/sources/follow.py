@@ -20,8 +20,8 @@ from ..functions.text import strip
 
 FORMAT = "appended_lines"
 SCHEMA = "file string, seq bigint, line binary"
-#: Bytes of a partition; bytes read at a time.
-PARTITION_BYTES, READ_BYTES = 64 << 20, 4 << 20
+#: Bytes of a partition; bytes read at a time; bytes in which a file's last line end is looked for.
+PARTITION_BYTES, READ_BYTES, TAIL_BYTES = 64 << 20, 4 << 20, 1 << 16
 NEWLINE, RETURN = 10, 13
 
 
@@ -49,7 +49,7 @@ def finished(system, path: str, start: int, size: int) -> int:
     with system.open_input_file(path) as file:
         stop = size
         while stop > start:
-            begin = max(start, stop - READ_BYTES)
+            begin = max(start, stop - TAIL_BYTES)
             place = file.read_at(stop - begin, begin).rfind(b"\n")
             if place >= 0:
                 return begin + place + 1
@@ -93,14 +93,21 @@ class _Reader(DataSourceStreamReader):
         self.existing = options.get("process_existing", "true").lower() == "true"
         self.ended = options.get("ended", "false").lower() == "true"
         self.size = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.known: dict[str, tuple[int, int]] = {}  # size and finished bytes of each file when last looked at
 
     def initialOffset(self) -> dict:
         return {} if self.existing else self.latestOffset()
 
     def latestOffset(self) -> dict:
         system, _ = _open(self.uri)
-        return {path: size if self.ended else finished(system, path, 0, size)
-                for path, size in sorted(_sizes(self.uri, self.pattern).items())}
+        now = {}
+        for path, size in sorted(_sizes(self.uri, self.pattern).items()):
+            before, done = self.known.get(path, (0, 0))
+            if size < before:
+                done = 0
+            now[path] = (size, done if size == before else finished(system, path, done, size))
+        self.known = now
+        return {path: size if self.ended else done for path, (size, done) in now.items()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         out = []

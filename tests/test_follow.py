@@ -78,6 +78,7 @@ def test_ranges_share_lines_out(tmp_path, size):
 
 def test_small_reads(tmp_path, monkeypatch):
     monkeypatch.setattr(follow, "READ_BYTES", 5)
+    monkeypatch.setattr(follow, "TAIL_BYTES", 5)
     text = b"a" * 23 + b"\nbb\n" + b"c" * 11 + b"\nd"
     (tmp_path / "f").write_bytes(text)
     reader = follow._Reader({"path": str(tmp_path)})
