@@ -6,8 +6,13 @@ same value gets the same pseudonym in every document and no two values share one
 rules (a Luhn digit, the ranges of a number, the calendar), check digits are computed anew and the
 permutation is repeated until its result is valid again, which keeps it a permutation of the valid values.
 
-Kinds: card numbers (Luhn), social security numbers, telephone numbers, IPv4 addresses, IBANs (mod 97),
-dates from 1900 to 2099 in three notations, and the local part of e-mail addresses.
+Kinds: card numbers (Luhn), social security numbers, telephone numbers (with + or in national notation), IPv4
+addresses, IBANs (mod 97, also in groups of four), dates from 1900 to 2099 in three notations, and the local part
+of e-mail addresses.
+
+Every place of a text is tried by every kind, and only valid values take up their text: a run of digits which
+is no card hides no card that begins inside it.  For this a text is cut at blanks which no pattern spans; the
+places of a part are those of its candidates, whatever overlaps.
 """
 
 from __future__ import annotations
@@ -20,14 +25,28 @@ ROUNDS = 8
 WALK = 128
 _DAYS, _SIDE = 73049, 271  # days from 1900 to 2099; the square of the side is a little more
 
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUPED = "|".join(rf"(?:{'|'.join(names.split())})\d{{2}}(?: ?[A-Z0-9]){{{size - 4}}}" for size, names in IBAN_LENGTHS.items())
+
+#: Places between two parts of a text which no pattern spans: behind white space, but for a blank between
+#: digits, capitals and brackets.
+CUT = r"(?<=[\t-\r])|(?<=[^A-Z0-9)] )|(?<= )(?=[^A-Z0-9(])"
+
 #: Pattern of each kind, tried in this order at each place.
 PATTERNS = {
     "date": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b|\b\d{2}\.\d{2}\.\d{4}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
     "card": r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}\b|\b\d{4}[ -]\d{6}[ -]\d{5}\b|\b\d{13,19}\b",
-    "phone": r"\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}\b|\+\d{8,15}\b",
-    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
+    "phone": (r"\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}\b|\+\d{1,3}(?<sep>[ .-])\d{3}\k<sep>\d{3}\k<sep>\d{4}\b|\+\d{8,15}\b|"
+              r"(?<![\w)])\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\w.+-])(?:1-)?\d{3}-\d{3}-\d{4}\b(?!-)|(?<![\w.+-])\d{3}\.\d{3}\.\d{4}\b(?![.-]\d)"),
+    "iban": rf"\b(?=[A-Z]{{2}}\d{{2}})(?:{_GROUPED})\b|\b[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}\b",
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
 }
 
@@ -78,10 +97,10 @@ def _walk(start: str, step: str, valid: str) -> str:
     return f"aggregate(sequence(1, {WALK}), {start}, (x, n) -> if({valid}, x, {step}))"
 
 
-def _refill(m: str, digits: str) -> str:
-    """The text ``m`` with its digits replaced one after the other."""
-    return _let(digits, "d", f"array_join(transform(sequence(1, length({m})), j -> if(substr({m}, j, 1) between '0' and '9', "
-                             f"substr(d, j - length(regexp_replace(substr({m}, 1, j), '[0-9]', '')), 1), substr({m}, j, 1))), '')")
+def _refill(m: str, digits: str, own: str = "[0-9]") -> str:
+    """The text ``m`` with its digits, or what else matches ``own``, replaced one after the other."""
+    return _let(digits, "d", f"array_join(transform(sequence(1, length({m})), j -> if(substr({m}, j, 1) rlike '{own}', "
+                             f"substr(d, j - length(regexp_replace(substr({m}, 1, j), '{own}', '')), 1), substr({m}, j, 1))), '')")
 
 
 def _mod97(x: str) -> str:
@@ -116,20 +135,42 @@ def _pseudonyms(key: str) -> dict[str, str]:
     checked = _let(payload, "p", "concat(p, filter(transform(sequence(0, 9), c -> cast(c as string)), c -> luhn_check(concat(p, c)))[0])")
     card = _let(digits, "s", f"if(luhn_check(s), {_refill('m', checked)}, null)")
 
-    # +1 (area) exchange-line: neither area nor exchange begins with 0 or 1
-    good_phone = "(not m rlike '^[+]1 ?[(]' or (substr({0}, 1, 1) >= '2' and substr({0}, 4, 1) >= '2'))"
-    kept = "if(m rlike '[(]', length(s) - 10, if(startswith(s, '1'), 1, 2))"
+    # numbers of +1 and national ones: neither area nor exchange begins with 0 or 1
+    good_phone = "(m rlike '^[+](?!1[ .(-])' or (substr({0}, 1, 1) >= '2' and substr({0}, 4, 1) >= '2'))"
+    kept = "if(m rlike '[ .(-]', length(s) - 10, if(startswith(s, '1'), 1, 2))"
     national = f"substr(s, {kept} + 1)"
-    phone = _let(digits, "s", f"if({good_phone.format(national)}, {_refill('m', 'concat(substr(s, 1, ' + kept + '), ' + _walk(_permute(key, 'phone', national), _permute(key, 'phone', 'x'), good_phone.format('x')) + ')')}, null)")
+    moved = _walk(_permute(key, "phone", national), _permute(key, "phone", "x"), good_phone.format("x"))
+    phone = _let(digits, "s", f"if({good_phone.format(national)}, {_refill('m', f'concat(substr(s, 1, {kept}), {moved})')}, null)")
 
-    account = _permute(key, "iban", "substr(m, 5)")
-    iban = f"if({_mod97('concat(substr(m, 5), substr(m, 1, 4))')} = 1, " + _let(
-        account, "p", f"concat(substr(m, 1, 2), lpad(cast(98 - {_let('''concat(p, substr(m, 1, 2), '00')''', 'z', _mod97('z'))} as string), 2, '0'), p)") + ", null)"
+    checked = f"lpad(cast(98 - {_let('''concat(p, substr(s, 1, 2), '00')''', 'z', _mod97('z'))} as string), 2, '0')"
+    account = _let(_permute(key, "iban", "substr(s, 5)"), "p", f"concat(substr(s, 1, 2), {checked}, p)")
+    iban = _let("replace(m, ' ', '')", "s", f"if({_let('concat(substr(s, 5), substr(s, 1, 4))', 'z', _mod97('z'))} = 1, "
+                                            f"{_refill('m', account, '[A-Z0-9]')}, null)")
 
     email = f"concat({_permute(key, 'email', '''substring_index(m, '@', 1)''')}, '@', substring_index(m, '@', -1))"
     return {"date": f"case {' '.join(date)} end", "ssn": ssn, "ip": ip, "card": card, "phone": phone, "iban": iban, "email": email}
 
 
+def _replaced(g: str, kinds: list[str], key: str) -> str:
+    """The part ``g`` of a text with valid values replaced, and the list of them, as a struct."""
+    how = _pseudonyms(key)
+    # one entry for each character: the candidate which begins there, or an empty text
+    places = ", ".join(f"regexp_extract_all({g}, {_sql(f'(?s)(?=(?<own>{PATTERNS[k]}))|.')}, 1)" for k in kinds)
+    value = ", ".join(
+        f"if(found[{n}][pos] = '', null, " + _let(f"found[{n}][pos]", "m", _let(
+            how[k], "code", f"if(code is null, null, named_struct('pos', pos, 'len', length(m), 'kind', '{k}', 'pseudonym', code))")) + ")"
+        for n, k in enumerate(kinds))
+    values = _let(f"array({places})", "found", f"filter(transform(sequence(0, size(found[0]) - 1), pos -> coalesce({value})), v -> v is not null)")
+    end = "coalesce(get(kept, {0}).pos + get(kept, {0}).len, 0)"
+    kept = (f"aggregate({values}, cast(array() as array<struct<pos: int, len: int, kind: string, pseudonym: string>>), (kept, v) -> "
+            f"if({end.format('size(kept) - 1')} <= v.pos, concat(kept, array(v)), kept))")
+    before = end.format("y - 1")
+    text = (f"concat(array_join(transform(kept, (v, y) -> concat(substr({g}, {before} + 1, v.pos - {before}), v.pseudonym)), ''), "
+            f"substr({g}, {end.format('size(kept) - 1')} + 1))")
+    listed = "transform(kept, v -> named_struct('kind', v.kind, 'pseudonym', v.pseudonym))"
+    return _let(kept, "kept", f"named_struct('text', {text}, 'list', {listed})")
+
+
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", kinds: list[str] | None = None) -> DataFrame:
     """Replace the valid personal numbers and dates of each whole text by pseudonyms under ``key``.
 
@@ -137,28 +178,24 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", kinds: list[
     of place), n_pseudonyms; input columns with these names are replaced.
 
     A null text stays null and has none, as have texts without candidates; candidates which are not valid stay as
-    they are.  The two parts of an overlap count as the candidate that starts first.  Equal values of one kind get
-    equal pseudonyms in every row; separators, the country of telephone numbers and IBANs and the domain of
-    addresses stay.
+    they are.  Of valid values which overlap the first counts, of those which start together the first kind.
+    Equal values of one kind get equal pseudonyms in every row; separators, the country of telephone numbers and
+    IBANs and the domain of addresses stay.  Time grows with the text; only within one part without a cut (white
+    space beside small letters or punctuation) it grows with the square of the number of its values.
     """
     kinds = kinds or list(PATTERNS)
-    every = "|".join(PATTERNS[k] for k in kinds)
     numbers = [k for k in kinds if k != "email"]
-    how = _pseudonyms(key)
-    whole = {k: _sql(f"^(?:{PATTERNS[k]})$") for k in kinds}
-    choice = " ".join(f"when m rlike {whole[k]} then {how[k]}" for k in kinds)
-    kind = " ".join(f"when m rlike {whole[k]} then '{k}'" for k in kinds)
     text = f"cast(`{text_col}` as string)"
-    may = " or ".join(["__text like '%@%'"] * ("email" in kinds) + ["__text rlike '[0-9]'"] * bool(numbers))
+    may = " or ".join(["{0} like '%@%'"] * ("email" in kinds) + ["{0} rlike '[0-9]'"] * bool(numbers))
+    some = f"({may}) and (" + " or ".join(f"{{0}} rlike {_sql(PATTERNS[k]).replace('{', '{{').replace('}', '}}')}" for k in kinds) + ")"
+    none = "named_struct('text', {0}, 'list', cast(array() as array<struct<kind: string, pseudonym: string>>))"
+    parts = (f"if({may.format('__text')}, transform(split(__text, {_sql(CUT)}, -1), g -> if({some.format('g')}, {_replaced('g', kinds, key)}, "
+             f"{none.format('g')})), array({none.format('__text')}))")
     new = ["pseudonyms", "n_pseudonyms"]
-    found = docs.drop(*new).withColumn("__text", F.expr(text)).withColumn(
-        "__found", F.expr(f"if({may}, regexp_extract_all(__text, {_sql(every)}, 0), cast(array() as array<string>))"))
-    coded = found.withColumn("__new", F.expr(f"transform(__found, m -> case {choice} end)"))
-    joined = (f"if(size(filter(__new, x -> x is not null)) > 0, {_let(f'split(__text, {_sql(every)})', 'g', '''array_join(transform(g, (x, i) -> concat(x, if(i < size(__found), coalesce(__new[i], __found[i]), ''))), '')''')}, __text)")
-    listed = (f"filter(zip_with(__found, __new, (m, p) -> named_struct('kind', case {kind} end, 'pseudonym', p)), "
-              "x -> x.pseudonym is not null)")
-    out = coded.withColumn(new[0], F.expr(f"coalesce({listed}, array())")).withColumn(text_col, F.expr(joined))
-    return out.withColumn(new[1], F.size(new[0])).drop("__text", "__found", "__new")
+    coded = docs.drop(*new).withColumn("__text", F.expr(text)).withColumn("__parts", F.expr(parts))
+    out = coded.withColumn(new[0], F.expr("flatten(transform(__parts, w -> w.list))")).withColumn(
+        text_col, F.expr("if(__text is null, null, if(size(pseudonyms) = 0, __text, array_join(transform(__parts, w -> w.text), '')))"))
+    return out.withColumn(new[1], F.size(new[0])).drop("__text", "__parts")
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

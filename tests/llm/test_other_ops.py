@@ -85,6 +85,36 @@ def test_pseudonyms(docs):
     assert pii.pseudonymize(docs([]), "k").count() == 0
 
 
+HIDDEN = [
+    (1, "card 5555 4111 1111 1111 1111 end"), (2, "(555) 234-5678 or 555-234-5678, 1-555-234-5678 and 555.234.5678."),
+    (3, "iban GB82 WEST 1234 5698 7654 32 SENT, GB82 WEST 1234 5698 7654 33 BE68 5390 0754 7034 PAID"),
+    (4, "+1 555 234 5678 +1-155-234-5678 155-234-5678 978-316-1484-10 5555-555-234-5678"),
+    (5, "GB83WEST12345698765432@example.com 1.2.3.4.5 10.10.2020.5"), (6, "999-99-9999 999.1.1.1.1 4111\u20094111 1111 1111 1111"),
+    (7, "\U0001f600 5555 4111 1111 1111 1111 \U0001f600\n2024-02-30 2024-02-29"), (8, "5555 4111 1111 1111 1111 \t" * 2000),
+]
+
+
+def test_invalid_candidates_hide_nothing(docs):
+    got = {i: rows[0] for i, rows in by_id(pii.pseudonymize(docs(HIDDEN), "k"), "text", "n_pseudonyms", "pseudonyms").items()}
+    spaced = " ".join(brute_card("k", "4111111111111111")[i:i + 4] for i in range(0, 16, 4))
+    assert got[1][:2] == (f"card 5555 {spaced} end", 1)
+    m = re.fullmatch(r"\((\d{3})\) (\d{3})-(\d{4}) or (\d{3}-\d{3}-\d{4}), 1-(\d{3}-\d{3}-\d{4}) and (\d{3}\.\d{3}\.\d{4})\.", got[2][0])
+    national = m[1] + m[2] + m[3]
+    assert got[2][1] == 4 and national != "5552345678" and min(national[0], national[3]) >= "2"
+    assert {re.sub(r"\D", "", m[i]) for i in (4, 5, 6)} == {national}
+    m = re.fullmatch(r"iban GB(\d\d) ([A-Z]{4} \d{4} \d{4} \d{4} \d\d) SENT, GB82 WEST 1234 5698 7654 33 BE(\d\d) (\d{4} \d{4} \d{4}) PAID", got[3][0])
+    for country, check, account in (("GB", m[1], m[2]), ("BE", m[3], m[4])):
+        assert int("".join(str(int(c, 36)) for c in account.replace(" ", "") + country + check)) % 97 == 1
+    assert got[3][1] == 2 and m[2] != "WEST 1234 5698 7654 32"
+    assert got[4][0].endswith("+1-155-234-5678 155-234-5678 978-316-1484-10 5555-555-234-5678") and got[4][1] == 1
+    assert got[4][0][:15] == f"+1 {national[:3]} {national[3:6]} {national[6:]}"
+    assert [p.kind for p in got[5][2]] == ["email", "ip", "date"] and got[5][0].startswith(brute_permute("k", "email", HIDDEN[4][1][:22]))
+    assert got[6][0].endswith("\u2009" + spaced) and [p.kind for p in got[6][2]] == ["ip", "card"]
+    m = re.fullmatch("\U0001f600 5555 (.*) \U0001f600\n2024-02-30 (.*)", got[7][0])
+    assert m[1] == spaced and m[2] != "2024-02-29" and got[7][1] == 2
+    assert got[8][:2] == (f"5555 {spaced} \t" * 2000, 2000)
+
+
 def test_pseudonyms_are_a_permutation(spark):
     days = [(datetime.date(1900, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(0, 73049, 61)]
     days += ["1900-01-01", "2099-12-31"]
