@@ -189,7 +189,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", kinds: list[
     may = " or ".join(["{0} like '%@%'"] * ("email" in kinds) + ["{0} rlike '[0-9]'"] * bool(numbers))
     some = f"({may}) and (" + " or ".join(f"{{0}} rlike {_sql(PATTERNS[k]).replace('{', '{{').replace('}', '}}')}" for k in kinds) + ")"
     none = "named_struct('text', {0}, 'list', cast(array() as array<struct<kind: string, pseudonym: string>>))"
-    parts = (f"if({may.format('__text')}, transform(split(__text, {_sql(CUT)}, -1), g -> if({some.format('g')}, {_replaced('g', kinds, key)}, "
+    parts = (f"if({some.format('__text')}, transform(split(__text, {_sql(CUT)}, -1), g -> if({some.format('g')}, {_replaced('g', kinds, key)}, "
              f"{none.format('g')})), array({none.format('__text')}))")
     new = ["pseudonyms", "n_pseudonyms"]
     coded = docs.drop(*new).withColumn("__text", F.expr(text)).withColumn("__parts", F.expr(parts))
