@@ -126,6 +126,30 @@ def _nearest(x: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.
     return ids[order], d[order]
 
 
+def _ranges(key: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of the sorted ``key`` which hold the wanted keys, adjoining ones as one."""
+    wanted = np.unique(wanted)
+    lo, hi = np.searchsorted(key, wanted), np.searchsorted(key, wanted, "right")
+    lo, hi = lo[hi > lo], hi[hi > lo]
+    apart = lo[1:] != hi[:-1]
+    return lo[np.r_[True, apart]] if len(lo) else lo, hi[np.r_[apart, True]] if len(hi) else hi
+
+
+def _promising(x: np.ndarray, squares: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> np.ndarray:
+    """Rows of the ranges which may be among the ``most`` nearest.
+
+    Products give each distance but for a rounding error; what lies within its bound beyond the last is kept.
+    """
+    rows = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
+    if len(rows) <= most:
+        return rows
+    size = squares[rows].max() + q @ q
+    if not np.isfinite(size):
+        return rows
+    about = squares[rows] - 2 * np.concatenate([x[a:b] @ q for a, b in zip(lo, hi)])
+    return rows[about <= np.partition(about, most - 1)[most - 1] + 8 * (len(q) + 2) * np.finfo(float).eps * size]
+
+
 def _scan(queries: list[tuple[int, list[float]]], k: int):
     """The k nearest rows of each batch for a bounded list of queries."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +170,13 @@ def _compare(k: int):
             key = index["key"].to_numpy()
             order = np.argsort(key, kind="stable")
             key, x, ids = key[order], _floats(index["vector"])[order], index["class"].to_numpy()[order]
+            squares = np.einsum("ij,ij->i", x, x)
             vectors = _floats(queries["vector"])
-            for q, v, wanted in zip(queries["query"].to_pylist(), vectors, queries["keys"].to_pylist()):
-                lo, hi = np.searchsorted(key, wanted), np.searchsorted(key, wanted, "right")
-                n = hi - lo
-                rows = np.arange(int(n.sum())) + np.repeat(hi - np.cumsum(n), n)
-                rows = rows[np.unique(ids[rows], return_index=True)[1]]  # seen in several tables
-                if len(rows):
+            for q, v, wanted in zip(queries["query"].to_pylist(), vectors, queries["keys"]):
+                lo, hi = _ranges(key, wanted.values.to_numpy())
+                if len(lo):
+                    rows = _promising(x, squares, v, lo, hi, TABLES * k)  # a row is seen in each table at most
+                    rows = rows[np.unique(ids[rows], return_index=True)[1]]
                     near, d = _nearest(x[rows], v, ids[rows], k)
                     out.append((np.full(len(d), q), near, d))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
@@ -224,10 +248,11 @@ def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
     usable = materialize(usable.where(F.size("vector") == dim), "vectors")
     classes = materialize(usable.groupBy("vector").agg(F.min("id").alias("class"), F.max("asks").alias("asks"),
                                                         F.count_distinct("id").alias("ids")), "classes")
-    first = Window.partitionBy("vector").orderBy("id")
-    members = usable.select("vector", "id").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
-    members = members.join(classes, "vector").select("class", "id")
-    asking = usable.where("asks").join(classes.select("vector", "class"), "vector").select(F.col("class").alias("query"), F.col("id").alias("query_id"))
+    classed = materialize(usable.join(classes.select("vector", "class"), "vector").select("class", "id", "asks"), "classed")
+    first = Window.partitionBy("class").orderBy("id")
+    members = classed.select("class", "id").distinct().withColumn("place", F.row_number().over(first)).where(
+        F.col("place") <= k + 1).select("class", "id")
+    asking = classed.where("asks").select(F.col("class").alias("query"), F.col("id").alias("query_id"))
 
     size = classes.count()
     groups = max(n, size * TABLES // GROUP_ROWS)

@@ -226,6 +226,21 @@ def brute_nearest(rows, k=10):
     return out
 
 
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e9, 1e200])
+def test_promising_rows_hold_the_nearest(scale):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(60, 8)) + 50, 5, axis=0) * scale  # far from the origin, each vector five times
+    key, ids = np.sort(rng.integers(0, 40, len(x))), rng.permutation(len(x))
+    for wanted in ([], [100], [3], [5, 4, 4, 9], list(range(40))):
+        lo, hi = ann._ranges(key, np.array(wanted, np.int64))
+        every = np.flatnonzero(np.isin(key, wanted))
+        assert [r for a, b in zip(lo, hi) for r in range(a, b)] == every.tolist()
+        if len(every):
+            rows = ann._promising(x, np.square(x).sum(axis=1), x[7] * 1.01, lo, hi, 12)
+            near, brute = ann._nearest(x[rows], x[7] * 1.01, ids[rows], 12), ann._nearest(x[every], x[7] * 1.01, ids[every], 12)
+            assert near[0].tolist() == brute[0].tolist() and near[1].tolist() == brute[1].tolist()
+
+
 def test_nearest_with_copies_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
