@@ -245,10 +245,10 @@ def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
         "and exists(vector, x -> x <> 0)")
     lengths = usable.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = lengths["dim"] if lengths else 1
-    usable = materialize(usable.where(F.size("vector") == dim), "vectors")
-    classes = materialize(usable.groupBy("vector").agg(F.min("id").alias("class"), F.max("asks").alias("asks"),
+    usable = materialize(usable.where(F.size("vector") == dim).withColumn("hash", F.xxhash64("vector")), "vectors")
+    classes = materialize(usable.groupBy("hash", "vector").agg(F.min("id").alias("class"), F.max("asks").alias("asks"),
                                                         F.count_distinct("id").alias("ids")), "classes")
-    classed = materialize(usable.join(classes.select("vector", "class"), "vector").select("class", "id", "asks"), "classed")
+    classed = materialize(usable.join(classes.select("hash", "vector", "class"), ["hash", "vector"]).select("class", "id", "asks"), "classed")
     first = Window.partitionBy("class").orderBy("id")
     members = classed.select("class", "id").distinct().withColumn("place", F.row_number().over(first)).where(
         F.col("place") <= k + 1).select("class", "id")
