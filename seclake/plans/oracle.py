@@ -709,6 +709,7 @@ def all_sql() -> dict[str, str]:
             severity from sc""",
         "csv_files": f"""{SCORED} select seq, {', '.join(f'coalesce("{c}", {empty}) as "{c}"' for c in written)} from sc""",
         "json_files": f"""{SCORED} select seq, {', '.join(f'"{c}"' for c in written)} from sc""",
+        "table_files": f"""{UNTIMED} select strftime(event_ts, '%Y-%m-%d') as event_date, seq, event_type, source_ip, "user" from tv""",
         # compositions
         "triage_summary": LOGS + _triage(),
         "report_summary": f"{SCORED} select count(*) as total_events, {', '.join(levels)} from sc",

@@ -861,6 +861,15 @@ def json_files(spark, d):
     return spark.read.schema(schema).json(path)
 
 
+@query
+def table_files(spark, d):
+    """Events written as a table with a folder for each day and read back; those without a time have no day."""
+    path = scratch_path(spark, "table")
+    files.write_table(untimed(spark, d), path)
+    day = F.date_format(F.col("event_date").cast("date"), "yyyy-MM-dd").alias("event_date")
+    return spark.read.parquet(path).select(day, "seq", "event_type", "source_ip", "user")
+
+
 @query
 def exported_hec(spark, d):
     """Payloads as the export writes them."""

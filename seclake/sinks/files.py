@@ -21,6 +21,10 @@ def write_json(events: DataFrame, path: str) -> None:
 
 
 def write_table(events: DataFrame, path: str) -> None:
-    """Parsed events as parquet, one folder per day: parse once, query many times."""
-    day = F.coalesce(F.to_date("event_ts"), F.to_date(F.lit("1970-01-01")))
-    events.withColumn("event_date", day).write.partitionBy("event_date").parquet(path)
+    """Parsed events as parquet, one folder per day: parse once, query many times.
+
+    Events without a time have no day: their ``event_date`` is NULL.  Rows are dealt out by day before they are
+    written, so a day has few files; large days are split, small ones share a task.
+    """
+    dated = events.withColumn("event_date", F.to_date("event_ts"))
+    dated.hint("rebalance", F.col("event_date")).write.partitionBy("event_date").parquet(path)

@@ -78,6 +78,18 @@ def test_files(spark, scored, tmp_path):
     assert table.where("event_date = date'2024-04-09'").count() == 1
 
 
+def test_table_of_days(spark, events, tmp_path):
+    days = ["2024-04-09 10:00:00", "2024-04-10 10:00:00", "1970-01-01 00:00:00", None]
+    rows = events([{"seq": i, "event_ts": days[i % 4], "raw_message": "x"} for i in range(800)]).repartition(8)
+    files.write_table(rows, str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("*/*.parquet"))) == 4  # not one for each day and task
+    table = spark.read.parquet(str(tmp_path / "t"))
+    counts = {str(r.event_date): r["count"] for r in table.groupBy("event_date").count().collect()}
+    assert counts == {"2024-04-09": 200, "2024-04-10": 200, "1970-01-01": 200, "None": 200}
+    assert table.where("event_date is null and event_ts is not null").count() == 0
+    files.write_table(rows.limit(0), str(tmp_path / "none"))
+
+
 def test_alerts_and_tickets(scored):
     rows = alerts.to_alerts(scored, "medium").orderBy("seq").collect()
     assert [r.severity for r in rows] == ["MEDIUM", "MEDIUM", "CRITICAL"]
