@@ -205,8 +205,8 @@ def test_signatures_estimate_the_similarity(docs):
         other[i] = "x%d" % i
     a, b = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (base, other))
     true = len(a & b) / len(a | b)
-    rows = docs([(1, " ".join(base)), (2, " ".join(other))]).select("doc_id", "text").mapInArrow(
-        minhash._sign, "doc_id bigint, n_shingles bigint, node binary, signature binary, bands array<bigint>").collect()
+    rows = docs([(1, " ".join(base)), (2, " ".join(other))]).selectExpr("doc_id as row", "doc_id", "text").mapInArrow(
+        minhash._sign, "row bigint, doc_id bigint, n_shingles bigint, node binary, signature binary, bands array<bigint>").collect()
     x, y = (np.frombuffer(r.signature, np.uint64) for r in rows)
     equal = (minhash.PERMS - int(minhash._differing(x ^ y))) / minhash.PERMS
     chance = 2.0 ** -minhash.BITS
