@@ -60,13 +60,18 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING"
 
 # --- inputs -----------------------------------------------------------------
 
+#: Rows of events which a task parses.
+TASK_ROWS = 50_000
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, dealt out evenly whatever the files are like: a row group is read by one task, however large it is.
+
+    By all columns, so rows without an id are spread as well.
+    """
     events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
-    # A single small file is one task; parsing is worth spreading over the cores.
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:
-        events = events.repartition(cores, "event_id")
-    return events
+    tasks = -(-events.count() // TASK_ROWS)
+    return events.repartition(max(tasks, spark.sparkContext.defaultParallelism), *events.columns)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

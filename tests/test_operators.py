@@ -511,3 +511,18 @@ def test_scan_over_the_edge_of_a_window(events):
              "message": f"to 10.0.0.1:{i + 1} from 9.9.9.9"} for i in range(10)]
     assert correlate.port_scan_campaigns(events(rows), 10, 10).count() == 0
     assert [(r.ports, r.first_at) for r in correlate.port_scan_sliding(events(rows), 10, 10).collect()] == [(10, "2024-01-01 02:00:09")]
+
+
+def test_events_are_dealt_out_whatever_the_files_are(spark, tmp_path):
+    from seclake.plans import registry
+
+    def part(n, ids):
+        spark.range(n).selectExpr(f"{ids} as event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) as ts", "id as user_id",
+                                  "'view' as event_type").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+
+    part(60_000, "cast(null as bigint)")  # one row group
+    for _ in range(8):
+        part(1, "id")
+    got = registry.base(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in got) == 60_008
+    assert max(r["count"] for r in got) < 10_000
