@@ -15,7 +15,7 @@ from .. import fixed
 from ..functions import times
 from ..functions.pin import pin
 from ..functions.severity import SEVERITY_TEXT, severity_of, stored_severity
-from ..functions.text import JOINED_TEXT, has_any, present, q
+from ..functions.text import JOINED_TEXT, has_any, q
 from .detections import FAILED_LOGIN
 
 TOTAL, SEVERITY, STORED, TYPE, SOURCE, USER, TACTIC, HOUR, PHASE, FAILING = (
@@ -24,20 +24,24 @@ TOTAL, SEVERITY, STORED, TYPE, SOURCE, USER, TACTIC, HOUR, PHASE, FAILING = (
 
 def facet_counts(events: DataFrame) -> DataFrame:
     """(facet, value, events, first): events of each value of each facet, and the first one's order value."""
-    text = pin(events, _scored=SEVERITY_TEXT, _joined=f"lower({JOINED_TEXT})", _type="lower(coalesce(event_type, ''))")
+    text = pin(events, _scored=SEVERITY_TEXT, _joined=f"lower({JOINED_TEXT})", _type="lower(coalesce(event_type, ''))",
+               _hour=times.hour_of_last_token("timestamp"))
     known = [
-        (TOTAL, "''", "true"),
-        (SEVERITY, severity_of("_scored"), "true"),
-        (STORED, f"lower({stored_severity(events)})", "true"),
-        (HOUR, f"cast({times.hour_of_last_token('timestamp')} as string)", f"{times.hour_of_last_token('timestamp')} is not null"),
-        (FAILING, "source_ip", f"{present('source_ip')} and {FAILED_LOGIN}"),
-        *[(facet, column, present(column)) for facet, column in (
+        (TOTAL, "''"),
+        (SEVERITY, severity_of("_scored")),
+        (STORED, f"lower({stored_severity(events)})"),
+        (HOUR, "cast(_hour as string)"),
+        (FAILING, f"if({FAILED_LOGIN}, nullif(source_ip, ''), null)"),
+        *[(facet, f"nullif({column}, '')") for facet, column in (
             (TYPE, "event_type"), (SOURCE, "source_ip"), (USER, "user"), (TACTIC, "mitre_tactic"))],
-        *[(PHASE, q(phase), f"{has_any('_joined', words)} or {has_any('_type', words)}") for phase, words in fixed.PHASE_WORDS.items()],
+        *[(PHASE, f"if({has_any('_joined', words)} or {has_any('_type', words)}, {q(phase)}, null)") for phase, words in fixed.PHASE_WORDS.items()],
     ]
-    entries = ", ".join(f"case when {test} then struct({q(facet)} as facet, {value} as value) end" for facet, value, test in known)
+    # values are columns first: generated code computes them, and no function of arrays keeps the explode from it
+    values = text.selectExpr("seq", *[f"{value} as _v{i}" for i, (_, value) in enumerate(known)])
+    entries = ", ".join(f"struct({q(facet)} as facet, _v{i} as value)" for i, (facet, _) in enumerate(known))
     return (
-        text.selectExpr("seq", f"explode(array_compact(array({entries}))) as f")
+        values.selectExpr("seq", f"explode(array({entries})) as f")
+        .where("f.value is not null")
         .groupBy("f.facet", "f.value")
         .agg(F.count("*").alias("events"), F.min("seq").alias("first"))
     )

@@ -526,3 +526,19 @@ def test_events_are_dealt_out_whatever_the_files_are(spark, tmp_path):
     got = registry.base(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in got) == 60_008
     assert max(r["count"] for r in got) < 10_000
+
+
+def test_facets_are_counted_in_generated_code(events):
+    from seclake.operators import facets
+
+    got = facets.facet_counts(events([
+        {"event_type": "login_fail", "source_ip": "1.1.1.1", "user": "", "timestamp": "2024-01-01T10:00:00Z", "raw_message": "ssh"},
+        {"event_type": None, "source_ip": "", "user": "amy", "timestamp": "Jan 01 07:00:00", "mitre_tactic": "T1"},
+        {"event_type": "login_fail", "source_ip": "1.1.1.1", "timestamp": ""},
+    ]))
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.facet, r.value): (r.events, r.first) for r in got.collect()} == {
+        ("total", ""): (3, 0), ("severity", "info"): (3, 0), ("stored", "info"): (3, 0),
+        ("type", "login_fail"): (2, 0), ("source", "1.1.1.1"): (2, 0), ("user", "amy"): (1, 1), ("tactic", "T1"): (1, 1),
+        ("hour", "7"): (1, 1), ("phase", "initial_access"): (2, 0), ("phase", "lateral_movement"): (1, 0), ("failing", "1.1.1.1"): (2, 0),
+    }
