@@ -542,3 +542,14 @@ def test_facets_are_counted_in_generated_code(events):
         ("type", "login_fail"): (2, 0), ("source", "1.1.1.1"): (2, 0), ("user", "amy"): (1, 1), ("tactic", "T1"): (1, 1),
         ("hour", "7"): (1, 1), ("phase", "initial_access"): (2, 0), ("phase", "lateral_movement"): (1, 0), ("failing", "1.1.1.1"): (2, 0),
     }
+
+
+def test_pieces_of_a_line_are_looked_up_in_generated_code(events):
+    from seclake.operators import ruleindex
+
+    found = [rules.Rule("A", patterns=("alpha", "beta+")), rules.Rule("B", patterns=("(gamma|delta) x",)), rules.Rule("C", patterns=("zeta",))]
+    got = rules.rule_hits(events([{"raw_message": m} for m in ("alpha beta", "", "BETA gamma x delta x", "none", None)]), found, index=True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lambda" in line for line in plan.splitlines() if "Join" in line or "explode(_pieces" in line)
+    assert plan.count("transform(") == len({len(k) for keys in ruleindex.keys(["alpha", "beta+", "(gamma|delta) x", "zeta"]) for k in keys})
+    assert sorted((r.position, r.seq) for r in got.collect()) == [(0, 0), (0, 2), (1, 2)]
